@@ -11,12 +11,18 @@ from tablehaul.dialects import NAME_LIMITS, ORACLE, ORACLE_RESERVED, POSTGRES, S
 _ORACLE_ALLOWED = r"[\p{L}\p{Nd}_$#&&[\x{0}-\x{FFFF}]]"
 
 
+def upper(text: Column) -> Column:
+    """Upper case letter by letter: ß, whose upper case is two letters, stays."""
+    kept = "\ue000"
+    return F.translate(F.upper(F.translate(text, "ß", kept)), kept, "ß")
+
+
 def fold_name(name: Column, dialect: str) -> Column:
     """Lower case for PostgreSQL, upper case for Oracle, unchanged for SQL Server."""
     check_dialect(dialect)
     if dialect == POSTGRES:
         return F.lower(name)
-    return F.upper(name) if dialect == ORACLE else name
+    return upper(name) if dialect == ORACLE else name
 
 
 def fold_text(name: str, dialect: str) -> str:
@@ -89,14 +95,14 @@ def constraint_name(name: Column, kind: Column, table: Column, dialect: str) ->
 
 def forbidden_characters(name: Column) -> Column:
     """The characters of a name that Oracle does not allow, each once, in order of first use; empty if it is fine."""
-    left = F.regexp_replace(F.upper(name), _ORACLE_ALLOWED, "")
+    left = F.regexp_replace(upper(name), _ORACLE_ALLOWED, "")
     return F.when(left == "", F.lit("")).otherwise(F.array_join(F.array_distinct(F.split(left, "")), ""))
 
 
 def oracle_identifier(name: Column) -> Column:
     """The name in upper case, after ``_`` if it starts with a digit; null if blank or with forbidden characters."""
-    upper = F.upper(name)
-    fixed = F.when(upper.rlike(r"^\p{Nd}"), F.concat(F.lit("_"), upper)).otherwise(upper)
+    folded = upper(name)
+    fixed = F.when(folded.rlike(r"^\p{Nd}"), F.concat(F.lit("_"), folded)).otherwise(folded)
     usable = (F.regexp_replace(name, r"\s", "") != "") & (forbidden_characters(name) == "")
     return F.when(usable, fixed)
 

@@ -19,8 +19,8 @@ def column_profile(df: DataFrame) -> DataFrame:
         c = F.col(f"`{field.name}`")
         text = isinstance(field.dataType, T.StringType)
         numeric = isinstance(field.dataType, T.NumericType)
-        whole = F.length(F.abs(c.cast("decimal(38,6)")).cast("decimal(38,0)").cast("string")) if numeric else None
-        fraction = F.length(F.regexp_extract(c.cast("decimal(38,6)").cast("string"), r"\.(\d*?)0*$", 1)) if numeric else None
+        whole = F.length(F.floor(F.abs(c.try_cast("decimal(38,6)"))).cast("string")) if numeric else None
+        fraction = F.length(F.regexp_extract(c.try_cast("decimal(38,6)").cast("string"), r"\.(\d*?)0*$", 1)) if numeric else None
         dated = isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType))
         clock = F.length(F.regexp_extract(c.cast("string"), r"\.(\d+)$", 1)) if dated else None
         nothing = F.lit(None)

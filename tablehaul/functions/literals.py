@@ -92,32 +92,24 @@ def decimal_literal(value: Column, dialect: str) -> Column:
     return value.cast("string")
 
 
+def _without_zero(text: Column) -> Column:
+    """``12.0`` as ``12``; other texts as they are."""
+    return F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+
+
 def _floating_text(value: Column, plain_digits: int) -> Column:
     """Shortest text of a finite number: plain between 1e-5 and ``plain_digits`` digits, else like ``1.5E+20``."""
     text = value.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    exponent = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
-    rest = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "0+$", "")
-    digits = F.concat(whole, rest)
-    count = F.length(digits)
-    point = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
-    large = F.when(count <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))).otherwise(
-        F.concat(digits.substr(F.lit(1), exponent + 1), F.lit("."), digits.substr(exponent + 2, count))
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    exponent = F.substring_index(text, "E", -1).cast("int")
+    size = F.abs(exponent).cast("string")
+    size = F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size)
     scientific = F.concat(
-        point,
-        F.when(exponent < 0, "E-").otherwise("E+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
-    body = (
-        F.when((exponent == 0) & (F.length(whole) <= plain_digits), point)
-        .when((exponent >= plain_digits) | (exponent < -4), scientific)
-        .when(exponent < 0, small)
-        .otherwise(large)
+        _without_zero(F.substring_index(text, "E", 1)), F.when(exponent < 0, "E-").otherwise("E+"), size
     )
-    return F.concat(sign, body)
+    # Spark itself writes numbers below 1e-3 or from 1e7 on with an exponent.
+    plain = F.rtrim(F.rtrim(text.cast("decimal(38,22)").cast("string"), F.lit("0")), F.lit("."))
+    with_exponent = F.when((exponent >= plain_digits) | (exponent < -4), scientific).otherwise(plain)
+    return F.when(F.contains(text, F.lit("E")), with_exponent).otherwise(_without_zero(text))
 
 
 def floating_literal(value: Column, dialect: str, single: bool = False) -> Column:

@@ -14,7 +14,8 @@ _ORACLE_ALLOWED = r"[\p{L}\p{Nd}_$#&&[\x{0}-\x{FFFF}]]"
 def upper(text: Column) -> Column:
     """Upper case letter by letter: ß, whose upper case is two letters, stays."""
     kept = "\ue000"
-    return F.translate(F.upper(F.translate(text, "ß", kept)), kept, "ß")
+    guarded = F.translate(F.upper(F.translate(text, "ß", kept)), kept, "ß")
+    return F.when(F.contains(text, F.lit("ß")), guarded).otherwise(F.upper(text))
 
 
 def fold_name(name: Column, dialect: str) -> Column:
@@ -72,21 +73,28 @@ def qualified_name(schema: Column, name: Column) -> Column:
 
 def hash_suffix(name: Column) -> Column:
     """``_dddd``: the first four bytes of the name's SHA-256, read as a little-endian number, modulo 10000."""
-    digest = F.sha2(name, 256)
-    swapped = F.concat(*[F.substring(digest, start, 2) for start in (7, 5, 3, 1)])
+    first = F.substring(F.sha2(name, 256), 1, 8)
+    swapped = F.regexp_replace(first, "(..)(..)(..)(..)", "$4$3$2$1")
     number = F.conv(swapped, 16, 10).cast("bigint") % 10000
     return F.concat(F.lit("_"), F.lpad(number.cast("string"), 4, "0"))
 
 
-def shorten_name(name: Column, dialect: str) -> Column:
-    """A constraint name within the dialect's limit: folded, and if too long, cut and given its ``hash_suffix``."""
+def shorten_folded(folded: Column, dialect: str) -> Column:
+    """A name already in the dialect's case, within its limit: if too long, cut and given its ``hash_suffix``."""
     limit = NAME_LIMITS[check_dialect(dialect)]
-    folded = fold_name(name, dialect)
     return F.when(F.length(folded) <= limit, folded).otherwise(
         F.concat(F.substring(folded, 1, limit - 5), hash_suffix(folded))
     )
 
 
+def shorten_name(name: Column, dialect: str) -> Column:
+    """A constraint name in the dialect's case and within its limit.
+
+    For long texts, put ``fold_name`` in a select of its own and use ``shorten_folded``: it is then made once per row.
+    """
+    return shorten_folded(fold_name(name, dialect), dialect)
+
+
 def constraint_name(name: Column, kind: Column, table: Column, dialect: str) -> Column:
     """The constraint's own name, or PK_/UQ_ and the table's if it has none, within the dialect's limit."""
     made = F.concat(F.when(kind == "PRIMARY KEY", "PK_").otherwise("UQ_"), table)

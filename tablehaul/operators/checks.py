@@ -12,18 +12,45 @@ from tablehaul.dialects import SQLSERVER
 from tablehaul.operators.positions import rank_within
 
 
+_MILLION = 1_000_000
+
+
+def _millionths(value: Column) -> Column:
+    """A number as whole millionths, while they fit a double exactly; else null."""
+    return F.when(F.abs(value) < 9e9, F.rint(value.cast("double") * _MILLION).cast("bigint"))
+
+
+def _scale(value: Column, millionths: Column) -> Column:
+    """Digits after the point, up to six; counted on the written number if there are no millionths."""
+    counted = F.when(millionths % _MILLION == 0, 0)
+    for digits in range(1, 6):
+        counted = counted.when(millionths % 10 ** (6 - digits) == 0, digits)
+    exact = F.length(F.regexp_extract(value.try_cast("decimal(38,6)").cast("string"), r"\.(\d*?)0*$", 1))
+    return F.when(millionths.isNull(), exact).otherwise(counted.otherwise(6))
+
+
+def _fraction_digits(value: Column) -> Column:
+    """Digits of a timestamp's second fraction."""
+    text = value.cast("string")
+    point = F.instr(text, ".")
+    return F.when(point > 0, F.length(text) - point).otherwise(0)
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column, measured in one pass: nulls, longest text, digits before and after the point, range."""
-    measures = []
-    for field in df.schema.fields:
+    """One row per column, measured in one pass: nulls, longest text, digits before and after the point."""
+    measures, made = [], []
+    for i, field in enumerate(df.schema.fields):
         c = F.col(f"`{field.name}`")
         text = isinstance(field.dataType, T.StringType)
         numeric = isinstance(field.dataType, T.NumericType)
-        whole = F.length(F.floor(F.abs(c.try_cast("decimal(38,6)"))).cast("string")) if numeric else None
-        fraction = F.length(F.regexp_extract(c.try_cast("decimal(38,6)").cast("string"), r"\.(\d*?)0*$", 1)) if numeric else None
         dated = isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType))
-        clock = F.length(F.regexp_extract(c.cast("string"), r"\.(\d+)$", 1)) if dated else None
         nothing = F.lit(None)
+        scale = F.max(F.when(c.isNotNull(), 0)) if isinstance(field.dataType, T.IntegralType) else None
+        if numeric and scale is None:
+            made.append(_millionths(c).alias(f"__millionths{i}"))
+            scale = F.max(_scale(c, F.col(f"__millionths{i}")))
+        # The number furthest from zero has the most digits.
+        whole = lambda n: F.length(F.floor(F.abs(n.try_cast("decimal(38,6)"))).cast("string"))
         measures.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),
@@ -31,12 +58,12 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.count("*").alias("row_count"),
                 F.count_if(c.isNull()).alias("null_count"),
                 (F.max(F.length(c)) if text else nothing).cast("bigint").alias("max_length"),
-                (F.max(whole) if numeric else nothing).cast("bigint").alias("whole_digits"),
-                (F.max(fraction) if numeric else nothing).cast("bigint").alias("scale"),
-                (F.max(clock) if dated else nothing).cast("bigint").alias("fraction_digits"),
+                (F.greatest(whole(F.max(c)), whole(F.min(c))) if numeric else nothing).cast("bigint").alias("whole_digits"),
+                (scale if numeric else nothing).cast("bigint").alias("scale"),
+                (F.max(_fraction_digits(c)) if dated else nothing).cast("bigint").alias("fraction_digits"),
             )
         )
-    return df.agg(F.array(*measures).alias("columns")).select(F.inline("columns"))
+    return df.select("*", *made).agg(F.array(*measures).alias("columns")).select(F.inline("columns"))
 
 
 def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablehaul.dialects import ORACLE
+from tablehaul.functions.casts import cast_or_null
 from tablehaul.functions.literals import EPOCH_DAY
 from tablehaul.functions.names import fold_text
 from tablehaul.typemap import ColumnSpec, family_of, map_type, spark_type
@@ -18,20 +20,19 @@ ON_MISFIT = ("flag", "null", "raise")
 
 
 class Fitted(NamedTuple):
-    """A value in the target's type, and whether the source value did not fit."""
+    """A value in the target's type, and the source value that must not have become null; none if any would fit."""
 
     value: Column
-    misfit: Column
+    must_keep: Column | None = None
 
 
 def truncate_timestamp(value: Column, digits: int) -> Column:
     """A zone-less timestamp with ``digits`` fraction digits; the rest is cut off."""
     if digits >= 6:
         return value
-    seconds = F.extract(F.lit("SECOND"), value).cast("decimal(16,6)")
-    step = 10**digits
-    kept = (F.floor(seconds * step) / F.lit(step)).cast("decimal(16,6)")
-    return value - F.make_dt_interval(secs=(seconds - kept).cast("decimal(18,6)"))
+    # The fraction of a second is the same in every time zone, so the session's does not matter here.
+    rest = F.pmod(F.unix_micros(value.cast("timestamp")), F.lit(10 ** (6 - digits)))
+    return F.timestamp_add("MICROSECOND", -rest.cast("int"), value)
 
 
 def empty_to_null(value: Column) -> Column:
@@ -49,11 +50,6 @@ def time_on_epoch_day(value: Column) -> Column:
     return F.concat(F.lit(EPOCH_DAY + " "), value).try_cast("timestamp_ntz")
 
 
-def overflows(value: Column, data_type: T.DataType | str) -> Column:
-    """Is there a value, and does the type not hold it?"""
-    return value.isNotNull() & value.try_cast(data_type).isNull()
-
-
 def too_long(value: Column, limit: int) -> Column:
     """Is a string longer than ``limit`` characters?"""
     return F.coalesce(F.length(value) > limit, F.lit(False))
@@ -64,40 +60,35 @@ def _fit(value: Column, held: T.DataType, spec: ColumnSpec, source: str, target:
     family = family_of(ColumnSpec("", text), target)
     goal = spark_type(text, target)
     came_from = family_of(spec, source).kind
-    fits = F.lit(False)
+    limit = family.length if family.length and family.length > 0 else None
     if came_from == "uuid" and target == ORACLE:
         made = uuid_bytes(value)
-        return Fitted(made, value.isNotNull() & F.coalesce(F.octet_length(made) != 16, F.lit(True)))
+        return Fitted(F.when(F.octet_length(made) == 16, made), value)
     if came_from in ("time", "zonedtime") and target == ORACLE:
-        made = truncate_timestamp(time_on_epoch_day(value), min(family.fraction or 0, 6))
-        return Fitted(made, value.isNotNull() & made.isNull())
+        return Fitted(truncate_timestamp(time_on_epoch_day(value), min(family.fraction or 0, 6)), value)
     if goal is None:
-        return Fitted(value, fits)
+        return Fitted(value)
     if isinstance(goal, T.StringType):
         made = value.cast("string")
         if target == ORACLE:
             made = empty_to_null(made)
-        if family.length and family.length > 0:
-            fits = too_long(made, family.length)
-            made = F.when(~fits, made)
-        return Fitted(made, fits)
+        return Fitted(F.when(F.length(made) <= limit, made), made) if limit else Fitted(made)
     if isinstance(goal, T.BinaryType):
         made = value.cast("binary")
-        if family.length and family.length > 0:
-            fits = F.coalesce(F.octet_length(made) > family.length, F.lit(False))
-            made = F.when(~fits, made)
-        return Fitted(made, fits)
+        return Fitted(F.when(F.octet_length(made) <= limit, made), value) if limit else Fitted(made)
     if isinstance(goal, T.TimestampNTZType):
-        made = truncate_timestamp(value.try_cast(goal), 6 if family.fraction is None else family.fraction)
-        return Fitted(made, value.isNotNull() & made.isNull())
+        digits = 6 if family.fraction is None else family.fraction
+        if isinstance(held, (T.TimestampNTZType, T.DateType)):
+            return Fitted(truncate_timestamp(value.cast(goal), digits))
+        return Fitted(truncate_timestamp(value.try_cast(goal), digits), value)
     if isinstance(held, T.BooleanType) and isinstance(goal, T.DecimalType):
-        return Fitted(value.cast("int").cast(goal), fits)
+        return Fitted(value.cast("int").cast(goal))
     if family.kind == "byte":
-        made = F.when(value.try_cast("short").between(0, 255), value.try_cast("short"))
-        return Fitted(made, value.isNotNull() & made.isNull())
+        small = cast_or_null(value, held, "short")
+        return Fitted(F.when(small.between(0, 255), small), value)
     if held == goal:
-        return Fitted(value, fits)
-    return Fitted(value.try_cast(goal), overflows(value, goal))
+        return Fitted(value)
+    return Fitted(cast_or_null(value, held, goal), value)
 
 
 def conform(df: DataFrame, specs: list[ColumnSpec], source: str, target: str, on_misfit: str = "flag") -> DataFrame:
@@ -109,21 +100,36 @@ def conform(df: DataFrame, specs: list[ColumnSpec], source: str, target: str, on
     if on_misfit not in ON_MISFIT:
         raise ValueError(f"on_misfit must be one of {', '.join(ON_MISFIT)}")
     types = {f.name: f.dataType for f in df.schema.fields}
-    columns, flags = [], []
-    for spec in specs:
+    made, kept, columns, flags = [], [], [], []
+    for i, spec in enumerate(specs):
         name = fold_text(spec.name, target)
         fitted = _fit(F.col(f"`{spec.name}`"), types[spec.name], spec, source, target)
-        value = fitted.value
-        if on_misfit == "raise":
-            message = F.lit(f"{spec.name} does not fit {map_type(spec, source, target)}")
-            value = F.when(fitted.misfit, F.raise_error(message).cast("void")).otherwise(value)
+        made.append(fitted.value.alias(f"__made{i}"))
+        value = F.col(f"__made{i}")
+        if fitted.must_keep is not None and on_misfit != "null":
+            kept.append(fitted.must_keep.isNotNull().alias(f"__kept{i}"))
+            misfit = F.col(f"__kept{i}") & value.isNull()
+            flags.append((name, misfit))
+            if on_misfit == "raise":
+                message = F.lit(f"{spec.name} does not fit {map_type(spec, source, target)}")
+                value = F.when(misfit, F.raise_error(message).cast("void")).otherwise(value)
         columns.append(value.alias(name))
-        flags.append(F.when(fitted.misfit, F.lit(name)))
+    # Values first, then what became of them: so each value is made once.
+    df = df.select(*made, *kept)
     if on_misfit == "flag":
-        columns.append(F.array_compact(F.array(*flags)).alias(MISFITS))
+        columns.append(_names_of(flags).alias(MISFITS))
     return df.select(*columns)
 
 
+def _names_of(flags: list[tuple[str, Column]]) -> Column:
+    """The names whose flag is set; the array is only built for rows that have one."""
+    none = F.array().cast("array<string>")
+    if not flags:
+        return none
+    some = reduce(lambda a, b: a | b, [flag for _, flag in flags])
+    return F.when(some, F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags]))).otherwise(none)
+
+
 def misfit_rows(df: DataFrame, specs: list[ColumnSpec], source: str, target: str) -> DataFrame:
     """The conformed rows of which at least one value did not fit."""
     return conform(df, specs, source, target).filter(F.size(MISFITS) > 0)

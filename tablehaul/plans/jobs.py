@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
@@ -23,6 +24,7 @@ SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY = "schema_and_data", "schema_only", "dat
 MODES = (SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY)
 MISSING_COLUMNS_SHOWN = 20
 MISSING_TABLES_SHOWN = 5
+TABLES_AT_ONCE = 10
 
 
 @dataclass(frozen=True)
@@ -90,11 +92,10 @@ def copy_table(
 def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per table: whether its target has to be created, and how many rows or keys break what it will declare."""
     tables = by_name or {j.name: j.df for j in jobs}
-    parts = []
+    spark = jobs[0].df.sparkSession
+    parts, unchecked = [], []
     for job in jobs:
-        spark = job.df.sparkSession
         action = "skip" if target_exists(spark, job.target) else "create"
-        zero = F.lit(0).cast("bigint")
         nulls = [s.name for s in job.specs if not s.nullable]
         measures = {
             "null_count": null_violations(job.df, nulls).agg(F.sum("null_count").alias("v")) if nulls else None,
@@ -105,16 +106,19 @@ def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None =
             "orphan_keys": _counted([orphans(job.df, tables[p], k) for p, k in job.foreign_keys]),
         }
         for check, measured in measures.items():
-            found = measured if measured is not None else spark.range(1, numPartitions=1).select(zero.alias("v"))
+            if measured is None:
+                unchecked.append((job.name, action, check, 0))
+                continue
             parts.append(
-                found.select(
+                measured.select(
                     F.lit(job.name).alias("table_name"),
                     F.lit(action).alias("action"),
                     F.lit(check).alias("check_name"),
-                    F.coalesce(F.col("v"), zero).cast("bigint").alias("violations"),
+                    F.coalesce(F.col("v"), F.lit(0)).cast("bigint").alias("violations"),
                 )
             )
-    return reduce(DataFrame.unionByName, parts)
+    shape = "table_name string, action string, check_name string, violations bigint"
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame(unchecked, shape))
 
 
 def _counted(frames: list[DataFrame]) -> DataFrame | None:
@@ -130,12 +134,10 @@ def prepare_targets(jobs: list[TableJob], source: str, target: str, check: bool
         bad = prepare_report(jobs).filter("violations > 0").limit(MISSING_TABLES_SHOWN).collect()
         if bad:
             raise MigrationError("; ".join(f"{r.table_name}: {r.check_name} {r.violations}" for r in bad))
-    created = []
-    for job in jobs:
-        if not target_exists(job.df.sparkSession, job.target):
-            create_empty(_conformed(job, source, target), job.target)
-            created.append(job.name)
-    return created
+    new = [j for j in jobs if not target_exists(j.df.sparkSession, j.target)]
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        list(pool.map(lambda j: create_empty(_conformed(j, source, target), j.target), new))
+    return [j.name for j in new]
 
 
 class Run(NamedTuple):
@@ -163,8 +165,15 @@ def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, sch
     staged: dict[str, str] = {}
     if mode != SCHEMA_ONLY:
         try:
-            for job in jobs:
-                staged[job.target], metrics[job.name] = _write_beside(job, source, target)
+            # The tables' jobs run side by side, so that a small table does not leave the cluster idle.
+            with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+                written = [(j, pool.submit(_write_beside, j, source, target)) for j in jobs]
+            failed = [done.exception() for _, done in written if done.exception()]
+            for job, done in written:
+                if not done.exception():
+                    staged[job.target], metrics[job.name] = done.result()
+            if failed:
+                raise failed[0]
             publish(spark, staged)
         except Exception:
             discard(spark, list(staged.values()))

@@ -49,9 +49,13 @@ def create_empty(df: DataFrame, path: str) -> None:
 
 
 def write_staged(df: DataFrame, target: str) -> str:
-    """Write the whole frame beside its target and return where."""
+    """Write the whole frame beside its target and return where; a write that fails leaves nothing."""
     staging = f"{target.rstrip('/')}__staging-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
+    try:
+        df.write.parquet(staging)
+    except Exception:
+        discard(df.sparkSession, [staging])
+        raise
     return staging
 
 

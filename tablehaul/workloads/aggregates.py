@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from tablehaul.dialects import ORACLE, SQLSERVER
 from tablehaul.operators import aggregates as A
 from tablehaul.operators import checks as C
-from tablehaul.operators.conform import empty_to_null, overflows, time_on_epoch_day, too_long, truncate_timestamp, uuid_bytes
+from tablehaul.operators.conform import empty_to_null, time_on_epoch_day, too_long, truncate_timestamp, uuid_bytes
+from tablehaul.functions.casts import overflows
 from tablehaul.functions.literals import timestamp_text
 from tablehaul.workloads.registry import register, table
 
@@ -208,7 +209,7 @@ def null_violations(spark, folder):
 def overflow_rows(spark, folder):
     wide = F.col("l_orderkey") * 200000
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", wide.alias("wide"))
-    return lines.filter(overflows(F.col("wide"), T.IntegerType()))
+    return lines.filter(overflows(F.col("wide"), T.LongType(), T.IntegerType()))
 
 
 @register(
@@ -218,7 +219,7 @@ def overflow_rows(spark, folder):
 )
 def overflow_decimal(spark, folder):
     price = F.col("o_totalprice").cast("decimal(18,2)").alias("price")
-    return table(spark, folder, "orders").select("o_orderkey", price).filter(overflows(F.col("price"), "decimal(7,2)"))
+    return table(spark, folder, "orders").select("o_orderkey", price).filter(overflows(F.col("price"), T.DecimalType(18, 2), "decimal(7,2)"))
 
 
 @register(

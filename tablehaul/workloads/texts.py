@@ -52,9 +52,9 @@ _UPPER = "replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß')"
         {_shorten_sql(_UPPER, NAME_LIMITS[ORACLE])} AS oracle_name FROM documents""",
 )
 def shorten_hash(spark, folder):
-    return table(spark, folder, "documents").select(
-        "doc_id", *[N.shorten_name(F.col("text"), d).alias(f"{d}_name") for d in DIALECTS]
-    )
+    folded = [N.fold_name(F.col("text"), d).alias(d) for d in DIALECTS]
+    shortened = [N.shorten_folded(F.col(d), d).alias(f"{d}_name") for d in DIALECTS]
+    return table(spark, folder, "documents").select("doc_id", *folded).select("doc_id", *shortened)
 
 
 @register(

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.session import size_partitions, stage
+from tablehaul.session import size_partitions, stage, steady
 
 _TIE = "__scan_order"
 _ROW = "__row"
@@ -39,13 +39,10 @@ def _per_partition(values: dict[int, int]) -> Column:
 
 
 def _stage_in_order(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Stage ``df`` in the order of ``keys`` with each row's partition and index in it.
-
-    ``df`` should be a scan with projections and filters, or a staged frame: ties are broken by scan order, which has
-    to come out the same when a task is run again.
-    """
+    """Stage ``df`` in the order of ``keys``, ties in scan order, with each row's partition and index in it."""
     columns = df.columns
     if keys:
+        df = steady(df)
         tied = df.withColumn(_TIE, F.monotonically_increasing_id())
         partitions = size_partitions(df)
         tied = tied.repartitionByRange(partitions, *keys, F.col(_TIE)).sortWithinPartitions(*keys, _TIE)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablehaul.session import steady
+
 MAX_HOT_KEYS = 100
 _SALT = "__salt"
 
@@ -26,9 +28,9 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inne
     """``big`` joined to ``small`` (inner or left), with the rows of hot keys spread over many tasks.
 
     Only ``small`` rows with a hot key are repeated, and ``small`` should be unique on ``keys``, so there are at most
-    ``MAX_HOT_KEYS`` of them. Every other row joins as usual. ``big`` should be a scan or a staged frame, so that a
-    row keeps its salt when a task is run again.
+    ``MAX_HOT_KEYS`` of them. Every other row joins as usual.
     """
+    big = steady(big)
     hot = hot_keys(big, keys)
     if not hot:
         return big.join(small, keys, how)

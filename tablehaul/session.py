@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -57,6 +58,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Plan nodes that leave the rows of a file split in their order.
+_ROW_BY_ROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "Union", "Generate"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` if a task that runs again is bound to see its rows in the same order, else a staged copy.
+
+    Row numbers given out by scan order would otherwise change when an executor is lost half-way through a shuffle.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {found.group(1) for line in plan.splitlines() if (found := re.match(r"[\s:+-]*([A-Z]\w+)", line))}
+    return df if nodes <= _ROW_BY_ROW else stage(df, "steady")
+
+
 def size_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, or more if the plan's size estimate asks for it."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

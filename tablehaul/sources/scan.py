@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tablehaul.dialects import check_dialect
-from tablehaul.functions.names import table_reference
+from tablehaul.functions.names import quote_text, table_reference
 from tablehaul.operators.aggregates import count_rows
 
 FILE_FORMATS = ("parquet", "orc", "csv", "json", "text")
@@ -50,7 +50,8 @@ class JdbcTable:
         return options
 
     def bounds_query(self) -> str:
-        return f"SELECT MIN({self.split}) AS lo, MAX({self.split}) AS hi FROM {self.reference}"
+        column = quote_text(self.split, self.dialect)
+        return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {self.reference}"
 
     def read(self, spark: SparkSession) -> DataFrame:
         lower = upper = None

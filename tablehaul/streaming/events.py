@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablehaul.operators.events import error_events, event_tail
+from tablehaul.operators.events import error_events, top_rows
 from tablehaul.session import fresh_path
 
 
@@ -64,10 +64,10 @@ def stream_tail(events: DataFrame, order_by: list[str], keep: int = 5000, state:
     place = _versioned(state)
 
     def merge(df: DataFrame, batch: int) -> None:
-        tail = event_tail(df, order_by, keep)
+        tail = top_rows(df, order_by, keep)
         if batch > 0:
             earlier = df.sparkSession.read.schema(events.schema).parquet(place(batch - 1))
-            tail = event_tail(tail.unionByName(earlier), order_by, keep)
+            tail = top_rows(tail.unionByName(earlier), order_by, keep)
         tail.write.mode("overwrite").parquet(place(batch))
 
     query = (

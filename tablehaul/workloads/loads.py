@@ -327,7 +327,7 @@ def _tail_sql(keep: int) -> str:
 @register("event_tail", _tail_sql(5000))
 def event_tail(spark, folder):
     events = table(spark, folder, "events").select("event_id", "ts", "event_type", "props")
-    return E.event_tail(events, ["ts", "event_id"]).drop("ts")
+    return E.event_tail(events, "ts", ["event_id"]).drop("ts")
 
 
 @register(

@@ -109,10 +109,11 @@ def missing_columns(source: DataFrame, target: DataFrame, table: str, column: st
 
     A table without any column on the target lacks all of them.
     """
-    folded = lambda df: df.select(F.lower(table).alias("t"), F.lower(column).alias("c")).distinct()
-    listed = source.groupBy(table, column).agg(F.min(position).alias(position))
-    left = listed.select("*", F.lower(table).alias("t"), F.lower(column).alias("c"))
-    return left.join(folded(target), ["t", "c"], "left_anti").select(table, column, position)
+    keys = {"__table": F.lower(table), "__column": F.lower(column)}
+    folded = [c.alias(n) for n, c in keys.items()]
+    listed = source.groupBy(table, column).agg(F.min(position).alias(position)).select("*", *folded)
+    held = target.select(*folded).distinct()
+    return listed.join(held, list(keys), "left_anti").select(table, column, position)
 
 
 def missing_tables(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

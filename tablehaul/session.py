@@ -32,12 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of its own: elsewhere the executors would not see it.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tablehaul-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablehaul-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/tablehaul-{spark.sparkContext.applicationId}"
 
 

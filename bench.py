@@ -21,7 +21,8 @@ HEADLINE = (
     "charset_violations_url", "classify_messages", "split_statements", "flatten_text", "literals_string_sqlserver",
     "literals_row_oracle", "literals_decimal_postgres", "literals_double_oracle", "conform_sqlserver_postgres_lineitem",
     "conform_oracle_sqlserver_orders", "conform_postgres_oracle_part", "insert_script", "insert_script_identity",
-    "multi_table_script", "copy_table", "replace_load", "migration_report", "prepare_report", "stream_error_filter",
+    "multi_table_script", "copy_table", "replace_load", "migration_report",
+    "migration_report_schema_and_data", "fit_report_sqlserver_postgres", "prepare_report", "stream_error_filter",
     "stream_error_count", "stream_tail",
 )
 
@@ -45,8 +46,8 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")),
     }
-    if "migration_report" in seconds:
-        result["migrated_mb_per_min"] = round(moved / 1e6 / seconds["migration_report"] * 60, 1)
+    if "migration_report_schema_and_data" in seconds:
+        result["migrated_mb_per_min"] = round(moved / 1e6 / seconds["migration_report_schema_and_data"] * 60, 1)
     print(json.dumps(result))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.operators.positions import rank_within
+from tablehaul.operators.positions import batch_number, rank_within
 
 LIST_CHUNK = 1000
 
@@ -43,7 +43,7 @@ def ordered_chunks(df: DataFrame, group: list[str], order_by: list[str], value:
     Most groups are one chunk. A group of any size stays whole over several, and no row or task holds all of it.
     """
     ranked = rank_within(df.select(*dict.fromkeys([*group, *order_by, value])), group, order_by)
-    ranked = ranked.withColumn("chunk_no", F.floor((F.col("position") - 1) / chunk).cast("bigint"))
+    ranked = ranked.withColumn("chunk_no", batch_number(F.col("position"), chunk))
     items = F.array_sort(F.collect_list(F.struct("position", value)))
     return (
         ranked.groupBy(*group, "chunk_no")

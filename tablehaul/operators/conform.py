@@ -133,3 +133,20 @@ def _names_of(flags: list[tuple[str, Column]]) -> Column:
 def misfit_rows(df: DataFrame, specs: list[ColumnSpec], source: str, target: str) -> DataFrame:
     """The conformed rows of which at least one value did not fit."""
     return conform(df, specs, source, target).filter(F.size(MISFITS) > 0)
+
+
+def fit_report(df: DataFrame, specs: list[ColumnSpec], source: str, target: str) -> DataFrame:
+    """One row per column: its type on both sides, and how many values do not fit; one pass over the table."""
+    counts = []
+    for spec in specs:
+        hit = F.array_contains(MISFITS, fold_text(spec.name, target))
+        counts.append(
+            F.struct(
+                F.lit(spec.name).alias("column_name"),
+                F.lit(spec.type).alias("source_type"),
+                F.lit(map_type(spec, source, target)).alias("target_type"),
+                F.count_if(hit).alias("misfits"),
+            )
+        )
+    flagged = conform(df, specs, source, target)
+    return flagged.agg(F.array(*counts).alias("columns")).select(F.inline("columns"))

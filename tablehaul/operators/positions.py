@@ -93,9 +93,13 @@ def rank_within(df: DataFrame, group: list[str], order_by, name: str = "position
     )
 
 
+def whole_division(number: Column, by: int) -> Column:
+    return F.call_function("div", number, F.lit(by))
+
+
 def batch_number(position: Column, size: int) -> Column:
     """The 0-based batch of a 1-based position."""
-    return F.floor((position - 1) / F.lit(size)).cast("bigint")
+    return whole_division(position - 1, size)
 
 
 def ends_batch(position: Column, size: int, total: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.session import steady
+from tablehaul.session import estimated_bytes, steady
 
 MAX_HOT_KEYS = 100
 _SALT = "__salt"
@@ -24,12 +24,20 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> list[int]:
     return [t["item"] for t in found["top"] or [] if t["count"] >= share * found["n"] and t["count"] > 1]
 
 
+def _will_broadcast(df: DataFrame) -> bool:
+    session = df.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(df) <= session.autoBroadcastJoinThreshold()
+
+
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to ``small`` (inner or left), with the rows of hot keys spread over many tasks.
 
     Only ``small`` rows with a hot key are repeated, and ``small`` should be unique on ``keys``, so there are at most
-    ``MAX_HOT_KEYS`` of them. Every other row joins as usual.
+    ``MAX_HOT_KEYS`` of them. Every other row joins as usual. If ``small`` is within Spark's broadcast threshold, the
+    join moves no row of ``big`` and there is nothing to spread.
     """
+    if _will_broadcast(small):
+        return big.join(small, keys, how)
     big = steady(big)
     hot = hot_keys(big, keys)
     if not hot:

@@ -148,7 +148,11 @@ class Run(NamedTuple):
 
 
 def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, schema: str = "") -> Run:
-    """Move all tables, or none: they are written beside their targets and swapped in together at the end."""
+    """Move all tables, or none: they are written beside their targets and swapped in together at the end.
+
+    ``schema_only`` creates the targets that are not there, ``data_only`` asks for all of them, and with
+    ``schema_and_data`` a table comes into being when its rows are swapped in.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if not jobs:
@@ -159,7 +163,7 @@ def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, sch
         if lacking:
             shown = first_few(lacking, MISSING_TABLES_SHOWN, "tables")
             raise MigrationError(f"{len(lacking)} tables do not exist on the target: {shown}")
-    else:
+    if mode == SCHEMA_ONLY:
         prepare_targets(jobs, source, target)
     metrics: dict[str, Metrics] = {}
     staged: dict[str, str] = {}
@@ -178,7 +182,7 @@ def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, sch
         except Exception:
             discard(spark, list(staged.values()))
             raise
-    loaded = {j.name: spark.read.parquet(j.target) for j in jobs}
+    loaded = {j.name: spark.read.schema(_conformed(j, source, target).schema).parquet(j.target) for j in jobs}
     report = reconcile_counts(count_rows({j.name: j.df for j in jobs}, schema), count_rows(loaded, schema))
     return Run(metrics, report)
 

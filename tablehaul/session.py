@@ -47,6 +47,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has staged; frames that read from it can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
@@ -73,8 +79,12 @@ def steady(df: DataFrame) -> DataFrame:
     return df if nodes <= _ROW_BY_ROW else stage(df, "steady")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for a scan, from the sizes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def size_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, or more if the plan's size estimate asks for it."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(-(-estimate // target_bytes), 100_000)
+    wanted = min(-(-estimated_bytes(df) // target_bytes), 100_000)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablehaul.dialects import ORACLE, POSTGRES, SCRIPT_BATCH, SQLSERVER, STATEMENTS_PER_GO, check_dialect
 from tablehaul.functions.literals import row_values
 from tablehaul.functions.names import quote_text, table_reference
-from tablehaul.operators.positions import batch_number, ends_batch, number_rows
+from tablehaul.operators.positions import batch_number, ends_batch, number_rows, whole_division
 from tablehaul.operators.progress import script_batch_size
 
 # The comment lines of a script.
@@ -86,7 +86,7 @@ def insert_script(item: ScriptTable, dialect: str, batch: int = SCRIPT_BATCH) ->
     else:
         if dialect == SQLSERVER:
             go = last & (((batch_no + 1) % STATEMENTS_PER_GO == 0) | (n == total))
-            gos_before = F.floor(batch_no / STATEMENTS_PER_GO)
+            gos_before = whole_division(batch_no, STATEMENTS_PER_GO)
         at = n + len(before) + batch_no + 1 + gos_before
         lines = [
             (first, at - 1, F.lit(head)),

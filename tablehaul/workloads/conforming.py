@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablehaul.dialects import DIALECTS, ORACLE, POSTGRES, SQLSERVER
 from tablehaul.functions.literals import timestamp_text
-from tablehaul.operators.conform import MISFITS, conform
+from tablehaul.operators.conform import MISFITS, conform, fit_report
 from tablehaul.typemap import ColumnSpec
 from tablehaul.workloads.registry import register, table
 
@@ -166,3 +166,34 @@ for _name in _SHAPES:
     for _source in DIALECTS:
         for _target in DIALECTS:
             _register(_name, _source, _target)
+
+
+# Per pair: the target types of the orders columns, as the target's catalog will show them.
+_FIT = {
+    (SQLSERVER, POSTGRES): ["integer", "numeric(7,2)", "timestamp(0)", "varchar(8)", "boolean"],
+    (POSTGRES, ORACLE): ["NUMBER(10)", "NUMBER(7,2)", "DATE", "VARCHAR2(8)", "NUMBER(1)"],
+    (ORACLE, SQLSERVER): ["int", "decimal(7,2)", "datetime2(0)", "varchar(8)", "int"],
+}
+
+
+def _fit_sql(source: str, target: str) -> str:
+    misfits = {
+        "o_totalprice": "count(*) FILTER (TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL)",
+        "o_orderpriority": "count(*) FILTER (length(o_orderpriority) > 8)",
+    }
+    names = _SPECS["orders", source].split()
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{n.partition(':')[0].partition('@')[0]}' AS source_type, '{t}' AS target_type,"
+        f" CAST({misfits.get(c, '0')} AS BIGINT) AS misfits FROM orders"
+        for c, n, t in zip(_SHAPES["orders"], names, _FIT[source, target], strict=True)
+    )
+
+
+def _register_fit(source: str, target: str) -> None:
+    @register(f"fit_report_{source}_{target}", _fit_sql(source, target))
+    def fits(spark, folder):
+        return fit_report(shaped(spark, folder, "orders"), specs_of("orders", source), source, target)
+
+
+for _source, _target in _FIT:
+    _register_fit(_source, _target)

@@ -63,6 +63,26 @@ def exclude_members(spark, folder):
     return R.exclude_members(orders, "o_orderpriority", ("1-URGENT", "5-LOW"))
 
 
+_OWNERS = {
+    POSTGRES: "CASE event_type WHEN 'view' THEN 'pg_catalog' WHEN 'click' THEN 'information_schema' ELSE event_type END",
+    ORACLE: "CASE event_type WHEN 'view' THEN 'SYS' WHEN 'click' THEN 'XS$NULL' ELSE event_type END",
+}
+
+
+def _register_system(dialect: str) -> None:
+    @register(
+        f"exclude_system_{dialect}",
+        f"SELECT event_id, {_OWNERS[dialect]} AS owner FROM events WHERE event_type NOT IN ('view', 'click')",
+    )
+    def owned(spark, folder):
+        listed = table(spark, folder, "events").selectExpr("event_id", f"{_OWNERS[dialect]} AS owner")
+        return R.exclude_system(listed, "owner", dialect)
+
+
+for _dialect in _OWNERS:
+    _register_system(_dialect)
+
+
 @register("equality_filter", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def equality_filter(spark, folder):
     return table(spark, folder, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus")

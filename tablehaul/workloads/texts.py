@@ -305,6 +305,31 @@ for _arm in _ARMS:
         _register_literal(_arm, _dialect)
 
 
+_SPECIAL = """CASE event_id % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE)
+               WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE value END"""
+_SPECIAL_TEXTS = {
+    POSTGRES: ("'NaN'", "'Infinity'", "'-Infinity'", ""),
+    ORACLE: ("BINARY_DOUBLE_NAN", "BINARY_DOUBLE_INFINITY", "-BINARY_DOUBLE_INFINITY", "d"),
+}
+
+
+def _register_special(dialect: str) -> None:
+    nan, up, down, suffix = [t.replace("'", "''") for t in _SPECIAL_TEXTS[dialect]]
+
+    @register(
+        f"literals_special_{dialect}",
+        f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{nan}' WHEN 1 THEN '{up}' WHEN 2 THEN '{down}'
+            ELSE regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || '{suffix}' END AS literal FROM events""",
+    )
+    def literals(spark, folder):
+        events = table(spark, folder, "events").selectExpr("event_id", f"{_SPECIAL} AS v")
+        return events.select("event_id", L.sql_literal(F.col("v"), T.DoubleType(), dialect).alias("literal"))
+
+
+for _dialect in _SPECIAL_TEXTS:
+    _register_special(_dialect)
+
+
 def _register_zoned(dialect: str) -> None:
     text = "strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S.%g') || ' +05:30'"
     oracle = "'TO_TIMESTAMP_TZ(''' || " + text + " || ''',''YYYY-MM-DD HH24:MI:SS.FF3 TZH:TZM'')'"

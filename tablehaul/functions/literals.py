@@ -212,7 +212,7 @@ def row_values(df: DataFrame, dialect: str, script: bool = True, kinds: dict[str
     """All values of a row as literals, separated by ``, ``."""
     kinds = kinds or {}
     literals = [
-        sql_literal(df[f"`{f.name}`"], f.dataType, dialect, script, kinds.get(f.name, "")) for f in df.schema.fields
+        sql_literal(F.col(f"`{f.name}`"), f.dataType, dialect, script, kinds.get(f.name, "")) for f in df.schema.fields
     ]
     return F.concat_ws(", ", *literals)
 

@@ -38,16 +38,21 @@ def _per_partition(values: dict[int, int]) -> Column:
     return F.split(F.lit(listed), ",").cast("array<bigint>")
 
 
-def _stage_in_order(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Stage ``df`` in the order of ``keys``, ties in scan order, with each row's partition and index in it."""
-    columns = df.columns
+def _stage_in_order(df: DataFrame, keys: list[Column], made: dict[str, Column] | None = None) -> DataFrame:
+    """Stage ``df`` in the order of ``keys``, ties in scan order, with each row's partition and index in it.
+
+    ``made`` are columns to stage instead of the frame's own. They are computed after the shuffle, which reads its
+    input twice (once to find the ranges) and moves the frame's columns in their compact form.
+    """
+    columns = list(made or df.columns)
     if keys:
         df = steady(df)
         tied = df.withColumn(_TIE, F.monotonically_increasing_id())
         partitions = size_partitions(df)
         tied = tied.repartitionByRange(partitions, *keys, F.col(_TIE)).sortWithinPartitions(*keys, _TIE)
         df = tied
-    staged = stage(df.select(*columns, F.monotonically_increasing_id().alias(_ROW)), "ordered")
+    wanted = [c.alias(n) for n, c in made.items()] if made else columns
+    staged = stage(df.select(*wanted, F.monotonically_increasing_id().alias(_ROW)), "ordered")
     return staged.select(
         *columns,
         F.shiftright(_ROW, 33).cast("int").alias(_PART),
@@ -55,10 +60,13 @@ def _stage_in_order(df: DataFrame, keys: list[Column]) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order_by=(), name: str = "position") -> Numbered:
-    """Add the 1-based position of each row in the order of ``order_by``; scan order if that is empty."""
-    columns = df.columns
-    staged = _stage_in_order(df, _as_columns(order_by))
+def number_rows(df: DataFrame, order_by=(), name: str = "position", made: dict[str, Column] | None = None) -> Numbered:
+    """Add the 1-based position of each row in the order of ``order_by``; scan order if that is empty.
+
+    With ``made``, the rows hold these columns instead of the frame's own.
+    """
+    columns = list(made or df.columns)
+    staged = _stage_in_order(df, _as_columns(order_by), made)
     sizes = {r[0]: r[1] for r in staged.groupBy(_PART).agg(F.max(_LOCAL) + 1).collect()}
     before, total = {}, 0
     for part in sorted(sizes):

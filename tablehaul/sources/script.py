@@ -65,9 +65,8 @@ def insert_script(item: ScriptTable, dialect: str, batch: int = SCRIPT_BATCH) ->
     target = table_reference(item.schema, item.table, dialect)
     names = ", ".join(quote_text(c, dialect) for c in item.df.columns)
     head = f"INSERT INTO {target} ({names}) VALUES"
-    keys = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(item.order_by)]
-    rendered = item.df.select(*keys, row_values(item.df, dialect, True, item.kinds).alias("v"))
-    rows, total = number_rows(rendered, [f"__k{i}" for i in range(len(keys))], "n")
+    keys = [F.col(f"`{k}`") for k in item.order_by]
+    rows, total = number_rows(item.df, keys, "n", {"v": row_values(item.df, dialect, True, item.kinds)})
     wrapped = bool(item.identity) and dialect == SQLSERVER and total > 0
     before = [DATA_COMMENT.format(name=item.name)]
     if wrapped:

@@ -184,7 +184,7 @@ def _fit_sql(source: str, target: str) -> str:
     names = _SPECS["orders", source].split()
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{n.partition(':')[0].partition('@')[0]}' AS source_type, '{t}' AS target_type,"
-        f" CAST({misfits.get(c, '0')} AS BIGINT) AS misfits FROM orders"
+        f" CAST({misfits.get(c, 'count(*) FILTER (false)')} AS BIGINT) AS misfits FROM orders"
         for c, n, t in zip(_SHAPES["orders"], names, _FIT[source, target], strict=True)
     )
 

@@ -41,6 +41,8 @@ SCRIPT_BATCH = 200
 SCRIPT_BATCH_MAX = 1000
 LIVE_BATCH = 1000
 STATEMENTS_PER_GO = 100
+# Fixed value: tables worked on side by side.
+TABLES_AT_ONCE = 10
 
 
 def check_dialect(dialect: str) -> str:

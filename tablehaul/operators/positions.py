@@ -29,7 +29,7 @@ class Numbered(NamedTuple):
 
 
 def _as_columns(keys) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+    return [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
 
 
 def _per_partition(values: dict[int, int]) -> Column:
@@ -51,10 +51,10 @@ def _stage_in_order(df: DataFrame, keys: list[Column], made: dict[str, Column] |
         partitions = size_partitions(df)
         tied = tied.repartitionByRange(partitions, *keys, F.col(_TIE)).sortWithinPartitions(*keys, _TIE)
         df = tied
-    wanted = [c.alias(n) for n, c in made.items()] if made else columns
+    wanted = [c.alias(n) for n, c in made.items()] if made else _as_columns(columns)
     staged = stage(df.select(*wanted, F.monotonically_increasing_id().alias(_ROW)), "ordered")
     return staged.select(
-        *columns,
+        *_as_columns(columns),
         F.shiftright(_ROW, 33).cast("int").alias(_PART),
         F.col(_ROW).bitwiseAND(F.lit((1 << 33) - 1)).alias(_LOCAL),
     )
@@ -73,7 +73,7 @@ def number_rows(df: DataFrame, order_by=(), name: str = "position", made: dict[s
         before[part] = total
         total += sizes[part]
     start = F.element_at(_per_partition(before), F.col(_PART) + 1)
-    return Numbered(staged.select(*columns, (start + F.col(_LOCAL) + 1).alias(name)), total)
+    return Numbered(staged.select(*_as_columns(columns), (start + F.col(_LOCAL) + 1).alias(name)), total)
 
 
 def rank_within(df: DataFrame, group: list[str], order_by, name: str = "position") -> DataFrame:
@@ -82,7 +82,7 @@ def rank_within(df: DataFrame, group: list[str], order_by, name: str = "position
     Positions are counted per (partition, group). Only a partition's first group can have begun earlier, so one
     carried number per partition completes them.
     """
-    columns = df.columns
+    columns = _as_columns(df.columns)
     staged = _stage_in_order(df, [*_as_columns(group), *_as_columns(order_by)])
     sizes = staged.groupBy(_PART, *group).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,10 +11,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.dialects import SCRIPT_BATCH
+from tablehaul.dialects import SCRIPT_BATCH, TABLES_AT_ONCE
 from tablehaul.functions.names import fold_text
 from tablehaul.operators.aggregates import count_rows
-from tablehaul.operators.checks import null_violations, orphans, reconcile_counts, unique_violations
+from tablehaul.operators.checks import orphans, reconcile_counts, unique_violations
 from tablehaul.operators.conform import conform
 from tablehaul.sources.load import Metrics, create_empty, discard, observed, publish, target_exists, write_staged
 from tablehaul.sources.script import ScriptTable, multi_table_script, write_script
@@ -24,7 +24,6 @@ SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY = "schema_and_data", "schema_only", "dat
 MODES = (SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY)
 MISSING_COLUMNS_SHOWN = 20
 MISSING_TABLES_SHOWN = 5
-TABLES_AT_ONCE = 10
 
 
 @dataclass(frozen=True)
@@ -93,39 +92,45 @@ def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None =
     """Per table: whether its target has to be created, and how many rows or keys break what it will declare."""
     tables = by_name or {j.name: j.df for j in jobs}
     spark = jobs[0].df.sparkSession
-    parts, unchecked = [], []
+    found = []
     for job in jobs:
-        action = "skip" if target_exists(spark, job.target) else "create"
-        nulls = [s.name for s in job.specs if not s.nullable]
-        measures = {
-            "null_count": null_violations(job.df, nulls).agg(F.sum("null_count").alias("v")) if nulls else None,
-            "repeated_keys": _counted(
-                ([unique_violations(job.df, list(job.primary_key), primary=True)] if job.primary_key else [])
-                + [unique_violations(job.df, list(k)) for k in job.unique_keys]
-            ),
-            "orphan_keys": _counted([orphans(job.df, tables[p], k) for p, k in job.foreign_keys]),
-        }
-        for check, measured in measures.items():
-            if measured is None:
-                unchecked.append((job.name, action, check, 0))
-                continue
-            parts.append(
-                measured.select(
-                    F.lit(job.name).alias("table_name"),
-                    F.lit(action).alias("action"),
-                    F.lit(check).alias("check_name"),
-                    F.coalesce(F.col("v"), F.lit(0)).cast("bigint").alias("violations"),
-                )
-            )
-    shape = "table_name string, action string, check_name string, violations bigint"
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame(unchecked, shape))
-
-
-def _counted(frames: list[DataFrame]) -> DataFrame | None:
-    if not frames:
-        return None
-    counts = [df.agg(F.count("*").alias("v")) for df in frames]
-    return reduce(DataFrame.unionByName, counts).agg(F.sum("v").alias("v"))
+        found.append(_key_and_null_violations(job))
+        for key in job.unique_keys:
+            repeated = unique_violations(job.df, list(key)).agg(F.count("*").alias("violations"))
+            found.append(_labelled(repeated, job.name, "repeated_keys"))
+        for parent, keys in job.foreign_keys:
+            lost = orphans(job.df, tables[parent], keys).agg(F.count("*").alias("violations"))
+            found.append(_labelled(lost, job.name, "orphan_keys"))
+    asked = [
+        (j.name, "skip" if target_exists(spark, j.target) else "create", check)
+        for j in jobs
+        for check in ("null_count", "repeated_keys", "orphan_keys")
+    ]
+    counted = reduce(DataFrame.unionByName, found).groupBy("table_name", "check_name").agg(F.sum("violations").alias("n"))
+    return (
+        spark.createDataFrame(asked, "table_name string, action string, check_name string")
+        .join(counted, ["table_name", "check_name"], "left")
+        .select("table_name", "action", "check_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
+    )
+
+
+def _labelled(counted: DataFrame, table: str, check: str) -> DataFrame:
+    return counted.select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "violations")
+
+
+def _key_and_null_violations(job: TableJob) -> DataFrame:
+    """Nulls where there must be none, and primary keys that repeat or have a null: one shuffle of the table's keys."""
+    must = [s.name for s in job.specs if not s.nullable]
+    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in must], F.lit(0).cast("bigint"))
+    if not job.primary_key:
+        return _labelled(job.df.agg(nulls.alias("violations")), job.name, "null_count")
+    broken = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in job.primary_key], F.col("n") > 1)
+    per_key = job.df.groupBy(*job.primary_key).agg(F.count("*").alias("n"), nulls.alias("nulls"))
+    counts = F.array(
+        F.struct(F.lit("null_count").alias("check_name"), F.sum("nulls").alias("violations")),
+        F.struct(F.lit("repeated_keys").alias("check_name"), F.count_if(broken).alias("violations")),
+    )
+    return per_key.agg(counts.alias("c")).select(F.lit(job.name).alias("table_name"), F.inline("c"))
 
 
 def prepare_targets(jobs: list[TableJob], source: str, target: str, check: bool = False) -> list[str]:

@@ -73,10 +73,11 @@ def steady(df: DataFrame) -> DataFrame:
     """``df`` if a task that runs again is bound to see its rows in the same order, else a staged copy.
 
     Row numbers given out by scan order would otherwise change when an executor is lost half-way through a shuffle.
+    Files come back as they were; a database may answer the same query in another order.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = {found.group(1) for line in plan.splitlines() if (found := re.match(r"[\s:+-]*([A-Z]\w+)", line))}
-    return df if nodes <= _ROW_BY_ROW else stage(df, "steady")
+    return df if nodes <= _ROW_BY_ROW and "JDBCRelation" not in plan else stage(df, "steady")
 
 
 def estimated_bytes(df: DataFrame) -> int:

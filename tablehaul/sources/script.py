@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.dialects import ORACLE, POSTGRES, SCRIPT_BATCH, SQLSERVER, STATEMENTS_PER_GO, check_dialect
+from tablehaul.dialects import ORACLE, POSTGRES, SCRIPT_BATCH, SQLSERVER, STATEMENTS_PER_GO, TABLES_AT_ONCE, check_dialect
 from tablehaul.functions.literals import row_values
 from tablehaul.functions.names import quote_text, table_reference
 from tablehaul.operators.positions import batch_number, ends_batch, number_rows, whole_division
 from tablehaul.operators.progress import script_batch_size
+from tablehaul.session import size_partitions
 
 # The comment lines of a script.
 DATA_COMMENT = "-- Dati per {name}"
@@ -116,15 +118,18 @@ def multi_table_script(items: list[ScriptTable], dialect: str, batch: int = SCRI
 
     A table that fails is two comment lines in its place; the others are not affected.
     """
-    parts = []
-    for rank, item in enumerate(items, 1):
+
+    def lines_of(item: ScriptTable) -> DataFrame:
         try:
-            lines = insert_script(item, dialect, batch)
+            return insert_script(item, dialect, batch)
         except Exception as error:
             message = " ".join(str(error).replace("\r", " ").split("\n"))
             comments = [c.format(name=item.name, message=message) for c in ERROR_COMMENTS]
-            lines = _fixed_lines(item.df, [*comments, ""], 1)
-        parts.append(lines.select(F.lit(rank).alias("rank"), "position", "line"))
+            return _fixed_lines(item.df, [*comments, ""], 1)
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        scripts = list(pool.map(lines_of, items))
+    parts = [lines.select(F.lit(rank).alias("rank"), "position", "line") for rank, lines in enumerate(scripts, 1)]
     section = _fixed_lines(items[0].df, list(DATA_SECTION), 1).select(F.lit(0).alias("rank"), "position", "line")
     return reduce(DataFrame.unionByName, parts, section)
 
@@ -132,4 +137,4 @@ def multi_table_script(items: list[ScriptTable], dialect: str, batch: int = SCRI
 def write_script(lines: DataFrame, path: str) -> None:
     """The lines as text files whose names are in script order."""
     order = [c for c in ("rank", "position") if c in lines.columns]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+    lines.repartitionByRange(size_partitions(lines), *order).sortWithinPartitions(*order).select("line").write.text(path)

@@ -155,6 +155,16 @@ def multi_script(spark, folder):
     return multi_table_script(_scripted(spark, folder), SQLSERVER, 100)
 
 
+@register(
+    "export_script",
+    f"SELECT line, CAST(count(*) AS BIGINT) AS lines FROM ({_multi_sql(POSTGRES, 200)}) s GROUP BY line",
+)
+def export_script(spark, folder):
+    path = fresh_path(spark, "export")
+    J.export_script(_scripted(spark, folder), POSTGRES, path, 200)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("lines"))
+
+
 @register(
     "script_files",
     f"""SELECT line, CAST(count(*) AS BIGINT) AS lines FROM

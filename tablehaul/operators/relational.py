@@ -65,18 +65,18 @@ def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
 
 def present(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the other side has."""
-    return df.join(other.select(*keys).distinct(), keys, "left_semi")
+    return join_hot(df, other.select(*keys).distinct(), keys, "left_semi")
 
 
 def absent(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the other side does not have."""
-    return df.join(other.select(*keys).distinct(), keys, "left_anti")
+    return join_hot(df, other.select(*keys).distinct(), keys, "left_anti")
 
 
 def flag_matches(df: DataFrame, other: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """All rows, with 1 where the other side has the key and 0 where not."""
     marks = other.select(*keys).distinct().withColumn(flag, F.lit(1))
-    return df.join(marks, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
+    return join_hot(df, marks, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str) -> DataFrame:

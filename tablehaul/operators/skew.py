@@ -30,7 +30,7 @@ def _will_broadcast(df: DataFrame) -> bool:
 
 
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``big`` joined to ``small`` (inner or left), with the rows of hot keys spread over many tasks.
+    """``big`` joined to ``small`` (inner, left, semi or anti), with the rows of hot keys spread over many tasks.
 
     Only ``small`` rows with a hot key are repeated, and ``small`` should be unique on ``keys``, so there are at most
     ``MAX_HOT_KEYS`` of them. Every other row joins as usual. If ``small`` is within Spark's broadcast threshold, the
@@ -38,10 +38,10 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inne
     """
     if _will_broadcast(small):
         return big.join(small, keys, how)
-    big = steady(big)
     hot = hot_keys(big, keys)
     if not hot:
         return big.join(small, keys, how)
+    big = steady(big)
     salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = _key_hash(keys).isin(hot)
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")

@@ -82,10 +82,15 @@ def test_hot_keys_are_found_and_joined(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # would merge such small partitions again
     try:
-        for how in ("inner", "left"):
+        for how in ("inner", "left", "left_semi", "left_anti"):
             got, plain = join_hot(big, small, ["k"], how), big.join(small, "k", how)
             assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
-            assert got.filter("k = 7").select(F.spark_partition_id()).distinct().count() > 1
+            if how != "left_anti":
+                assert got.filter("k = 7").select(F.spark_partition_id()).distinct().count() > 1
+        lost = join_hot(big, small.filter("k <> 7"), ["k"], "left_anti")
+        assert lost.filter("k = 7").select(F.spark_partition_id()).distinct().count() > 1
+        counted = big.groupBy("k", "v").count()
+        assert join_hot(counted, small, ["k"]).count() == big.join(small, "k").count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

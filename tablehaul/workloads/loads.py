@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablehaul.dialects import DIALECTS, ORACLE, POSTGRES, SQLSERVER
+from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER
 from tablehaul.operators import events as E
 from tablehaul.operators import progress as P
 from tablehaul.operators.checks import newest_per_group
 from tablehaul.plans import jobs as J
 from tablehaul.session import fresh_path
 from tablehaul.sources import load as S
-from tablehaul.sources.scan import read_files, table_inventory
+from tablehaul.sources.scan import read_files
 from tablehaul.sources.script import SECTION_RULE, ScriptTable, insert_script, multi_table_script, write_script
 from tablehaul.streaming import events as stream
 from tablehaul.typemap import ColumnSpec

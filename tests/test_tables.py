@@ -16,7 +16,7 @@ from tablehaul.operators.progress import live_batch_size, overall_percent, perce
 from tablehaul.plans import jobs as J
 from tablehaul.sources import load as S
 from tablehaul.sources.scan import JdbcTable, read_files
-from tablehaul.sources.script import ScriptTable, insert_script, multi_table_script, write_script
+from tablehaul.sources.script import ScriptTable, insert_script, multi_table_script
 from tablehaul.streaming import events as stream
 from tablehaul.typemap import ColumnSpec
 

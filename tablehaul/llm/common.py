@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablehaul.session import fresh_path, stage
+from tablehaul.session import stage
 
 # White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,11 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def kind(df: DataFrame, column: str) -> str:
+    """A column's type as schema text."""
+    return df.schema[column].dataType.simpleString()
+
+
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over plain rows: ``rows`` takes the rows of one batch and yields what becomes of them.
 
@@ -48,28 +54,46 @@ def slices(batch: pa.RecordBatch, target: int = 8 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start, step)
 
 
+def keyed(df: DataFrame, name: str = "__row") -> DataFrame:
+    """Add a key that is each row's own, and the same whenever the table is read: its place in its file, or in a staged
+    copy where the rows don't come straight from files. Rows that are equal in all columns still get keys of their own.
+    """
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return df.withColumn(name, place)
+    except AnalysisException:
+        return keyed(stage(df, "keyed"), name)
+
+
+def cells_for(rows: int, each: int = 4096, most: int = 1 << 16) -> int:
+    """A power of two of cells, so that one holds about ``each`` rows, up to ``most`` cells."""
+    return 1 << max(4, min(most.bit_length() - 1, (rows // each).bit_length()))
+
+
 def ranked(
-    df: DataFrame, group: list[str], order: list[str], coarse: str, name: str = "rank", total: str | None = None
+    df: DataFrame, group: list[str], coarse: str, order: list[str], name: str, value: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add each row's 0-based place in its group, in the order of ``coarse`` and then of ``order``.
+    """Add, per group, how many rows come before each row, or the sum of their ``value``, and the group's ``total``.
 
-    ``coarse`` is a column of whole numbers that spreads a group over many values, so that no task holds a hot group:
-    rows are counted per (group, coarse), the counts are summed up to where each such cell begins, and only the rows
-    of one cell are numbered together. ``df`` is read twice and has to be deterministic.
+    Rows are in the order of ``coarse`` and then of ``order``. ``coarse`` is a column of whole numbers that deals a
+    group over many cells, so that no task holds a hot group: cells are summed up first, the sums give where each cell
+    begins, and only the rows of one cell are numbered together. ``df`` is read twice and has to be deterministic.
     """
     keys = [*group, coarse]
-    cells = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    amount = F.col(value) if value else F.lit(1)
     upto = Window.partitionBy(*group).orderBy(coarse)
-    cells = cells.withColumn("__before", F.sum("__n").over(upto) - F.col("__n"))
-    if total:
-        cells = cells.withColumn(total, F.sum("__n").over(Window.partitionBy(*group)))
-    cells = cells.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before", *([total] if total else []))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    joined = df.withColumn("__place", place.cast("long")).join(cells, same)
-    return joined.withColumn(name, F.col("__place") + F.col("__before")).drop(
-        "__place", "__before", *[f"__k{i}" for i in range(len(keys))]
+    cells = df.groupBy(*keys).agg(F.sum(amount).cast("long").alias("__n"))
+    cells = cells.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        (F.sum("__n").over(upto) - F.col("__n")).alias("__begin"),
+        *([F.sum("__n").over(Window.partitionBy(*group)).alias(total)] if total else []),
     )
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = df.withColumn("__here", F.coalesce(F.sum(amount).over(before), F.lit(0)).cast("long"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    out = here.join(cells, same).withColumn(name, F.col("__here") + F.col("__begin"))
+    return out.drop("__here", "__begin", *[f"__k{i}" for i in range(len(keys))])
 
 
 def remove_staged(df: DataFrame) -> None:
@@ -116,6 +140,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
-
-def fresh(spark: SparkSession, label: str) -> str:
-    return fresh_path(spark, label)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import map_rows, stage, text_bytes
+from tablehaul.llm.common import kind, map_rows, stage, text_bytes
 
 # Keeps 0-9, a-z and every byte above 0x7F, turns A-Z into lower case and all else into a space.
 _FOLD = bytes(
@@ -29,7 +29,7 @@ _GAP = 64
 # Bytes of test text that one search sends to the shards.
 BLOCK_BYTES = 2 << 20
 
-_INDEX = "shard long, doc_ids array<long>, lengths array<long>, terms binary, counts binary, positions binary"
+_INDEX = "shard long, doc_ids array<{}>, lengths array<long>, terms binary, counts binary, positions binary"
 _HITS = "shard long, ordinal int, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         yield _shard(part, (TaskContext.get().partitionId() << 32) + made[0])
 
     read = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text).alias("text"))
-    return stage(map_rows(read, rows, _INDEX), "index")
+    return stage(map_rows(read, rows, _INDEX.format(kind(read, "doc_id"))), "index")
 
 
 @dataclass

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import decontamination, simhash, toxicity
-from tablehaul.llm.common import table
+from tablehaul.llm import decontamination, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity
+from tablehaul.llm.common import keyed, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,34 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token ids, packed into rows of 2048."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@register
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in 40 shards that hold equal counts and the same mixture of sources."""
+    text = F.coalesce("text", F.lit(""))
+    docs = keyed(table(spark, folder, "documents")).select(
+        "__row", "doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return docs.join(sharding.assign(docs, 40), "__row").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@register
+def op5_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes that strings of 100 bytes cover which start earlier."""
+    made = suffix.remove_repeats(table(spark, folder, "documents"), 100, keep_text=False)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 @register
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity, learned from the labels that are not held out."""
@@ -53,3 +81,23 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out_rows().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "terms", "nearest",
     )
+
+
+@register
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mixture of its sources at weights 1, 2, 3 in turn takes."""
+    docs = keyed(table(spark, folder, "documents"))
+    taken = mixing.mix(docs).taken
+    return docs.select("__row", "doc_id").join(taken, "__row").drop("__row")
+
+
+@register
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return imatch.compare_edited(table(spark, folder, "documents"))
+
+
+@register
+def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return extraction.extract(table(spark, folder, "pages"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import connected_components, map_rows, stage, text_bytes
+from tablehaul.llm.common import connected_components, kind, map_rows, stage, text_bytes
 
 _UNITS = tuple(combinations(range(4), 2))
 # Beyond this, trying all pairs of a list costs more than the 33 variants of each member.
@@ -41,8 +41,10 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(held), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint): one row per row of ``docs``; the fingerprint's 64 bits as a signed long.
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, the columns ``keep``, fingerprint): one row per row of ``docs``; the fingerprint's bits as a signed long.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; shingles keep their repeats. A text with fewer
     words is one shingle; null, empty and blank texts have fingerprint 0. A null id stays null. Other columns of
@@ -51,13 +53,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
 
     def rows(part):
         for row in part:
-            value = fingerprint_of(row["text"], shingle)
-            yield {"doc_id": row["doc_id"], "fingerprint": value - (1 << 64) if value >> 63 else value}
+            value = fingerprint_of(row.pop("text"), shingle)
+            yield row | {"fingerprint": value - (1 << 64) if value >> 63 else value}
 
-    return map_rows(
-        docs.select(F.col(id_column).alias("doc_id"), text_bytes(text).alias("text")),
-        rows, "doc_id long, fingerprint long",
-    )
+    read = docs.select(F.col(id_column).alias("doc_id"), *keep, text_bytes(text).alias("text"))
+    kept = "".join(f"{c} {kind(read, c)}, " for c in ("doc_id", *keep))
+    return map_rows(read, rows, f"{kept}fingerprint long")
 
 
 def _unit(value: Column, unit: int) -> Column:
@@ -115,16 +116,25 @@ def links(values: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``prints``, staged: component_id is the smallest doc_id that
-    links of at most ``distance`` bits reach. Equal fingerprints are linked at distance 0 and joined as one class, so
-    copies make no pairs. Null ids are in a group, but never its smallest; a group of null ids has component_id null.
+    """``prints`` with component_id, the smallest doc_id that links of at most ``distance`` bits reach, and root, the
+    smallest fingerprint they reach. Equal fingerprints are linked at distance 0 and joined as one class, so copies make
+    no pairs. Null ids are in a group, but never its smallest; a group of null ids has component_id null.
     """
-    prints = stage(prints.select("doc_id", "fingerprint"), "fingerprints")
+    prints = stage(prints, "fingerprints")
     classes = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fingerprint"), distance))
     labelled = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     components = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = stage(labelled.join(components, "root").select("fingerprint", "component_id"), "components")
-    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    by_print = stage(labelled.join(components, "root").select("fingerprint", "component_id", "root"), "components")
+    return prints.join(by_print, "fingerprint")
+
+
+def one_of_each_group(docs: DataFrame, key: str, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id, then ``key``,
+    a column that differs between any two rows; a null doc_id comes after all others."""
+    groups = near_groups(fingerprints(docs, shingle, keep=(key,)), distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key)).alias("first")
+    stays = groups.groupBy("root").agg(first).select(F.col("first")[key].alias(key))
+    return docs.join(stays, key, "left_semi")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import map_rows, stage, text_bytes
+from tablehaul.llm.common import kind, map_rows, stage, text_bytes
 
 # Bounds of what is fitted: examples of each label, and terms.
 EXAMPLES = 2000
@@ -34,7 +34,7 @@ BASE = 1.0
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SCORED = (
-    "doc_id long, score double, terms array<string>, "
+    "score double, terms array<string>, "
     "nearest array<struct<doc_id:long,label:int,similarity:double>>"
 )
 
@@ -192,9 +192,9 @@ def choose_terms(texts: DataFrame) -> list[str]:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_column: str = "doc_id", text: str = "text",
-    label: str = "toxic",
+    label: str = "toxic", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, score, terms, nearest) for each row of ``docs``: the probability of label 1, the telling terms that
+    """(doc_id, the columns ``keep``, score, terms, nearest) for each row of ``docs``: the probability of label 1, the telling terms that
     occur, and the three nearest examples with their labels and cosines.
 
     ``learn`` chooses the rows of ``labels`` to learn from. Nothing but texts enters a score. Null and empty texts, and
@@ -206,7 +206,8 @@ def toxicity(
     known = known.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     sample = _sample(known)
-    plain = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text).alias("text"))
+    plain = docs.select(F.col(id_column).alias("doc_id"), *keep, text_bytes(text).alias("text"))
+    kept = "".join(f"{c} {kind(plain, c)}, " for c in ("doc_id", *keep))
     terms = choose_terms(plain.join(F.broadcast(sample), "doc_id").select("label", "text"))
 
     def counted(part):
@@ -221,29 +222,31 @@ def toxicity(
             if terms:
                 for _, number in found.iter(spaced(row["text"])):
                     tally[number] = tally.get(number, 0) + 1
-            yield {"doc_id": row["doc_id"], "held": sorted(tally), "counts": [tally[t] for t in sorted(tally)]}
+            del row["text"]
+            yield row | {"held": sorted(tally), "counts": [tally[t] for t in sorted(tally)]}
 
-    vectors = stage(map_rows(plain, counted, "doc_id long, held array<int>, counts array<int>"), "vectors")
+    vectors = stage(map_rows(plain, counted, f"{kept}held array<int>, counts array<int>"), "vectors")
     total = vectors.count()
     often = {r[0]: r[1] for r in vectors.select(F.explode("held").alias("t")).groupBy("t").count().collect()}
     idf = np.array([math.log((1 + total) / (1 + often.get(t, 0))) + 1 for t in range(len(terms))])
-    kept = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+    chosen = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
         F.min(F.struct("label", "held", "counts")).alias("e")
     )
     examples = sorted(
-        (r["doc_id"], r["label"], list(r["held"]), list(r["counts"])) for r in kept.select("doc_id", "e.*").collect()
+        (r["doc_id"], r["label"], list(r["held"]), list(r["counts"])) for r in chosen.select("doc_id", "e.*").collect()
     )
     taken = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
     index = make_index(examples, idf, {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)})
 
     def scored(part):
         for row in part:
-            score, near = index.score(row["held"], row["counts"])
-            yield {
-                "doc_id": row["doc_id"], "score": score, "terms": [terms[t].strip() for t in row["held"]],
+            held, counts = row.pop("held"), row.pop("counts")
+            score, near = index.score(held, counts)
+            yield row | {
+                "score": score, "terms": [terms[t].strip() for t in held],
                 "nearest": [
                     {"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "similarity": s} for s, i in near
                 ],
             }
 
-    return map_rows(vectors, scored, _SCORED)
+    return map_rows(vectors, scored, kept + _SCORED)

@@ -227,7 +227,16 @@ def toxicity(
 
     vectors = stage(map_rows(plain, counted, f"{kept}held array<int>, counts array<int>"), "vectors")
     total = vectors.count()
-    often = {r[0]: r[1] for r in vectors.select(F.explode("held").alias("t")).groupBy("t").count().collect()}
+
+    def tallied(part):
+        often: dict[int, int] = {}
+        for row in part:
+            for t in row["held"]:
+                often[t] = often.get(t, 0) + 1
+        yield from ({"term": t, "n": n} for t, n in often.items())
+
+    sums = map_rows(vectors.select("held"), tallied, "term int, n long").groupBy("term").agg(F.sum("n"))
+    often = {r[0]: r[1] for r in sums.collect()}
     idf = np.array([math.log((1 + total) / (1 + often.get(t, 0))) + 1 for t in range(len(terms))])
     chosen = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
         F.min(F.struct("label", "held", "counts")).alias("e")

@@ -1,9 +1,10 @@
 """I-Match fingerprints: hashes of a text's terms of middling rarity, under several random subsets of the lexicon.
 
-The lexicon holds the terms whose document frequency lies in a band. A text's distinct lexicon terms are sorted; for each
-of sixteen seeded subsets of the lexicon, the terms in it are hashed together. Texts that differ in a few terms keep the
-hashes of the subsets that hold none of these. Subsets are of several sizes: small ones survive large edits, large ones
-tell texts apart. DataFrame functions only.
+The lexicon holds the terms whose document frequency lies in a band. A text's distinct lexicon terms are sorted, and for
+each of 48 seeded subsets of the lexicon those in the subset are hashed together. Texts that differ in a few terms keep
+the hashes of the subsets that hold none of these. The subsets hold a 4th, 16th, 64th or 256th of the lexicon, twelve of
+each size: the small ones survive large edits of long texts, the large ones tell texts of few terms apart. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ from tablehaul.llm.common import keyed, stage
 # mean / LEAST_SHARE terms are that frequent, however many rows there are: that bounds what is broadcast.
 LEAST_SHARE = 0.002
 MOST_SHARE = 0.01
-# Of 256 lexicon terms, how many each subset holds.
-SUBSETS = (4, 4, 4, 4, 8, 8, 8, 8, 16, 16, 16, 16, 64, 64, 180, 180)
-_PRINT = 8
+# A band never ends below this many rows: in a small table a share of it would be a handful.
+LEAST_MOST = 50
+# Subsets as (shift, mask, cell): they hold the terms of which these bits of the hash are the cell's number.
+SUBSETS = tuple(
+    [(0, 0xFF, c) for c in range(12)] + [(8, 0x3F, c) for c in range(12)] + [(14, 0xF, c) for c in range(12)]
+    + [(18 + 2 * (c // 4), 0x3, c % 4) for c in range(12)]
+)
+_PRINT = 4
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -31,44 +37,40 @@ def terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """(term): the hashed terms whose document frequency is in the band, counted over all rows, staged. The least
-    frequency is two rows."""
+    frequency is two rows, the largest ``LEAST_MOST`` or more."""
     rows = docs.count()
     often = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return stage(often.filter((F.col("df") >= max(2, least * rows)) & (F.col("df") <= max(2, most * rows))).select("term"), "lexicon")
+    return stage(often.filter((F.col("df") >= max(2, least * rows)) & (F.col("df") <= max(LEAST_MOST, most * rows))).select("term"), "lexicon")
 
 
-def _print(found: Column, whole: Column) -> tuple[Column, Column]:
-    """The sorted terms, to be kept as ``__terms``, and the fingerprint made from them: eight hex digits per subset, the
-    hash of the sorted terms in it, zeros if it has none. A text without any
-    lexicon term has the hash of all its terms for every subset."""
-    sorted_terms = F.transform(
-        F.array_sort(F.array_distinct(found)),
-        lambda t: F.struct(t.alias("t"), F.array(F.xxhash64(F.lit(1), t), F.xxhash64(F.lit(2), t)).alias("h")),
-    )
+def _digits(value: Column) -> Column:
+    return F.lower(F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFF))), _PRINT, "0"))
 
-    def digits(value: Column) -> Column:
-        return F.lower(F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), _PRINT, "0"))
 
-    def subset(at: int) -> Column:
-        def inside(t):
-            return F.shiftrightunsigned(t["h"][at // 8], 8 * (at % 8)).bitwiseAND(F.lit(0xFF)) < SUBSETS[at]
+def _print(found: Column, whole: Column) -> Column:
+    """Four hex digits per subset, from the hash of the terms of ``found`` in it, which are sorted and distinct. A text
+    without any lexicon term has the hash of all its terms for every subset."""
 
-        def fold(done, t):
-            return F.xxhash64(done, t["t"])
+    held = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shift", "mask", "cell"), s)]) for s in SUBSETS])
 
-        return F.aggregate(F.filter(F.col("__terms"), inside), F.lit(0).cast("long"), fold)
+    def subset(s: Column) -> Column:
+        inside = F.filter(found, lambda t: F.call_function("shiftright", t, s["shift"]).bitwiseAND(s["mask"]) == s["cell"])
+        return _digits(F.xxhash64(inside))
 
-    return sorted_terms, F.concat(*[
-        F.when(F.size("__terms") == 0, digits(whole)).otherwise(digits(subset(i))) for i in range(len(SUBSETS))
-    ])
+    parts = F.array_join(F.transform(held, subset), "")
+    return F.when(F.size(found) == 0, F.repeat(_digits(whole), len(SUBSETS))).otherwise(parts)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets that hold terms of either text; equal fingerprints give 1."""
-    pieces = [(F.substring(a, 1 + _PRINT * i, _PRINT), F.substring(b, 1 + _PRINT * i, _PRINT)) for i in range(len(SUBSETS))]
-    blank = F.lit("0" * _PRINT)
-    held = sum(((x != blank) | (y != blank)).cast("int") for x, y in pieces)
-    same = sum(((x != blank) & (x == y)).cast("int") for x, y in pieces)
+    blank = _digits(F.xxhash64(F.array().cast("array<int>")))
+    places = F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1))
+
+    def piece(side: Column, i: Column) -> Column:
+        return F.substring(side, i * _PRINT + 1, F.lit(_PRINT))
+
+    held = F.size(F.filter(places, lambda i: (piece(a, i) != blank) | (piece(b, i) != blank)))
+    same = F.size(F.filter(places, lambda i: (piece(a, i) != blank) & (piece(a, i) == piece(b, i))))
     return F.when(a == b, F.lit(1.0)).when(held == 0, F.lit(0.0)).otherwise(same / held)
 
 
@@ -81,10 +83,12 @@ def print_sides(texts: DataFrame, words: DataFrame, sides: dict[str, str], key:
     info = F.struct(*carried, *[F.xxhash64(F.array_sort(terms(F.col(c)))).alias(f"__all_{n}") for n, c in sides.items()])
     empty = F.lit(None).cast(texts.select(info.alias("i")).schema["i"].dataType)
     parts = [F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).cast("long").alias("term"), info.alias("info")))]
-    for i, column in enumerate(sides.values()):
-        parts.append(F.transform(
-            terms(F.col(column)), lambda t, i=i: F.struct(F.lit(i).alias("side"), t.alias("term"), empty.alias("info"))
-        ))
+
+    def side(number: int, column: str) -> Column:
+        element = [F.lit(number).alias("side"), empty.alias("info")]
+        return F.transform(terms(F.col(column)), lambda t: F.struct(element[0], t.alias("term"), element[1]))
+
+    parts += [side(i, c) for i, c in enumerate(sides.values())]
     stream = texts.select(F.col(key).alias("key"), F.explode(F.concat(*parts)).alias("e")).select("key", "e.*")
     known = F.broadcast(words.select(F.col("term").alias("known")))
     met = stream.join(known, F.col("term") == F.col("known"), "left").filter("side < 0 or known is not null")
@@ -92,9 +96,8 @@ def print_sides(texts: DataFrame, words: DataFrame, sides: dict[str, str], key:
         F.first("info", ignorenulls=True).alias("info"),
         *[F.collect_list(F.when(F.col("side") == i, F.col("term").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(f"__found_{n}") for i, n in enumerate(sides)],
     )
-    for name in sides:
-        listed, made = _print(F.col(f"__found_{name}"), F.col(f"info.__all_{name}"))
-        rows = rows.withColumn("__terms", listed).withColumn(name, made)
+    rows = rows.select("key", "info", *[F.array_sort(F.array_distinct(f"__found_{n}")).alias(f"__found_{n}") for n in sides])
+    rows = rows.select("key", "info", *[_print(F.col(f"__found_{n}"), F.col(f"info.__all_{n}")).alias(n) for n in sides])
     return rows.select(F.col("key").alias(key), *[F.col(f"info.{c}").alias(c) for c in carried], *sides)
 
 

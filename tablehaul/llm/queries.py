@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import decontamination, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity
+from tablehaul.llm import decontamination, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
 from tablehaul.llm.common import keyed, table
 
 QUERIES = {}
@@ -91,6 +91,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("__row", "doc_id").join(taken, "__row").drop("__row")
 
 
+@register
+def op8_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate passages of 50 words or more of different documents."""
+    return windows.near_passages(table(spark, folder, "documents"))
+
+
 @register
 def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document."""

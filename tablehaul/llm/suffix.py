@@ -24,7 +24,7 @@ from tablehaul.llm.common import keyed, kind, ranked, remove_staged, slices, sta
 
 _GRAM = 24
 # Bytes of text that are hashed at once, and of units that share one suffix array.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ARRAY = 1 << 20
 # An anchor with more distinct units than fit one suffix array is settled by grouping its strings instead.
 HOT_UNITS = 10_000
@@ -271,7 +271,7 @@ def _cut_units(length: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 rows = []
                 for row in part.to_pylist():
                     text = _unpacked(row["packed"])
@@ -395,7 +395,7 @@ _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _remove(length: int, keep_text: bool):
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 rows = []
                 for row in part.to_pylist():
                     text = _unpacked(row["packed"])

@@ -65,7 +65,7 @@ def keyed(df: DataFrame, name: str = "__row") -> DataFrame:
         return keyed(stage(df, "keyed"), name)
 
 
-def cells_for(rows: int, each: int = 4096, most: int = 1 << 16) -> int:
+def cells_for(rows: int, each: int = 1024, most: int = 1 << 16) -> int:
     """A power of two of cells, so that one holds about ``each`` rows, up to ``most`` cells."""
     return 1 << max(4, min(most.bit_length() - 1, (rows // each).bit_length()))
 

@@ -101,7 +101,9 @@ def draw_slots(sources: DataFrame, block: int, shard_slots: int, seed: int, turn
     every = drawn.select("number", "blocks", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     counts = every.join(extra, ["number", "shard"], "left").withColumn("count", F.col("whole") + F.coalesce("extra", F.lit(0)))
     begin = F.sum("count").over(Window.partitionBy("number").orderBy("shard")) - F.col("count")
-    lot = counts.withColumn("begin", begin).filter("count > 0")
+    # Lots are rows that become thousands of slots each, so they are dealt out by their slots, not by their own size.
+    parts = max(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / block / 100_000) + 1)
+    lot = counts.withColumn("begin", begin).filter("count > 0").repartition(parts, "number", "shard")
     slots = lot.select(
         "number", "blocks", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("n")
     ).filter(F.col("n") < F.col("blocks") * turns)

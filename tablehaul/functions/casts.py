@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Doubles from here on round to infinity as a float.
+_FLOAT_EDGE = 3.4028235677973366e38
 _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
@@ -34,6 +36,9 @@ def cast_or_null(value: Column, held: T.DataType, goal: T.DataType | str) -> Col
         goal = T.DataType.fromDDL(goal)
     if held == goal:
         return value
+    if isinstance(goal, T.FloatType) and isinstance(held, T.DoubleType):
+        finite = F.abs(value) < float("inf")
+        return F.when(~finite | (F.abs(value) < _FLOAT_EDGE), value.cast(goal))
     if not isinstance(held, T.NumericType) or not (_bits(goal) or isinstance(goal, T.DecimalType)):
         return value.try_cast(goal)
     if _bits(goal):
@@ -55,3 +60,19 @@ def cast_or_null(value: Column, held: T.DataType, goal: T.DataType | str) -> Col
 def overflows(value: Column, held: T.DataType, goal: T.DataType | str) -> Column:
     """Is there a value, and does the type not hold it?"""
     return value.isNotNull() & cast_or_null(value, held, goal).isNull()
+
+
+def loses_digits(value: Column, made: Column, held: T.DataType, goal: T.DataType) -> Column | None:
+    """Has a number that fits lost digits after the point in ``made``? None where it can't.
+
+    The target rounds or cuts such a value without an error, so it is no misfit, but it is not the same number.
+    """
+    whole = bool(_bits(goal))
+    if isinstance(held, T.DecimalType):
+        if held.scale <= (0 if whole else getattr(goal, "scale", held.scale)):
+            return None
+        # Back in the held type; a number that was rounded up beyond it is null there.
+        return made.isNotNull() & ~F.coalesce(made.try_cast(held) == value, F.lit(False))
+    if isinstance(held, (T.DoubleType, T.FloatType)) and (whole or isinstance(goal, T.DecimalType)):
+        return made.isNotNull() & (made.cast(held) != value)
+    return None

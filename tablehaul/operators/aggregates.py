@@ -62,13 +62,17 @@ def ordered_text(df: DataFrame, group: list[str], order_by: list[str], value: st
 def lists_equal(left: DataFrame, right: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per group of either side: do both have the same values in the same order, in any case?
 
-    Both frames hold one row per group and ``position``, so members are matched on both and no list is built.
+    Both frames hold one row per group and ``position``. Their members are counted together per group and position,
+    so nothing is joined, no list is built, and groups with null keys are compared like others.
     """
-    keys = [*group, "position"]
-    a = left.select(*keys, F.lower(value).alias("a"), F.lit(True).alias("has_a"))
-    b = right.select(*keys, F.lower(value).alias("b"), F.lit(True).alias("has_b"))
-    same = F.col("a").eqNullSafe(F.col("b")) & F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
-    return a.join(b, keys, "full").groupBy(*group).agg(F.every(same).alias("lists_equal"))
+    sides = [df.select(*group, "position", F.lower(value).alias("v"), F.lit(i).alias("side")) for i, df in enumerate((left, right))]
+    a, b = F.col("side") == 0, F.col("side") == 1
+    members = sides[0].unionByName(sides[1]).groupBy(*group, "position").agg(
+        F.max(F.when(a, F.col("v"))).alias("a"), F.max(F.when(b, F.col("v"))).alias("b"),
+        F.count_if(a).alias("n_a"), F.count_if(b).alias("n_b"),
+    )
+    same = F.col("a").eqNullSafe(F.col("b")) & (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    return members.groupBy(*group).agg(F.every(same).alias("lists_equal"))
 
 
 def next_identity(df: DataFrame, key: str, increment: int = 1) -> DataFrame:
@@ -84,7 +88,7 @@ def count_flagged(df: DataFrame, group: list[str], flag: Column, name: str = "fl
 
 def distinct_any_case(df: DataFrame, value: str, order_by: Column, drop: tuple[str, ...] = ()) -> DataFrame:
     """The distinct values in any case, each in its first spelling; blanks and dropped ones are left out."""
-    wanted = (F.trim(value) != "") & ~F.lower(value).isin(*[d.lower() for d in drop] or [""])
+    wanted = (F.regexp_replace(value, r"\s", "") != "") & ~F.lower(value).isin(*[d.lower() for d in drop] or [""])
     return (
         df.filter(wanted)
         .groupBy(F.lower(value).alias("folded"))
@@ -95,7 +99,8 @@ def distinct_any_case(df: DataFrame, value: str, order_by: Column, drop: tuple[s
 
 def sample_with_remainder(df: DataFrame, group: list[str], order_by: list[str], value: str, size: int) -> DataFrame:
     """Per group: the first ``size`` values in order, how many more there are, and both as one message."""
-    counts = df.groupBy(*group).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.count("*").alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
     window = Window.partitionBy(*group).orderBy(*order_by)
     first = (
         df.withColumn("rank", F.row_number().over(window))
@@ -104,6 +109,6 @@ def sample_with_remainder(df: DataFrame, group: list[str], order_by: list[str],
         .agg(F.array_sort(F.collect_list(F.struct("rank", value))).alias("items"))
     )
     listed = F.array_join(F.transform("items", lambda item: item[value]), ", ")
-    joined = first.join(counts, group).withColumn("more", F.greatest(F.col("n") - size, F.lit(0)))
+    joined = first.join(counts, same).withColumn("more", F.greatest(F.col("n") - size, F.lit(0)))
     tail = F.when(F.col("more") > 0, F.concat(F.lit(" and "), F.col("more").cast("string"), F.lit(" more")))
     return joined.select(*group, listed.alias("sample"), "more", F.concat(listed, F.coalesce(tail, F.lit(""))).alias("message"))

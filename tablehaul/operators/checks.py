@@ -12,21 +12,22 @@ from tablehaul.dialects import SQLSERVER
 from tablehaul.operators.positions import rank_within
 
 
-_MILLION = 1_000_000
+def _finite(value: Column, data_type: T.DataType) -> Column:
+    """The number, or null for NaN and infinities."""
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(value) < float("inf"), value)
+    return value
 
 
-def _millionths(value: Column) -> Column:
-    """A number as whole millionths, while they fit a double exactly; else null."""
-    return F.when(F.abs(value) < 9e9, F.rint(value.cast("double") * _MILLION).cast("bigint"))
-
-
-def _scale(value: Column, millionths: Column) -> Column:
-    """Digits after the point, up to six; counted on the written number if there are no millionths."""
-    counted = F.when(millionths % _MILLION == 0, 0)
-    for digits in range(1, 6):
-        counted = counted.when(millionths % 10 ** (6 - digits) == 0, digits)
-    exact = F.length(F.regexp_extract(value.try_cast("decimal(38,6)").cast("string"), r"\.(\d*?)0*$", 1))
-    return F.when(millionths.isNull(), exact).otherwise(counted.otherwise(6))
+def _digits(value: Column) -> tuple[Column, Column]:
+    """How many digits a written number has before and after its point, zeros at either end left out."""
+    text = value.cast("string")
+    mantissa, exponent = F.substring_index(text, "E", 1), F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1))
+    shift = F.coalesce(exponent.cast("int"), F.lit(0))
+    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
+    after = F.length(F.rtrim(fraction, F.lit("0")))
+    before = F.length(F.substring_index(F.ltrim(mantissa, F.lit("-")), ".", 1))
+    return F.greatest(before + shift, F.lit(1)), F.greatest(after - shift, F.lit(0))
 
 
 def _fraction_digits(value: Column) -> Column:
@@ -37,20 +38,28 @@ def _fraction_digits(value: Column) -> Column:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column, measured in one pass: nulls, longest text, digits before and after the point."""
-    measures, made = [], []
-    for i, field in enumerate(df.schema.fields):
+    """One row per column, measured in one pass: nulls, longest text, digits before and after the point.
+
+    Digits are those of the exact decimal, or of the shortest text of a double. NaN and infinities have none and are
+    counted as ``not_finite``.
+    """
+    measures = []
+    for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         text = isinstance(field.dataType, T.StringType)
         numeric = isinstance(field.dataType, T.NumericType)
+        floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
         dated = isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType))
         nothing = F.lit(None)
-        scale = F.max(F.when(c.isNotNull(), 0)) if isinstance(field.dataType, T.IntegralType) else None
-        if numeric and scale is None:
-            made.append(_millionths(c).alias(f"__millionths{i}"))
-            scale = F.max(_scale(c, F.col(f"__millionths{i}")))
-        # The number furthest from zero has the most digits.
-        whole = lambda n: F.length(F.floor(F.abs(n.try_cast("decimal(38,6)"))).cast("string"))
+        whole = scale = nothing
+        if numeric:
+            number = _finite(c, field.dataType)
+            # The number furthest from zero has the most digits before the point.
+            whole = F.greatest(_digits(F.max(number))[0], _digits(F.min(number))[0])
+            if isinstance(field.dataType, T.IntegralType):
+                scale = F.max(F.when(c.isNotNull(), 0))
+            else:
+                scale = F.max(_digits(number)[1])
         measures.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),
@@ -58,12 +67,13 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.count("*").alias("row_count"),
                 F.count_if(c.isNull()).alias("null_count"),
                 (F.max(F.length(c)) if text else nothing).cast("bigint").alias("max_length"),
-                (F.greatest(whole(F.max(c)), whole(F.min(c))) if numeric else nothing).cast("bigint").alias("whole_digits"),
-                (scale if numeric else nothing).cast("bigint").alias("scale"),
+                whole.cast("bigint").alias("whole_digits"),
+                scale.cast("bigint").alias("scale"),
                 (F.max(_fraction_digits(c)) if dated else nothing).cast("bigint").alias("fraction_digits"),
+                (F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))) if floating else nothing).cast("bigint").alias("not_finite"),
             )
         )
-    return df.select("*", *made).agg(F.array(*measures).alias("columns")).select(F.inline("columns"))
+    return df.agg(F.array(*measures).alias("columns")).select(F.inline("columns"))
 
 
 def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:

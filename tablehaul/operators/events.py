@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehaul.operators.positions import number_rows
@@ -27,32 +27,29 @@ def event_tail(events: DataFrame, ts: str, ties: list[str], keep: int = 5000) ->
     """The last ``keep`` events of a log of any length.
 
     Counts per day, then per second of one day, tell since when there are at least ``keep`` events; only those are
-    read in full. Should one second hold very many, they are numbered over many partitions instead of by one task.
+    read in full, and numbered over as many tasks as they need, since one second may hold any number.
     """
-    since, several = _newest_since(events, ts, keep)
+    since = _newest_since(events, ts, keep)
     newest = events if since is None else events.filter(F.col(ts) >= F.lit(since).cast("timestamp_ntz"))
-    if several <= keep * 1000:
-        return top_rows(newest, [ts, *ties], keep)
     numbered = number_rows(newest, [F.col(c).desc() for c in (ts, *ties)], "__at").rows
     return numbered.filter(F.col("__at") <= keep).drop("__at")
 
 
-def _newest_since(events: DataFrame, ts: str, keep: int) -> tuple[str | None, int]:
-    """The latest second with ``keep`` events from it on, and their exact number; none if there are fewer in all."""
+def _newest_since(events: DataFrame, ts: str, keep: int) -> str | None:
+    """The latest second with ``keep`` events from it on; none if there are fewer in all.
+
+    The windows run over one row per day, and per second of one day.
+    """
     since, later = None, 0
     inside = events
     for length in (10, 19):  # of "yyyy-MM-dd" and "yyyy-MM-dd HH:mm:ss"
         unit = F.substring(F.col(ts).cast("string"), 1, length)
         counts = inside.filter(F.col(ts).isNotNull()).groupBy(unit.alias("unit")).agg(F.count("*").alias("n"))
-        so_far, found = later, None
-        for row in counts.orderBy(F.col("unit").desc()).limit(100_000).collect():
-            if so_far + row.n >= keep:
-                found = row
-                break
-            so_far += row.n
+        so_far = counts.withColumn("so_far", F.sum("n").over(Window.orderBy(F.col("unit").desc())) + later)
+        found = so_far.filter(F.col("so_far") >= keep).orderBy(F.col("unit").desc()).first()
         if found is None:
-            return None, so_far
-        since, later = found.unit, so_far
+            return None
+        since, later = found.unit, found.so_far - found.n
         start = F.lit(since).cast("timestamp_ntz")
         inside = events.filter((F.col(ts) >= start) & (F.col(ts) < start + F.make_dt_interval(days=F.lit(1))))
-    return since, later + found.n
+    return since

@@ -1,6 +1,6 @@
 """Row positions over whole tables and inside groups, without a single-task window.
 
-A frame is range-partitioned on its sort keys, sorted inside the partitions and staged. A row's position is then its
+Inside groups of ordinary size a window does it. Else a frame is range-partitioned on its sort keys, sorted inside the partitions and staged. A row's position is then its
 index in its partition plus the sizes of the partitions before it. The input's own row order is the last sort key, so
 neither a hot key nor a third of the table being copies of one row can land in one partition. What reaches the driver
 is one number per partition.
@@ -8,6 +8,7 @@ is one number per partition.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,13 +77,40 @@ def number_rows(df: DataFrame, order_by=(), name: str = "position", made: dict[s
     return Numbered(staged.select(*_as_columns(columns), (start + F.col(_LOCAL) + 1).alias(name)), total)
 
 
-def rank_within(df: DataFrame, group: list[str], order_by, name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row inside its group; a group of any size is spread over many tasks.
+# Rows of a group that one task ranks; larger groups are spread.
+HOT_GROUP = 1_000_000
 
-    Positions are counted per (partition, group). Only a partition's first group can have begun earlier, so one
-    carried number per partition completes them.
+
+def rank_within(df: DataFrame, group: list[str], order_by, name: str = "position", hot_rows: int = HOT_GROUP) -> DataFrame:
+    """Add the 1-based position of each row inside its group, ties in scan order; a group of any size is spread.
+
+    Groups of up to ``hot_rows`` rows are ranked by one window, the only shuffle. The rows of larger ones, of which
+    there are at most as many as ``hot_rows`` goes into the table, are ranked over many tasks.
     """
     columns = _as_columns(df.columns)
+    df = steady(df)
+    order = [*_as_columns(order_by), F.col(_TIE)]
+    ranked = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(_TIE, F.monotonically_increasing_id()).select(*columns, ranked.alias(name))
+
+    if df.count() <= hot_rows:
+        return by_window(df)
+    counts = df.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.count("*").alias("__n"))
+    hot = stage(counts.filter(F.col("__n") > hot_rows).drop("__n"), "hot")
+    if hot.isEmpty():
+        return by_window(df)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    cold = df.withColumn(_TIE, F.monotonically_increasing_id()).join(hot, same, "left_anti")
+    spread = _rank_spread(df.join(hot, same, "left_semi"), group, order_by, name)
+    return cold.select(*columns, ranked.alias(name)).unionByName(spread)
+
+
+def _rank_spread(df: DataFrame, group: list[str], order_by, name: str) -> DataFrame:
+    """Ranks of hot groups. Positions are counted per (partition, group). Only a partition's first group can have begun
+    earlier, so one carried number per partition completes them."""
+    columns = _as_columns(df.columns)
     staged = _stage_in_order(df, [*_as_columns(group), *_as_columns(order_by)])
     sizes = staged.groupBy(_PART, *group).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

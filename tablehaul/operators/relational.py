@@ -79,11 +79,24 @@ def flag_matches(df: DataFrame, other: DataFrame, keys: list[str], flag: str) ->
     return join_hot(df, marks, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
-def pair_by_position(left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str) -> DataFrame:
-    """Members of two ordered lists side by side. Each side has one member per key and position: its smallest."""
-    a = left.groupBy(*keys).agg(F.min(left_value).alias(left_value))
-    b = right.groupBy(*keys).agg(F.min(right_value).alias(right_value))
-    return a.join(b, keys, "inner")
+def pair_by_position(
+    left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str, on_repeat: str = "raise"
+) -> DataFrame:
+    """Members of two ordered lists side by side, matched on keys and position.
+
+    A position that a list has more than once pairs nothing for sure: ``raise`` ends the job there, ``report`` gives
+    the smallest member of each side and says ``repeated``.
+    """
+    if on_repeat not in ("raise", "report"):
+        raise ValueError("on_repeat must be raise or report")
+    a = left.groupBy(*keys).agg(F.min(left_value).alias(left_value), F.count("*").alias("__a"))
+    b = right.groupBy(*keys).agg(F.min(right_value).alias(right_value), F.count("*").alias("__b"))
+    joined = a.join(b, keys, "inner").withColumn("repeated", (F.col("__a") > 1) | (F.col("__b") > 1))
+    if on_repeat == "report":
+        return joined.drop("__a", "__b")
+    message = F.concat(F.lit("more than one member at "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("repeated"), F.raise_error(message).cast("void")).otherwise(F.col(left_value))
+    return joined.withColumn(left_value, checked).drop("__a", "__b", "repeated")
 
 
 def unnest_with_position(df: DataFrame, keep: list[str], **arrays: Column) -> DataFrame:

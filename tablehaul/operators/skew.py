@@ -32,8 +32,8 @@ def _will_broadcast(df: DataFrame) -> bool:
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to ``small`` (inner, left, semi or anti), with the rows of hot keys spread over many tasks.
 
-    Only ``small`` rows with a hot key are repeated, and ``small`` should be unique on ``keys``, so there are at most
-    ``MAX_HOT_KEYS`` of them. Every other row joins as usual. If ``small`` is within Spark's broadcast threshold, the
+    Only ``small`` rows with a hot key are repeated. ``small`` has to be unique on these, so there are at most
+    ``MAX_HOT_KEYS`` of them; one that is not is refused, since each of its copies would be repeated for every task. Every other row joins as usual. If ``small`` is within Spark's broadcast threshold, the
     join moves no row of ``big`` and there is nothing to spread.
     """
     if _will_broadcast(small):
@@ -41,6 +41,9 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inne
     hot = hot_keys(big, keys)
     if not hot:
         return big.join(small, keys, how)
+    doubled = small.filter(_key_hash(keys).isin(hot)).groupBy(*keys).count().filter("count > 1")
+    if not doubled.isEmpty():
+        raise ValueError(f"the smaller side repeats a hot key of {', '.join(keys)}: aggregate it before the join")
     big = steady(big)
     salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = _key_hash(keys).isin(hot)

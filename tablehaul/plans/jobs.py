@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import NamedTuple
 
@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from tablehaul.dialects import SCRIPT_BATCH, TABLES_AT_ONCE
 from tablehaul.functions.names import fold_text
 from tablehaul.operators.aggregates import count_rows
-from tablehaul.operators.checks import orphans, reconcile_counts, unique_violations
+from tablehaul.operators.checks import null_violations, orphans, reconcile_counts, unique_violations
 from tablehaul.operators.conform import conform
-from tablehaul.sources.load import Metrics, create_empty, discard, observed, publish, target_exists, write_staged
+from tablehaul.session import scratch_scope
+from tablehaul.sources.load import (
+    Metrics, create_empty, discard, discard_jdbc, observed, publish, publish_jdbc, target_exists, write_staged,
+    write_staged_jdbc,
+)
+from tablehaul.sources.scan import JdbcTable
 from tablehaul.sources.script import ScriptTable, multi_table_script, write_script
-from tablehaul.typemap import ColumnSpec
+from tablehaul.typemap import ColumnSpec, create_column_types
 
 SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY = "schema_and_data", "schema_only", "data_only"
 MODES = (SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY)
@@ -32,7 +37,7 @@ class TableJob:
 
     name: str
     df: DataFrame
-    target: str
+    target: str | JdbcTable
     specs: tuple[ColumnSpec, ...]
     primary_key: tuple[str, ...] = ()
     unique_keys: tuple[tuple[str, ...], ...] = ()
@@ -52,57 +57,144 @@ def first_few(names: list[str], shown: int, what: str) -> str:
 
 
 def _conformed(job: TableJob, source: str, target: str) -> DataFrame:
+    """The job's rows in the target's types. Every column has to be described, and every described one be there."""
+    described, held = {s.name.lower() for s in job.specs}, {c.lower() for c in job.df.columns}
+    for what, names in (
+        ("has columns that are not described", [c for c in job.df.columns if c.lower() not in described]),
+        ("lacks columns that are described", [s.name for s in job.specs if s.name.lower() not in held]),
+    ):
+        if names:
+            raise MigrationError(f"{job.name} {what}: {first_few(names, MISSING_COLUMNS_SHOWN, 'columns')}")
     return conform(job.df, list(job.specs), source, target, on_misfit="raise")
 
 
+def _exists(job: TableJob) -> bool:
+    if isinstance(job.target, JdbcTable):
+        return jdbc_columns(job.df.sparkSession, job.target) is not None
+    return target_exists(job.df.sparkSession, job.target)
+
+
+def jdbc_columns(spark: SparkSession, table: JdbcTable) -> list[str] | None:
+    """The columns of a database table; none if it is not there. Only the table's description is read."""
+    try:
+        return spark.read.format("jdbc").options(**replace(table, split="").read_options()).load().columns
+    except Exception as error:
+        if is_missing_table(str(error)):
+            return None
+        raise
+
+
+# How the three databases say that a table is not there.
+_MISSING_TABLE = ("invalid object name", "does not exist", "ora-00942", "table or view not found", "table_or_view_not_found")
+
+
+def is_missing_table(message: str) -> bool:
+    return any(m in message.lower() for m in _MISSING_TABLE)
+
+
 def _check_columns(job: TableJob, wanted: DataFrame) -> None:
     """An existing target must have every column that is to be written."""
-    held = {c.lower() for c in job.df.sparkSession.read.parquet(job.target).columns}
+    spark = job.df.sparkSession
+    there = jdbc_columns(spark, job.target) or [] if isinstance(job.target, JdbcTable) else spark.read.parquet(job.target).columns
+    held = {c.lower() for c in there}
     lacking = [c for c in wanted.columns if c.lower() not in held]
     if lacking:
         shown = first_few(lacking, MISSING_COLUMNS_SHOWN, "columns")
         raise MigrationError(f"target of {job.name} lacks columns of the source: {shown}")
 
 
-def _write_beside(job: TableJob, source: str, target: str) -> tuple[str, Metrics]:
+def broken_rules(rows: DataFrame, job: TableJob, target: str) -> list[str]:
+    """What the target would refuse of conformed rows: nulls where there must be none, keys that repeat."""
+    folded = [fold_text(s.name, target) for s in job.specs if not s.nullable]
+    found = []
+    if folded:
+        found += [
+            f"{r.null_count} nulls in {r.column_name}" for r in null_violations(rows, folded).filter("null_count > 0").collect()
+        ]
+    keys = [(job.primary_key, True)] if job.primary_key else []
+    for key, primary in [*keys, *((k, False) for k in job.unique_keys)]:
+        names = [fold_text(k, target) for k in key]
+        bad = unique_violations(rows, names, target, primary).count()
+        if bad:
+            found.append(f"{bad} keys break {'the primary' if primary else 'a unique'} key {', '.join(names)}")
+    return found
+
+
+def _write_beside(job: TableJob, source: str, target: str, check: bool = True) -> tuple[object, Metrics]:
+    """Write a job's rows beside its target, and refuse them there if they break what the target declares."""
     spark = job.df.sparkSession
     ready = _conformed(job, source, target)
-    if target_exists(spark, job.target):
+    if _exists(job):
         _check_columns(job, ready)
+    elif isinstance(job.target, JdbcTable):
+        raise MigrationError(f"target of {job.name} does not exist")
     identity = fold_text(job.identity, target) if job.identity else ""
     watched, read = observed(ready, identity, job.increment)
-    return write_staged(watched, job.target), read()
+    if isinstance(job.target, JdbcTable):
+        staging = write_staged_jdbc(watched, job.target, create_column_types(list(job.specs), source, target, target))
+        written = replace(staging, one_task=True).read(spark) if check else None
+    else:
+        staging = write_staged(watched, job.target)
+        written = spark.read.schema(ready.schema).parquet(staging)
+    try:
+        broken = broken_rules(written, job, target) if check else []
+        if broken:
+            raise MigrationError(f"{job.name} is refused: {first_few(broken, MISSING_COLUMNS_SHOWN, 'rules')}")
+    except Exception:
+        _discard(spark, {job.target: (staging, ready.columns)})
+        raise
+    return staging, read()
+
+
+def _publish(
+    spark: SparkSession, staged: dict[object, tuple[object, list[str]]],
+    on_clear_failure: Callable[[str, str], bool] | None = None,
+) -> None:
+    """Files are swapped in first, as that can be undone; then database tables are filled, each database all or none."""
+    files = {t: s for t, (s, _) in staged.items() if not isinstance(t, JdbcTable)}
+    tables = {t: s for t, s in staged.items() if isinstance(t, JdbcTable)}
+    publish(spark, files, on_clear_failure, then=(lambda: publish_jdbc(spark, tables)) if tables else None)
+
+
+def _discard(spark: SparkSession, staged: dict[object, tuple[object, list[str]]]) -> None:
+    discard(spark, [s for t, (s, _) in staged.items() if not isinstance(t, JdbcTable)])
+    discard_jdbc(spark, [(t, s) for t, (s, _) in staged.items() if isinstance(t, JdbcTable)])
 
 
 def copy_table(
-    job: TableJob, source: str, target: str, on_clear_failure: Callable[[str, str], bool] | None = None
+    job: TableJob, source: str, target: str, on_clear_failure: Callable[[str, str], bool] | None = None, check: bool = True
 ) -> Metrics:
-    """Scan, conform, write beside the target and swap. Counts and the key's high-water mark come from the write."""
+    """Scan, conform, write beside the target, check and swap. Counts and the key's high-water mark come from the write."""
     spark = job.df.sparkSession
-    staging, metrics = _write_beside(job, source, target)
+    staging, metrics = _write_beside(job, source, target, check)
+    staged = {job.target: (staging, [fold_text(s.name, target) for s in job.specs])}
     try:
-        publish(spark, {job.target: staging}, on_clear_failure)
+        _publish(spark, staged, on_clear_failure)
     except Exception:
-        discard(spark, [staging])
+        _discard(spark, staged)
         raise
     return metrics
 
 
-def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Per table: whether its target has to be created, and how many rows or keys break what it will declare."""
+def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None = None, target: str = "") -> DataFrame:
+    """Per table: whether its target has to be created, and how many rows or keys break what it will declare.
+
+    Unique keys are judged as the dialect ``target`` does: SQL Server takes nulls for equal.
+    """
     tables = by_name or {j.name: j.df for j in jobs}
     spark = jobs[0].df.sparkSession
     found = []
     for job in jobs:
         found.append(_key_and_null_violations(job))
         for key in job.unique_keys:
-            repeated = unique_violations(job.df, list(key)).agg(F.count("*").alias("violations"))
+            repeated = unique_violations(job.df, list(key), target).agg(F.count("*").alias("violations"))
             found.append(_labelled(repeated, job.name, "repeated_keys"))
         for parent, keys in job.foreign_keys:
             lost = orphans(job.df, tables[parent], keys).agg(F.count("*").alias("violations"))
             found.append(_labelled(lost, job.name, "orphan_keys"))
+    there = {j.name: _exists(j) for j in jobs}
     asked = [
-        (j.name, "skip" if target_exists(spark, j.target) else "create", check)
+        (j.name, "skip" if there[j.name] else "create", check)
         for j in jobs
         for check in ("null_count", "repeated_keys", "orphan_keys")
     ]
@@ -136,15 +228,25 @@ def _key_and_null_violations(job: TableJob) -> DataFrame:
 def prepare_targets(jobs: list[TableJob], source: str, target: str, check: bool = False) -> list[str]:
     """Create the targets that are not there, empty; with ``check``, only if no table breaks what they declare."""
     if check:
-        bad = prepare_report(jobs).filter("violations > 0").limit(MISSING_TABLES_SHOWN).collect()
+        bad = prepare_report(jobs, target=target).filter("violations > 0").orderBy("table_name", "check_name").collect()
         if bad:
-            raise MigrationError("; ".join(f"{r.table_name}: {r.check_name} {r.violations}" for r in bad))
-    new = [j for j in jobs if not target_exists(j.df.sparkSession, j.target)]
+            raise MigrationError(first_few([f"{r.table_name}: {r.check_name} {r.violations}" for r in bad], MISSING_COLUMNS_SHOWN, "checks"))
+    new = [j for j in jobs if not _exists(j)]
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        list(pool.map(lambda j: create_empty(_conformed(j, source, target), j.target), new))
+        list(pool.map(lambda j: _create_empty(j, source, target), new))
     return [j.name for j in new]
 
 
+def _create_empty(job: TableJob, source: str, target: str) -> None:
+    ready = _conformed(job, source, target)
+    if isinstance(job.target, JdbcTable):
+        types = create_column_types(list(job.specs), source, target, target)
+        options = job.target.write_options() | {"createTableColumnTypes": types}
+        ready.limit(0).write.format("jdbc").options(**options).mode("errorifexists").save()
+    else:
+        create_empty(ready, job.target)
+
+
 class Run(NamedTuple):
     """What a run loaded per table, and the comparison of both sides' row counts."""
 
@@ -152,11 +254,12 @@ class Run(NamedTuple):
     report: DataFrame
 
 
-def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, schema: str = "") -> Run:
-    """Move all tables, or none: they are written beside their targets and swapped in together at the end.
+def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, schema: str = "", check: bool = True) -> Run:
+    """Move all tables, or none: they are written beside their targets, checked there, and swapped in at the end.
 
     ``schema_only`` creates the targets that are not there, ``data_only`` asks for all of them, and with
-    ``schema_and_data`` a table comes into being when its rows are swapped in.
+    ``schema_and_data`` a table comes into being when its rows are swapped in; in a database it is created before.
+    With ``check`` a table with nulls where there must be none, or with keys that repeat, ends the run.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -164,36 +267,62 @@ def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, sch
         raise ValueError("no tables to move")
     spark: SparkSession = jobs[0].df.sparkSession
     if mode == DATA_ONLY:
-        lacking = [j.name for j in jobs if not target_exists(spark, j.target)]
+        lacking = [j.name for j in jobs if not _exists(j)]
         if lacking:
             shown = first_few(lacking, MISSING_TABLES_SHOWN, "tables")
             raise MigrationError(f"{len(lacking)} tables do not exist on the target: {shown}")
-    if mode == SCHEMA_ONLY:
-        prepare_targets(jobs, source, target)
+    databases = [j for j in jobs if isinstance(j.target, JdbcTable)]
+    if mode != DATA_ONLY:
+        prepare_targets(jobs if mode == SCHEMA_ONLY else databases, source, target)
     metrics: dict[str, Metrics] = {}
-    staged: dict[str, str] = {}
+    staged: dict[object, tuple[object, list[str]]] = {}
     if mode != SCHEMA_ONLY:
         try:
             # The tables' jobs run side by side, so that a small table does not leave the cluster idle.
             with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-                written = [(j, pool.submit(_write_beside, j, source, target)) for j in jobs]
+                written = [(j, pool.submit(_write_beside, j, source, target, check)) for j in jobs]
             failed = [done.exception() for _, done in written if done.exception()]
             for job, done in written:
                 if not done.exception():
-                    staged[job.target], metrics[job.name] = done.result()
+                    staging, metrics[job.name] = done.result()
+                    staged[job.target] = staging, [fold_text(s.name, target) for s in job.specs]
             if failed:
                 raise failed[0]
-            publish(spark, staged)
+            _publish(spark, staged)
         except Exception:
-            discard(spark, list(staged.values()))
+            _discard(spark, staged)
             raise
-    loaded = {j.name: spark.read.schema(_conformed(j, source, target).schema).parquet(j.target) for j in jobs}
-    report = reconcile_counts(count_rows({j.name: j.df for j in jobs}, schema), count_rows(loaded, schema))
+    loaded = {j.name: _loaded(j, source, target) for j in jobs}
+    here = _counted(jobs, metrics, schema)
+    report = reconcile_counts(here, count_rows(loaded, schema))
     return Run(metrics, report)
 
 
-def export_script(items: list[ScriptTable], dialect: str, path: str, batch: int = SCRIPT_BATCH) -> DataFrame:
-    """The data of several tables as one script in text files; returns its lines."""
-    lines = multi_table_script(items, dialect, batch)
-    write_script(lines, path)
-    return lines
+def _loaded(job: TableJob, source: str, target: str) -> DataFrame:
+    spark = job.df.sparkSession
+    if isinstance(job.target, JdbcTable):
+        return job.target.read(spark)
+    return spark.read.schema(_conformed(job, source, target).schema).parquet(job.target)
+
+
+def _counted(jobs: list[TableJob], metrics: dict[str, Metrics], schema: str) -> DataFrame:
+    """The source's row counts: those that the writes have seen, else a scan."""
+    if len(metrics) < len(jobs):
+        return count_rows({j.name: j.df for j in jobs}, schema)
+    rows = [(schema, j.name, metrics[j.name].rows) for j in jobs]
+    return jobs[0].df.sparkSession.createDataFrame(rows, "table_schema string, table_name string, row_count long")
+
+
+class Export(NamedTuple):
+    """The names of the tables whose rows are in a script, and of those that failed, with what they said."""
+
+    written: list[str]
+    failed: dict[str, str]
+
+
+def export_script(items: list[ScriptTable], dialect: str, path: str, batch: int = SCRIPT_BATCH) -> Export:
+    """The data of several tables as one script in text files. A table that fails is a comment in it and is returned."""
+    with scratch_scope(items[0].df.sparkSession):
+        failed: dict[str, str] = {}
+        write_script(multi_table_script(items, dialect, batch, failed), path)
+    return Export([i.name for i in items if i.name not in failed], failed)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,24 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove at the end what is staged inside, by any thread that runs in this context's copy. For jobs that are done
+    with their staged tables when they return."""
+    held: list[str] = []
+    token = _staged.set(held)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
@@ -61,23 +80,33 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    held = _staged.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Plan nodes that leave the rows of a file split in their order.
-_ROW_BY_ROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "Union", "Generate"}
+# Logical plan nodes that leave the rows of a file split in their order.
+_ROW_BY_ROW = {"Project", "Filter", "LocalRelation", "Range", "Union", "Generate"}
+
+
+def _in_file_order(plan) -> bool:
+    """Do the rows of an analysed and optimised plan come in an order that its files fix?"""
+    name = plan.getClass().getSimpleName()
+    if name == "LogicalRelation":
+        return plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    children = plan.children()
+    return name in _ROW_BY_ROW and all(_in_file_order(children.apply(i)) for i in range(children.size()))
 
 
 def steady(df: DataFrame) -> DataFrame:
     """``df`` if a task that runs again is bound to see its rows in the same order, else a staged copy.
 
     Row numbers given out by scan order would otherwise change when an executor is lost half-way through a shuffle.
-    Files come back as they were; a database may answer the same query in another order.
+    Files come back as they were; a database, a shuffle or an RDD may give the same rows in another order.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {found.group(1) for line in plan.splitlines() if (found := re.match(r"[\s:+-]*([A-Z]\w+)", line))}
-    return df if nodes <= _ROW_BY_ROW and "JDBCRelation" not in plan else stage(df, "steady")
+    return df if _in_file_order(df._jdf.queryExecution().optimizedPlan()) else stage(df, "steady")
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -87,5 +116,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def size_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, or more if the plan's size estimate asks for it."""
-    wanted = min(-(-estimated_bytes(df) // target_bytes), 100_000)
+    wanted = -(-estimated_bytes(df) // target_bytes)
+    # A plan without statistics estimates as many bytes as a long holds; that is no size.
+    wanted = wanted if estimated_bytes(df) < 1 << 62 else 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.dialects import check_dialect
+from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER, check_dialect
 from tablehaul.functions.names import quote_text, table_reference
 from tablehaul.operators.aggregates import count_rows
 
@@ -20,18 +20,43 @@ def read_files(spark: SparkSession, path: str, file_format: str = "parquet", **o
     return spark.read.format(file_format).options(**options).load(path)
 
 
+# How each dialect hashes a column of any type into a number of buckets.
+_BUCKETS = {
+    SQLSERVER: "ABS(CAST(CHECKSUM({column}) AS bigint)) % {count} = {bucket}",
+    POSTGRES: "ABS(hashtext({column}::text)::bigint) % {count} = {bucket}",
+    ORACLE: "ORA_HASH({column}, {last}) = {bucket}",
+}
+
+
+def hash_predicates(column: str, count: int, dialect: str) -> tuple[str, ...]:
+    """``count`` conditions, each row in exactly one of them, by a hash of a column of any type; nulls are in the first."""
+    if count < 1:
+        raise ValueError("at least one bucket")
+    quoted = quote_text(column, check_dialect(dialect))
+    rule = _BUCKETS[dialect]
+    found = [f"({quoted} IS NOT NULL AND {rule.format(column=quoted, count=count, last=count - 1, bucket=i)})" for i in range(count)]
+    return (f"{found[0]} OR {quoted} IS NULL", *found[1:])
+
+
 @dataclass(frozen=True)
 class JdbcTable:
-    """A table in a database. With a numeric, date or timestamp ``split`` column it is read in parallel."""
+    """A table in a database.
+
+    It is read in parallel by a numeric, date or timestamp ``split`` column, or by ``predicates`` that part its rows,
+    as ``hash_predicates`` makes them for other keys. Without either it would go through one task, which has to be asked
+    for with ``one_task``.
+    """
 
     url: str
     schema: str
     table: str
     dialect: str
-    properties: dict[str, str] = field(default_factory=dict)
+    properties: dict[str, str] = field(default_factory=dict, hash=False)
     split: str = ""
-    partitions: int = 1
+    partitions: int = 8
     fetch: int = 1000
+    predicates: tuple[str, ...] = ()
+    one_task: bool = False
 
     @property
     def reference(self) -> str:
@@ -54,6 +79,13 @@ class JdbcTable:
         return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {self.reference}"
 
     def read(self, spark: SparkSession) -> DataFrame:
+        if self.predicates:
+            return spark.read.jdbc(
+                self.url, self.reference, predicates=list(self.predicates),
+                properties={**self.properties, "fetchsize": str(self.fetch)},
+            )
+        if not self.split and not self.one_task:
+            raise ValueError(f"{self.reference} would be read by one task: give split or predicates, or ask for one_task")
         lower = upper = None
         if self.split:
             options = {**self.properties, "url": self.url, "query": self.bounds_query()}

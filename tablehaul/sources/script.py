@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -113,22 +114,26 @@ def _line(present: Column, position: Column, text: Column) -> Column:
     return F.struct(position.cast("bigint").alias("position"), F.when(present, text).alias("line"))
 
 
-def multi_table_script(items: list[ScriptTable], dialect: str, batch: int = SCRIPT_BATCH) -> DataFrame:
+def multi_table_script(
+    items: list[ScriptTable], dialect: str, batch: int = SCRIPT_BATCH, failed: dict[str, str] | None = None
+) -> DataFrame:
     """The data sections of several tables in one order: ``rank``, ``position``, ``line``.
 
-    A table that fails is two comment lines in its place; the others are not affected.
+    A table that fails is two comment lines in its place, and an entry in ``failed``; the others are not affected.
     """
+    failed = {} if failed is None else failed
 
     def lines_of(item: ScriptTable) -> DataFrame:
         try:
             return insert_script(item, dialect, batch)
         except Exception as error:
             message = " ".join(str(error).replace("\r", " ").split("\n"))
+            failed[item.name] = message
             comments = [c.format(name=item.name, message=message) for c in ERROR_COMMENTS]
             return _fixed_lines(item.df, [*comments, ""], 1)
 
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        scripts = list(pool.map(lines_of, items))
+        scripts = [f.result() for f in [pool.submit(copy_context().run, lines_of, item) for item in items]]
     parts = [lines.select(F.lit(rank).alias("rank"), "position", "line") for rank, lines in enumerate(scripts, 1)]
     section = _fixed_lines(items[0].df, list(DATA_SECTION), 1).select(F.lit(0).alias("rank"), "position", "line")
     return reduce(DataFrame.unionByName, parts, section)

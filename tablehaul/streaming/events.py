@@ -40,16 +40,30 @@ def _versioned(state: str):
     return lambda batch: f"{state}/out/batch={batch}"
 
 
+def _drop_old(spark: SparkSession, state: str, batch: int, kept: int = 2) -> None:
+    """Remove the outputs before the last ``kept``: the newest is read, the one before it is needed if a batch reruns."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/out")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(root):
+        if int(found.getPath().getName().split("=")[1]) <= batch - kept:
+            files.delete(found.getPath(), True)
+
+
 def stream_error_count(events: DataFrame, level: str, state: str = "") -> DataFrame:
     """The number of events per level so far; each micro-batch writes the whole, small, result."""
     spark = events.sparkSession
     state = state or fresh_path(spark, "stream-count")
     place = _versioned(state)
     counts = events.groupBy(level).agg(F.count("*").alias("events"))
+
+    def replace(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(place(batch))
+        _drop_old(spark, state, batch)
+
     query = (
         counts.writeStream.outputMode("complete")
         .option("checkpointLocation", f"{state}/checkpoint")
-        .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(place(batch)))
+        .foreachBatch(replace)
         .trigger(availableNow=True)
         .start()
     )
@@ -69,6 +83,7 @@ def stream_tail(events: DataFrame, order_by: list[str], keep: int = 5000, state:
             earlier = df.sparkSession.read.schema(events.schema).parquet(place(batch - 1))
             tail = top_rows(tail.unionByName(earlier), order_by, keep)
         tail.write.mode("overwrite").parquet(place(batch))
+        _drop_old(spark, state, batch)
 
     query = (
         events.writeStream.option("checkpointLocation", f"{state}/checkpoint")

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import types as T
 
 from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER, check_dialect
+from tablehaul.functions.names import fold_text
 
 UNSIZED = None
 MAX = -1
@@ -370,15 +371,17 @@ def spark_type(type_text: str, dialect: str) -> T.DataType | None:
     }.get(kind, T.StringType())
 
 
-def create_column_types(specs: list[ColumnSpec], source: str, target: str) -> str:
-    """The target's column types in Spark's spelling, for the JDBC writer's ``createTableColumnTypes``."""
+def create_column_types(specs: list[ColumnSpec], source: str, target: str, fold: str = "") -> str:
+    """The target's column types in Spark's spelling, for the JDBC writer's ``createTableColumnTypes``; names in the
+    case of the dialect ``fold``, if given."""
     parts = []
     for spec in specs:
+        name = fold_text(spec.name, fold) if fold else spec.name
         text = map_type(spec, source, target)
         held, family = spark_type(text, target), family_of(ColumnSpec("", text), target)
         if isinstance(held, T.StringType) and family.length and family.length > 0:
             base = "CHAR" if family.kind in ("char", "nchar") else "VARCHAR"
-            parts.append(f"`{spec.name}` {base}({family.length})")
+            parts.append(f"`{name}` {base}({family.length})")
         elif held is not None:
-            parts.append(f"`{spec.name}` {held.simpleString().upper()}")
+            parts.append(f"`{name}` {held.simpleString().upper()}")
     return ", ".join(parts)

@@ -11,6 +11,7 @@ from tablehaul.operators import checks as C
 from tablehaul.operators.conform import empty_to_null, time_on_epoch_day, too_long, truncate_timestamp, uuid_bytes
 from tablehaul.functions.casts import overflows
 from tablehaul.functions.literals import timestamp_text
+from tablehaul.session import fresh_path
 from tablehaul.workloads.registry import register, table
 
 DOCUMENT_TABLES = ("benchmark", "conversations", "documents", "embeddings", "events", "labels", "pages")
@@ -91,12 +92,12 @@ def flag_counts(spark, folder):
 
 @register(
     "distinct_ci",
-    """SELECT min_by(name, p_partkey) AS name FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN ' '
-       ELSE p_name END AS name FROM part) t WHERE trim(name) <> '' AND lower(name) <> 'red bolt' GROUP BY lower(name)""",
+    """SELECT min_by(name, p_partkey) AS name FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN
+       ' ' || chr(9) || chr(10) ELSE p_name END AS name FROM part) t WHERE regexp_replace(name, '\\s', '', 'g') <> '' AND lower(name) <> 'red bolt' GROUP BY lower(name)""",
 )
 def distinct_ci(spark, folder):
     step = F.col("p_size") % 4
-    name = F.when(step == 0, F.upper("p_name")).when(step == 1, " ").otherwise(F.col("p_name"))
+    name = F.when(step == 0, F.upper("p_name")).when(step == 1, " \t\n").otherwise(F.col("p_name"))
     return A.distinct_any_case(
         table(spark, folder, "part").select("p_partkey", name.alias("name")), "name", F.col("p_partkey"), ("RED bolt",)
     )
@@ -134,30 +135,48 @@ def unique_violations_nulls_equal(spark, folder):
     return C.unique_violations(orders, ["o_custkey", "status"], SQLSERVER)
 
 
-@register(
-    "missing_sample",
-    """SELECT p_brand, string_agg(p_name, ', ' ORDER BY rn) FILTER (rn <= 5) AS sample, greatest(count(*) - 5, 0) AS more,
+_SAMPLE_SQL = """SELECT brand, string_agg(p_name, ', ' ORDER BY rn) FILTER (rn <= 5) AS sample, greatest(count(*) - 5, 0) AS more,
        string_agg(p_name, ', ' ORDER BY rn) FILTER (rn <= 5) || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' more'
-       ELSE '' END AS message FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
-       FROM part) t GROUP BY p_brand""",
-)
-def missing_sample(spark, folder):
-    return A.sample_with_remainder(table(spark, folder, "part"), ["p_brand"], ["p_partkey"], "p_name", 5)
+       ELSE '' END AS message FROM (SELECT {brand} AS brand, p_name, row_number() OVER (PARTITION BY {brand} ORDER BY p_partkey) AS rn
+       FROM part) t GROUP BY brand"""
+
+
+def _register_sample(name: str, brand: str) -> None:
+    @register(name, _SAMPLE_SQL.format(brand=brand))
+    def sample(spark, folder):
+        parts = table(spark, folder, "part").selectExpr(f"{brand} AS brand", "p_partkey", "p_name")
+        return A.sample_with_remainder(parts, ["brand"], ["p_partkey"], "p_name", 5)
+
+
+_register_sample("missing_sample", "p_brand")
+_register_sample("missing_sample_null_group", "nullif(p_brand, 'Brand#2')")
+
 
+def _scale_sql(column: str, kind: str) -> str:
+    """Digits after the point of the exact decimal, or of the shortest text of a double."""
+    text = f"CAST({column} AS VARCHAR)"
+    if kind not in ("double", "float"):
+        return f"max(length(rtrim(split_part({text}, '.', 2), '0')))"
+    mantissa, exponent = f"split_part({text}, 'e', 1)", f"coalesce(TRY_CAST(nullif(split_part({text}, 'e', 2), '') AS INTEGER), 0)"
+    digits = f"greatest(length(rtrim(split_part({mantissa}, '.', 2), '0')) - {exponent}, 0)"
+    return f"max({digits}) FILTER (isfinite({column}))"
 
-def _profile_sql(name: str, columns: dict[str, str]) -> str:
+
+def _profile_sql(source: str, columns: dict[str, str]) -> str:
     parts = []
     for column, kind in columns.items():
+        numeric, floating = kind not in ("string", "timestamp_ntz"), kind in ("double", "float")
         text = f"max(length({column}))" if kind == "string" else "NULL"
-        numeric = kind not in ("string", "timestamp_ntz")
-        whole = f"max(length(CAST(CAST(floor(abs({column})) AS BIGINT) AS VARCHAR)))" if numeric else "NULL"
-        scale = f"max(length(rtrim(split_part(CAST(CAST({column} AS DECIMAL(38,6)) AS VARCHAR), '.', 2), '0')))" if numeric else "NULL"
+        number = f"CASE WHEN isfinite({column}) THEN {column} END" if floating else column
+        whole = f"max(length(CAST(CAST(floor(abs({number})) AS DECIMAL(38,0)) AS VARCHAR)))" if numeric else "NULL"
+        scale = "NULL" if not numeric else _scale_sql(column, kind) if "int" not in kind else f"max(0) FILTER ({column} IS NOT NULL)"
         clock = f"max(length(rtrim(strftime({column}, '%f'), '0')))" if kind == "timestamp_ntz" else "NULL"
+        odd = f"count(*) FILTER (NOT isfinite({column}))" if floating else "NULL"
         parts.append(
             f"SELECT '{column}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,"
             f" count(*) FILTER ({column} IS NULL) AS null_count, CAST({text} AS BIGINT) AS max_length,"
             f" CAST({whole} AS BIGINT) AS whole_digits, CAST({scale} AS BIGINT) AS scale,"
-            f" CAST({clock} AS BIGINT) AS fraction_digits FROM {name}"
+            f" CAST({clock} AS BIGINT) AS fraction_digits, CAST({odd} AS BIGINT) AS not_finite FROM {source}"
         )
     return " UNION ALL ".join(parts)
 
@@ -187,6 +206,20 @@ def _register_profile(name: str) -> None:
 for _name in _PROFILED:
     _register_profile(_name)
 
+# Numbers at the edges: ten used digits after the point, 28 before it, and doubles that are no numbers.
+_EDGE_COLUMNS = {"fine": "decimal(38,10)", "odd": "double", "small": "decimal(38,10)"}
+_EDGE_SQL = """(SELECT CAST('1234567890123456789012345678.0123456789' AS DECIMAL(38,10)) AS fine,
+    CASE o_orderkey % 3 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('inf' AS DOUBLE) ELSE o_totalprice + 1000000 END AS odd,
+    CAST('0.0000000001' AS DECIMAL(38,10)) AS small FROM orders)"""
+
+
+@register("column_profile_edges", _profile_sql(_EDGE_SQL, _EDGE_COLUMNS))
+def column_profile_edges(spark, folder):
+    odd = "CASE o_orderkey % 3 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') ELSE o_totalprice + 1000000 END AS odd"
+    fine = "CAST('1234567890123456789012345678.0123456789' AS DECIMAL(38,10)) AS fine"
+    small = "CAST('0.0000000001' AS DECIMAL(38,10)) AS small"
+    return C.column_profile(table(spark, folder, "orders").selectExpr(fine, odd, small))
+
 
 @register(
     "null_violations",
@@ -222,14 +255,20 @@ def overflow_decimal(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", price).filter(overflows(F.col("price"), T.DecimalType(18, 2), "decimal(7,2)"))
 
 
+# 28 digits before the point, ten after it, and all of them differ from row to row.
+_WIDE = """CAST(concat('98765432109876', lpad(CAST(o_custkey AS {text}), 7, '1'), lpad(CAST(o_orderkey AS {text}), 7, '2'), '.',
+       lpad(CAST(o_orderkey % 99991 AS {text}), 5, '3'), lpad(CAST(o_custkey % 9973 AS {text}), 4, '4'), '7') AS DECIMAL(38,10))"""
+
+
 @register(
     "decimal_scan",
-    """SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,10)) AS wide_price,
-       CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,10)) AS VARCHAR) AS digits FROM orders""",
+    f"SELECT o_orderkey, {_WIDE.format(text='VARCHAR')} AS wide, CAST({_WIDE.format(text='VARCHAR')} AS VARCHAR) AS digits FROM orders",
 )
 def decimal_scan(spark, folder):
-    wide = F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(38,10)")
-    return table(spark, folder, "orders").select("o_orderkey", wide.alias("wide_price"), wide.cast("string").alias("digits"))
+    """The values are written and read again, so that they pass through a file's own decimals."""
+    path = fresh_path(spark, "wide")
+    table(spark, folder, "orders").selectExpr("o_orderkey", f"{_WIDE.format(text='STRING')} AS wide").write.parquet(path)
+    return spark.read.parquet(path).select("o_orderkey", "wide", F.col("wide").cast("string").alias("digits"))
 
 
 @register("too_long", "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 4000")

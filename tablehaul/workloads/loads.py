@@ -9,7 +9,8 @@ from tablehaul.operators import events as E
 from tablehaul.operators import progress as P
 from tablehaul.operators.checks import newest_per_group
 from tablehaul.plans import jobs as J
-from tablehaul.session import fresh_path
+from tablehaul.operators.positions import number_rows
+from tablehaul.session import fresh_path, stage
 from tablehaul.sources import load as S
 from tablehaul.sources.scan import read_files
 from tablehaul.sources.script import SECTION_RULE, ScriptTable, insert_script, multi_table_script, write_script
@@ -104,9 +105,21 @@ def _whole(column: str) -> str:
     return f"CAST({column} AS VARCHAR)"
 
 
+def _plain_double(dialect: str, column: str) -> str:
+    return f"regexp_replace(CAST({column} AS VARCHAR), '\\.0$', '')" + (" || 'd'" if dialect == ORACLE else "")
+
+
+def _stamp(dialect: str, column: str) -> str:
+    text = f"strftime({column}, '%Y-%m-%d %H:%M:%S.%g')"
+    if dialect == ORACLE:
+        return f"'TO_TIMESTAMP(''' || {text} || ''',''YYYY-MM-DD HH24:MI:SS.FF3'')'"
+    return f"'''' || {text} || ''''"
+
+
 def _order_columns(dialect: str) -> dict[str, str]:
     return {
-        "o_orderkey": _whole("o_orderkey"), "o_custkey": _whole("o_custkey"),
+        "o_orderkey": _whole("o_orderkey"), "o_custkey": _whole("o_custkey"), "o_orderstatus": _quoted(dialect, "o_orderstatus"),
+        "o_totalprice": _plain_double(dialect, "o_totalprice"), "o_orderdate": _stamp(dialect, "o_orderdate"),
         "o_orderpriority": _quoted(dialect, "o_orderpriority"),
     }
 
@@ -116,7 +129,7 @@ def _register_script(suffix: str, dialect: str, batch: int, identity: str = "")
 
     @register(f"insert_script{suffix}", sql)
     def script(spark, folder):
-        orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        orders = table(spark, folder, "orders")
         return insert_script(ScriptTable(orders, "tpch", "orders", ("o_orderkey",), identity), dialect, batch)
 
 
@@ -130,7 +143,7 @@ _register_script("_resync", POSTGRES, 1000, "o_orderkey")
 _SCRIPTED = {
     "region": ("r_regionkey", {"r_regionkey": _whole, "r_name": _quoted}),
     "nation": ("n_nationkey", {"n_nationkey": _whole, "n_name": _quoted, "n_regionkey": _whole}),
-    "customer": ("c_custkey", {"c_custkey": _whole, "c_name": _quoted, "c_nationkey": _whole, "c_mktsegment": _quoted}),
+    "customer": ("c_custkey", {"c_custkey": _whole, "c_name": _quoted, "c_nationkey": _whole, "c_acctbal": _plain_double, "c_mktsegment": _quoted}),
 }
 
 
@@ -138,15 +151,14 @@ def _multi_sql(dialect: str, batch: int) -> str:
     section = ["", SECTION_RULE, "-- DATI", SECTION_RULE, ""]
     parts = [f"SELECT 0 AS rank, CAST({i} AS BIGINT) AS position, '{line}' AS line" for i, line in enumerate(section, 1)]
     for rank, (name, (key, columns)) in enumerate(_SCRIPTED.items(), 1):
-        texts = {c: f(dialect, c) if f is _quoted else f(c) for c, f in columns.items()}
+        texts = {c: f(c) if f is _whole else f(dialect, c) for c, f in columns.items()}
         parts.append(f"SELECT * FROM ({_script_sql(dialect, name, texts, key, batch, ranks=f'{rank} AS rank, ')}) s{rank}")
     return " UNION ALL ".join(parts)
 
 
 def _scripted(spark, folder) -> list[ScriptTable]:
     return [
-        ScriptTable(table(spark, folder, name).select(*columns), "tpch", name, (key,))
-        for name, (key, columns) in _SCRIPTED.items()
+        ScriptTable(table(spark, folder, name), "tpch", name, (key,)) for name, (key, _) in _SCRIPTED.items()
     ]
 
 
@@ -155,26 +167,30 @@ def multi_script(spark, folder):
     return multi_table_script(_scripted(spark, folder), SQLSERVER, 100)
 
 
-@register(
-    "export_script",
-    f"SELECT line, CAST(count(*) AS BIGINT) AS lines FROM ({_multi_sql(POSTGRES, 200)}) s GROUP BY line",
-)
+def _in_file_order(spark, path: str):
+    """The lines of the files in the order of file names and of lines, numbered, so that their order is checked."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")
+    )
+    return number_rows(stage(lines, "lines"), ["file", "row"], "position").rows.select("position", "line")
+
+
+def _numbered_sql(sql: str, order: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position, line FROM ({sql}) s"
+
+
+@register("export_script", _numbered_sql(_multi_sql(POSTGRES, 200), "rank, position"))
 def export_script(spark, folder):
     path = fresh_path(spark, "export")
     J.export_script(_scripted(spark, folder), POSTGRES, path, 200)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("lines"))
+    return _in_file_order(spark, path)
 
 
-@register(
-    "script_files",
-    f"""SELECT line, CAST(count(*) AS BIGINT) AS lines FROM
-        ({_script_sql(ORACLE, "orders", _order_columns(ORACLE), "o_orderkey", 200)}) s GROUP BY line""",
-)
+@register("script_files", _numbered_sql(_script_sql(ORACLE, "orders", _order_columns(ORACLE), "o_orderkey", 200), "position"))
 def script_files(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     path = fresh_path(spark, "script")
-    write_script(insert_script(ScriptTable(orders, "tpch", "orders", ("o_orderkey",)), ORACLE, 200), path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("lines"))
+    write_script(insert_script(ScriptTable(table(spark, folder, "orders"), "tpch", "orders", ("o_orderkey",)), ORACLE, 200), path)
+    return _in_file_order(spark, path)
 
 
 # The tables of the whole-schema jobs: keys, what refers to what, and their columns as PostgreSQL describes them.
@@ -199,12 +215,14 @@ _DESCRIBED = {
 }
 
 
-def table_jobs(spark, folder: str, target: str) -> list[J.TableJob]:
+def table_jobs(spark, folder: str, target: str, repeated: bool = True) -> list[J.TableJob]:
+    """Without ``repeated``, lineitem is described without its primary key, which its rows repeat."""
     jobs = []
     for name, (keys, refers, columns) in _DESCRIBED.items():
         specs = tuple(ColumnSpec(*c.strip().split(" ", 1), nullable=c.split()[0] not in keys.split()) for c in columns.split(", "))
         foreign = tuple((parent, {child: key}) for parent, (child, key) in refers.items())
-        jobs.append(J.TableJob(name, table(spark, folder, name), f"{target}/{name}", specs, tuple(keys.split()), foreign_keys=foreign))
+        primary = () if name == "lineitem" and not repeated else tuple(keys.split())
+        jobs.append(J.TableJob(name, table(spark, folder, name), f"{target}/{name}", specs, primary, foreign_keys=foreign))
     return jobs
 
 
@@ -239,9 +257,9 @@ def schema_only(spark, folder):
     return spark.read.parquet(path)
 
 
-@register("replace_load", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+@register("replace_load", "SELECT * FROM customer")
 def replace_twice(spark, folder):
-    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    customers = table(spark, folder, "customer")
     path = fresh_path(spark, "replace")
     S.replace_load(customers, path)
     S.replace_load(customers, path)
@@ -300,23 +318,40 @@ def _migration_sql(target: str) -> str:
 
 @register("migration_report", _migration_sql("count(*)"))
 def migration_report(spark, folder):
-    jobs = table_jobs(spark, folder, fresh_path(spark, "migrate"))
+    jobs = table_jobs(spark, folder, fresh_path(spark, "migrate"), repeated=False)
     J.run_migration(J.SCHEMA_ONLY, jobs, POSTGRES, SQLSERVER, "tpch")
     return J.run_migration(J.DATA_ONLY, jobs, POSTGRES, SQLSERVER, "tpch").report
 
 
 @register("migration_report_schema_only", _migration_sql("CAST(0 AS BIGINT)"))
 def migration_report_schema_only(spark, folder):
-    jobs = table_jobs(spark, folder, fresh_path(spark, "schema"))
+    jobs = table_jobs(spark, folder, fresh_path(spark, "schema"), repeated=False)
     return J.run_migration(J.SCHEMA_ONLY, jobs, POSTGRES, ORACLE, "tpch").report
 
 
 @register("migration_report_schema_and_data", _migration_sql("count(*)"))
 def migration_report_schema_and_data(spark, folder):
-    jobs = table_jobs(spark, folder, fresh_path(spark, "both"))
+    jobs = table_jobs(spark, folder, fresh_path(spark, "both"), repeated=False)
     return J.run_migration(J.SCHEMA_AND_DATA, jobs, POSTGRES, ORACLE, "tpch").report
 
 
+@register(
+    "refused_run",
+    """SELECT 'lineitem is refused: ' || count(*) || ' keys break the primary key L_ORDERKEY, L_LINENUMBER' AS message,
+       CAST(0 AS BIGINT) AS published FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) k""",
+)
+def refused_run(spark, folder):
+    """A run over all tables that the repeated keys of lineitem end: what it says, and how many targets it left."""
+    jobs = table_jobs(spark, folder, fresh_path(spark, "refused"))
+    try:
+        J.run_migration(J.SCHEMA_AND_DATA, jobs, POSTGRES, ORACLE, "tpch")
+        message = ""
+    except J.MigrationError as error:
+        message = str(error)
+    published = sum(S.target_exists(spark, j.target) for j in jobs)
+    return spark.createDataFrame([(message, published)], "message string, published bigint")
+
+
 _ERRORS = "SELECT event_id, user_id, event_type, props FROM events WHERE event_type = 'error'"
 
 
@@ -353,7 +388,11 @@ def retain_latest(spark, folder):
 
 
 def _stream(spark, folder):
-    return stream.read_events(spark, folder, table(spark, folder, "events").schema, "events.parquet")
+    """The event log as the several files that a log has, two of which are one micro-batch."""
+    events = table(spark, folder, "events")
+    path = fresh_path(spark, "log")
+    events.repartitionByRange(6, "ts").write.parquet(path)
+    return stream.read_events(spark, path, events.schema, files_per_batch=2)
 
 
 @register("stream_error_filter", _ERRORS)
@@ -366,6 +405,6 @@ def stream_error_count(spark, folder):
     return stream.stream_error_count(_stream(spark, folder), "event_type")
 
 
-@register("stream_tail", _tail_sql(500))
+@register("stream_tail", _tail_sql(5000))
 def stream_tail(spark, folder):
-    return stream.stream_tail(_stream(spark, folder), ["ts", "event_id"], 500).select("event_id", "event_type", "props")
+    return stream.stream_tail(_stream(spark, folder), ["ts", "event_id"], 5000).select("event_id", "event_type", "props")

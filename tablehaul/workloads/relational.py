@@ -201,16 +201,16 @@ def left_join_flag(spark, folder):
 
 @register(
     "pair_by_position",
-    """SELECT a.l_orderkey, a.l_linenumber, a.local_part, b.referenced_part FROM
-       (SELECT l_orderkey, l_linenumber, min(l_partkey) AS local_part FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) a
-       JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS referenced_part FROM lineitem WHERE l_returnflag = 'A'
+    """SELECT a.l_orderkey, a.l_linenumber, a.local_part, b.referenced_part, a.n > 1 OR b.n > 1 AS repeated FROM
+       (SELECT l_orderkey, l_linenumber, min(l_partkey) AS local_part, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) a
+       JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS referenced_part, count(*) AS n FROM lineitem WHERE l_returnflag = 'A'
        GROUP BY ALL) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""",
 )
 def pair_by_position(spark, folder):
     lines = table(spark, folder, "lineitem")
     local = lines.filter("l_returnflag = 'R'").withColumnRenamed("l_partkey", "local_part")
     referenced = lines.filter("l_returnflag = 'A'").withColumnRenamed("l_partkey", "referenced_part")
-    return R.pair_by_position(local, referenced, ["l_orderkey", "l_linenumber"], "local_part", "referenced_part")
+    return R.pair_by_position(local, referenced, ["l_orderkey", "l_linenumber"], "local_part", "referenced_part", "report")
 
 
 @register(
@@ -351,18 +351,28 @@ def tables_missing(spark, folder):
     return missing_tables(parts.filter("p_type <> 'PROMO'"), target, ["p_brand", "p_name"])
 
 
-@register(
-    "equal_lists",
-    """WITH a AS (SELECT o_custkey, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p
-         FROM orders WHERE o_orderstatus = 'F'),
-       b AS (SELECT o_custkey, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p
-         FROM orders WHERE o_orderstatus = 'F')
-       SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, bool_and(coalesce(a.v = b.v, false)) AS lists_equal
-       FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.p = b.p GROUP BY 1""",
-)
+_NULL_CUSTOMER = "nullif(o_custkey, 7)"
+_SIDE = """SELECT {group} AS k, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS p FROM orders"""
+
+
+def _equal_sql(group: str, name: str) -> str:
+    a, b = _SIDE.format(group=group, order="o_orderkey"), _SIDE.format(group=group, order="o_orderdate, o_orderkey")
+    return f"""SELECT coalesce(a.k, b.k) AS {name}, bool_and(coalesce(a.v = b.v, false)) AS lists_equal
+       FROM ({a}) a FULL JOIN ({b}) b ON a.k IS NOT DISTINCT FROM b.k AND a.p = b.p GROUP BY 1"""
+
+
+def _equal(spark, folder, group: str, name: str):
+    orders = table(spark, folder, "orders").selectExpr(f"{group} AS {name}", "o_orderkey", "o_orderdate", "o_orderpriority")
+    by_key = rank_within(orders, [name], ["o_orderkey"])
+    by_date = rank_within(orders.withColumn("o_orderpriority", F.upper("o_orderpriority")), [name], ["o_orderdate", "o_orderkey"])
+    return lists_equal(by_key, by_date, [name], "o_orderpriority")
+
+
+@register("equal_lists", _equal_sql("o_custkey", "o_custkey"))
 def equal_lists(spark, folder):
-    orders = table(spark, folder, "orders").filter("o_orderstatus = 'F'")
-    orders = orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
-    by_key = rank_within(orders, ["o_custkey"], ["o_orderkey"])
-    by_date = rank_within(orders.withColumn("o_orderpriority", F.upper("o_orderpriority")), ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    return lists_equal(by_key, by_date, ["o_custkey"], "o_orderpriority")
+    return _equal(spark, folder, "o_custkey", "o_custkey")
+
+
+@register("equal_lists_null_group", _equal_sql(_NULL_CUSTOMER, "customer"))
+def equal_lists_null_group(spark, folder):
+    return _equal(spark, folder, _NULL_CUSTOMER, "customer")

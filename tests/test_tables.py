@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER
 from tablehaul.operators import checks as C
 from tablehaul.operators import relational as R
-from tablehaul.operators.aggregates import count_children, distinct_any_case, next_identity
-from tablehaul.operators.conform import MISFITS, conform, misfit_rows, truncate_timestamp
+from tablehaul.operators.aggregates import count_children, distinct_any_case, lists_equal, next_identity, sample_with_remainder
+from tablehaul.operators.conform import MISFITS, conform, fit_report, misfit_rows, truncate_timestamp
 from tablehaul.operators.events import event_tail
 from tablehaul.operators.progress import live_batch_size, overall_percent, percent_done, script_batch_size
 from tablehaul.plans import jobs as J
+from tablehaul.session import scratch_scope, stage
 from tablehaul.sources import load as S
-from tablehaul.sources.scan import JdbcTable, read_files
+from tablehaul.sources.scan import JdbcTable, hash_predicates, read_files
 from tablehaul.sources.script import ScriptTable, insert_script, multi_table_script
 from tablehaul.streaming import events as stream
 from tablehaul.typemap import ColumnSpec
@@ -55,8 +57,8 @@ def test_conform_uuid_and_time_for_oracle(spark):
     df = spark.createDataFrame([("0f8fad5b-d9cb-469f-a165-70867728950e", "23:59:59.123456"), ("nonsense", "25:00")], "g string, t string")
     specs = [ColumnSpec("g", "uuid"), ColumnSpec("t", "time", fraction=3)]
     got = rows(conform(df, specs, POSTGRES, ORACLE))
-    assert got[0] == (bytearray(bytes.fromhex("0f8fad5bd9cb469fa16570867728950e")), datetime.datetime(1970, 1, 1, 23, 59, 59, 123000), [])
-    assert got[1] == (None, None, ["G", "T"])
+    assert got[0] == (bytearray(bytes.fromhex("0f8fad5bd9cb469fa16570867728950e")), datetime.datetime(1970, 1, 1, 23, 59, 59, 123000), [], [])
+    assert got[1] == (None, None, ["G", "T"], [])
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
@@ -275,12 +277,15 @@ def test_a_failing_table_is_a_comment_in_the_script(spark, tmp_path):
 
 def test_script_files_are_in_order(spark, tmp_path):
     path = str(tmp_path / "script")
-    lines = J.export_script([ScriptTable(spark.range(1000), "s", "t", ("id",))], POSTGRES, path, 100)
+    bad = ScriptTable(spark.createDataFrame([(float("nan"),)], "v double"), "s", "bad")
+    items = [ScriptTable(spark.range(1000), "s", "t", ("id",)), bad]
+    done = J.export_script(items, SQLSERVER, path, 100)
+    assert done.written == ["s.t"] and list(done.failed) == ["s.bad"]
     written = []
     for part in sorted(glob.glob(f"{path}/part-*")):
         with open(part, encoding="utf-8") as file:
             written += file.read().split("\n")[:-1]
-    assert written == script_text(lines)
+    assert written == script_text(multi_table_script(items, SQLSERVER, 100))
 
 
 def test_jdbc_options():
@@ -335,3 +340,218 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     events.filter("id >= 600").coalesce(1).write.mode("append").parquet(folder)
     assert run() == (143, {"error": 143, "view": 857}, list(range(990, 1000)))
     assert run() == (143, {"error": 143, "view": 857}, list(range(990, 1000)))
+
+
+def test_lost_digits_and_infinity(spark):
+    df = spark.createDataFrame([("1.23456789", 1e300, 2.5), ("7.5", 1.5, 3.0), (None, float("inf"), None)], "n string, r double, i double")
+    df = df.withColumn("n", F.col("n").cast("decimal(38,10)"))
+    specs = [ColumnSpec("n", "numeric"), ColumnSpec("r", "real"), ColumnSpec("i", "integer")]
+    got = conform(df, specs, POSTGRES, SQLSERVER).collect()
+    assert [(str(r.n), r.misfits, r.rounded) for r in got] == [
+        ("1.23", ["r"], ["n", "i"]), ("7.50", [], []), ("None", [], []),
+    ]
+    assert got[0].r is None and got[1].r == 1.5 and got[2].r == float("inf")
+    report = {r.column_name: (r.misfits, r.rounded) for r in fit_report(df, specs, POSTGRES, SQLSERVER).collect()}
+    assert report == {"n": (0, 1), "r": (1, 0), "i": (0, 1)}
+    conform(df.filter("n = 7.5"), specs, POSTGRES, SQLSERVER, "raise").collect()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_fractions_of_zoned_timestamps_and_times(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(1).select(
+            F.timestamp_micros(F.lit(1_700_000_000_123_456).cast("long")).alias("z"), F.lit("23:59:59.987654").alias("t"),
+            F.lit("23:59:59.987654+02").alias("o"),
+        )
+        for source, kind_z, digits in ((SQLSERVER, "datetimeoffset", 0), (POSTGRES, "timestamptz", 3), (ORACLE, "timestamp with time zone", 6)):
+            for target in (SQLSERVER, POSTGRES, ORACLE):
+                got = conform(df.select("z"), [ColumnSpec("z", kind_z, fraction=digits)], source, target)
+                micros = got.select(F.unix_micros(got.columns[0])).first()[0]
+                assert micros == 1_700_000_000_123_456 // 10 ** (6 - digits) * 10 ** (6 - digits), (source, target)
+        specs = [ColumnSpec("t", "time", fraction=0), ColumnSpec("o", "timetz", fraction=2)]
+        got = conform(df.select("t", "o"), specs, POSTGRES, POSTGRES).first()
+        assert (got.t, got.o) == ("23:59:59", "23:59:59.98+02")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_intervals_for_oracle(spark):
+    texts = ["2 days 03:04:05.5", "-00:00:01", "1 mon 2 days", "1 year", "5 days", "04:05:06", "soon", "", None, "0 mons 1 day"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = conform(df, [ColumnSpec("v", "interval")], POSTGRES, ORACLE).collect()
+    day, second = datetime.timedelta(days=1), datetime.timedelta(seconds=1)
+    clock = 4 * 3600 * second + 5 * 60 * second + 6 * second
+    wanted = [2 * day + 11045.5 * second, -second, None, None, 5 * day, clock, None, None, None, day]
+    assert [r.V for r in got] == wanted
+    assert [t for t, r in zip(texts, got) if r.misfits] == ["1 mon 2 days", "1 year", "soon", ""]
+
+
+def test_profile_without_caps(spark):
+    df = spark.createDataFrame([("2.0000000001", float("nan")), ("-1234567890123456789012345678", 1234567.25), ("0", float("inf"))], "n string, d double")
+    df = df.select(F.col("n").cast("decimal(38,10)"), "d", F.lit("0.0000000001").cast("decimal(38,10)").alias("s"), F.lit(1.5e-9).alias("e"))
+    got = {r.column_name: r for r in C.column_profile(df).collect()}
+    assert (got["n"].whole_digits, got["n"].scale, got["n"].not_finite) == (28, 10, None)
+    assert (got["d"].whole_digits, got["d"].scale, got["d"].not_finite) == (7, 2, 2)
+    assert (got["s"].whole_digits, got["s"].scale) == (1, 10)
+    assert (got["e"].whole_digits, got["e"].scale) == (1, 10)
+    assert rows(C.column_profile(df.limit(0)).select("row_count", "scale").distinct()) == [(0, None)]
+
+
+def test_every_column_has_to_be_described(spark, tmp_path):
+    wide = job(spark, tmp_path, df=spark.createDataFrame([(1, "a", 2)], "ID int, label string, extra int"))
+    with pytest.raises(J.MigrationError, match="not described: extra"):
+        J.copy_table(wide, POSTGRES, POSTGRES)
+    narrow = job(spark, tmp_path, df=spark.createDataFrame([(1,)], "id int"))
+    with pytest.raises(J.MigrationError, match="lacks columns that are described: label"):
+        J.run_migration(J.SCHEMA_AND_DATA, [narrow], POSTGRES, POSTGRES)
+
+
+@pytest.mark.parametrize("target", [SQLSERVER, POSTGRES, ORACLE])
+def test_a_run_refuses_what_the_target_would(spark, tmp_path, target):
+    good = job(spark, tmp_path, "good")
+    twice = job(spark, tmp_path, "twice", spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "id int, label string"))
+    with pytest.raises(J.MigrationError, match="twice is refused: 1 nulls in id, 2 keys break the primary key id".replace(" id", " (id|ID)")):
+        J.run_migration(J.SCHEMA_AND_DATA, [good, twice], POSTGRES, target)
+    assert not S.target_exists(spark, good.target) and not S.target_exists(spark, twice.target)
+    assert glob.glob(str(tmp_path / "*__*")) == []
+    assert J.run_migration(J.SCHEMA_AND_DATA, [good, twice], POSTGRES, target, check=False).metrics["twice"].rows == 3
+    label = job(spark, tmp_path, "label", spark.createDataFrame([(1, None), (2, None), (3, "")], "id int, label string"), unique_keys=(("label",),))
+    found = {r.check_name: r.violations for r in J.prepare_report([label], target=target).collect()}
+    assert found["repeated_keys"] == (1 if target == SQLSERVER else 0)
+    if target == SQLSERVER:
+        with pytest.raises(J.MigrationError, match="1 keys break a unique key label"):
+            J.copy_table(label, POSTGRES, target)
+    else:
+        assert J.copy_table(label, POSTGRES, target).rows == 3
+
+
+def test_added_rows_are_undone(spark, tmp_path, monkeypatch):
+    target, other = str(tmp_path / "t"), str(tmp_path / "o")
+    S.replace_load(spark.range(2), target)
+    real = S._Files.rename
+
+    def stuck(self, old, new):
+        if old == target:
+            raise OSError("in use")
+        real(self, old, new)
+
+    monkeypatch.setattr(S._Files, "rename", stuck)
+    staged = S.write_staged(spark.range(3), target)
+    with pytest.raises(Exception):
+        S.publish(spark, {target: staged, other: str(tmp_path / "nowhere")}, lambda path, message: True)
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_null_groups_and_repeated_positions(spark):
+    left = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 1, "x"), (2, 1, "y")], "g int, position long, v string")
+    right = spark.createDataFrame([(None, 1, "A"), (None, 2, "B"), (1, 1, "z")], "g int, position long, v string")
+    assert rows(lists_equal(left, right, ["g"], "v"), "g") == [(None, True), (1, False), (2, False)]
+    twice = left.union(left.filter("g is null"))
+    assert rows(lists_equal(twice, right, ["g"], "v"), "g")[0] == (None, False)
+    sample = sample_with_remainder(left, ["g"], ["position"], "v", 1)
+    assert rows(sample.select("g", "sample", "more"), "g") == [(None, "a", 1), (1, "x", 0), (2, "y", 0)]
+    known = left.filter("g is not null")
+    pairs = R.pair_by_position(known, right.withColumnRenamed("v", "w"), ["g", "position"], "v", "w")
+    assert rows(pairs) == [(1, 1, "x", "z")]
+    with pytest.raises(Exception, match="more than one member"):
+        R.pair_by_position(known.union(known), right.withColumnRenamed("v", "w"), ["g", "position"], "v", "w").collect()
+    told = R.pair_by_position(known.union(known), right.withColumnRenamed("v", "w"), ["g", "position"], "v", "w", "report")
+    assert rows(told) == [(1, 1, "x", "z", True)]
+    names = spark.createDataFrame([(1, "\t"), (2, "A"), (3, "a"), (4, "\n ")], "p int, s string")
+    assert rows(distinct_any_case(names, "s", F.col("p"))) == [("A",)]
+
+
+def test_old_stream_outputs_go(spark, tmp_path):
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "id long, level string"
+    for i in range(5):
+        spark.createDataFrame([(i, "error")], schema).coalesce(1).write.mode("append").parquet(folder)
+    events = stream.read_events(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    assert rows(stream.stream_error_count(events, "level", state)) == [("error", 5)]
+    assert len(glob.glob(f"{state}/out/batch=*")) == 2
+
+
+def test_scratch_scope(spark):
+    with scratch_scope(spark):
+        staged = stage(spark.range(3))
+        path = staged.inputFiles()[0]
+        assert staged.count() == 3
+    assert not S.target_exists(spark, path)
+
+
+def test_one_task_reads_have_to_be_asked_for(spark):
+    table = JdbcTable("jdbc:none:x", "s", "t", POSTGRES)
+    with pytest.raises(ValueError, match="one task"):
+        table.read(spark)
+    found = hash_predicates("Name", 3, POSTGRES)
+    assert len(found) == 3 and found[0].endswith('OR "name" IS NULL') and "% 3 = 2" in found[2]
+    assert "ORA_HASH(NAME, 2) = 1" in hash_predicates("name", 3, ORACLE)[1]
+    assert "CHECKSUM([name])" in hash_predicates("name", 3, SQLSERVER)[1]
+
+
+class FakeDatabase:
+    """Stands for the database in the jobs: what was written where, and which statements ran, in their order."""
+
+    def __init__(self, monkeypatch, spark, columns, fails=""):
+        self.calls, self.spark, self.fails, self.rows = [], spark, fails, {}
+        monkeypatch.setattr(J, "jdbc_columns", lambda spark, table: columns.get(table.table))
+        monkeypatch.setattr(J, "write_staged_jdbc", self.write)
+        monkeypatch.setattr(S, "run_statements", self.run)
+        monkeypatch.setattr(JdbcTable, "read", lambda table, spark: self.rows[table.table.partition("__stg")[0]])
+
+    def write(self, df, table, types="", batch=1000):
+        staging = S.staging_of(table)
+        df.write.format("noop").mode("overwrite").save()
+        self.rows[table.table] = df
+        self.calls.append(("write", table.table, types))
+        return staging
+
+    def run(self, spark, table, statements, quiet=False):
+        self.calls.append(("run", [re.sub("__stg_[0-9a-f]+", "__stg", s) for s in statements]))
+        if self.fails and any(self.fails in s for s in statements):
+            raise RuntimeError("the database refuses")
+
+
+def database_jobs(spark, tmp_path):
+    table = JdbcTable("jdbc:sqlserver://h", "dbo", "t", SQLSERVER, {"user": "u"}, split="id")
+    specs = (ColumnSpec("id", "integer", nullable=False), ColumnSpec("label", "varchar", length=5))
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string")
+    return [J.TableJob("t", df, table, specs, ("id",)), job(spark, tmp_path, "f")]
+
+
+def test_a_database_as_the_target(spark, tmp_path, monkeypatch):
+    """Staging table first, then one transaction that clears and copies, then the staging table goes."""
+    database = FakeDatabase(monkeypatch, spark, {"t": ["id", "label"]})
+    jobs = database_jobs(spark, tmp_path)
+    run = J.run_migration(J.SCHEMA_AND_DATA, jobs, POSTGRES, SQLSERVER)
+    assert rows(run.report.select("table_name", "matches"), "table_name") == [("f", True), ("t", True)]
+    assert database.calls == [
+        ("write", "t", "`id` INT, `label` VARCHAR(5)"),
+        ("run", [
+            "DELETE FROM [dbo].[t]",
+            "INSERT INTO [dbo].[t] ([id], [label]) SELECT [id], [label] FROM [dbo].[t__stg]",
+        ]),
+        ("run", ["DROP TABLE [dbo].[t__stg]"]),
+    ]
+
+
+def test_a_database_that_refuses_undoes_the_files(spark, tmp_path, monkeypatch):
+    database = FakeDatabase(monkeypatch, spark, {"t": ["id", "label"]}, fails="INSERT")
+    jobs = database_jobs(spark, tmp_path)
+    with pytest.raises(RuntimeError, match="refuses"):
+        J.run_migration(J.SCHEMA_AND_DATA, jobs, POSTGRES, SQLSERVER)
+    assert not S.target_exists(spark, jobs[1].target)
+    assert database.calls[-1] == ("run", ["DROP TABLE [dbo].[t__stg]"])
+    assert glob.glob(str(tmp_path / "*__*")) == []
+    FakeDatabase(monkeypatch, spark, {"t": ["id"]})
+    with pytest.raises(J.MigrationError, match="lacks columns of the source: label"):
+        J.copy_table(jobs[0], POSTGRES, SQLSERVER)
+    FakeDatabase(monkeypatch, spark, {})
+    with pytest.raises(J.MigrationError, match="do not exist"):
+        J.run_migration(J.DATA_ONLY, jobs[:1], POSTGRES, SQLSERVER)
+
+
+def test_missing_tables_are_told_from_other_errors():
+    assert J.is_missing_table("Invalid object name 'dbo.t'") and J.is_missing_table("ORA-00942: table or view does not exist")
+    assert not J.is_missing_table("connection refused")

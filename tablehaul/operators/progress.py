@@ -40,9 +40,13 @@ def overall_percent(mode: str, table_index: Column, table_count: Column, percent
     return (started + F.floor(percent * per_table / 100)).cast("int")
 
 
-def running_progress(df: DataFrame, size: int) -> DataFrame:
-    """After each batch of a table: ``batch_id``, ``rows_done``, ``percent``. Needs only the table's count."""
-    total = df.count()
-    batches = df.sparkSession.range(max(-(-total // size), 1)).withColumnRenamed("id", "batch_id")
-    done = F.least((F.col("batch_id") + 1) * size, F.lit(total).cast("bigint"))
-    return batches.select("batch_id", done.alias("rows_done"), percent_done(done, F.lit(total)).alias("percent"))
+def running_progress(loaded: DataFrame, size: int) -> DataFrame:
+    """After each batch of a load: ``batch_id``, ``rows_done``, ``percent``, from the rows as they are written.
+
+    Rows are numbered in the order in which the load writes them, and the last number of a batch is how far it has come.
+    """
+    rows, total = number_rows(loaded.select(F.lit(True).alias("row")))
+    if not total:
+        return loaded.sparkSession.sql("SELECT 0L AS batch_id, 0L AS rows_done, 100 AS percent")
+    batches = rows.groupBy(batch_number(F.col("position"), size).alias("batch_id")).agg(F.max("position").alias("rows_done"))
+    return batches.withColumn("percent", percent_done(F.col("rows_done"), F.lit(total)))

@@ -183,14 +183,20 @@ def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None =
     """
     tables = by_name or {j.name: j.df for j in jobs}
     spark = jobs[0].df.sparkSession
+    # A table's primary keys are counted once: for their own check, for references that are part of them, and as what
+    # other tables refer to. Nothing of a count may be left out, or Spark could not read the same shuffle again.
+    counted = {j.name: _per_key(j) for j in jobs if j.primary_key}
+    keys_of = {j.name: j.primary_key for j in jobs}
     found = []
     for job in jobs:
-        found.append(_key_and_null_violations(job))
+        found.append(_key_and_null_violations(job, counted.get(job.name)))
         for key in job.unique_keys:
             repeated = unique_violations(job.df, list(key), target).agg(F.count("*").alias("violations"))
             found.append(_labelled(repeated, job.name, "repeated_keys"))
         for parent, keys in job.foreign_keys:
-            lost = orphans(job.df, tables[parent], keys).agg(F.count("*").alias("violations"))
+            child = counted[job.name] if set(keys) <= set(job.primary_key) else job.df
+            held = counted[parent].filter("n > 0 AND nulls >= 0") if set(keys.values()) == set(keys_of.get(parent, ())) else tables[parent]
+            lost = orphans(child, held, keys).agg(F.count("*").alias("violations"))
             found.append(_labelled(lost, job.name, "orphan_keys"))
     there = {j.name: _exists(j) for j in jobs}
     asked = [
@@ -198,10 +204,10 @@ def prepare_report(jobs: list[TableJob], by_name: dict[str, DataFrame] | None =
         for j in jobs
         for check in ("null_count", "repeated_keys", "orphan_keys")
     ]
-    counted = reduce(DataFrame.unionByName, found).groupBy("table_name", "check_name").agg(F.sum("violations").alias("n"))
+    summed = reduce(DataFrame.unionByName, found).groupBy("table_name", "check_name").agg(F.sum("violations").alias("n"))
     return (
         spark.createDataFrame(asked, "table_name string, action string, check_name string")
-        .join(counted, ["table_name", "check_name"], "left")
+        .join(summed, ["table_name", "check_name"], "left")
         .select("table_name", "action", "check_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
     )
 
@@ -210,16 +216,23 @@ def _labelled(counted: DataFrame, table: str, check: str) -> DataFrame:
     return counted.select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "violations")
 
 
-def _key_and_null_violations(job: TableJob) -> DataFrame:
-    """Nulls where there must be none, and primary keys that repeat or have a null: one shuffle of the table's keys."""
+def _nulls(job: TableJob):
     must = [s.name for s in job.specs if not s.nullable]
-    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in must], F.lit(0).cast("bigint"))
-    if not job.primary_key:
-        return _labelled(job.df.agg(nulls.alias("violations")), job.name, "null_count")
+    return reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in must], F.lit(0).cast("bigint"))
+
+
+def _per_key(job: TableJob) -> DataFrame:
+    """Per primary key: its rows, and the nulls in them where there must be none."""
+    return job.df.groupBy(*job.primary_key).agg(F.count("*").alias("n"), _nulls(job).alias("nulls"))
+
+
+def _key_and_null_violations(job: TableJob, per_key: DataFrame | None) -> DataFrame:
+    """Nulls where there must be none, and primary keys that repeat or have a null: one shuffle of the table's keys."""
+    if per_key is None:
+        return _labelled(job.df.agg(_nulls(job).alias("violations")), job.name, "null_count")
     broken = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in job.primary_key], F.col("n") > 1)
-    per_key = job.df.groupBy(*job.primary_key).agg(F.count("*").alias("n"), nulls.alias("nulls"))
     counts = F.array(
-        F.struct(F.lit("null_count").alias("check_name"), F.sum("nulls").alias("violations")),
+        F.struct(F.lit("null_count").alias("check_name"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("violations")),
         F.struct(F.lit("repeated_keys").alias("check_name"), F.count_if(broken).alias("violations")),
     )
     return per_key.agg(counts.alias("c")).select(F.lit(job.name).alias("table_name"), F.inline("c"))

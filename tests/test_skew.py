@@ -1,13 +1,17 @@
 """Queries over tables in which one key or copies of one row hold a third, and the plans that make that bearable."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from compare import connect, difference
 from skewed import write_skewed
+from tablehaul.operators.aggregates import ordered_chunks
 from tablehaul.operators.positions import _LOCAL, _PART, _stage_in_order, number_rows, rank_within
 from tablehaul.operators.skew import hot_keys, join_hot
+from tablehaul.session import _in_file_order, steady
 
 NAMES = """
     customer_order_count join_composite restore_selection pair_by_position fk_orphans left_join_flag equal_lists
@@ -38,11 +42,12 @@ def test_copies_of_one_row_are_spread_over_partitions(spark):
     assert len(sizes) == 8 and max(sizes) < 10_000
 
 
-def test_rank_of_a_group_over_many_partitions(spark):
+@pytest.mark.parametrize("hot_rows", [1000, 1_000_000])
+def test_rank_of_a_group_over_many_partitions(spark, hot_rows):
     rows = spark.range(0, 30_000, numPartitions=4).select(
         F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("g"), F.col("id").alias("v")
     )
-    ranked = rank_within(rows, ["g"], [F.col("v").desc()])
+    ranked = rank_within(rows, ["g"], [F.col("v").desc()], hot_rows=hot_rows)
     hot = ranked.filter("g = 0")
     got = hot.agg(F.min("position"), F.max("position"), F.countDistinct("position")).first()
     assert tuple(got) == (1, 20_001, 20_001)
@@ -51,6 +56,61 @@ def test_rank_of_a_group_over_many_partitions(spark):
     assert [r.v for r in newest] == [29_999, 29_998, 29_996]
 
 
+def test_null_groups_are_ranked_however_large(spark):
+    rows = spark.range(0, 3000, numPartitions=3).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("g"), "id")
+    for hot_rows in (10, 5000):
+        ranked = rank_within(rows, ["g"], ["id"], hot_rows=hot_rows)
+        got = ranked.groupBy("g").agg(F.min("position"), F.max("position"), F.countDistinct("position")).orderBy("g")
+        assert [tuple(r) for r in got.collect()] == [(None, 1, 1000, 1000), (0, 1, 1000, 1000), (1, 1, 1000, 1000)]
+
+
+def in_file_order(df) -> bool:
+    return _in_file_order(df._jdf.queryExecution().optimizedPlan())
+
+
+def exchanges(df) -> int:
+    """Shuffles of the plan as Spark has chosen it, reused ones left out."""
+    return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange hash|Exchange range|Exchange Single", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_lists_shuffle_once(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    assert exchanges(ordered_chunks(lines, ["l_orderkey"], ["l_linenumber"], "l_partkey")) == 1
+
+
+def test_prepare_report_scans(spark, data):
+    """Before the keys were counted once: 13 scans and 24 exchanges."""
+    df = driver.queries()["prepare_report"](spark, data)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    final = final[final.index("Final Plan") : final.index("Initial Plan")]
+    assert final.count("FileScan") <= 8 and "ReusedExchange" in final
+
+
+def test_a_small_side_that_repeats_a_hot_key_is_refused(spark):
+    big = spark.range(0, 9000, numPartitions=3).select((F.col("id") % 3 * F.col("id")).alias("k"))
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k long, v string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(ValueError, match="repeats a hot key of k"):
+            join_hot(big, small, ["k"])
+        assert join_hot(big, small.filter("v <> 'b'"), ["k"]).count() == 3001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_steady_looks_at_plan_nodes(spark, data):
+    files = spark.read.parquet(f"{data}/orders.parquet")
+    assert steady(files.select("o_orderkey")) is not None and in_file_order(files.filter("o_orderkey > 5"))
+    assert not in_file_order(spark.createDataFrame(files.rdd.repartition(2), files.schema))
+    assert not in_file_order(files.repartition(3)) and not in_file_order(files.distinct())
+
+
 def test_positions_of_no_rows(spark):
     none = spark.range(0).select("id")
     rows, total = number_rows(none, ["id"])

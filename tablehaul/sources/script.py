@@ -20,6 +20,7 @@ from tablehaul.session import size_partitions
 # The comment lines of a script.
 DATA_COMMENT = "-- Dati per {name}"
 EMPTY_COMMENT = "-- (nessun dato)"
+NO_COLUMNS_COMMENT = "-- (tabella senza colonne)"
 COUNT_COMMENT = "-- {count} righe esportate."
 ERROR_COMMENTS = ("-- !! ERRORE durante l'esportazione di: Dati di {name}", "-- !! {message}")
 SECTION_RULE = "-- ─────────────────────────────────────────────"
@@ -39,9 +40,14 @@ class ScriptTable:
     schema: str
     table: str
     order_by: tuple[str, ...] = ()
-    identity: str = ""
+    identity: str | tuple[str, ...] = ()
     kinds: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def identities(self) -> tuple[str, ...]:
+        """The columns whose values the database would issue itself."""
+        return (self.identity,) if isinstance(self.identity, str) and self.identity else tuple(self.identity)
+
     @property
     def name(self) -> str:
         return f"{self.schema}.{self.table}" if self.schema else self.table
@@ -68,9 +74,11 @@ def insert_script(item: ScriptTable, dialect: str, batch: int = SCRIPT_BATCH) ->
     target = table_reference(item.schema, item.table, dialect)
     names = ", ".join(quote_text(c, dialect) for c in item.df.columns)
     head = f"INSERT INTO {target} ({names}) VALUES"
+    if not item.df.columns:
+        return _fixed_lines(item.df, [DATA_COMMENT.format(name=item.name), NO_COLUMNS_COMMENT, ""], 1)
     keys = [F.col(f"`{k}`") for k in item.order_by]
     rows, total = number_rows(item.df, keys, "n", {"v": row_values(item.df, dialect, True, item.kinds)})
-    wrapped = bool(item.identity) and dialect == SQLSERVER and total > 0
+    wrapped = bool(item.identities) and dialect == SQLSERVER and total > 0
     before = [DATA_COMMENT.format(name=item.name)]
     if wrapped:
         before += [f"SET IDENTITY_INSERT {target} ON", "GO"]
@@ -103,9 +111,9 @@ def insert_script(item: ScriptTable, dialect: str, batch: int = SCRIPT_BATCH) ->
     body = rows.select(F.inline(made))
 
     ending = [f"SET IDENTITY_INSERT {target} OFF", "GO"] if wrapped else []
-    if item.identity and total and dialect in RESYNC:
-        key = item.identity.lower()
-        ending.append(RESYNC[dialect].format(table=target, key=key, column=quote_text(item.identity, dialect)))
+    if total and dialect in RESYNC:
+        for name in item.identities:
+            ending.append(RESYNC[dialect].format(table=target, key=name.lower(), column=quote_text(name, dialect)))
     ending += [COUNT_COMMENT.format(count=total) if total else EMPTY_COMMENT, ""]
     return _fixed_lines(item.df, before, 1).unionByName(body).unionByName(_fixed_lines(item.df, ending, after + 1))
 

@@ -555,3 +555,16 @@ def test_a_database_that_refuses_undoes_the_files(spark, tmp_path, monkeypatch):
 def test_missing_tables_are_told_from_other_errors():
     assert J.is_missing_table("Invalid object name 'dbo.t'") and J.is_missing_table("ORA-00942: table or view does not exist")
     assert not J.is_missing_table("connection refused")
+
+
+def test_several_identity_columns_and_none_at_all(spark):
+    df = spark.createDataFrame([(1, 2)], "Id int, Other int")
+    lines = script_text(insert_script(ScriptTable(df, "s", "t", ("Id",), ("Id", "Other")), POSTGRES))
+    assert [line for line in lines if "setval" in line] == [
+        """SELECT setval(pg_get_serial_sequence('"s"."t"', 'id'), (SELECT MAX("id") FROM "s"."t"));""",
+        """SELECT setval(pg_get_serial_sequence('"s"."t"', 'other'), (SELECT MAX("other") FROM "s"."t"));""",
+    ]
+    wrapped = script_text(insert_script(ScriptTable(df, "s", "t", ("Id",), ("Id", "Other")), SQLSERVER))
+    assert wrapped.count("SET IDENTITY_INSERT [s].[t] ON") == 1
+    bare = script_text(insert_script(ScriptTable(df.select(), "s", "t"), ORACLE))
+    assert bare == ["-- Dati per s.t", "-- (tabella senza colonne)", ""]

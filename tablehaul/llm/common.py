@@ -54,6 +54,25 @@ def slices(batch: pa.RecordBatch, target: int = 8 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start, step)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """The columns before ``text``, and the text compressed before it is shuffled."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(len(names)).to_pylist()
+                held = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(held, pa.binary())], names=[*names, "packed"])
+
+    return docs.select(*names, "text").mapInArrow(run, ", ".join([*(f"{c} {kind(docs, c)}" for c in names), "packed binary"]))
+
+
+def unpacked(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def keyed(df: DataFrame, name: str = "__row") -> DataFrame:
     """Add a key that is each row's own, and the same whenever the table is read: its place in its file, or in a staged
     copy where the rows don't come straight from files. Rows that are equal in all columns still get keys of their own.

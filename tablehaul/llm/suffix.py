@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import keyed, kind, ranked, remove_staged, slices, stage, text_bytes
+from tablehaul.llm.common import keyed, packed_texts, ranked, remove_staged, slices, stage, text_bytes, unpacked
 
 _GRAM = 24
 # Bytes of text that are hashed at once, and of units that share one suffix array.
@@ -243,25 +243,6 @@ def _settle_units(batches) -> Iterator[pa.RecordBatch]:
         yield _rows(*waiting[0])
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The columns before ``text``, and the text compressed before it is shuffled."""
-    names = [c for c in docs.columns if c != "text"]
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                texts = part.column(len(names)).to_pylist()
-                held = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(held, pa.binary())], names=[*names, "packed"])
-
-    return docs.select(*names, "text").mapInArrow(run, ", ".join([*(f"{c} {kind(docs, c)}" for c in names), "packed binary"]))
-
-
-def _unpacked(packed: bytes) -> bytes:
-    size = int.from_bytes(packed[:8], "little")
-    return pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
-
-
 _UNIT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("strings", pa.int32()), ("bytes", pa.binary())])
 _UNIT_DDL = "anchor long, doc long, start long, strings int, bytes binary"
 
@@ -274,7 +255,7 @@ def _cut_units(length: int):
             for part in slices(batch, 2 << 20):
                 rows = []
                 for row in part.to_pylist():
-                    text = _unpacked(row["packed"])
+                    text = unpacked(row["packed"])
                     for u in row["units"]:
                         rows.append({"anchor": u["anchor"], "doc": row["doc"], "start": u["start"], "strings": u["strings"],
                                      "bytes": text[u["start"] : u["start"] + u["strings"] + length - 1]})
@@ -362,7 +343,7 @@ def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
     left = walked.filter("unit is not null")
     hot = left.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_UNITS).select("anchor")
     lists = left.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "strings")).alias("units"))
-    cut = stage(_packed(docs).join(lists, "doc").mapInArrow(_cut_units(length), _UNIT_DDL), "cut")
+    cut = stage(packed_texts(docs).join(lists, "doc").mapInArrow(_cut_units(length), _UNIT_DDL), "cut")
     cool = cut.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     compared = cool.mapInArrow(_compare_units(length), _SETTLED)
     strings = cut.join(hot, "anchor", "left_semi").mapInArrow(_hot_strings(length), "first long, second long, doc long, start long")
@@ -398,7 +379,7 @@ def _remove(length: int, keep_text: bool):
             for part in slices(batch, 2 << 20):
                 rows = []
                 for row in part.to_pylist():
-                    text = _unpacked(row["packed"])
+                    text = unpacked(row["packed"])
                     spans: list[list[int]] = []
                     for r in sorted(row["runs"] or [], key=lambda r: r["start"]):
                         end = r["start"] + r["strings"] + length - 1
@@ -432,4 +413,4 @@ def remove_repeats(
     numbered = _numbered(docs, id_column, text)
     runs = repeated_runs(numbered.select("doc", "text"), length)
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    return _packed(numbered).join(lists, "doc", "left").mapInArrow(_remove(length, keep_text), _KEPT)
+    return packed_texts(numbered).join(lists, "doc", "left").mapInArrow(_remove(length, keep_text), _KEPT)

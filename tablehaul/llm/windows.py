@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import slices, stage, text_bytes
+from tablehaul.llm.common import packed_texts, slices, stage, text_bytes, unpacked
 
 SHINGLE = 5
 # Words of the shortest passage, hash functions, and how many of them have to agree before tokens are compared.
 LEAST_WORDS = 50
-FUNCTIONS = 6
-ENOUGH = 3
+FUNCTIONS = 4
+ENOUGH = 2
 SIMILARITY = 0.8
 # Unmatched tokens that end a passage.
 _GAP = 24
@@ -81,24 +81,37 @@ _WINDOWS = "value long, doc long, at int, first int, last int"
 
 
 def _scan(width: int):
+    """The windows of (doc, text). The texts of a slice are one sequence with a token between them that is smaller than
+    all others under every function, so that no window reaches across it."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                parts = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = tokens_of(text)
-                    if doc is None or len(tokens) < width:
-                        continue
-                    for f in range(FUNCTIONS):
-                        values = (tokens ^ (tokens >> np.uint64(29))) * _MIX[f]
-                        values ^= values >> np.uint64(31)
-                        at, first, last = compact_windows(values, width)
-                        marked = (tokens[at] & ~np.uint64(7) | np.uint64(f)).view(np.int64)
-                        parts.append((marked, np.full(len(at), doc, np.int64), at, first, last))
-                if parts:
-                    columns = [np.concatenate(c) for c in zip(*parts)]
+            for part in slices(batch, 4 << 20):
+                docs = part.column(0).to_numpy()
+                held = [tokens_of(t) for t in part.column(1).to_pylist()]
+                long = [i for i, t in enumerate(held) if len(t) >= width]
+                if not long:
+                    continue
+                sizes = np.array([len(held[i]) + 1 for i in long])
+                begins = np.cumsum(sizes) - sizes
+                tokens = np.zeros(int(sizes.sum()), np.uint64)
+                for i, begin in zip(long, begins):
+                    tokens[begin : begin + len(held[i])] = held[i]
+                walls = begins + sizes - 1
+                names = docs[long]
+                for f in range(FUNCTIONS):
+                    values = (tokens ^ (tokens >> np.uint64(29))) * _MIX[f]
+                    values ^= values >> np.uint64(31)
+                    values |= np.uint64(1) << np.uint64(63)
+                    values[walls] = 0
+                    at, first, last = compact_windows(values, width)
+                    own = np.searchsorted(begins, at, "right") - 1
+                    inside = at != walls[own]
+                    at, first, last, own = at[inside], first[inside], last[inside], own[inside]
+                    marked = (tokens[at] & ~np.uint64(7) | np.uint64(f)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in columns[:2]] + [pa.array(c.astype(np.int32)) for c in columns[2:]],
+                        [pa.array(marked), pa.array(names[own])]
+                        + [pa.array((x - begins[own]).astype(np.int32)) for x in (at, first, last)],
                         names=["value", "doc", "at", "first", "last"],
                     )
 
@@ -217,17 +230,22 @@ _SIDES = "pair long, side int, doc long, begin int, tokens binary"
 
 
 def _fetch(batches) -> Iterator[pa.RecordBatch]:
-    """From (doc, text, wanted: pair, side, begin, end) the tokens of each wanted stretch."""
+    """From (doc, packed, wanted: pair, side, begin, end) the tokens of each wanted stretch, 32 bits of each."""
+    kinds = [("pair", pa.int64()), ("side", pa.int32()), ("doc", pa.int64()), ("begin", pa.int32()), ("tokens", pa.binary())]
+    schema, rows, size = pa.schema(kinds), [], 0
     for batch in batches:
-        for part in slices(batch):
-            rows = []
+        for part in slices(batch, 2 << 20):
             for row in part.to_pylist():
-                tokens = tokens_of(row["text"])
+                tokens = (tokens_of(unpacked(row["packed"])) >> np.uint64(32)).astype(np.uint32)
                 for w in row["wanted"]:
-                    held = tokens[w["begin"] : w["end"] + 1]
-                    rows.append({"pair": w["pair"], "side": w["side"], "doc": row["doc"], "begin": w["begin"], "tokens": held.tobytes()})
-            kinds = [("pair", pa.int64()), ("side", pa.int32()), ("doc", pa.int64()), ("begin", pa.int32()), ("tokens", pa.binary())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+                    held = tokens[w["begin"] : w["end"] + 1].tobytes()
+                    rows.append({"pair": w["pair"], "side": w["side"], "doc": row["doc"], "begin": w["begin"], "tokens": held})
+                    size += len(held) + 64
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -270,7 +288,7 @@ def _verify(width: int, similarity: float):
             sides = {r["side"]: r for h in held for r in h.to_pylist()}
             if len(sides) < 2:
                 continue
-            a, b = (np.frombuffer(sides[i]["tokens"], np.uint64) for i in (0, 1))
+            a, b = (np.frombuffer(sides[i]["tokens"], np.uint32) for i in (0, 1))
             for low, high, begin, end, score in passages(a, b, width, similarity):
                 rows.append((
                     sides[1]["doc"], sides[1]["begin"] + begin, end - begin + SHINGLE,
@@ -310,6 +328,6 @@ def near_passages(
     wanted = sides[0].union(sides[1])
     # A document that many pairs name is fetched in several rows, so that none grows with the number of its pairs.
     wanted = wanted.withColumn("lot", F.pmod(F.col("w.pair"), F.lit(8))).groupBy("doc", "lot").agg(F.collect_list("w").alias("wanted"))
-    fetched = plain.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch, _SIDES)
+    fetched = packed_texts(plain).join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_fetch, _SIDES)
     ordered = fetched.repartition("pair").sortWithinPartitions("pair", "side")
     return ordered.mapInArrow(_verify(width, similarity), _FOUND)

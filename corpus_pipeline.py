@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablehaul.llm import decontamination, mixing, sharding, simhash, toxicity
 from tablehaul.llm.common import keyed, table
 from tablehaul.llm.queries import learned_rows
-from tablehaul.session import stage
+from tablehaul.session import fresh_path, scratch_scope
 
 SHARDS = 40
 TOXIC = 0.7
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage stages for itself goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch_scope(spark):
+            step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ import corpus_pipeline
 from tablehaul.llm import extraction, mixing, queries, sharding, toxicity
 from tablehaul.llm.common import keyed
 from tablehaul.llm.labelled_pages import labelled_page
+from tablehaul.session import stage
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -220,7 +221,7 @@ def test_pipeline(spark):
     kept = docs
     counts = []
     for name, step in corpus_pipeline.STAGES[:3]:
-        kept = corpus_pipeline.stage(step(spark, kept, SMALL), name)
+        kept = stage(step(spark, kept, SMALL), name)
         assert kept.columns == names
         counts.append(kept.count())
     assert docs.count() > counts[0] > counts[1] > counts[2] > 700
@@ -237,5 +238,5 @@ def test_pipeline(spark):
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none):
     for docs in (odd[1], none):
         for name, step in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.stage(step(spark, docs, SMALL), name)
+            docs = stage(step(spark, docs, SMALL), name)
         assert set(odd[1].columns) <= set(docs.columns) | {"shard"}

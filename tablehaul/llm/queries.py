@@ -17,6 +17,47 @@ def register(query):
     return query
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# Phrases and document words as lists, joined on the joined words of every stretch of a phrase's length.
+ORACLES["op1_decontamination"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0) t),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+stretches AS (
+  SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM phrases) l WHERE len(w) >= n) t),
+hits AS (SELECT s.doc_id, s.p, s.n, f.item_id FROM stretches s JOIN phrases f ON s.phrase = f.phrase AND s.n = f.n),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM hits) t GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) t GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+# Every string of 100 bytes as 200 hex digits; all but the first of each cover their bytes.
+ORACLES["op5_suffix_array"] = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS p FROM docs WHERE length(h) >= 200) t),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM strings) t WHERE n > 1),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS b FROM
+  (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM
+    (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM later) t) u
+  GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, b + 1 AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1 AS b FROM
+  (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, 0, 0 FROM docs) t),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(b, length(h) // 2) - a + 1)), '' ORDER BY a) AS h
+  FROM gaps JOIN docs USING (doc_id) WHERE coalesce(b, length(h) // 2) >= a GROUP BY doc_id),
+spans AS (SELECT doc_id, count(*) AS n, sum(b - a + 1) AS removed FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN spans USING (doc_id)"""
+
+
 def learned_rows():
     """Labels to learn from: those whose crc32 of the id as text leaves a remainder other than 1 by 3."""
     return ~held_out_rows()

@@ -24,7 +24,8 @@ _POSITIVE = (1 << 62) - 1
 
 class Mixture(NamedTuple):
     """``sources``: sizes and targets; ``slots``: which block each slot of each shard takes; ``pieces``: which words of
-    which rows a block holds; ``taken``: key, source's size and target, and how many words the mixture takes."""
+    which rows a block holds; ``taken``: key, size, source's size and target, how many words the mixture takes, and the
+    hash of the id that the row is laid out by."""
 
     sources: DataFrame
     slots: DataFrame
@@ -146,19 +147,19 @@ def mix(
     slots = draw_slots(sources, block, shard_slots, seed, turns)
     often = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
     sums = pieces.join(often, ["number", "block"]).groupBy("key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    taken = rows.select("key", "size", "source_size", "target").join(sums, "key", "left").select(
-        F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    taken = rows.select("key", "size", "source_size", "target", "h").join(sums, "key", "left").select(
+        F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "h"
     )
     return Mixture(sources, slots, pieces, taken)
 
 
 def mixed_rows(docs: DataFrame, key: str, seed: int = 31, **how) -> DataFrame:
     """``docs`` as the mixture takes them: each row as often as its taken words make up its size, a part of a turn
-    rounded up with that chance by a seeded hash, so that the expected words of a source stay its target. Rows without
+    rounded up with that chance by a seeded hash of its id, so that the expected words of a source stay its target. Rows without
     words weigh nothing and stay once."""
     taken = mix(docs, key, **how).taken
     turns = F.col("taken") / F.col("size")
-    coin = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(_POSITIVE)) / F.lit(float(1 << 62))
+    coin = F.xxhash64(F.lit(seed), "h").bitwiseAND(F.lit(_POSITIVE)) / F.lit(float(1 << 62))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(turns + coin)).cast("int")
     counted = taken.select(key, copies.alias("__copies")).filter("__copies > 0")
     return docs.join(counted, key).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(

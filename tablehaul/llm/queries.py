@@ -129,7 +129,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mixture of its sources at weights 1, 2, 3 in turn takes."""
     docs = keyed(table(spark, folder, "documents"))
     taken = mixing.mix(docs).taken
-    return docs.select("__row", "doc_id").join(taken, "__row").drop("__row")
+    return docs.select("__row", "doc_id").join(taken, "__row").drop("__row", "h")
 
 
 @register

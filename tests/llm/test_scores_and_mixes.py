@@ -152,6 +152,17 @@ def test_mixture(odd):
     assert again == {repr(r["__row"]): r["taken"] for r in rows}
 
 
+def test_mixture_does_not_depend_on_where_files_lie(plain, tmp_path):
+    df = plain[1]
+    df.orderBy("n_chars").repartition(2).write.parquet(f"{tmp_path}/other")
+    other = df.sparkSession.read.parquet(f"{tmp_path}/other")
+
+    def taken(docs):
+        return Counter(r["doc_id"] for r in mixing.mixed_rows(keyed(docs), "__row", block=8).collect())
+
+    assert taken(df) == taken(other)
+
+
 def test_mixed_rows(odd, none):
     made, df = odd
     out = mixing.mixed_rows(keyed(df), "__row").drop("__row")

@@ -29,6 +29,9 @@ LEAST_WORDS = 50
 FUNCTIONS = 4
 ENOUGH = 2
 SIMILARITY = 0.8
+# Windows of one min-hash in a slice from which on they are linked there, and only the first goes on to be linked with
+# those of other slices.
+CROWD = 16
 # Unmatched tokens that end a passage.
 _GAP = 24
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(1, 9)]
@@ -108,16 +111,40 @@ def _scan(width: int):
                     own = np.searchsorted(begins, at, "right") - 1
                     inside = at != walls[own]
                     at, first, last, own = at[inside], first[inside], last[inside], own[inside]
-                    marked = (tokens[at] & ~np.uint64(7) | np.uint64(f)).view(np.int64)
+                    marked = tokens[at] & ~np.uint64(7) | np.uint64(f)
+                    rows = _thin(marked, names[own], *(x - begins[own] for x in (at, first, last)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(marked), pa.array(names[own])]
-                        + [pa.array((x - begins[own]).astype(np.int32)) for x in (at, first, last)],
+                        [pa.array(rows[0].view(np.int64)), pa.array(rows[1])] + [pa.array(x.astype(np.int32)) for x in rows[2:]],
                         names=["value", "doc", "at", "first", "last"],
                     )
 
     return run
 
 
+def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+    """The windows of a slice, in which a crowd with one value is its first window and, for each other member, the pairs
+    with the first and with the one before. A pair is two windows under a value of its own, so that it meets nothing
+    else; the function's bits stay."""
+    order = np.lexsort((rest[1], rest[0], value))
+    value, rest = value[order], [r[order] for r in rest]
+    new = np.append(True, value[1:] != value[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
+    sizes = np.diff(np.append(np.flatnonzero(new), len(value)))
+    crowded = np.repeat(sizes >= CROWD, sizes)
+    members = np.flatnonzero(crowded & ~new)
+    kept = np.flatnonzero(~crowded | new)
+    before = members[members - 1 != start[members]]
+    left, right = np.append(start[members], before - 1), np.append(members, before)
+    other = rest[0][left] != rest[0][right]
+    left, right = left[other], right[other]
+    pair = np.zeros(len(left), np.uint64)
+    for x in (value[left], rest[0][left], rest[0][right], rest[1][left], rest[1][right]):
+        pair = (pair ^ x.astype(np.uint64)) * _MIX[6]
+        pair ^= pair >> np.uint64(32)
+    pair = pair & ~np.uint64(7) | value[left] & np.uint64(7)
+    return [np.concatenate([value[kept], pair, pair]), *(np.concatenate([r[kept], r[left], r[right]]) for r in rest)]
+
+
 _LINKS = "a long, b long, f int, a_at int, a_first int, a_last int, b_at int, b_first int, b_last int"
 _LINK_NAMES = [c.split()[0] for c in _LINKS.split(", ")]
 
@@ -307,8 +334,8 @@ def near_passages(
     """(doc_id, start_word, n_words, other_id, other_start, other_words, similarity): passages of at least ``words``
     words of different documents whose sets of five-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    In a class of many documents with one passage each is set against the first and against the one before, not all
-    against all. Null, empty and short texts and rows without an id have no passages; rows of one id are one document,
+    In a class of many documents with one passage each is set against the first and against the one before, and in a
+    crowd inside a slice of text against those of the slice, not all against all. Null, empty and short texts and rows without an id have no passages; rows of one id are one document,
     that of the smallest text; other columns are not read. No rows give none.
     """
     width = words - SHINGLE + 1

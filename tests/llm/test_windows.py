@@ -76,3 +76,27 @@ def test_empty(none):
 
 def test_odd(odd):
     assert all(r["doc_id"] != r["other_id"] for r in windows.near_passages(odd[1]).collect())
+
+
+def test_a_passage_of_many_documents(spark, tmp_path):
+    """Every document that holds it is named, and the rows grow with the documents, not with their pairs."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    made = []
+    for i in range(120):
+        words = [f"w{rng.randrange(1 << 40)}" for _ in range(rng.randint(60, 200))]
+        at = rng.randrange(len(words))
+        made.append((i, " ".join(words[:at] + passage + words[at:]), "x"))
+    made.append((500, " ".join(f"c{i}" for i in range(300)), "x"))
+    spark.createDataFrame(made, "doc_id long, text string, pair string").repartition(3).write.parquet(f"{tmp_path}/d")
+    rows = windows.near_passages(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert {i for r in rows for i in (r["doc_id"], r["other_id"])} == set(range(120))
+    assert len({(r["doc_id"], r["other_id"]) for r in rows}) < 120 * 12
+    assert all(70 <= r["n_words"] <= 80 for r in rows)
+
+
+def test_thin_keeps_small_groups():
+    value = np.array([8, 16, 16, 8, 24], np.uint64)
+    rest = [np.array(x, np.int64) for x in ([5, 4, 3, 2, 1], [0, 1, 2, 3, 4], [0] * 5, [9] * 5)]
+    out = windows._thin(value, *rest)
+    assert sorted(zip(out[0].tolist(), out[1].tolist())) == [(8, 2), (8, 5), (16, 3), (16, 4), (24, 1)]

@@ -249,12 +249,16 @@ def copy_orders(spark, folder):
     return _money(copied, *copied.columns)
 
 
-@register("schema_only", "SELECT * FROM customer WHERE false")
+@register(
+    "schema_only",
+    """SELECT CAST(c_custkey AS DECIMAL(19,0)) AS "C_CUSTKEY", c_name AS "C_NAME", CAST(c_nationkey AS DECIMAL(10,0)) AS
+       "C_NATIONKEY", c_acctbal AS "C_ACCTBAL", c_mktsegment AS "C_MKTSEGMENT" FROM customer WHERE false""",
+)
 def schema_only(spark, folder):
-    customers = table(spark, folder, "customer")
-    path = fresh_path(spark, "empty")
-    S.create_empty(customers, path)
-    return spark.read.parquet(path)
+    """An empty target with the columns that the rows would have there."""
+    job = next(j for j in table_jobs(spark, folder, fresh_path(spark, "empty")) if j.name == "customer")
+    J.prepare_targets([job], POSTGRES, ORACLE)
+    return spark.read.parquet(job.target)
 
 
 @register("replace_load", "SELECT * FROM customer")

@@ -51,12 +51,12 @@ _TAG_KINDS = {
 # Words in a class, id or role and what they hint at.
 _HINTS = {
     "content": "article content post entry story main body text page blog news prose",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip links tabs",
-    "frame": "header footer masthead copyright legal bottom top banner branding contentinfo",
+    "menu": "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc skip links tabs",
+    "frame": "header footer topbar subfooter masthead copyright legal bottom top branding contentinfo",
     "side": "sidebar side aside widget rail related recommended more popular trending complementary",
-    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion promoted dfp adsense",
-    "notice": "cookie cookies notice consent gdpr alert popup modal overlay dialog warning privacy newsletter subscribe signup subscription",
-    "comment": "comment comments reply replies respond disqus discussion feedback reviews",
+    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted dfp adsense",
+    "notice": "cookie cookies notice notices disclaimer banner consent gdpr alert popup modal overlay dialog warning privacy newsletter subscribe signup subscription",
+    "comment": "comment comments commentlist reply replies respond disqus discussion feedback reviews",
     "form": "form search login share social sharing buttons button tools toolbar rating",
 }
 _HINT_OF = {word: kind for kind, words in _HINTS.items() for word in words.split()}

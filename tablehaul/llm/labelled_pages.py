@@ -82,9 +82,27 @@ def _noise(w: _Words, place: str) -> str:
         f'<div role="alert" class="notice">{w.sentences(1, 2)}</div>',
         f'<form action="/s"><label>{w.words(1, 2)}</label><input name=q><button>{w.words(1, 1)}</button></form>',
         f'<div class="ad">{w.sentences(1, 2)}</div>',
+        f'<div class="topbar"><p>{w.sentences(1, 2)}</p></div>',
+        f'<ul id="main-menu">{w.links(2, 6)[4:-5]}</ul>',
+        f'<div class="advertisement"><p>{w.paragraph()}</p></div>',
+        f'<div role="navigation">{w.links(3, 6)}</div>',
+        f'<div role="banner"><p>{w.words(1, 5)}</p></div>',
         f'<div class="search-box"><form><input><select><option>{w.words(1, 1)}</option></select></form></div>',
     ]
+    comments = "".join(
+        f'<div class="comment"><p>{w.paragraph()}</p></div>' for _ in range(w.random.randint(1, 4))
+    )
     inside = [
+        f'<section class="comments"><h3>{w.words(1, 2)}</h3>{comments}</section>',
+        f'<div id="reader-comments">{comments}</div>',
+        f'<ul class="user-comments"><li>{w.paragraph()}</li><li><p>{w.paragraph()}</p></li></ul>',
+        f"<aside><p>{w.paragraph()}</p><p>{w.paragraph()}</p></aside>",
+        f'<div class="notice">{w.sentences(1, 3)}</div>',
+        f'<div class="cookie-banner"><p>{w.sentences(1, 2)}</p><button>{w.words(1, 1)}</button></div>',
+        f"<form><p>{w.sentences(1, 1)}</p><label>{w.words(1, 2)}</label><input></form>",
+        f'<nav class="toc">{w.links(2, 6)}</nav>',
+        f"<footer>{w.sentences(1, 2)}</footer>",
+        f'<div class="sidebar"><p>{w.paragraph()}</p>{w.links(2, 4)}</div>',
         f'<div class="ad">{w.sentences(1, 2)}</div>',
         f'<div class="advert"><p>{w.sentences(1, 3)}</p></div>',
         f'<aside class="related"><h3>{w.words(1, 3)}</h3>{w.links(2, 5)}</aside>',
@@ -96,9 +114,6 @@ def _noise(w: _Words, place: str) -> str:
         f"<!-- {w.words(2, 5)} -->",
         f'<div class="promo">{w.sentences(1, 1)}</div>',
     ]
-    comments = "".join(
-        f'<div class="comment"><p>{w.paragraph()}</p></div>' for _ in range(w.random.randint(1, 4))
-    )
     after = [
         f"<footer>&copy; {w.words(1, 3)} &middot; {w.sentences(1, 2)}</footer>",
         f'<div class="footer"><p>{w.sentences(1, 3)}</p>{w.links(2, 6)}</div>',
@@ -144,7 +159,7 @@ def labelled_page(number: int) -> list[tuple[str, int]]:
         pieces.append((f"<header><h1>{title}</h1></header>", 1))
     for _ in range(w.random.randint(1, 3)):
         pieces.append((_body(w), 1))
-        if w.random.random() < 0.35:
+        if w.random.random() < 0.45:
             pieces.append((_noise(w, "inside"), 0))
     pieces.append((end, 1))
     pieces += [(_noise(w, "after"), 0) for _ in range(w.random.randint(0, 4))]

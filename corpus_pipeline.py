@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul.llm import decontamination, mixing, sharding, simhash, toxicity
-from tablehaul.llm.common import keyed, table
+from tablehaul.llm.common import keyed, settled, table
 from tablehaul.llm.queries import learned_rows
 from tablehaul.session import fresh_path, scratch_scope
 
@@ -22,30 +22,43 @@ TOXIC = 0.7
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``TOXIC`` or more go."""
     rows = keyed(docs)
-    scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), learned_rows(), keep=("__row",))
-    return rows.join(scored.filter(F.col("score") >= TOXIC).select("__row"), "__row", "left_anti").drop("__row")
+
+    def rejected() -> DataFrame:
+        scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), learned_rows(), keep=("__row",))
+        return scored.filter(F.col("score") >= TOXIC).select("__row")
+
+    return rows.join(settled(spark, rejected, "toxic"), "__row", "left_anti").drop("__row")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHashes within two bits stays, the one with the smallest id."""
-    return simhash.one_of_each_group(keyed(docs), "__row", shingle=3, distance=2).drop("__row")
+    rows = keyed(docs)
+    stays = settled(spark, lambda: simhash.first_of_each_group(rows, "__row", shingle=3, distance=2), "firsts")
+    return rows.join(stays, "__row", "left_semi").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     rows = keyed(docs)
-    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_column="__row")
-    return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
+
+    def leaked() -> DataFrame:
+        found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_column="__row")
+        return found.filter("n_hit > 0").select(F.col("doc_id").alias("__row"))
+
+    return rows.join(settled(spark, leaked, "leaked"), "__row", "left_anti").drop("__row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    return mixing.mixed_rows(keyed(docs), "__row").drop("__row")
+    rows = keyed(docs)
+    counted = settled(spark, lambda: mixing.copies(rows, "__row"), "copies")
+    return mixing.repeat_rows(rows, counted, "__row").drop("__row")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents of the mixture with their shard and slot."""
-    return sharding.shard(docs, SHARDS)
+    rows = keyed(docs.drop("shard", "slot"))
+    return rows.join(settled(spark, lambda: sharding.assign(rows, SHARDS), "places"), "__row").drop("__row")
 
 
 STAGES = [

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablehaul.session import stage
+from tablehaul.session import fresh_path, scratch_scope, stage
 
 # White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,6 +115,14 @@ def ranked(
     return out.drop("__here", "__begin", *[f"__k{i}" for i in range(len(keys))])
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str = "settled") -> DataFrame:
+    """A written table of what ``make`` returns; what was staged to make it is removed."""
+    path = fresh_path(spark, label)
+    with scratch_scope(spark):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def remove_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later job reads."""
     spark = df.sparkSession

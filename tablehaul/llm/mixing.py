@@ -153,15 +153,20 @@ def mix(
     return Mixture(sources, slots, pieces, taken)
 
 
-def mixed_rows(docs: DataFrame, key: str, seed: int = 31, **how) -> DataFrame:
-    """``docs`` as the mixture takes them: each row as often as its taken words make up its size, a part of a turn
-    rounded up with that chance by a seeded hash of its id, so that the expected words of a source stay its target. Rows without
-    words weigh nothing and stay once."""
+def copies(docs: DataFrame, key: str, seed: int = 31, **how) -> DataFrame:
+    """(key, copies): how often the mixture takes each row, those it does not take left out. Taken words by size, a part
+    of a turn rounded up with that chance by a seeded hash of the row's id, so that the expected words of a source stay
+    its target. Rows without words weigh nothing and stay once."""
     taken = mix(docs, key, **how).taken
     turns = F.col("taken") / F.col("size")
     coin = F.xxhash64(F.lit(seed), "h").bitwiseAND(F.lit(_POSITIVE)) / F.lit(float(1 << 62))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(turns + coin)).cast("int")
-    counted = taken.select(key, copies.alias("__copies")).filter("__copies > 0")
-    return docs.join(counted, key).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
+    made = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(turns + coin)).cast("int")
+    return taken.select(key, made.alias("copies")).filter("copies > 0")
+
+
+def repeat_rows(docs: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``docs`` with each row as often as ``counted`` says, those it does not name left out."""
+    named = counted.withColumnRenamed("copies", "__copies")
+    return docs.join(named, key).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
         "__copies", "__copy"
     )

@@ -131,10 +131,9 @@ def near_groups(prints: DataFrame, distance: int = 2) -> DataFrame:
     return prints.join(by_print, "fingerprint")
 
 
-def one_of_each_group(docs: DataFrame, key: str, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id, then ``key``,
-    a column that differs between any two rows; a null doc_id comes after all others."""
+def first_of_each_group(docs: DataFrame, key: str, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """(key): of each near-duplicate group the row that stays, the one with the smallest doc_id, then ``key``, a column
+    that differs between any two rows; a null doc_id comes after all others."""
     groups = near_groups(fingerprints(docs, shingle, keep=(key,)), distance)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key)).alias("first")
-    stays = groups.groupBy("root").agg(first).select(F.col("first")[key].alias(key))
-    return docs.join(stays, key, "left_semi")
+    return groups.groupBy("root").agg(first).select(F.col("first")[key].alias(key))

@@ -152,23 +152,28 @@ def test_mixture(odd):
     assert again == {repr(r["__row"]): r["taken"] for r in rows}
 
 
+def mixed(docs, **how):
+    rows = keyed(docs)
+    return mixing.repeat_rows(rows, mixing.copies(rows, "__row", **how), "__row").drop("__row")
+
+
 def test_mixture_does_not_depend_on_where_files_lie(plain, tmp_path):
     df = plain[1]
     df.orderBy("n_chars").repartition(2).write.parquet(f"{tmp_path}/other")
     other = df.sparkSession.read.parquet(f"{tmp_path}/other")
 
     def taken(docs):
-        return Counter(r["doc_id"] for r in mixing.mixed_rows(keyed(docs), "__row", block=8).collect())
+        return Counter(r["doc_id"] for r in mixed(docs, block=8).collect())
 
     assert taken(df) == taken(other)
 
 
 def test_mixed_rows(odd, none):
     made, df = odd
-    out = mixing.mixed_rows(keyed(df), "__row").drop("__row")
+    out = mixed(df)
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} <= {r[0] for r in made}
-    assert mixing.mixed_rows(keyed(none), "__row").collect() == []
+    assert mixed(none).collect() == []
 
 
 # Extraction

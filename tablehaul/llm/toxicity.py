@@ -30,7 +30,7 @@ NEAREST = 15
 BLOCK = 64
 # Added to a distance before it is inverted, and the weight of the base rate beside the votes.
 SOFT = 0.05
-BASE = 1.0
+BASE = 8.0
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SCORED = (
@@ -89,8 +89,9 @@ class Index:
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """The share of toxic votes; votes weigh by the inverse distance and by how many labelled rows each stands for."""
-        votes = [self.importance[i] / (SOFT + 1 - min(s, 1.0)) for s, i in near]
+        """The share of toxic votes. A vote weighs cosine by distance, times how many labelled rows it stands for, so that
+        a text with one chance term, which is far from all examples, stays near the base rate."""
+        votes = [self.importance[i] * s / (SOFT + 1 - min(s, 1.0)) for s, i in near]
         toxic = sum(v for v, (_, i) in zip(votes, near) if self.labels[i])
         return (toxic + BASE * self.base) / (sum(votes) + BASE)
 

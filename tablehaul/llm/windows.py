@@ -275,20 +275,51 @@ def _fetch(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the first, places in the second) of equal tokens. Of a token that occurs more than once, the place is
+    taken that goes best with the tokens before which occur once, or else with the commonest shift."""
+    held, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = code[: len(a)], code[len(a) :]
+    count_a, count_b = np.bincount(left, minlength=len(held)), np.bincount(right, minlength=len(held))
+    at = np.flatnonzero(count_b[left] > 0)
+    if not len(at):
+        return at, at
+    span = np.int64(len(b) + 1)
+    placed = np.sort(right * span + np.arange(len(b)))
+    # The n-th of equal tokens on one side goes with the n-th on the other, to begin with.
+    order = np.argsort(left, kind="stable")
+    turn = np.empty(len(a), np.int64)
+    turn[order] = np.arange(len(a)) - np.searchsorted(left[order], left[order])
+    own = left[at]
+    nth = placed[np.searchsorted(placed, own * span) + np.minimum(turn[at], count_b[own] - 1)] % span
+    once = (count_a[own] == 1) & (count_b[own] == 1)
+    if once.any():
+        anchors, shifts = at[once], nth[once] - at[once]
+    else:
+        values, often = np.unique(nth - at, return_counts=True)
+        anchors, shifts = at[:1], values[np.argmax(often)][None]
+    near = np.maximum(np.searchsorted(anchors, at, "right") - 1, 0)
+    wanted = np.clip(at + shifts[near], 0, len(b) - 1)
+    after = np.searchsorted(placed, own * span + wanted)
+    after = np.minimum(after, len(placed) - 1)
+    before = np.maximum(after - 1, 0)
+    best = nth.copy()
+    for choice in (before, after):
+        place = placed[choice] % span
+        better = (placed[choice] // span == own) & (np.abs(place - wanted) < np.abs(best - wanted))
+        best[better] = place[better]
+    return at, best
+
+
 def passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(a from, a to, b from, b to, similarity) of near-duplicate passages of two stretches of tokens.
 
     Stretches of the first with matches and no long gap are set against the stretch of the second that their matches
     span; a passage has at least ``width`` tokens on both sides and a Jaccard similarity of at least ``similarity``.
     """
-    order = np.argsort(b, kind="stable")
-    place = np.searchsorted(b[order], a)
-    found = place < len(b)
-    found[found] = b[order][place[found]] == a[found]
-    at = np.flatnonzero(found)
+    at, there = matches(a, b)
     if not len(at):
         return []
-    there = order[place[at]]
     # A passage also ends where the matches jump in the second document.
     cut = np.flatnonzero((np.diff(at) > _GAP) | (np.abs(np.diff(there) - np.diff(at)) > _GAP)) + 1
     out = []

@@ -100,3 +100,29 @@ def test_thin_keeps_small_groups():
     rest = [np.array(x, np.int64) for x in ([5, 4, 3, 2, 1], [0, 1, 2, 3, 4], [0] * 5, [9] * 5)]
     out = windows._thin(value, *rest)
     assert sorted(zip(out[0].tolist(), out[1].tolist())) == [(8, 2), (8, 5), (16, 3), (16, 4), (24, 1)]
+
+
+def test_copies_with_repeated_words(spark, tmp_path):
+    """Equal texts are found whatever repeats inside them."""
+    rng = random.Random(3)
+    line = [f"l{i}" for i in range(9)]
+    texts = []
+    for n in range(30):
+        words = [rng.choice("abc") for _ in range(80)] if n % 3 == 0 else []
+        for _ in range(10):
+            words += line + [f"w{rng.randrange(40 if n % 3 == 1 else 1 << 30)}" for _ in range(rng.randint(2, 9))]
+        texts.append(" ".join(words))
+    made = [(i, t) for i, t in enumerate(texts + texts)] + [(100, "same " * 80), (101, "same " * 80)]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    rows = windows.near_passages(spark.read.parquet(f"{tmp_path}/d")).collect()
+    pairs = {(r["other_id"], r["doc_id"]) for r in rows if r["similarity"] == 1.0}
+    assert {(i, i + 30) for i in range(30)} | {(100, 101)} <= pairs
+
+
+def test_matches():
+    a, b = np.array([1, 2, 3, 2, 9, 2], np.uint32), np.array([7, 1, 2, 3, 2, 9, 2], np.uint32)
+    at, there = windows.matches(a, b)
+    assert at.tolist() == [0, 1, 2, 3, 4, 5] and there.tolist() == [1, 2, 3, 4, 5, 6]
+    at, there = windows.matches(np.array([5, 5, 5], np.uint32), np.array([5, 5, 5], np.uint32))
+    assert at.tolist() == [0, 1, 2]
+    assert [x.tolist() for x in windows.matches(a, np.array([4], np.uint32))] == [[], []]

@@ -6,9 +6,9 @@ holds the smallest token has that token as its min-hash. The windows are the nod
 hashes; only those as wide as the shortest passage are kept, and these are the positions that are smallest in some
 stretch of that width, so the tree is built over them alone, about 2 in 46 of all.
 
-Windows of different documents with equal min-hashes are linked, to the first document and to the one before. For each
-pair of documents the linked windows are joined as intervals: where those of enough hash functions overlap, a passage
-is likely near-duplicate, and the tokens of both sides are fetched and compared.
+Windows of different documents with equal min-hashes are linked, to the first one and to the one before, in the order
+of how far they reach. For each pair of documents the linked windows are joined as intervals: where those of enough hash
+functions overlap, a passage is likely near-duplicate, and the tokens of both sides are fetched and compared.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
     """The windows of a slice, in which a crowd with one value is its first window and, for each other member, the pairs
     with the first and with the one before. A pair is two windows under a value of its own, so that it meets nothing
     else; the function's bits stay."""
-    order = np.lexsort((rest[1], rest[0], value))
+    doc, at, first, last = rest
+    order = np.lexsort((at, doc, last - at, at - first, value))
     value, rest = value[order], [r[order] for r in rest]
     new = np.append(True, value[1:] != value[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
@@ -150,8 +151,9 @@ _LINK_NAMES = [c.split()[0] for c in _LINKS.split(", ")]
 
 
 def _link(batches) -> Iterator[pa.RecordBatch]:
-    """Walks windows in the order of value, document and place; links each to the first of its value and to the one
-    before, if these are of other documents. Groups of up to three get all pairs, larger ones two links a member."""
+    """Walks windows in the order of value, of how far they reach to either side, document and place; links each to the
+    first of its value and to the one before, if these are of other documents. How far a window reaches depends on the
+    tokens around, so copies are neighbours. Groups of up to three get all pairs, larger ones two links a member."""
     head = before = None
     for batch in batches:
         rows = [batch.column(i).to_numpy() for i in range(5)]
@@ -171,6 +173,9 @@ def _link(batches) -> Iterator[pa.RecordBatch]:
         left, right = (np.concatenate(x) for x in zip(*pairs))
         other = rows[1][left] != rows[1][right]
         left, right = left[other], right[other]
+        # The smaller document is always the first of a pair.
+        turned = rows[1][left] > rows[1][right]
+        left, right = np.where(turned, right, left), np.where(turned, left, right)
         if len(left):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[1][left]), pa.array(rows[1][right]), pa.array((value[left] & 7).astype(np.int32))]
@@ -374,7 +379,8 @@ def near_passages(
     if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
         plain = stage(plain.groupBy("doc").agg(F.min("text").alias("text")), "documents")
     windows = plain.mapInArrow(_scan(width), _WINDOWS)
-    dealt = windows.repartition("value").sortWithinPartitions("value", "doc", "at")
+    reach = [F.col("at") - F.col("first"), F.col("last") - F.col("at")]
+    dealt = windows.repartition("value").sortWithinPartitions("value", *reach, "doc", "at")
     links = stage(dealt.mapInArrow(_link, _LINKS), "links")
     by_pair = links.repartition("a", "b").sortWithinPartitions("a", "b")
     pairs = stage(by_pair.mapInArrow(_join_intervals, _PAIRS), "pairs").withColumn("pair", F.monotonically_increasing_id())

@@ -92,7 +92,7 @@ def test_a_passage_of_many_documents(spark, tmp_path):
     rows = windows.near_passages(spark.read.parquet(f"{tmp_path}/d")).collect()
     assert {i for r in rows for i in (r["doc_id"], r["other_id"])} == set(range(120))
     assert len({(r["doc_id"], r["other_id"]) for r in rows}) < 120 * 12
-    assert all(70 <= r["n_words"] <= 80 for r in rows)
+    assert all(50 <= r["n_words"] <= 80 for r in rows)
 
 
 def test_thin_keeps_small_groups():

@@ -19,6 +19,12 @@ SHARDS = 40
 TOXIC = 0.7
 
 
+def decided(rows: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """The rows joined to what was decided of them. Decisions grow with the documents, so they are joined by a shuffle
+    at every size: were small ones broadcast, the plan would change where they outgrow the threshold."""
+    return rows.join(decisions.hint("merge"), "__row", how).drop("__row")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``TOXIC`` or more go."""
     rows = keyed(docs)
@@ -27,14 +33,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), learned_rows(), keep=("__row",))
         return scored.filter(F.col("score") >= TOXIC).select("__row")
 
-    return rows.join(settled(spark, rejected, "toxic"), "__row", "left_anti").drop("__row")
+    return decided(rows, settled(spark, rejected, "toxic"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHashes within two bits stays, the one with the smallest id."""
     rows = keyed(docs)
     stays = settled(spark, lambda: simhash.first_of_each_group(rows, "__row", shingle=3, distance=2), "firsts")
-    return rows.join(stays, "__row", "left_semi").drop("__row")
+    return decided(rows, stays, "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_column="__row")
         return found.filter("n_hit > 0").select(F.col("doc_id").alias("__row"))
 
-    return rows.join(settled(spark, leaked, "leaked"), "__row", "left_anti").drop("__row")
+    return decided(rows, settled(spark, leaked, "leaked"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents of the mixture with their shard and slot."""
     rows = keyed(docs.drop("shard", "slot"))
-    return rows.join(settled(spark, lambda: sharding.assign(rows, SHARDS), "places"), "__row").drop("__row")
+    return decided(rows, settled(spark, lambda: sharding.assign(rows, SHARDS), "places"), "inner")
 
 
 STAGES = [

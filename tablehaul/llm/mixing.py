@@ -165,8 +165,9 @@ def copies(docs: DataFrame, key: str, seed: int = 31, **how) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame, counted: DataFrame, key: str) -> DataFrame:
-    """``docs`` with each row as often as ``counted`` says, those it does not name left out."""
-    named = counted.withColumnRenamed("copies", "__copies")
+    """``docs`` with each row as often as ``counted`` says, those it does not name left out. Joined by a shuffle at every
+    size, since the counts grow with the rows."""
+    named = counted.withColumnRenamed("copies", "__copies").hint("merge")
     return docs.join(named, key).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(
         "__copies", "__copy"
     )

@@ -6,8 +6,8 @@ holds the smallest token has that token as its min-hash. The windows are the nod
 hashes; only those as wide as the shortest passage are kept, and these are the positions that are smallest in some
 stretch of that width, so the tree is built over them alone, about 2 in 46 of all.
 
-Windows of different documents with equal min-hashes are linked, to the first one and to the one before, in the order
-of how far they reach. For each pair of documents the linked windows are joined as intervals: where those of enough hash
+Windows of different documents with equal min-hashes are linked: to the first document, to the one before, and to the
+next that reaches equally far. For each pair of documents the linked windows are joined as intervals: where those of enough hash
 functions overlap, a passage is likely near-duplicate, and the tokens of both sides are fetched and compared.
 """
 
@@ -121,12 +121,21 @@ def _scan(width: int):
     return run
 
 
+def _same_reach(value, doc, at, first, last) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one value that reach equally far to both sides, each with the next such row that is not its
+    neighbour already. How far a window reaches depends on the tokens around, so copies are among them."""
+    order = np.lexsort((at, doc, last - at, at - first, value))
+    a, b = order[:-1], order[1:]
+    same = (value[a] == value[b]) & (at[a] - first[a] == at[b] - first[b]) & (last[a] - at[a] == last[b] - at[b])
+    same &= np.abs(a - b) > 1
+    return a[same], b[same]
+
+
 def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
     """The windows of a slice, in which a crowd with one value is its first window and, for each other member, the pairs
     with the first and with the one before. A pair is two windows under a value of its own, so that it meets nothing
     else; the function's bits stay."""
-    doc, at, first, last = rest
-    order = np.lexsort((at, doc, last - at, at - first, value))
+    order = np.lexsort((rest[1], rest[0], value))
     value, rest = value[order], [r[order] for r in rest]
     new = np.append(True, value[1:] != value[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
@@ -135,7 +144,10 @@ def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
     members = np.flatnonzero(crowded & ~new)
     kept = np.flatnonzero(~crowded | new)
     before = members[members - 1 != start[members]]
-    left, right = np.append(start[members], before - 1), np.append(members, before)
+    a, b = _same_reach(value, *rest)
+    inside = crowded[b]
+    left = np.concatenate([start[members], before - 1, a[inside]])
+    right = np.concatenate([members, before, b[inside]])
     other = rest[0][left] != rest[0][right]
     left, right = left[other], right[other]
     pair = np.zeros(len(left), np.uint64)
@@ -151,9 +163,9 @@ _LINK_NAMES = [c.split()[0] for c in _LINKS.split(", ")]
 
 
 def _link(batches) -> Iterator[pa.RecordBatch]:
-    """Walks windows in the order of value, of how far they reach to either side, document and place; links each to the
-    first of its value and to the one before, if these are of other documents. How far a window reaches depends on the
-    tokens around, so copies are neighbours. Groups of up to three get all pairs, larger ones two links a member."""
+    """Walks windows in the order of value, document and place; links each to the first of its value, to the one before,
+    and to the next in the batch that reaches equally far, if these are of other documents. Groups of up to three get
+    all pairs, larger ones three links a member at most."""
     head = before = None
     for batch in batches:
         rows = [batch.column(i).to_numpy() for i in range(5)]
@@ -170,6 +182,7 @@ def _link(batches) -> Iterator[pa.RecordBatch]:
             ok = (other >= start[here]) & (other < here)
             pairs.append((other[ok], here[ok]))
         pairs[1] = tuple(x[pairs[1][0] != start[pairs[1][1]]] for x in pairs[1])
+        pairs.append(_same_reach(*rows))
         left, right = (np.concatenate(x) for x in zip(*pairs))
         other = rows[1][left] != rows[1][right]
         left, right = left[other], right[other]
@@ -379,8 +392,7 @@ def near_passages(
     if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
         plain = stage(plain.groupBy("doc").agg(F.min("text").alias("text")), "documents")
     windows = plain.mapInArrow(_scan(width), _WINDOWS)
-    reach = [F.col("at") - F.col("first"), F.col("last") - F.col("at")]
-    dealt = windows.repartition("value").sortWithinPartitions("value", *reach, "doc", "at")
+    dealt = windows.repartition("value").sortWithinPartitions("value", "doc", "at")
     links = stage(dealt.mapInArrow(_link, _LINKS), "links")
     by_pair = links.repartition("a", "b").sortWithinPartitions("a", "b")
     pairs = stage(by_pair.mapInArrow(_join_intervals, _PAIRS), "pairs").withColumn("pair", F.monotonically_increasing_id())

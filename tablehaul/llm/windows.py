@@ -29,9 +29,6 @@ LEAST_WORDS = 50
 FUNCTIONS = 4
 ENOUGH = 2
 SIMILARITY = 0.8
-# Windows of one min-hash in a slice from which on they are linked there, and only the first goes on to be linked with
-# those of other slices.
-CROWD = 16
 # Unmatched tokens that end a passage.
 _GAP = 24
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(1, 9)]
@@ -132,30 +129,9 @@ def _same_reach(value, doc, at, first, last) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
-    """The windows of a slice, in which a crowd with one value is its first window and, for each other member, the pairs
-    with the first and with the one before. A pair is two windows under a value of its own, so that it meets nothing
-    else; the function's bits stay."""
+    """The windows of a slice in the order of value, document and place. All of them go on, also those of a crowd."""
     order = np.lexsort((rest[1], rest[0], value))
-    value, rest = value[order], [r[order] for r in rest]
-    new = np.append(True, value[1:] != value[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
-    sizes = np.diff(np.append(np.flatnonzero(new), len(value)))
-    crowded = np.repeat(sizes >= CROWD, sizes)
-    members = np.flatnonzero(crowded & ~new)
-    kept = np.flatnonzero(~crowded | new)
-    before = members[members - 1 != start[members]]
-    a, b = _same_reach(value, *rest)
-    inside = crowded[b]
-    left = np.concatenate([start[members], before - 1, a[inside]])
-    right = np.concatenate([members, before, b[inside]])
-    other = rest[0][left] != rest[0][right]
-    left, right = left[other], right[other]
-    pair = np.zeros(len(left), np.uint64)
-    for x in (value[left], rest[0][left], rest[0][right], rest[1][left], rest[1][right]):
-        pair = (pair ^ x.astype(np.uint64)) * _MIX[6]
-        pair ^= pair >> np.uint64(32)
-    pair = pair & ~np.uint64(7) | value[left] & np.uint64(7)
-    return [np.concatenate([value[kept], pair, pair]), *(np.concatenate([r[kept], r[left], r[right]]) for r in rest)]
+    return [value[order], *(r[order] for r in rest)]
 
 
 _LINKS = "a long, b long, f int, a_at int, a_first int, a_last int, b_at int, b_first int, b_last int"

@@ -126,3 +126,11 @@ def test_matches():
     at, there = windows.matches(np.array([5, 5, 5], np.uint32), np.array([5, 5, 5], np.uint32))
     assert at.tolist() == [0, 1, 2]
     assert [x.tolist() for x in windows.matches(a, np.array([4], np.uint32))] == [[], []]
+
+
+def test_thin_keeps_crowds():
+    """Every member of a crowd goes on under its own value, so that it can meet those of other slices."""
+    value = np.full(40, 8, np.uint64)
+    rest = [np.arange(40), np.zeros(40, np.int64), np.zeros(40, np.int64), np.full(40, 60)]
+    out = windows._thin(value, *rest)
+    assert out[0].tolist() == [8] * 40 and out[1].tolist() == list(range(40))

@@ -6,9 +6,11 @@ holds the smallest token has that token as its min-hash. The windows are the nod
 hashes; only those as wide as the shortest passage are kept, and these are the positions that are smallest in some
 stretch of that width, so the tree is built over them alone, about 2 in 46 of all.
 
-Windows of different documents with equal min-hashes are linked: to the first document, to the one before, and to the
-next that reaches equally far. For each pair of documents the linked windows are joined as intervals: where those of enough hash
-functions overlap, a passage is likely near-duplicate, and the tokens of both sides are fetched and compared.
+Windows of different documents with equal min-hashes are linked. Those with the same tokens throughout are one text, which
+its first window stands for, and the others are linked to that one; what differs is linked all to all, and a value with
+many different windows is dealt as blocks against blocks. For each pair of documents the linked windows are joined as
+intervals: where those of enough hash functions overlap, or one is of equal tokens, a passage is likely near-duplicate, and
+the tokens of both sides are fetched and compared.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehaul.llm.common import packed_texts, slices, stage, text_bytes, unpacked
@@ -29,6 +31,12 @@ LEAST_WORDS = 50
 FUNCTIONS = 4
 ENOUGH = 2
 SIMILARITY = 0.8
+# Different windows of one min-hash that are linked in one go; more are dealt in blocks of so many.
+BLOCK = 256
+# Added to the function of a link between windows of equal tokens.
+EXACT = 8
+# Pairs of a document that are fetched with one copy of its text.
+LOT = 256
 # Unmatched tokens that end a passage.
 _GAP = 24
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(1, 9)]
@@ -77,7 +85,14 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return chosen, first, last
 
 
-_WINDOWS = "value long, doc long, at int, first int, last int"
+_WINDOWS = "value long, doc long, first int, last int, content long"
+# An odd number, whose powers weigh the tokens of a sum, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)), dtype=np.uint64)
 
 
 def _scan(width: int):
@@ -99,6 +114,9 @@ def _scan(width: int):
                     tokens[begin : begin + len(held[i])] = held[i]
                 walls = begins + sizes - 1
                 names = docs[long]
+                # Sums by which the tokens of any stretch get a hash that does not depend on where it stands.
+                sums = np.append(np.uint64(0), np.cumsum(tokens * _powers(_BASE, len(tokens))[:-1], dtype=np.uint64))
+                back = _powers(_INVERSE, len(tokens))
                 for f in range(FUNCTIONS):
                     values = (tokens ^ (tokens >> np.uint64(29))) * _MIX[f]
                     values ^= values >> np.uint64(31)
@@ -109,69 +127,117 @@ def _scan(width: int):
                     inside = at != walls[own]
                     at, first, last, own = at[inside], first[inside], last[inside], own[inside]
                     marked = tokens[at] & ~np.uint64(7) | np.uint64(f)
-                    rows = _thin(marked, names[own], *(x - begins[own] for x in (at, first, last)))
+                    content = (sums[last + 1] - sums[first]) * back[first] ^ (last - first).astype(np.uint64) * _MIX[6]
+                    rows = _thin(marked, names[own], first - begins[own], last - begins[own], content)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[0].view(np.int64)), pa.array(rows[1])] + [pa.array(x.astype(np.int32)) for x in rows[2:]],
-                        names=["value", "doc", "at", "first", "last"],
+                        [pa.array(rows[0].view(np.int64)), pa.array(rows[1])]
+                        + [pa.array(x.astype(np.int32)) for x in rows[2:4]] + [pa.array(rows[4].view(np.int64))],
+                        names=["value", "doc", "first", "last", "content"],
                     )
 
     return run
 
 
-def _same_reach(value, doc, at, first, last) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with one value that reach equally far to both sides, each with the next such row that is not its
-    neighbour already. How far a window reaches depends on the tokens around, so copies are among them."""
-    order = np.lexsort((at, doc, last - at, at - first, value))
-    a, b = order[:-1], order[1:]
-    same = (value[a] == value[b]) & (at[a] - first[a] == at[b] - first[b]) & (last[a] - at[a] == last[b] - at[b])
-    same &= np.abs(a - b) > 1
-    return a[same], b[same]
-
-
 def _thin(value: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
     """The windows of a slice in the order of value, document and place. All of them go on, also those of a crowd."""
     order = np.lexsort((rest[1], rest[0], value))
     return [value[order], *(r[order] for r in rest)]
 
 
-_LINKS = "a long, b long, f int, a_at int, a_first int, a_last int, b_at int, b_first int, b_last int"
+_LINKS = "cell long, a long, b long, f int, a_first int, a_last int, b_first int, b_last int"
 _LINK_NAMES = [c.split()[0] for c in _LINKS.split(", ")]
 
 
+def _link_rows(f: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links of windows (doc, first, last) of different documents, the smaller document first."""
+    other = left[0] != right[0]
+    turned = left[0] > right[0]
+    a, b = ([np.where(turned, y, x)[other] for x, y in zip(*sides)] for sides in ((left, right), (right, left)))
+    if len(a[0]):
+        cells = np.zeros(len(a[0]), np.int64)
+        yield _link_batch(cells, a[0], b[0], f[other], a[1], a[2], b[1], b[2])
+
+
+def _link_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], names=_LINK_NAMES)
+
+
+def _all_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of all pairs with one ``group``, which is sorted, some hundred thousand at a time."""
+    new = np.append(True, group[1:] != group[:-1])
+    turn = np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+    here, apart, held, size = np.arange(len(group)), 1, [], 0
+    while len(here := here[turn[here] >= apart]):
+        held.append((here - apart, here))
+        size += len(here)
+        if size > 200_000:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+        apart += 1
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _linked(value, doc, first, last, content) -> Iterator[pa.RecordBatch]:
+    """The links of whole groups of one value. In rows with a ``cell`` other than 0 they are windows instead, (a: doc, b:
+    value, f: side, a_first, a_last), that cell by cell are linked later: side 0 with side 1, and all of side 2."""
+    # The least document's window stands for all of equal tokens, under every function alike.
+    order = np.lexsort((first, doc, content, value))
+    value, doc, first, last, content = (x[order] for x in (value, doc, first, last, content))
+    new = np.append(True, (value[1:] != value[:-1]) | (content[1:] != content[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
+    copies, rows = np.flatnonzero(~new), [doc, first, last]
+    yield from _link_rows((value[copies] & 7) + EXACT, [r[start[copies]] for r in rows], [r[copies] for r in rows])
+    value, rows = value[new], [r[new] for r in rows]
+    begins = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    sizes = np.diff(np.append(begins, len(value)))
+    small = np.repeat(sizes <= BLOCK, sizes)
+    few, held = value[small], [r[small] for r in rows]
+    for left, right in _all_pairs(few):
+        yield from _link_rows(few[left] & 7, [r[left] for r in held], [r[right] for r in held])
+    for begin, size in zip(begins[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist()):
+        blocks = -(-size // BLOCK)
+        for i in range(blocks):
+            here = slice(begin + i * BLOCK, begin + min(size, (i + 1) * BLOCK))
+            n, with_block = here.stop - here.start, np.arange(blocks)
+            low, high = np.minimum(i, with_block), np.maximum(i, with_block)
+            cell = (low.astype(np.uint64) * _MIX[6] ^ high.astype(np.uint64) * _MIX[5]) + value[begin].astype(np.uint64)
+            cell = ((cell ^ cell >> np.uint64(29)) * _MIX[4] | np.uint64(1)).view(np.int64)
+            side = np.where(with_block == i, 2, np.where(with_block > i, 0, 1))
+            doc, first, last = (np.tile(r[here], blocks) for r in rows)
+            yield _link_batch(np.repeat(cell, n), doc, np.full(n * blocks, value[begin]), np.repeat(side, n), first, last, first, last)
+
+
 def _link(batches) -> Iterator[pa.RecordBatch]:
-    """Walks windows in the order of value, document and place; links each to the first of its value, to the one before,
-    and to the next in the batch that reaches equally far, if these are of other documents. Groups of up to three get
-    all pairs, larger ones three links a member at most."""
-    head = before = None
+    """Takes windows in the order of their values and links those of one value (``_linked``)."""
+    held = None
     for batch in batches:
         rows = [batch.column(i).to_numpy() for i in range(5)]
         if not len(rows[0]):
             continue
-        if before is not None:
-            rows = [np.append([h, p], r) for h, p, r in zip(head, before, rows)]
-        value = rows[0]
-        new = np.append(True, value[1:] != value[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
-        here = np.arange(2 if before is not None else 0, len(value))
-        pairs = []
-        for other in (start[here], here - 1):
-            ok = (other >= start[here]) & (other < here)
-            pairs.append((other[ok], here[ok]))
-        pairs[1] = tuple(x[pairs[1][0] != start[pairs[1][1]]] for x in pairs[1])
-        pairs.append(_same_reach(*rows))
-        left, right = (np.concatenate(x) for x in zip(*pairs))
-        other = rows[1][left] != rows[1][right]
-        left, right = left[other], right[other]
-        # The smaller document is always the first of a pair.
-        turned = rows[1][left] > rows[1][right]
-        left, right = np.where(turned, right, left), np.where(turned, left, right)
-        if len(left):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[1][left]), pa.array(rows[1][right]), pa.array((value[left] & 7).astype(np.int32))]
-                + [pa.array(rows[c][x].astype(np.int32)) for x in (left, right) for c in (2, 3, 4)],
-                names=_LINK_NAMES,
-            )
-        head, before = [r[start[-1]] for r in rows], [r[-1] for r in rows]
+        if held is not None:
+            rows = [np.append(h, r) for h, r in zip(held, rows)]
+        # The last value may go on in the next batch.
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield from _linked(*(r[:cut] for r in rows))
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield from _linked(*held)
+
+
+def _link_cells(batches) -> Iterator[pa.RecordBatch]:
+    """The links of the windows in each cell (see ``_linked``)."""
+    for _, held in _grouped(batches, 1):
+        doc, value, side, first, last = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (1, 2, 3, 4, 5))
+        # Two values may fall into one cell by chance.
+        for v in np.unique(value):
+            at = [np.flatnonzero((side == i) & (value == v)) for i in range(3)]
+            pairs = [(np.repeat(at[0], len(at[1])), np.tile(at[1], len(at[0])))]
+            pairs += [(at[2][left], at[2][right]) for left, right in _all_pairs(np.zeros(len(at[2])))]
+            for left, right in pairs:
+                yield from _link_rows(value[left] & 7, [r[left] for r in (doc, first, last)], [r[right] for r in (doc, first, last)])
 
 
 _PAIRS = "a long, b long, a_from int, a_to int, b_from int, b_to int"
@@ -180,11 +246,13 @@ _PAIRS = "a long, b long, a_from int, a_to int, b_from int, b_to int"
 def overlapping(links: np.ndarray, enough: int) -> list[tuple[int, int, int, int]]:
     """(a_from, a_to, b_from, b_to) of where the linked windows of one pair of documents overlap for enough functions.
 
-    ``links`` are rows (f, a_at, a_first, a_last, b_at, b_first, b_last). A sweep over the first document opens windows
-    at their first and closes them after their last token; while enough functions are open, the windows belong together.
+    ``links`` are rows (f, a_first, a_last, b_first, b_last). A sweep over the first document opens windows at their
+    first and closes them after their last token; while enough functions, or a link of equal tokens, are open, the
+    windows belong together.
     """
-    events = sorted([(r[2], 0, i) for i, r in enumerate(links)] + [(r[3] + 1, -1, i) for i, r in enumerate(links)])
-    functions, open_by = links[:, 0].tolist(), [0] * 8
+    links = np.unique(links, axis=0)
+    events = sorted([(r[1], 0, i) for i, r in enumerate(links)] + [(r[2] + 1, -1, i) for i, r in enumerate(links)])
+    functions, open_by = links[:, 0].tolist(), [0] * 2 * EXACT
     active: set[int] = set()
     joined: list[int] = []
     agreeing, out = 0, []
@@ -193,16 +261,16 @@ def overlapping(links: np.ndarray, enough: int) -> list[tuple[int, int, int, int
         if closing == 0:
             active.add(i)
             open_by[f] += 1
-            agreeing += open_by[f] == 1
+            agreeing += (open_by[f] == 1) * (enough if f >= EXACT else 1)
             if agreeing >= enough:
                 joined += [i] if joined else active
         else:
             active.discard(i)
             open_by[f] -= 1
-            agreeing -= open_by[f] == 0
+            agreeing -= (open_by[f] == 0) * (enough if f >= EXACT else 1)
             if joined and agreeing < enough:
                 held = links[sorted(joined)]
-                out.append((held[:, 2].min(), held[:, 3].max(), held[:, 5].min(), held[:, 6].max()))
+                out.append((held[:, 1].min(), held[:, 2].max(), held[:, 3].min(), held[:, 4].max()))
                 joined = []
     return [tuple(int(x) for x in o) for o in out]
 
@@ -230,8 +298,8 @@ def _grouped(batches, keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]
 def _join_intervals(batches) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for (a, b), held in _grouped(batches, 2):
-        links = np.concatenate([np.column_stack([h.column(i).to_numpy() for i in range(2, 9)]) for h in held])
-        if len(np.unique(links[:, 0])) >= ENOUGH:
+        links = np.concatenate([np.column_stack([h.column(i).to_numpy() for i in range(2, 7)]) for h in held])
+        if links[:, 0].max() >= EXACT or len(np.unique(links[:, 0])) >= ENOUGH:
             out += [(a, b, *o) for o in overlapping(links, ENOUGH)]
         if len(out) > 20_000:
             yield _pair_rows(out)
@@ -331,6 +399,8 @@ def passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> lis
 
 _FOUND = "doc_id long, start_word long, n_words long, other_id long, other_start long, other_words long, similarity double"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+# A hash of the tokens where both sides have the same.
+_VERIFIED = _FOUND + ", copy long"
 
 
 def _verify(width: int, similarity: float):
@@ -342,25 +412,52 @@ def _verify(width: int, similarity: float):
                 continue
             a, b = (np.frombuffer(sides[i]["tokens"], np.uint32) for i in (0, 1))
             for low, high, begin, end, score in passages(a, b, width, similarity):
+                held_by_both = a[low : high + 1].tobytes()
+                copy = xxhash.xxh3_64_intdigest(held_by_both) - (1 << 63) if held_by_both == b[begin : end + 1].tobytes() else None
                 rows.append((
                     sides[1]["doc"], sides[1]["begin"] + begin, end - begin + SHINGLE,
-                    sides[0]["doc"], sides[0]["begin"] + low, high - low + SHINGLE, score,
+                    sides[0]["doc"], sides[0]["begin"] + low, high - low + SHINGLE, score, copy,
                 ))
-        kinds = [pa.int64()] * 6 + [pa.float64()]
-        columns = list(zip(*rows)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_FOUND_NAMES)
+            if len(rows) > 50_000:
+                yield _found_rows(rows)
+                rows = []
+        yield _found_rows(rows)
 
     return run
 
 
+def _found_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
+    columns = list(zip(*rows)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*_FOUND_NAMES, "copy"])
+
+
+def _copies_as_stars(verified: DataFrame) -> DataFrame:
+    """The rows, in which those of equal passages are one for each place with the first that has the passage, and one
+    with the place before: as many as places, where all to all would be their square."""
+    copies = verified.filter("copy is not null")
+    places = copies.select("copy", F.col("doc_id").alias("doc"), F.col("start_word").alias("at"), F.col("n_words").alias("n")).union(
+        copies.select("copy", "other_id", "other_start", "other_words")
+    ).distinct()
+    by_copy = Window.partitionBy("copy").orderBy("doc", "at")
+    place = F.struct("doc", "at")
+    linked = places.withColumn("others", F.array_distinct(F.array(F.first(place).over(by_copy), F.lag(place).over(by_copy))))
+    linked = linked.select("doc", "at", "n", F.explode("others").alias("other")).filter("other.doc != doc")
+    stars = linked.select(
+        F.col("doc").alias("doc_id"), F.col("at").alias("start_word"), F.col("n").alias("n_words"), F.col("other.doc").alias("other_id"),
+        F.col("other.at").alias("other_start"), F.col("n").alias("other_words"), F.lit(1.0).alias("similarity"),
+    )
+    return verified.filter("copy is null").drop("copy").union(stars)
+
+
 def near_passages(
     docs: DataFrame, words: int = LEAST_WORDS, similarity: float = SIMILARITY, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, start_word, n_words, other_id, other_start, other_words, similarity): passages of at least ``words``
     words of different documents whose sets of five-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    In a class of many documents with one passage each is set against the first and against the one before, and in a
-    crowd inside a slice of text against those of the slice, not all against all. Null, empty and short texts and rows without an id have no passages; rows of one id are one document,
+    Of many documents with the very same passage each is named with the first and with the one before, not all with all;
+    passages that differ are set against each other all to all. Null, empty and short texts and rows without an id have no passages; rows of one id are one document,
     that of the smallest text; other columns are not read. No rows give none.
     """
     width = words - SHINGLE + 1
@@ -368,8 +465,10 @@ def near_passages(
     if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
         plain = stage(plain.groupBy("doc").agg(F.min("text").alias("text")), "documents")
     windows = plain.mapInArrow(_scan(width), _WINDOWS)
-    dealt = windows.repartition("value").sortWithinPartitions("value", "doc", "at")
+    dealt = windows.repartition("value").sortWithinPartitions("value")
     links = stage(dealt.mapInArrow(_link, _LINKS), "links")
+    cells = links.filter("cell != 0").repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells, _LINKS)
+    links = links.filter("cell = 0").union(cells).drop("cell")
     by_pair = links.repartition("a", "b").sortWithinPartitions("a", "b")
     pairs = stage(by_pair.mapInArrow(_join_intervals, _PAIRS), "pairs").withColumn("pair", F.monotonically_increasing_id())
     pairs = stage(pairs, "numbered")
@@ -379,7 +478,8 @@ def near_passages(
     ]
     wanted = sides[0].union(sides[1])
     # A document that many pairs name is fetched in several rows, so that none grows with the number of its pairs.
-    wanted = wanted.withColumn("lot", F.pmod(F.col("w.pair"), F.lit(8))).groupBy("doc", "lot").agg(F.collect_list("w").alias("wanted"))
+    lots = wanted.groupBy("doc").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    wanted = wanted.join(lots, "doc").withColumn("lot", F.pmod(F.xxhash64("w.pair"), "lots")).groupBy("doc", "lot").agg(F.collect_list("w").alias("wanted"))
     fetched = packed_texts(plain).join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_fetch, _SIDES)
     ordered = fetched.repartition("pair").sortWithinPartitions("pair", "side")
-    return ordered.mapInArrow(_verify(width, similarity), _FOUND)
+    return _copies_as_stars(stage(ordered.mapInArrow(_verify(width, similarity), _VERIFIED), "verified"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,40 @@ def test_thin_keeps_crowds():
     rest = [np.arange(40), np.zeros(40, np.int64), np.zeros(40, np.int64), np.full(40, 60)]
     out = windows._thin(value, *rest)
     assert out[0].tolist() == [8] * 40 and out[1].tolist() == list(range(40))
+
+
+def test_families_of_edits(spark, tmp_path):
+    """Near copies are found though, by their ids, documents stand between them that share single tokens but are far
+    from all of them; their pairs are those of a comparison of all passages with all."""
+    rng = random.Random(11)
+    made, passages = [], {}
+    for family in range(8):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for member in range(12):
+            words = list(base)
+            for at in range(rng.randrange(11), 120, 11) if member % 2 == 0 else [rng.randrange(120)]:
+                words[at] = f"e{rng.randrange(1 << 40)}"
+            passages[family * 100 + member] = set(windows.tokens_of(" ".join(words).encode()).tolist())
+            around = [[f"x{rng.randrange(1 << 40)}" for _ in range(rng.randint(30, 90))] for _ in range(2)]
+            made.append((family * 100 + member, " ".join(around[0] + words + around[1])))
+    wanted = {
+        (i, j) for i, a in passages.items() for j, b in passages.items() if i < j and len(a & b) >= 0.8 * len(a | b)
+    }
+    spark.createDataFrame(made, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    rows = windows.near_passages(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert len(wanted) > 50 and wanted <= {(r["other_id"], r["doc_id"]) for r in rows}
+
+
+def test_blocks_link_all_pairs(monkeypatch):
+    """A value with more windows than a block links all pairs of different ones, each once, and copies to the first."""
+    monkeypatch.setattr(windows, "BLOCK", 4)
+    n = 23
+    content = np.append(np.arange(n), [3, 3])
+    doc = np.append(np.arange(n), [50, 51])
+    rows = [np.full(n + 2, 16), doc, np.zeros(n + 2, np.int64), np.full(n + 2, 60), content]
+    batches = [windows.pa.RecordBatch.from_arrays([windows.pa.array(r[a : a + 7]) for r in rows], names=list("abcde")) for a in range(0, n + 2, 7)]
+    out = windows.pa.Table.from_batches(windows._link(batches))
+    cells = out.filter(windows.pa.compute.not_equal(out["cell"], 0)).sort_by("cell").to_batches()
+    links = out.filter(windows.pa.compute.equal(out["cell"], 0)).to_pylist() + [r for b in windows._link_cells(cells) for r in b.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in links if r["f"] < 8) == [(i, j) for i in range(n) for j in range(i + 1, n)]
+    assert sorted((r["a"], r["b"]) for r in links if r["f"] >= 8) == [(3, 50), (3, 51)]

@@ -373,28 +373,84 @@ def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, best
 
 
+def _chains(at: np.ndarray, there: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Matches without a long gap and without a jump in the second document. A stray match, of a token that stands
+    elsewhere too, does not end the chain around it."""
+    shift = there - at
+    cut = np.flatnonzero((np.diff(at) > _GAP) | (np.abs(np.diff(shift)) > _GAP)) + 1
+    open_chains: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    out = []
+    for x, y in zip(np.split(at, cut), np.split(there, cut)):
+        going = [c for c in open_chains if x[0] - c[-1][0][-1] <= _GAP]
+        out += [c for c in open_chains if x[0] - c[-1][0][-1] > _GAP]
+        apart = [abs(int(y[0] - x[0] - c[-1][1][-1] + c[-1][0][-1])) for c in going]
+        if apart and min(apart) <= _GAP:
+            going[apart.index(min(apart))].append((x, y))
+        else:
+            going.append([(x, y)])
+        open_chains = going
+    return [tuple(np.concatenate(side) for side in zip(*c)) for c in out + open_chains]
+
+
+def _widened(low: int, high: int, begin: int, end: int, sizes: tuple[int, int], width: int) -> tuple[int, int, int, int] | None:
+    """The two stretches with as many tokens around, the same on both sides, as they lack to be ``width`` long."""
+    lacking = width - min(high - low, end - begin) - 1
+    if lacking <= 0:
+        return low, high, begin, end
+    before = min(lacking, low, begin)
+    after = min(lacking - before, sizes[0] - 1 - high, sizes[1] - 1 - end)
+    return (low - before, high + after, begin - before, end + after) if before + after == lacking else None
+
+
+def _score(a: np.ndarray, b: np.ndarray) -> float:
+    left, right = np.unique(a), np.unique(b)
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common / (len(left) + len(right) - common)
+
+
+def _longest(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[int, int]:
+    """The first and last match of the longest run of matches that are ``similarity`` of the tokens they span: with c of
+    a and b tokens in common, c * (1 + similarity) >= similarity * (a + b), which adds up along the run."""
+    n = np.arange(len(x))
+    spent = similarity * (x + y)
+    upto = np.maximum.accumulate(((1 + similarity) * (n + 1) - spent - 2 * similarity)[::-1])[::-1]
+    # The last place from which ``upto`` is not below what the run begins with.
+    last = len(x) - np.searchsorted(upto[::-1], (1 + similarity) * n - spent - 1e-9) - 1
+    span = np.where(last >= n, x[np.maximum(last, 0)] - x, -1)
+    i = int(np.argmax(span))
+    return (i, int(last[i])) if span[i] >= 0 else (0, -1)
+
+
 def passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(a from, a to, b from, b to, similarity) of near-duplicate passages of two stretches of tokens.
 
     Stretches of the first with matches and no long gap are set against the stretch of the second that their matches
-    span; a passage has at least ``width`` tokens on both sides and a Jaccard similarity of at least ``similarity``.
+    span; a passage has at least ``width`` tokens on both sides and a Jaccard similarity of at least ``similarity``. Where
+    a whole stretch is less similar, the longest parts of it that are similar enough are taken. One that lacks some tokens
+    to the width takes unmatched ones at its borders.
     """
     at, there = matches(a, b)
     if not len(at):
         return []
-    # A passage also ends where the matches jump in the second document.
-    cut = np.flatnonzero((np.diff(at) > _GAP) | (np.abs(np.diff(there) - np.diff(at)) > _GAP)) + 1
     out = []
-    for x, y in zip(np.split(at, cut), np.split(there, cut)):
-        low, high, begin, end = int(x[0]), int(x[-1]), int(y.min()), int(y.max())
-        if high - low + 1 < width or end - begin + 1 < width:
-            continue
-        left, right = np.unique(a[low : high + 1]), np.unique(b[begin : end + 1])
-        common = len(np.intersect1d(left, right, assume_unique=True))
-        score = common / (len(left) + len(right) - common)
-        if score >= similarity:
-            out.append((low, high, begin, end, score))
-    return out
+    left = _chains(at, there)
+    while left:
+        x, y = left.pop()
+        # Matches are as many as common tokens where none repeats; the sets decide, so bounds around are tried.
+        for bound in (0.0, similarity - 0.1, similarity - 0.05, similarity, (1 + similarity) / 2, 1.0):
+            i, j = _longest(x, y, bound) if bound else (0, len(x) - 1)
+            if j < i:
+                continue
+            found = _widened(int(x[i]), int(x[j]), int(y[i : j + 1].min()), int(y[i : j + 1].max()), (len(a), len(b)), width)
+            if found is None:
+                continue
+            low, high, begin, end = found
+            score = _score(a[low : high + 1], b[begin : end + 1])
+            if score >= similarity:
+                out.append((low, high, begin, end, score))
+                left += [(x[p], y[p]) for p in (slice(0, i), slice(j + 1, None)) if len(x[p]) * (1 + similarity) >= similarity * width]
+                break
+    return sorted(out)
 
 
 _FOUND = "doc_id long, start_word long, n_words long, other_id long, other_start long, other_words long, similarity double"

@@ -172,3 +172,43 @@ def test_blocks_link_all_pairs(monkeypatch):
     links = out.filter(windows.pa.compute.equal(out["cell"], 0)).to_pylist() + [r for b in windows._link_cells(cells) for r in b.to_pylist()]
     assert sorted((r["a"], r["b"]) for r in links if r["f"] < 8) == [(i, j) for i in range(n) for j in range(i + 1, n)]
     assert sorted((r["a"], r["b"]) for r in links if r["f"] >= 8) == [(3, 50), (3, 51)]
+
+
+def spans(a, b, **by):
+    return [p[:4] for p in windows.passages(np.array(a, np.uint32), np.array(b, np.uint32), by.get("width", 46), 0.8)]
+
+
+def test_passages_with_sparse_matches_around():
+    """A copy of 56 shingles is found whatever matches more thinly before or after it."""
+    copy, line = list(range(1000, 1056)), list(range(2000, 2006))
+    assert spans(copy + list(range(19)) + line, copy + list(range(100, 119)) + line) == [(0, 55, 0, 55)]
+    assert spans(line + list(range(19)) + copy, line + list(range(100, 119)) + copy) == [(25, 80, 25, 80)]
+    # Two copies with other text between, and matches that jump inside a copy.
+    second = list(range(3000, 3060))
+    got = spans(copy + list(range(22)) + second, copy + list(range(100, 122)) + second)
+    assert {(0, 55), (78, 137)} <= {(x[0], x[1]) for x in got} or got[0][:2] == (0, 137)
+    moved = copy[:28] + [7] + copy[28:]
+    assert spans(moved, copy[:28] + [8] + copy[28:] + list(range(300, 400)) + [7])[0][:2] == (0, 56)
+
+
+def test_passages_with_an_edited_border():
+    """45 of 46 shingles are common if the first or last word of 50 is another."""
+    base = list(range(46))
+    assert spans([900] + base[1:], [901] + base[1:]) == [(0, 45, 0, 45)]
+    assert spans(base[:-1] + [900], base[:-1] + [901]) == [(0, 45, 0, 45)]
+    assert spans(base[:-1], base[:-1]) == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_passages_against_all_stretches(seed):
+    """Where any two stretches on one diagonal are similar enough, a passage that overlaps them is found."""
+    rng = random.Random(seed)
+    a = list(range(90))
+    b = [t if rng.random() < rng.choice([0.8, 0.9, 0.97]) else 1000 + t for t in a]
+    got = spans(a, b, width=20)
+    for i in range(90):
+        for j in range(i + 19, 90):
+            common = len(set(a[i : j + 1]) & set(b[i : j + 1]))
+            if common >= 0.8 * (2 * (j + 1 - i) - common):
+                assert any(x[0] <= j and x[1] >= i for x in got), (i, j, got)
+    assert all(x[1] - x[0] >= 19 for x in got)

@@ -28,8 +28,8 @@ from tablehaul.llm.common import packed_texts, slices, stage, text_bytes, unpack
 SHINGLE = 5
 # Words of the shortest passage, hash functions, and how many of them have to agree before tokens are compared.
 LEAST_WORDS = 50
-FUNCTIONS = 4
-ENOUGH = 2
+FUNCTIONS = 6
+ENOUGH = 3
 SIMILARITY = 0.8
 # Different windows of one min-hash that are linked in one go; more are dealt in blocks of so many.
 BLOCK = 256

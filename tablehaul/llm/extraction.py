@@ -24,7 +24,15 @@ from tablehaul.llm.labelled_pages import labelled_page
 # Labelled pages that the model is fitted to.
 TRAINING_PAGES = 390
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# The text of scripts, styles, fields and titles goes on to the end of the page if they are not closed, that of the others
+# only counts as theirs if they are closed; an svg that ends in "/>" is empty. What stands in noscript is text.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?:(template|iframe)\b{_ATTRIBUTES}|(svg)\b{_ATTRIBUTES}(?<!/))>.*?</(?:\2|\3)\s*>"
+    rf"|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -127,17 +135,17 @@ def parse(source: str) -> Page:
     for found in _TOKEN.finditer(source):
         add(source[last : found.start()], last)
         last = found.end()
-        name = (found[3] or "").lower()
+        name = (found["name"] or "").lower()
         if not name:
             continue
         if name == "a":
-            state["link"] = 0 if found[2] else 1
+            state["link"] = 0 if found["end"] else 1
         elif name == "br":
             run.append(" ")
         if name not in _BLOCKS:
             continue
         flush()
-        if found[2]:
+        if found["end"]:
             if name != "html" and any(n == name for n, _ in open_nodes[1:]):
                 close({name}, set())
             continue
@@ -148,7 +156,7 @@ def parse(source: str) -> Page:
         if name not in _VOID:
             page.parents.append(open_nodes[-1][1])
             page.kinds.append(name)
-            page.hints.append(_hints(found[4]) if found[4] else ())
+            page.hints.append(_hints(found["attributes"]) if found["attributes"] else ())
             page.texts.append(None)
             page.linked.append(0)
             page.offsets.append(found.start())

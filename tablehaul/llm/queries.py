@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import decontamination, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
+from tablehaul.llm import decontamination, exact, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
 from tablehaul.llm.common import keyed, table
 
 QUERIES = {}
@@ -148,3 +148,17 @@ def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
 def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's main text."""
     return extraction.extract(table(spark, folder, "pages"))
+
+
+@register
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the one that stays of all that are equal but for white space."""
+    return exact.duplicates(table(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+ORACLES["op13_exact"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+r AS (SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size,
+  first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept FROM d
+  WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM r"""

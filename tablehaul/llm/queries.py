@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import decontamination, exact, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
+from tablehaul.llm import collocations, decontamination, exact, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
 from tablehaul.llm.common import keyed, table
 
 QUERIES = {}
@@ -162,3 +162,32 @@ r AS (SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size,
   first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept FROM d
   WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM r"""
+
+
+@register
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's 2000 phrases of two to five words that score highest."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+# Every phrase with its count, its cuts and their parts' counts, and the phrases of one word more around it.
+ORACLES["op11_collocations"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g
+  FROM w, (SELECT unnest(range(1, 6)) AS k) t WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+scored AS (SELECT c.lang, c.k, c.g, c.c, c.a, l.f AS l, r.f AS r, n,
+    CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.k = c.c AND l.g = list_slice(c.g, 1, c.c)
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - c.c AND r.g = list_slice(c.g, c.c + 1, c.k)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, k, g[1:k-1] AS g, a FROM best UNION ALL SELECT lang, k, g[2:k], a FROM best),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.k = b.k + 1 AND i.g = b.g AND 100 * i.a >= 100 * b.a)),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked QUALIFY rank <= 2000"""

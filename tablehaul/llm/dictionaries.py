@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows with a body are slices, of which each may have several parts; rows with a word are dictionary entries of a part.
+# In the former, local and count are sums over the slice.
 CODED = "slice long, part string, body binary, local int, word string, count long"
 _NAMES = [c.split()[0] for c in CODED.split(", ")]
 _KINDS = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
@@ -53,16 +54,19 @@ def unsqueezed(held: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.dtype(held[:2].decode()))
 
 
-def coded_batches(number: int, part: str | None, body: bytes, numbers: Numbers, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A slice's part and the entries of its dictionary whose count is not 0."""
-    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((number, part, body, None, None, None), _KINDS)], names=_NAMES)
+def coded_batches(
+    number: int, part: str | None, body: bytes, numbers: Numbers, counts: np.ndarray, rows: int | None = None, total: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """A slice's part, with a number of its rows and one of its words where these are of use, and the entries of its
+    dictionary whose count is not 0."""
+    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((number, part, body, rows, None, total), _KINDS)], names=_NAMES)
     words = pa.array(numbers, pa.binary()).cast(pa.string())
     n = len(words)
-    rows = pa.RecordBatch.from_arrays([
+    entries = pa.RecordBatch.from_arrays([
         pa.array(np.full(n, number)), pa.array([part] * n, pa.string()), pa.nulls(n, pa.binary()),
         pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts.astype(np.int64)),
     ], names=_NAMES)
-    yield rows.filter(pa.array(counts > 0))
+    yield entries.filter(pa.array(counts > 0))
 
 
 def with_numbers(coded: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.llm import collocations, decontamination, exact, extraction, imatch, mixing, packing, sharding, simhash, suffix, toxicity, windows
+from tablehaul.llm import collocations, decontamination, exact, extraction, imatch, mixing, packing, search, sharding, simhash, suffix, toxicity, windows
 from tablehaul.llm.common import keyed, table
 
 QUERIES = {}
@@ -191,3 +191,26 @@ kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.l
 ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM ranked QUALIFY rank <= 2000"""
+
+
+@register
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Each benchmark item's ten documents that rank highest."""
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+# All scores of items and documents, summed over their common terms.
+ORACLES["op12_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+corpus AS (SELECT CAST(sum(CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS term FROM d) t GROUP BY k, doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, n_docs),
+items AS (SELECT i, item_id, term, count(*) AS times FROM
+  (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) t GROUP BY i, item_id, term),
+scores AS (SELECT i, item_id, k, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term), corpus GROUP BY i, item_id, k, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""

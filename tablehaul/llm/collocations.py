@@ -1,9 +1,11 @@
 """Phrases that occur more often than their parts would by chance, counted in counting quotient filters.
 
-1. Texts become slices of word numbers with a dictionary each (``dictionaries``). Word counts of all slices give the words
-   that are frequent enough to be in any phrase, and their ids; all others end a stretch, as punctuation does.
-2. Each slice counts its two-word phrases into a filter (``quotients``), cut into ranges of the permuted keys. A range is
-   merged over all slices. What goes back to a slice is one bit for each key it sent: is it frequent in all?
+1. Texts become slices of word numbers with a dictionary each. Slices count hashes of their words into filters
+   (``quotients``), cut into ranges of the keys, and a range is merged over all slices. What goes back to a slice is one bit
+   for each key it sent: is it frequent in all? Words beyond that bit are counted again as themselves, so a hash that two
+   words share adds work but no error, and those that are frequent get ids. All others end a stretch, as punctuation does.
+2. Each slice counts its two-word phrases of ids into such filters, whose keys are permuted and not hashed, so the merged
+   ranges hold exact counts of exact phrases. One bit for each key goes back again.
 3. A longer phrase is counted only where both phrases of one word less, that it begins and ends with, are frequent. So
    each length is one more round, and no count is ever an estimate.
 
@@ -16,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import ranked, remove_staged, slices, stage, text_bytes
-from tablehaul.llm.dictionaries import CODED, Numbers, coded_batches, renumbering, slice_numbers, squeezed, unsqueezed, with_numbers
-from tablehaul.llm.quotients import Layout, counted, decoded, encoded
+from tablehaul.llm.common import remove_staged, slices, stage, text_bytes
+from tablehaul.llm.dictionaries import Numbers, slice_numbers, squeezed, unsqueezed
+from tablehaul.llm.quotients import Hashes, Layout, counted, decoded, encoded
 
 # Bytes of text in a slice, and of filters in a range.
 SLICE = 12 << 20
@@ -44,7 +47,13 @@ def words_and_ends(text: bytes, most: int = 4 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+_TEXTS = "slice long, part string, tokens binary, words binary, total long, entries long"
+_TEXT_NAMES = [c.split()[0] for c in _TEXTS.split(", ")]
+
+
 class _Slice:
+    """Texts by language as numbers of words, 0 for what ends a piece, and the words in the order of their numbers."""
+
     def __init__(self):
         self.numbers, self.tokens, self.size = {}, {}, 0
 
@@ -61,12 +70,19 @@ class _Slice:
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         for part, numbers in self.numbers.items():
             tokens = np.concatenate(self.tokens[part])
-            counts = np.bincount(tokens, minlength=len(numbers))
-            counts[0] = 0
-            yield from coded_batches(number, part, squeezed(tokens), numbers, counts)
+            row = (number, part, squeezed(tokens), packed_words(list(numbers)), int((tokens > 0).sum()), len(numbers) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=_TEXT_NAMES)
         self.__init__()
 
 
+def packed_words(words: list[bytes]) -> bytes:
+    return squeezed(np.frombuffer(b" ".join(words), np.uint8))
+
+
+def unpacked_words(held: bytes) -> list[bytes]:
+    return unsqueezed(held).tobytes().split(b" ")
+
+
 def _encode(batches) -> Iterator[pa.RecordBatch]:
     held, names = _Slice(), slice_numbers()
     for batch in batches:
@@ -78,6 +94,81 @@ def _encode(batches) -> Iterator[pa.RecordBatch]:
     yield from held.batches(next(names))
 
 
+def _hashes(words: list[bytes], layout: Hashes) -> np.ndarray:
+    return layout.keys(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+
+def _word_filters(batches) -> Iterator[pa.RecordBatch]:
+    """From (slice, part, bits, cuts, tokens, words) the filters of the words' hashes."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            row = part.to_pylist()[0]
+            words, layout = unpacked_words(row["words"]), Hashes(row["bits"])
+            counts = np.bincount(unsqueezed(row["tokens"]), minlength=len(words))[1:]
+            keys, sums, _ = counted([_hashes(words[1:], layout)], counts)
+            name = (row["slice"], row["part"], row["bits"], row["cuts"])
+            yield from _in_batches(_filter_rows(name, keys, sums, layout))
+
+
+_WORDS = "slice long, part string, range long, words binary, counts binary, flags binary"
+_WORD_NAMES = [c.split()[0] for c in _WORDS.split(", ")]
+_WORD_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _dealt(words: list[bytes], flags: np.ndarray, layout: Hashes, cuts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the flagged words, by ranges; the ranges; where each begins)."""
+    numbers = np.flatnonzero(flags)
+    ranges = (_hashes([words[i] for i in numbers], layout) >> np.uint64(layout.width - layout.range_bits(cuts))).astype(np.int64)
+    order = np.argsort(ranges, kind="stable")
+    found, begin = np.unique(ranges[order], return_index=True)
+    return numbers[order], found, begin
+
+
+def _likely_words(batches) -> Iterator[pa.RecordBatch]:
+    """From (slice, part, bits, cuts, tokens, words, answers) the words whose hash is frequent, with their counts, by
+    ranges, and a bit for each word."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            row = part.to_pylist()[0]
+            words, layout = unpacked_words(row["words"]), Hashes(row["bits"])
+            counts = np.bincount(unsqueezed(row["tokens"]), minlength=len(words))
+            keys, _, place = counted([_hashes(words[1:], layout)])
+            flags = np.append(False, _answered(row["answers"], keys, layout, row["cuts"])[place].astype(bool))
+            numbers, ranges, begin = _dealt(words, flags, layout, row["cuts"])
+            rows = [(row["slice"], row["part"], None, None, None, squeezed(np.packbits(flags)))]
+            for r, own in zip(ranges.tolist(), np.split(numbers, begin[1:])):
+                rows.append((row["slice"], row["part"], r, packed_words([words[i] for i in own]), squeezed(counts[own]), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _WORD_KINDS)], names=_WORD_NAMES)
+
+
+_KNOWN = "part string, word string, id long, f long, slice long, range long, ids binary"
+_KNOWN_NAMES = [c.split()[0] for c in _KNOWN.split(", ")]
+_KNOWN_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _number_words(least: int):
+    """From (part, range, slice, cuts, words, counts), in this order, the frequent words with an id each, and for each slice
+    the ids of what it sent, 0 for a word that is not frequent. Ranges take turns, so the ids are almost without gaps."""
+
+    def answer(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part, range_ = key
+        held = [unpacked_words(r[2]) for r in rows]
+        coded = pa.array([w for words in held for w in words], pa.binary()).dictionary_encode()
+        sums = np.bincount(coded.indices.to_numpy(), np.concatenate([unsqueezed(r[3]) for r in rows])).astype(np.int64)
+        often = sums >= least
+        ids = np.where(often, range_ + ((np.cumsum(often) - 1) << rows[0][1]) + 1, 0)
+        sent = np.split(ids[coded.indices.to_numpy()], np.cumsum([len(w) for w in held])[:-1])
+        n, m = int(often.sum()), len(rows)
+        words = coded.dictionary.filter(pa.array(often)).cast(pa.string())
+        for columns in (
+            ([part] * n, words, ids[often], sums[often], pa.nulls(n), pa.nulls(n), pa.nulls(n)),
+            ([part] * m, pa.nulls(m), pa.nulls(m), pa.nulls(m), [r[0] for r in rows], [range_] * m, [squeezed(s) for s in sent]),
+        ):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.StringArray) else pa.array(c, k) if not isinstance(c, pa.NullArray) else c.cast(k) for c, k in zip(columns, _KNOWN_KINDS)], names=_KNOWN_NAMES)
+
+    return _by_group(answer, 6)
+
+
 _ROUND = "slice long, part string, bits int, cuts int, range long, filter binary, tokens binary, held binary"
 _ROUND_NAMES = [c.split()[0] for c in _ROUND.split(", ")]
 _ROUND_KINDS = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -101,9 +192,13 @@ def _ranges(keys: list[np.ndarray], layout: Layout, cuts: int) -> tuple[np.ndarr
 
 def _filters(name: tuple, tokens: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple]:
     """The rows of a slice's filters of the phrases that begin at ``at``."""
-    slice_, part, bits, cuts = name
-    layout = Layout(length, bits)
+    layout = Layout(length, name[2])
     keys, counts, _ = counted(_phrase_keys(tokens, at, layout, length))
+    yield from _filter_rows(name, keys, counts, layout)
+
+
+def _filter_rows(name: tuple, keys: list[np.ndarray], counts: np.ndarray, layout: Layout | Hashes) -> Iterator[tuple]:
+    slice_, part, bits, cuts = name
     if not len(counts):
         return
     number, begin, left = _ranges(keys, layout, cuts)
@@ -113,13 +208,27 @@ def _filters(name: tuple, tokens: np.ndarray, at: np.ndarray, length: int) -> It
         yield slice_, part, bits, cuts, r, held, None, None
 
 
+def _answered(answers: list[dict], keys: list[np.ndarray], layout: Layout | Hashes, cuts: int) -> np.ndarray:
+    """The bits that came back for sorted keys."""
+    _, begin, _ = _ranges(keys, layout, cuts)
+    sizes = np.diff(np.append(begin, len(keys[0])))
+    held = sorted(answers, key=lambda a: a["range"])
+    bits = [np.unpackbits(np.frombuffer(a["frequent"], np.uint8), count=n) for a, n in zip(held, sizes)]
+    return np.concatenate(bits) if bits else np.zeros(0, np.uint8)
+
+
 def _pairs(batches) -> Iterator[pa.RecordBatch]:
-    """From (slice, part, bits, cuts, body, numbers): the words' ids, and the filters of two words."""
+    """From (slice, part, bits, cuts, hash_bits, hash_cuts, tokens, words, flags, answers: range and ids): the ids of the
+    slice's words one after the other, and the filters of two words."""
     for batch in batches:
         for part in slices(batch, 1):
             row = part.to_pylist()[0]
-            local = unsqueezed(row["body"])
-            tokens = renumbering(row["numbers"], int(local.max()) + 1)[local].astype("<u4" if row["bits"] <= 32 else "<u8")
+            words = unpacked_words(row["words"])
+            flags = np.unpackbits(unsqueezed(row["flags"]), count=len(words))
+            numbers, _, _ = _dealt(words, flags, Hashes(row["hash_bits"]), row["hash_cuts"])
+            ids = np.zeros(len(words), "<u4" if row["bits"] <= 32 else "<u8")
+            ids[numbers] = np.concatenate([unsqueezed(a["ids"]) for a in sorted(row["answers"], key=lambda a: a["range"])])
+            tokens = ids[unsqueezed(row["tokens"])]
             name = (row["slice"], row["part"], row["bits"], row["cuts"])
             yield _round_rows([(*name, None, None, squeezed(tokens), None)])
             yield from _in_batches(_filters(name, tokens, _starts(tokens), 2))
@@ -157,12 +266,8 @@ def _longer(length: int):
                     at = _both(np.unpackbits(unsqueezed(row["held"]), count=len(tokens)))
                 layout = Layout(length - 1, row["bits"])
                 keys, _, place = counted(_phrase_keys(tokens, at, layout, length - 1))
-                _, begin, _ = _ranges(keys, layout, row["cuts"])
-                sizes = np.diff(np.append(begin, len(keys[0])))
-                answers = sorted(row["answers"], key=lambda a: a["range"])
-                frequent = np.concatenate([np.unpackbits(np.frombuffer(a["frequent"], np.uint8), count=n) for a, n in zip(answers, sizes)])
                 flags = np.zeros(len(tokens), np.uint8)
-                flags[at] = frequent[place]
+                flags[at] = _answered(row["answers"], keys, layout, row["cuts"])[place]
                 if flags.any():
                     yield _round_rows([(*name, None, None, None, squeezed(np.packbits(flags)))])
                     yield from _in_batches(_filters(name, tokens, _both(flags), length))
@@ -181,12 +286,13 @@ _MERGED_KINDS = [pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.i
 
 
 def _merge(length: int, least: int):
-    """From (part, range, slice, bits, cuts, filter), in this order, the frequent phrases and the answer to each filter."""
+    """From (part, range, slice, bits, cuts, filter), in this order, the frequent phrases and the answer to each filter. A
+    ``length`` of 0 stands for hashes of words, of which there are only answers."""
 
     def answer(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         part, range_ = key
         bits, cuts = rows[0][1:3]
-        layout = Layout(length, bits)
+        layout = Layout(length, bits) if length else Hashes(bits)
         left = layout.width - layout.range_bits(cuts)
         held = [decoded(r[3], left, layout.tails) for r in rows]
         keys = [np.concatenate(k) for k in zip(*(k for k, _ in held))]
@@ -197,17 +303,25 @@ def _merge(length: int, least: int):
         n = len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
             ([part] * n, [None] * n, [None] * n, [r[0] for r in rows], [range_] * n, flags), _MERGED_KINDS)], names=_MERGED_NAMES)
+        if not length:
+            return
         found = [k[often] for k in merged]
-        found[0] = found[0] | np.uint64(range_) << np.uint64(left) if left < 64 else found[0]
+        found[0] = found[0] | np.uint64(range_) << np.uint64(left)
         ids, n = np.stack(layout.ids(found), axis=1).astype(np.int64), int(often.sum())
         words = pa.ListArray.from_arrays(np.arange(0, n * length + 1, length, dtype=np.int32), ids.ravel())
         nulls = [pa.nulls(n, k) for k in _MERGED_KINDS[3:]]
         yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.string()), words, pa.array(sums[often]), *nulls], names=_MERGED_NAMES)
 
+    return _by_group(answer, 6)
+
+
+def _by_group(answer, columns: int):
+    """Collects the rows of each value of the first two columns, which come one after the other."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(columns))):
                 if row[:2] != key:
                     if held:
                         yield from answer(key, held)
@@ -219,33 +333,60 @@ def _merge(length: int, least: int):
     return run
 
 
+def _merged(rows: DataFrame, length: int, least: int) -> DataFrame:
+    """The staged result of merging a round's filters."""
+    filters = rows.filter("filter is not null").select("part", "range", "slice", "bits", "cuts", "filter")
+    dealt = filters.repartition("part", "range").sortWithinPartitions("part", "range", "slice")
+    return stage(dealt.mapInArrow(_merge(length, least), _MERGED), "merged")
+
+
+def _answers(merged: DataFrame, held: str) -> DataFrame:
+    """What goes back to each part of a slice."""
+    return merged.filter(F.col(held).isNotNull()).groupBy("slice", "part").agg(F.collect_list(F.struct("range", held)).alias("answers"))
+
+
+def _cuts(entries: Column, each: int) -> Column:
+    """The bits by which keys are cut into ranges, so that filters of so many entries make ranges of some megabytes."""
+    ranges = F.floor(entries * each / RANGE)
+    return F.when(ranges > 0, F.length(F.bin(ranges))).otherwise(0).cast("int")
+
+
 def _counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frequent phrases: part, words, f; frequent words: part, word, id, f; languages: part, n)."""
-    coded = stage(docs.mapInArrow(_encode, CODED), "coded")
-    vocabulary = stage(coded.filter("word is not null").groupBy("part", "word").agg(F.sum("count").alias("f")), "vocabulary")
-    frequent = vocabulary.filter(F.col("f") >= least).withColumn("cell", F.pmod(F.xxhash64("word"), F.lit(256)))
-    known = stage(ranked(frequent, ["part"], "cell", ["word"], "before").select("part", "word", "f", (F.col("before") + 1).alias("id")), "words")
-    bits = F.length(F.bin(F.coalesce(F.sum((F.col("f") >= least).cast("long")), F.lit(0)))).cast("int")
-    # A phrase takes some four bytes in a filter.
-    cuts = (F.length(F.bin(F.floor(F.sum("f") * 4 / RANGE))) - F.when(F.sum("f") * 4 < RANGE, 1).otherwise(0)).cast("int")
-    langs = stage(vocabulary.groupBy("part").agg(F.sum("f").alias("n"), bits.alias("bits"), cuts.alias("cuts")), "languages")
+    coded = stage(docs.mapInArrow(_encode, _TEXTS), "coded")
+    # Eight bits more than the words of a language need to be told apart: one in 256 or fewer shares its hash.
+    sums = coded.groupBy("part").agg(F.sum("total").alias("n"), F.sum("entries").alias("entries"))
+    langs = stage(sums.select(
+        "part", "n", F.least(F.length(F.bin("n")) + 8, F.lit(62)).cast("int").alias("hash_bits"), _cuts(F.col("entries"), 4).alias("hash_cuts"),
+        _cuts(F.col("n"), 4).alias("cuts"),
+    ), "languages")
+    hashed = coded.join(langs, "part").select("slice", "part", F.col("hash_bits").alias("bits"), F.col("hash_cuts").alias("cuts"), "tokens", "words")
+    likely = _merged(hashed.mapInArrow(_word_filters, _ROUND), 0, least)
+    asked = hashed.join(_answers(likely, "frequent"), ["slice", "part"]).select("slice", "part", "bits", "cuts", "tokens", "words", "answers")
+    sent = stage(asked.mapInArrow(_likely_words, _WORDS), "words")
+    dealt = sent.filter("words is not null").join(langs.select("part", "hash_cuts"), "part").select("part", "range", "slice", "hash_cuts", "words", "counts")
+    dealt = dealt.repartition("part", "range").sortWithinPartitions("part", "range", "slice")
+    numbered = stage(dealt.mapInArrow(_number_words(least), _KNOWN), "known")
+    known = numbered.filter("word is not null").select("part", "word", "id", "f")
+    bits = known.groupBy("part").agg(F.length(F.bin(F.max("id"))).cast("int").alias("bits"))
     found = [known.select("part", F.array("id").alias("words"), "f")]
-    numbered = with_numbers(coded, known, ["part"]).join(langs.select("part", "bits", "cuts"), "part")
-    rows = stage(numbered.select("slice", "part", "bits", "cuts", "body", "numbers").mapInArrow(_pairs, _ROUND), "round")
+
+    flags = sent.filter("flags is not null").select("slice", "part", "flags")
+    ready = coded.join(flags, ["slice", "part"]).join(_answers(numbered, "ids"), ["slice", "part"]).join(langs, "part").join(bits, "part")
+    rows = stage(ready.select(
+        "slice", "part", "bits", "cuts", "hash_bits", "hash_cuts", "tokens", "words", "flags", "answers").mapInArrow(_pairs, _ROUND), "round")
+    remove_staged(sent)
     tokens = rows.filter("tokens is not null").select("slice", "part", "bits", "cuts", "tokens")
     for length in range(2, longest + 1):
-        filters = rows.filter("filter is not null").select("part", "range", "slice", "bits", "cuts", "filter")
-        dealt = filters.repartition("part", "range").sortWithinPartitions("part", "range", "slice")
-        merged = stage(dealt.mapInArrow(_merge(length, least), _MERGED), "merged")
+        merged = _merged(rows, length, least)
         phrases = merged.filter("words is not null").select("part", "words", "f")
         if phrases.isEmpty():
             break
         found.append(phrases)
         if length < longest:
-            answers = merged.filter("frequent is not null").groupBy("slice", "part").agg(F.collect_list(F.struct("range", "frequent")).alias("answers"))
             held = rows.filter("held is not null").select("slice", "part", "held")
             state = tokens.join(held, ["slice", "part"]) if length > 2 else tokens.withColumn("held", F.lit(None).cast("binary"))
-            state = state.join(answers, ["slice", "part"]).select("slice", "part", "bits", "cuts", "tokens", "held", "answers")
+            state = state.join(_answers(merged, "frequent"), ["slice", "part"]).select("slice", "part", "bits", "cuts", "tokens", "held", "answers")
             made = stage(state.mapInArrow(_longer(length + 1), _ROUND), "round")
             if length > 2:
                 remove_staged(rows)

@@ -12,8 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Rows with a body are slices, of which each may have several parts; rows with a word are dictionary entries of a part.
 # In the former, local and count are sums over the slice.
@@ -67,23 +65,3 @@ def coded_batches(
         pa.array(np.arange(n, dtype=np.int32)), words, pa.array(counts.astype(np.int64)),
     ], names=_NAMES)
     yield entries.filter(pa.array(counts > 0))
-
-
-def with_numbers(coded: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """(slice, part, body, numbers: local and id) of the slices that hold words of ``known`` (``keys`` and ``word``, id)."""
-    entries = coded.filter("word is not null").select("slice", "part", "local", "word")
-    on = [*keys, "word"]
-    found = entries.join(known.select(*on, "id"), on).groupBy("slice", "part").agg(
-        F.collect_list(F.struct("local", "id")).alias("numbers")
-    )
-    bodies = coded.filter("body is not null").select("slice", "part", "body")
-    same = (bodies["slice"] == found["slice"]) & bodies["part"].eqNullSafe(found["part"])
-    return bodies.join(found, same).select(bodies["slice"], bodies["part"], "body", "numbers")
-
-
-def renumbering(numbers: list[dict], size: int) -> np.ndarray:
-    """For each local number the id, or 0 where there is none."""
-    out = np.zeros(size, np.int64)
-    if numbers:
-        out[[x["local"] for x in numbers]] = [x["id"] for x in numbers]
-    return out

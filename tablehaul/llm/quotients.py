@@ -83,6 +83,21 @@ class Layout:
         return min(bits, self.width)
 
 
+class Hashes:
+    """Keys that are the first ``bits`` bits of a hash of 64."""
+
+    tails: list[int] = []
+
+    def __init__(self, bits: int):
+        self.width = bits
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.width)
+
+    def range_bits(self, bits: int) -> int:
+        return min(bits, self.width)
+
+
 def counted(keys: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(sorted distinct keys, their counts, for each given key its place among them)."""
     if len(keys) == 1:

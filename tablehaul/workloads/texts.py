@@ -9,6 +9,7 @@ from tablehaul.dialects import DIALECTS, NAME_LIMITS, ORACLE, ORACLE_RESERVED, P
 from tablehaul.functions import literals as L
 from tablehaul.functions import names as N
 from tablehaul.functions import text as X
+from tablehaul.operators.scripts import split_chunks
 from tablehaul.workloads.registry import register, table
 
 _RESERVED = ", ".join(f"'{w}'" for w in ORACLE_RESERVED)
@@ -168,6 +169,23 @@ def split_statements(spark, folder):
     return X.split_statements(scripts, "script", "doc_id")
 
 
+@register(
+    "split_chunked_script",
+    f"""SELECT lang AS script, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) - 1 AS BIGINT) AS statement_no,
+        CAST(0 AS BIGINT) AS part_no, statement FROM (SELECT lang, doc_id, 0 AS k, {_INSERT} AS statement FROM documents
+        UNION ALL SELECT lang, doc_id, 1, {_UPDATE} FROM documents) t""",
+)
+def split_chunked_script(spark, folder):
+    """The statements of one script per language, which comes in chunks that are cut anywhere."""
+    script = F.expr(f"concat({_INSERT}, ';', chr(10), {_UPDATE}, ' ;; ', chr(10))")
+    scripts = table(spark, folder, "documents").select("lang", "doc_id", script.alias("script"))
+    size = 61 + F.col("doc_id") % 400
+    begins = F.sequence(F.lit(1).cast("long"), F.length("script").cast("long"), size)
+    chunks = scripts.select("lang", "doc_id", "script", size.alias("size"), F.posexplode(begins).alias("at", "begin"))
+    cut = chunks.select("lang", "doc_id", "at", F.col("script").substr(F.col("begin").cast("int"), F.col("size").cast("int")).alias("text"))
+    return split_chunks(cut, ("doc_id", "at"), script="lang")
+
+
 @register(
     "format_event",
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || CASE WHEN event_type = 'error' THEN ' - ERROR: ' ELSE ' - ' END

@@ -16,13 +16,14 @@ from tablehaul.functions.names import fold_text
 from tablehaul.operators.aggregates import count_rows
 from tablehaul.operators.checks import null_violations, orphans, reconcile_counts, unique_violations
 from tablehaul.operators.conform import conform
-from tablehaul.session import scratch_scope
+from tablehaul.session import fresh_path, scratch_scope
 from tablehaul.sources.load import (
     Metrics, create_empty, discard, discard_jdbc, observed, publish, publish_jdbc, target_exists, write_staged,
     write_staged_jdbc,
 )
 from tablehaul.sources.scan import JdbcTable
 from tablehaul.sources.script import ScriptTable, multi_table_script, write_script
+from tablehaul.sources.versions import Store, StoredTable
 from tablehaul.typemap import ColumnSpec, create_column_types
 
 SCHEMA_AND_DATA, SCHEMA_ONLY, DATA_ONLY = "schema_and_data", "schema_only", "data_only"
@@ -37,7 +38,7 @@ class TableJob:
 
     name: str
     df: DataFrame
-    target: str | JdbcTable
+    target: str | JdbcTable | StoredTable
     specs: tuple[ColumnSpec, ...]
     primary_key: tuple[str, ...] = ()
     unique_keys: tuple[tuple[str, ...], ...] = ()
@@ -71,6 +72,8 @@ def _conformed(job: TableJob, source: str, target: str) -> DataFrame:
 def _exists(job: TableJob) -> bool:
     if isinstance(job.target, JdbcTable):
         return jdbc_columns(job.df.sparkSession, job.target) is not None
+    if isinstance(job.target, StoredTable):
+        return job.target.store.exists(job.df.sparkSession, job.target.name)
     return target_exists(job.df.sparkSession, job.target)
 
 
@@ -95,7 +98,12 @@ def is_missing_table(message: str) -> bool:
 def _check_columns(job: TableJob, wanted: DataFrame) -> None:
     """An existing target must have every column that is to be written."""
     spark = job.df.sparkSession
-    there = jdbc_columns(spark, job.target) or [] if isinstance(job.target, JdbcTable) else spark.read.parquet(job.target).columns
+    if isinstance(job.target, JdbcTable):
+        there = jdbc_columns(spark, job.target) or []
+    elif isinstance(job.target, StoredTable):
+        there = job.target.store.read(spark, job.target.name).columns
+    else:
+        there = spark.read.parquet(job.target).columns
     held = {c.lower() for c in there}
     lacking = [c for c in wanted.columns if c.lower() not in held]
     if lacking:
@@ -130,35 +138,73 @@ def _write_beside(job: TableJob, source: str, target: str, check: bool = True) -
         raise MigrationError(f"target of {job.name} does not exist")
     identity = fold_text(job.identity, target) if job.identity else ""
     watched, read = observed(ready, identity, job.increment)
-    if isinstance(job.target, JdbcTable):
-        staging = write_staged_jdbc(watched, job.target, create_column_types(list(job.specs), source, target, target))
-        written = replace(staging, one_task=True).read(spark) if check else None
-    else:
-        staging = write_staged(watched, job.target)
-        written = spark.read.schema(ready.schema).parquet(staging)
+    held: dict[object, tuple[object, list[str]]] = {}
     try:
-        broken = broken_rules(written, job, target) if check else []
-        if broken:
-            raise MigrationError(f"{job.name} is refused: {first_few(broken, MISSING_COLUMNS_SHOWN, 'rules')}")
+        if isinstance(job.target, JdbcTable):
+            # The rows are checked in files first, so the database sees only what it will take, and nothing is read back.
+            path = fresh_path(spark, "checked")
+            try:
+                watched.write.parquet(path)
+                written = spark.read.schema(ready.schema).parquet(path)
+                _refuse_broken(written, job, target, check)
+                types = create_column_types(list(job.specs), source, target, target)
+                staging = write_staged_jdbc(written, job.target, types)
+            finally:
+                discard(spark, [path])
+        elif isinstance(job.target, StoredTable):
+            staging = job.target.store.write(watched, job.target.name)
+            held[job.target] = staging, ready.columns
+            _refuse_broken(spark.read.schema(ready.schema).parquet(job.target.store.path(staging)), job, target, check)
+        else:
+            staging = write_staged(watched, job.target)
+            held[job.target] = staging, ready.columns
+            _refuse_broken(spark.read.schema(ready.schema).parquet(staging), job, target, check)
     except Exception:
-        _discard(spark, {job.target: (staging, ready.columns)})
+        _discard(spark, held)
         raise
     return staging, read()
 
 
+def _refuse_broken(written: DataFrame, job: TableJob, target: str, check: bool) -> None:
+    broken = broken_rules(written, job, target) if check else []
+    if broken:
+        raise MigrationError(f"{job.name} is refused: {first_few(broken, MISSING_COLUMNS_SHOWN, 'rules')}")
+
+
+def _of(staged: dict[object, tuple[object, list[str]]], kind: type) -> dict:
+    return {t: s for t, s in staged.items() if isinstance(t, kind)}
+
+
 def _publish(
     spark: SparkSession, staged: dict[object, tuple[object, list[str]]],
     on_clear_failure: Callable[[str, str], bool] | None = None,
 ) -> None:
-    """Files are swapped in first, as that can be undone; then database tables are filled, each database all or none."""
-    files = {t: s for t, (s, _) in staged.items() if not isinstance(t, JdbcTable)}
-    tables = {t: s for t, s in staged.items() if isinstance(t, JdbcTable)}
-    publish(spark, files, on_clear_failure, then=(lambda: publish_jdbc(spark, tables)) if tables else None)
+    """Files are swapped in first, then each store commits all its tables in one step, as both can be undone; then database
+    tables are filled, each database all or none."""
+
+    def rest() -> None:
+        undo: list[tuple[Store, dict[str, str | None]]] = []
+        try:
+            for store in {t.store: None for t in _of(staged, StoredTable)}:
+                changes = {t.name: s for t, (s, _) in _of(staged, StoredTable).items() if t.store == store}
+                before = store.manifest(spark)
+                store.commit(spark, changes, before)
+                undo.append((store, {name: before.tables.get(name) for name in changes}))
+            if _of(staged, JdbcTable):
+                publish_jdbc(spark, _of(staged, JdbcTable))
+        except Exception:
+            for store, changes in undo:
+                store.commit(spark, changes)
+            raise
+
+    publish(spark, {t: s for t, (s, _) in _of(staged, str).items()}, on_clear_failure, then=rest)
 
 
 def _discard(spark: SparkSession, staged: dict[object, tuple[object, list[str]]]) -> None:
-    discard(spark, [s for t, (s, _) in staged.items() if not isinstance(t, JdbcTable)])
-    discard_jdbc(spark, [(t, s) for t, (s, _) in staged.items() if isinstance(t, JdbcTable)])
+    discard(spark, [s for _, (s, _) in _of(staged, str).items()])
+    for table, (folder, _) in _of(staged, StoredTable).items():
+        table.store.discard(spark, [folder])
+    discard_jdbc(spark, [(t, s) for t, (s, _) in _of(staged, JdbcTable).items()])
 
 
 def copy_table(
@@ -256,15 +302,20 @@ def _create_empty(job: TableJob, source: str, target: str) -> None:
         types = create_column_types(list(job.specs), source, target, target)
         options = job.target.write_options() | {"createTableColumnTypes": types}
         ready.limit(0).write.format("jdbc").options(**options).mode("errorifexists").save()
+    elif isinstance(job.target, StoredTable):
+        store, spark = job.target.store, job.df.sparkSession
+        store.commit(spark, {job.target.name: store.write(ready.limit(0), job.target.name)})
     else:
         create_empty(ready, job.target)
 
 
 class Run(NamedTuple):
-    """What a run loaded per table, and the comparison of both sides' row counts."""
+    """What a run loaded per table, the comparison of both sides' row counts, and the tables in databases that could not be
+    counted after the commit, with what the database said: their rows are in, and they are not in the comparison."""
 
     metrics: dict[str, Metrics]
     report: DataFrame
+    uncounted: dict[str, str]
 
 
 def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, schema: str = "", check: bool = True) -> Run:
@@ -305,16 +356,33 @@ def run_migration(mode: str, jobs: list[TableJob], source: str, target: str, sch
         except Exception:
             _discard(spark, staged)
             raise
-    loaded = {j.name: _loaded(j, source, target) for j in jobs}
+    there, uncounted = _counted_there(jobs, source, target, schema)
     here = _counted(jobs, metrics, schema)
-    report = reconcile_counts(here, count_rows(loaded, schema))
-    return Run(metrics, report)
+    if uncounted:
+        here = here.filter(~F.col("table_name").isin(*uncounted))
+    return Run(metrics, reconcile_counts(here, there), uncounted)
+
+
+def _counted_there(jobs: list[TableJob], source: str, target: str, schema: str) -> tuple[DataFrame, dict[str, str]]:
+    """The targets' row counts; a table in a database is counted there. The rows are in by now, so what the database
+    refuses is returned and not raised."""
+    spark = jobs[0].df.sparkSession
+    rows, failed = [], {}
+    for job in jobs:
+        if isinstance(job.target, JdbcTable):
+            try:
+                rows.append((schema, job.name, job.target.count(spark).first()[0]))
+            except Exception as error:
+                failed[job.name] = str(error)
+    counts = spark.createDataFrame(rows, "table_schema string, table_name string, row_count long")
+    files = {j.name: _loaded(j, source, target) for j in jobs if not isinstance(j.target, JdbcTable)}
+    return (counts.unionByName(count_rows(files, schema)) if files else counts), failed
 
 
 def _loaded(job: TableJob, source: str, target: str) -> DataFrame:
     spark = job.df.sparkSession
-    if isinstance(job.target, JdbcTable):
-        return job.target.read(spark)
+    if isinstance(job.target, StoredTable):
+        return job.target.store.read(spark, job.target.name)
     return spark.read.schema(_conformed(job, source, target).schema).parquet(job.target)
 
 

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tablehaul.dialects import NAME_LIMITS, check_dialect
 from tablehaul.functions.names import quote_text
 from tablehaul.sources.scan import JdbcTable
 
@@ -131,22 +132,28 @@ def replace_load(df: DataFrame, target: str, on_clear_failure: Callable[[str, st
 
 
 def staging_of(table: JdbcTable) -> JdbcTable:
-    """A table of its own beside ``table`` in the database."""
-    return replace(table, table=f"{table.table}__stg_{uuid.uuid4().hex[:8]}", split="", predicates=(), one_task=True)
+    """A table of its own beside ``table`` in the database. What makes its name its own comes first, so that no limit on
+    names can cut it off; of the table's name follows what fits."""
+    limit = NAME_LIMITS[check_dialect(table.dialect)]
+    name = f"stg_{uuid.uuid4().hex[:12]}_{table.table}"
+    while len(name.encode()) > limit:
+        name = name[:-1]
+    return replace(table, table=name, split="", predicates=(), one_task=True)
 
 
 def write_staged_jdbc(df: DataFrame, table: JdbcTable, column_types: str = "", batch: int = 1000) -> JdbcTable:
     """Write the whole frame, in parallel and in batches, into a new table beside its target, and return that table.
 
     Each partition is a connection of its own that commits for itself; what a task that fails has written goes away
-    with the staging table.
+    with the staging table. A table that this call has not created itself is never dropped.
     """
-    staging = staging_of(table)
+    spark, staging = df.sparkSession, staging_of(table)
     options = staging.write_options(batch) | ({"createTableColumnTypes": column_types} if column_types else {})
+    spark.createDataFrame([], df.schema).write.format("jdbc").options(**options).mode("errorifexists").save()
     try:
-        df.write.format("jdbc").options(**options).mode("errorifexists").save()
+        append_jdbc(df, staging, batch)
     except Exception:
-        run_statements(df.sparkSession, table, [f"DROP TABLE {staging.reference}"], quiet=True)
+        run_statements(spark, table, [f"DROP TABLE {staging.reference}"], quiet=True)
         raise
     return staging
 

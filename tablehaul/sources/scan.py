@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER, check_dialect
 from tablehaul.functions.names import quote_text, table_reference
@@ -38,13 +41,50 @@ def hash_predicates(column: str, count: int, dialect: str) -> tuple[str, ...]:
     return (f"{found[0]} OR {quoted} IS NULL", *found[1:])
 
 
+def literal(value: object, dialect: str) -> str:
+    """A key's value as a condition writes it."""
+    if isinstance(value, datetime.datetime):
+        text = f"'{value:%Y-%m-%d %H:%M:%S.%f}'"
+        return f"CAST({text} AS datetime2)" if dialect == SQLSERVER else f"TIMESTAMP {text}"
+    if isinstance(value, datetime.date):
+        return f"CAST('{value}' AS date)" if dialect == SQLSERVER else f"DATE '{value}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return str(value)
+
+
+def even_predicates(column: str, heads: list, dialect: str, tie: str = "") -> tuple[str, ...]:
+    """Conditions that part a table's rows at the ``heads`` of equally large parts of its sorted keys; each row meets one.
+
+    The first also takes the nulls. A key that is the head of several parts has more rows than one part: its rows are
+    dealt out by a hash of the column ``tie``, if one is given, else they stay together.
+    """
+    quoted = quote_text(column, check_dialect(dialect))
+    order = sorted(h for h in heads if h is not None)
+    values = sorted(set(order))
+    if not values:
+        return (f"{quoted} IS NULL OR {quoted} IS NOT NULL",)
+    found, begin = [f"{quoted} IS NULL OR {quoted} < {literal(values[0], dialect)}"], None
+    for i, value in enumerate(values):
+        here = literal(value, dialect)
+        times = order.count(value)
+        begin = f"{quoted} >= {here}"
+        if times > 1 and tie:
+            found += [f"{quoted} = {here} AND ({p})" for p in hash_predicates(tie, times, dialect)]
+            begin = f"{quoted} > {here}"
+        found.append(begin + (f" AND {quoted} < {literal(values[i + 1], dialect)}" if i + 1 < len(values) else ""))
+    return tuple(found)
+
+
 @dataclass(frozen=True)
 class JdbcTable:
     """A table in a database.
 
-    It is read in parallel by a numeric, date or timestamp ``split`` column, or by ``predicates`` that part its rows,
-    as ``hash_predicates`` makes them for other keys. Without either it would go through one task, which has to be asked
-    for with ``one_task``.
+    It is read in parallel by a ``split`` column, whose sorted keys the database cuts into ``partitions`` parts of equal
+    size, however its values lie; a key with more rows than a part is dealt out by the column ``tie``. ``predicates`` part
+    the rows in another way, as ``hash_predicates`` does. Without either a table would go through one task, which has to
+    be asked for with ``one_task``. ``even=False`` cuts a numeric, date or timestamp split into ranges of equal width,
+    which spares the database a sort where there is no index and suits keys without gaps.
     """
 
     url: str
@@ -57,6 +97,8 @@ class JdbcTable:
     fetch: int = 1000
     predicates: tuple[str, ...] = ()
     one_task: bool = False
+    tie: str = ""
+    even: bool = True
 
     @property
     def reference(self) -> str:
@@ -78,18 +120,39 @@ class JdbcTable:
         column = quote_text(self.split, self.dialect)
         return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {self.reference}"
 
+    def heads_query(self) -> str:
+        """The first key of each of ``partitions`` equal parts of the rows that have one."""
+        column = quote_text(self.split, self.dialect)
+        parts = f"SELECT {column} AS k, NTILE({self.partitions}) OVER (ORDER BY {column}) AS part FROM {self.reference}"
+        return f"SELECT MIN(k) AS head FROM ({parts} WHERE {column} IS NOT NULL) parts GROUP BY part"
+
+    def count_query(self) -> str:
+        count = "COUNT_BIG(*)" if self.dialect == SQLSERVER else "COUNT(*)"
+        return f"SELECT {count} AS row_count FROM {self.reference}"
+
+    def ask(self, spark: SparkSession, query: str) -> DataFrame:
+        """What the database answers to a query of a few rows."""
+        return spark.read.format("jdbc").options(**{**self.properties, "url": self.url, "query": query}).load()
+
+    def count(self, spark: SparkSession) -> DataFrame:
+        """``row_count``, counted in the database: no row of the table moves."""
+        return self.ask(spark, self.count_query()).selectExpr("CAST(row_count AS bigint) AS row_count")
+
     def read(self, spark: SparkSession) -> DataFrame:
-        if self.predicates:
+        predicates = self.predicates
+        if not predicates and self.split and self.even:
+            heads = [r[0] for r in self.ask(spark, self.heads_query()).collect()]
+            predicates = even_predicates(self.split, heads, self.dialect, self.tie)
+        if predicates:
             return spark.read.jdbc(
-                self.url, self.reference, predicates=list(self.predicates),
+                self.url, self.reference, predicates=list(predicates),
                 properties={**self.properties, "fetchsize": str(self.fetch)},
             )
         if not self.split and not self.one_task:
             raise ValueError(f"{self.reference} would be read by one task: give split or predicates, or ask for one_task")
         lower = upper = None
         if self.split:
-            options = {**self.properties, "url": self.url, "query": self.bounds_query()}
-            lower, upper = spark.read.format("jdbc").options(**options).load().first()
+            lower, upper = self.ask(spark, self.bounds_query()).first()
         return spark.read.format("jdbc").options(**self.read_options(lower, upper)).load()
 
     def write_options(self, batch: int = 1000) -> dict[str, str]:
@@ -109,6 +172,12 @@ class JdbcTable:
         return options
 
 
-def table_inventory(tables: dict[str, DataFrame], schema: str = "") -> DataFrame:
-    """Schema, table and exact row count, ordered by both names. One job counts all tables."""
-    return count_rows(tables, schema).orderBy("table_schema", "table_name")
+def table_inventory(tables: dict[str, DataFrame | JdbcTable], schema: str = "", spark: SparkSession | None = None) -> DataFrame:
+    """Schema, table and exact row count, ordered by both names. One job counts all tables; a table in a database is
+    counted there, and only its number comes out."""
+    counts = {n: t for n, t in tables.items() if isinstance(t, JdbcTable)}
+    frames = {n: t for n, t in tables.items() if n not in counts}
+    found = [count_rows(frames, schema)] if frames else []
+    for name, held in counts.items():
+        found.append(held.count(spark).select(F.lit(schema).alias("table_schema"), F.lit(name).alias("table_name"), "row_count"))
+    return reduce(DataFrame.unionByName, found).orderBy("table_schema", "table_name")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.dialects import ORACLE, POSTGRES, SQLSERVER
@@ -14,6 +17,7 @@ from tablehaul.session import fresh_path, stage
 from tablehaul.sources import load as S
 from tablehaul.sources.scan import read_files
 from tablehaul.sources.script import SECTION_RULE, ScriptTable, insert_script, multi_table_script, write_script
+from tablehaul.sources.versions import Store, StoredTable
 from tablehaul.streaming import events as stream
 from tablehaul.typemap import ColumnSpec
 from tablehaul.workloads.registry import register, table
@@ -412,3 +416,31 @@ def stream_error_count(spark, folder):
 @register("stream_tail", _tail_sql(5000))
 def stream_tail(spark, folder):
     return stream.stream_tail(_stream(spark, folder), ["ts", "event_id"], 5000).select("event_id", "event_type", "props")
+
+
+@register(
+    "versioned_load",
+    """SELECT CAST(v AS INTEGER) AS version, 'customer' AS table_name, c_custkey AS key, c_name AS label FROM customer, (VALUES (1), (2)) t(v)
+       UNION ALL SELECT 1, 'nation', n_nationkey, n_name FROM nation
+       UNION ALL SELECT 2, 'nation', n_nationkey, lower(n_name) FROM nation
+       UNION ALL SELECT 2, 'supplier', s_suppkey, s_name FROM supplier""",
+)
+def versioned_load(spark, folder):
+    """Two commits to a store, and all tables as readers of each version see them."""
+    store = Store(fresh_path(spark, "store"))
+
+    def job(name, df):
+        specs = (ColumnSpec("key", "bigint", nullable=False), ColumnSpec("label", "varchar", length=200))
+        return J.TableJob(name, df.toDF("key", "label").withColumn("key", F.col("key").cast("long")), StoredTable(store, name), specs, ("key",))
+
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name")
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    J.run_migration(J.SCHEMA_AND_DATA, [job("customer", customer), job("nation", nation)], POSTGRES, POSTGRES)
+    changed = nation.withColumn("n_name", F.lower("n_name"))
+    J.run_migration(J.SCHEMA_AND_DATA, [job("nation", changed), job("supplier", supplier)], POSTGRES, POSTGRES)
+    found = [
+        store.read(spark, name, version).select(F.lit(version).alias("version"), F.lit(name).alias("table_name"), "key", "label")
+        for version in store.versions(spark) for name in store.manifest(spark, version).tables
+    ]
+    return reduce(DataFrame.unionByName, found)

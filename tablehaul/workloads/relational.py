@@ -10,6 +10,7 @@ from tablehaul.operators.aggregates import count_children, lists_equal
 from tablehaul.operators.checks import missing_columns, missing_tables, orphans, reconcile_counts
 from tablehaul.operators.positions import rank_within
 from tablehaul.operators.skew import join_hot
+from tablehaul.operators.splits import even_parts
 from tablehaul.sources.scan import table_inventory
 from tablehaul.workloads.registry import RELATIONAL, register, table
 
@@ -376,3 +377,21 @@ def equal_lists(spark, folder):
 @register("equal_lists_null_group", _equal_sql(_NULL_CUSTOMER, "customer"))
 def equal_lists_null_group(spark, folder):
     return _equal(spark, folder, _NULL_CUSTOMER, "customer")
+
+
+@register(
+    "even_splits",
+    """SELECT 'gaps' AS key, count(*) AS placed, TRUE AS even FROM lineitem
+       UNION ALL SELECT 'hot', count(*), TRUE FROM lineitem""",
+)
+def even_splits(spark, folder):
+    """Parts of a key with wide gaps, and of one that a third of all rows have: no part is larger than twice the mean."""
+    lines = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_orderkey")).cast("double").alias("gaps"),
+        F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_partkey")).cast("double").alias("hot"), "l_orderkey", "l_linenumber",
+    ).withColumn("tie", F.struct("l_orderkey", "l_linenumber"))
+    found = []
+    for key in ("gaps", "hot"):
+        counts = even_parts(lines, key, 16, "tie").groupBy("part").agg(F.count("*").alias("n"))
+        found.append(counts.agg(F.sum("n").alias("placed"), (F.max("n") * 16 <= 2 * F.sum("n")).alias("even")).select(F.lit(key).alias("key"), "placed", "even"))
+    return found[0].unionByName(found[1])

@@ -10,6 +10,7 @@ from compare import connect, difference
 from skewed import write_skewed
 from tablehaul.operators.aggregates import ordered_chunks
 from tablehaul.operators.positions import _LOCAL, _PART, _stage_in_order, number_rows, rank_within
+from tablehaul.operators.splits import even_parts
 from tablehaul.operators.skew import hot_keys, join_hot
 from tablehaul.session import _in_file_order, steady
 
@@ -165,3 +166,20 @@ def test_no_query_joins_without_keys(spark, folder):
     for name in NAMES:
         plan = driver.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("key", ["id * id * id", "CASE WHEN id < 900 THEN id ELSE 1000000 * id END", "date_add(DATE'2020-01-01', CAST(id * id / 900 AS INT))", "CASE WHEN id % 20 = 0 THEN NULL ELSE CAST(exp(id / 500) AS DECIMAL(20,6)) END"])
+def test_even_parts(spark, key):
+    """However a key's values lie, the largest of 16 parts holds at most twice the mean."""
+    df = spark.range(4000).withColumn("k", F.expr(key))
+    counts = {r[0]: r[1] for r in even_parts(df, "k", 16).groupBy("part").count().collect()}
+    assert sum(counts.values()) == 4000 and max(counts.values()) <= 500 and len(counts) >= 15
+
+
+def test_even_parts_of_hot_keys_and_nothing(spark):
+    df = spark.range(6000).withColumn("k", F.expr("CASE WHEN id % 3 = 0 THEN 5L ELSE id END"))
+    counts = {r[0]: r[1] for r in even_parts(df, "k", 16, "id").groupBy("part").count().collect()}
+    assert sum(counts.values()) == 6000 and max(counts.values()) <= 750
+    assert max(r[1] for r in even_parts(df, "k", 16).groupBy("part").count().collect()) >= 2000
+    assert even_parts(spark.range(0).withColumnRenamed("id", "k"), "k", 4).collect() == []
+    assert {r["part"] for r in even_parts(spark.sql("SELECT CAST(NULL AS INT) AS k"), "k", 4).collect()} == {0}

@@ -1,9 +1,11 @@
 """Conforming, checks, loads, scripts, migrations and streams on small tables."""
 
+import dataclasses
 import datetime
 import glob
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tablehaul.operators.progress import live_batch_size, overall_percent, perce
 from tablehaul.plans import jobs as J
 from tablehaul.session import scratch_scope, stage
 from tablehaul.sources import load as S
-from tablehaul.sources.scan import JdbcTable, hash_predicates, read_files
+from tablehaul.sources.scan import JdbcTable, even_predicates, hash_predicates, read_files, table_inventory
 from tablehaul.sources.script import ScriptTable, insert_script, multi_table_script
 from tablehaul.streaming import events as stream
 from tablehaul.typemap import ColumnSpec
@@ -498,17 +500,22 @@ class FakeDatabase:
         monkeypatch.setattr(J, "jdbc_columns", lambda spark, table: columns.get(table.table))
         monkeypatch.setattr(J, "write_staged_jdbc", self.write)
         monkeypatch.setattr(S, "run_statements", self.run)
-        monkeypatch.setattr(JdbcTable, "read", lambda table, spark: self.rows[table.table.partition("__stg")[0]])
+        monkeypatch.setattr(JdbcTable, "count", lambda table, spark: self.count(table))
+        monkeypatch.setattr(JdbcTable, "read", lambda *_: pytest.fail("the rows of a database table are not read back"))
 
     def write(self, df, table, types="", batch=1000):
         staging = S.staging_of(table)
-        df.write.format("noop").mode("overwrite").save()
-        self.rows[table.table] = df
+        self.rows[table.table] = df.sparkSession.createDataFrame(df.collect(), df.schema)
         self.calls.append(("write", table.table, types))
         return staging
 
+    def count(self, table):
+        if self.fails == "COUNT":
+            raise RuntimeError("the connection is gone")
+        return self.rows[table.table].agg(F.count("*").alias("row_count"))
+
     def run(self, spark, table, statements, quiet=False):
-        self.calls.append(("run", [re.sub("__stg_[0-9a-f]+", "__stg", s) for s in statements]))
+        self.calls.append(("run", [re.sub("stg_[0-9a-f]+_", "stg_", s) for s in statements]))
         if self.fails and any(self.fails in s for s in statements):
             raise RuntimeError("the database refuses")
 
@@ -530,9 +537,9 @@ def test_a_database_as_the_target(spark, tmp_path, monkeypatch):
         ("write", "t", "`id` INT, `label` VARCHAR(5)"),
         ("run", [
             "DELETE FROM [dbo].[t]",
-            "INSERT INTO [dbo].[t] ([id], [label]) SELECT [id], [label] FROM [dbo].[t__stg]",
+            "INSERT INTO [dbo].[t] ([id], [label]) SELECT [id], [label] FROM [dbo].[stg_t]",
         ]),
-        ("run", ["DROP TABLE [dbo].[t__stg]"]),
+        ("run", ["DROP TABLE [dbo].[stg_t]"]),
     ]
 
 
@@ -542,7 +549,7 @@ def test_a_database_that_refuses_undoes_the_files(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="refuses"):
         J.run_migration(J.SCHEMA_AND_DATA, jobs, POSTGRES, SQLSERVER)
     assert not S.target_exists(spark, jobs[1].target)
-    assert database.calls[-1] == ("run", ["DROP TABLE [dbo].[t__stg]"])
+    assert database.calls[-1] == ("run", ["DROP TABLE [dbo].[stg_t]"])
     assert glob.glob(str(tmp_path / "*__*")) == []
     FakeDatabase(monkeypatch, spark, {"t": ["id"]})
     with pytest.raises(J.MigrationError, match="lacks columns of the source: label"):
@@ -552,6 +559,102 @@ def test_a_database_that_refuses_undoes_the_files(spark, tmp_path, monkeypatch):
         J.run_migration(J.DATA_ONLY, jobs[:1], POSTGRES, SQLSERVER)
 
 
+def test_what_cannot_be_counted_after_the_commit_is_told(spark, tmp_path, monkeypatch):
+    """The rows are in, so the run does not end with an error."""
+    database = FakeDatabase(monkeypatch, spark, {"t": ["id", "label"]}, fails="COUNT")
+    run = J.run_migration(J.SCHEMA_AND_DATA, database_jobs(spark, tmp_path), POSTGRES, SQLSERVER)
+    assert rows(run.report.select("table_name", "matches"), "table_name") == [("f", True)]
+    assert list(run.uncounted) == ["t"] and "gone" in run.uncounted["t"] and run.metrics["t"].rows == 2
+    assert database.calls[-1] == ("run", ["DROP TABLE [dbo].[stg_t]"])
+
+
+def test_broken_rows_never_reach_the_database(spark, tmp_path, monkeypatch):
+    database = FakeDatabase(monkeypatch, spark, {"t": ["id", "label"]})
+    whole = database_jobs(spark, tmp_path)[0]
+    twice = dataclasses.replace(whole, df=whole.df.union(whole.df))
+    with pytest.raises(J.MigrationError, match="primary key"):
+        J.copy_table(twice, POSTGRES, SQLSERVER)
+    assert database.calls == []
+
+
+@pytest.mark.parametrize("dialect,longest", [(POSTGRES, 63), (ORACLE, 30), (SQLSERVER, 128)])
+def test_staging_names_stay_apart_from_their_tables(dialect, longest):
+    for name in ("t" * longest, "ä" * (longest // 2), "t"):
+        made = {S.staging_of(JdbcTable("u", "s", name, dialect)).table for _ in range(20)}
+        assert len({m.encode()[:longest] for m in made}) == 20 and name not in made
+        assert all(len(m.encode()) <= longest and m.startswith("stg_") for m in made)
+
+
+@pytest.mark.parametrize("fails", ["create", "append"])
+def test_only_a_table_of_its_own_is_dropped(spark, monkeypatch, fails):
+    """A staging table that cannot be created is not ours to drop; one that cannot be filled is dropped."""
+    calls = []
+
+    class Writer:
+        def __init__(self, frame):
+            self.empty = frame.isEmpty()
+
+        def format(self, name):
+            return self
+
+        options = mode = lambda self, *given, **named: (calls.append(given[0]) if given else None) or self
+
+        def save(self):
+            if (fails == "create") == self.empty:
+                raise RuntimeError("the database refuses")
+
+    monkeypatch.setattr(type(spark.range(1)), "write", property(Writer))
+    monkeypatch.setattr(S, "run_statements", lambda spark, table, statements, quiet=False: calls.append(statements[0][:10]))
+    with pytest.raises(RuntimeError, match="refuses"):
+        S.write_staged_jdbc(spark.range(3), JdbcTable("u", "s", "t", POSTGRES))
+    assert calls == (["errorifexists"] if fails == "create" else ["errorifexists", "append", "DROP TABLE"])
+
+
+def test_a_database_counts_its_tables(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(JdbcTable, "ask", lambda table, spark, query: asked.append(query) or spark.sql("SELECT 7 AS row_count"))
+    tables = {"t": JdbcTable("u", "s", "t", SQLSERVER), "f": spark.range(3), "o": JdbcTable("u", "s", "o", ORACLE)}
+    assert rows(table_inventory(tables, "x", spark)) == [("x", "f", 3), ("x", "o", 7), ("x", "t", 7)]
+    assert asked == ["SELECT COUNT_BIG(*) AS row_count FROM [s].[t]", "SELECT COUNT(*) AS row_count FROM S.O"]
+
+
+def parts_of(db, table, predicates):
+    counts = [db.execute(f"SELECT count(*) FROM {table.reference} WHERE {p}").fetchone()[0] for p in predicates]
+    total, once = db.execute(
+        f"SELECT count(*), count_if(({' + '.join(f'coalesce(({p})::INT, 0)' for p in predicates)}) = 1) FROM {table.reference}"
+    ).fetchone()
+    assert once == total == sum(counts)
+    return counts, total
+
+
+@pytest.mark.parametrize("key", [
+    "i * i * i", "CASE WHEN i < 900 THEN i ELSE 1000000000 * i END", "'k' || (i * 7919 % 4001)", "DATE '2020-01-01' + (i * i / 100)::INT",
+    "CASE WHEN i % 11 = 0 THEN NULL ELSE exp(i / 500.0) END", "TIMESTAMP '2020-01-01 00:00:00.5' + i * i * INTERVAL 1 MINUTE",
+])
+def test_even_parts_of_a_skewed_key(key):
+    """However the keys lie, each of 16 parts holds about a sixteenth, and each row is in one."""
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE t AS SELECT {key} AS k, i FROM range(1, 4001) r(i)")
+    table = JdbcTable("u", "", "t", POSTGRES, split="k", partitions=16)
+    heads = [r[0] for r in db.execute(table.heads_query()).fetchall()]
+    counts, total = parts_of(db, table, even_predicates("k", heads, POSTGRES))
+    assert max(counts) <= 2 * total / 16 and len(counts) <= 17
+
+
+def test_even_parts_of_a_hot_key():
+    """A key of a third of all rows is dealt out by another column."""
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t AS SELECT CASE WHEN i % 3 = 0 THEN 5 ELSE i END AS k, i FROM range(6000) r(i)")
+    db.execute("CREATE MACRO hashtext(x) AS (hash(x) % 1000000007)::BIGINT")
+    table = JdbcTable("u", "", "t", POSTGRES, split="k", partitions=16, tie="i")
+    heads = [r[0] for r in db.execute(table.heads_query()).fetchall()]
+    counts, total = parts_of(db, table, even_predicates("k", heads, POSTGRES, "i"))
+    assert max(counts) <= 2 * total / 16
+    assert max(parts_of(db, table, even_predicates("k", heads, POSTGRES))[0]) >= 2000
+    assert even_predicates("k", [], POSTGRES) == ('"k" IS NULL OR "k" IS NOT NULL',)
+    assert even_predicates("d", [datetime.datetime(2020, 1, 2)], SQLSERVER)[1] == "[d] >= CAST('2020-01-02 00:00:00.000000' AS datetime2)"
+
+
 def test_missing_tables_are_told_from_other_errors():
     assert J.is_missing_table("Invalid object name 'dbo.t'") and J.is_missing_table("ORA-00942: table or view does not exist")
     assert not J.is_missing_table("connection refused")

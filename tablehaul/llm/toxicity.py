@@ -1,92 +1,189 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, through a block-max inverted index.
 
-Terms are words and runs of four letters inside words. A bounded sample of labelled documents chooses the terms whose
-presence depends on the label and becomes the example index; document frequencies come from all documents. The index
-holds, per term, the postings of the examples in blocks and each block's largest weight. A query adds up the largest
-weights to a bound per block, reads blocks from the highest bound on, and stops when no bound reaches the worst of the
-nearest found, so the nearest are exact. Examples vote with the inverse of their distance; leave-one-out votes of the
-sample are calibrated to probabilities by a logistic curve.
+Terms are all words of a bounded sample of labelled documents, which are the examples, and beside them the runs of a few
+letters of words that speak for label 1. Document frequencies come from all documents. A term's weight in a text is
+(1 + ln of its occurrences) times its idf times its bearing: 1 for terms whose chi-square over the labels is high, less
+for the others, which are never left out. The index holds, per term, its postings in blocks of examples and each block's
+largest weight. A query adds these up to a bound per block, reads the best blocks, and then all others whose bound reaches
+the worst of the nearest found, so the nearest are exact. Examples vote with the inverse of their distance; leave-one-out
+votes of the sample are calibrated to probabilities by a logistic curve.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.common import kind, map_rows, stage, text_bytes
+from tablehaul.llm.dictionaries import squeezed, unsqueezed
+from tablehaul.session import size_partitions
 
-# Bounds of what is fitted: examples of each label, and terms.
+# Bounds of what is fitted: examples of each label, and runs of letters beside the words.
 EXAMPLES = 2000
-TERMS = 256
-# A term's chi-square and how many times likelier it is under one label than under the other, at least.
+RUNS = 1024
+# A telling term's chi-square, and for runs how many times likelier they are under label 1, at least.
 CHI_SQUARE = 25.0
-RATIO = 3.0
+RATIO = 6.0
+# The bearing of a term that says nothing about the label.
+LEAST_BEARING = 0.1
 NEAREST = 15
 BLOCK = 64
+# Terms of more than one in so many examples are laid out as a matrix.
+COMMON = 6
+# Blocks that are read before there is a worst of the nearest.
+FIRST = 4
+# Texts that are scored together.
+TOGETHER = 128
 # Added to a distance before it is inverted, and the weight of the base rate beside the votes.
 SOFT = 0.05
 BASE = 8.0
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _SCORED = (
     "score double, terms array<string>, "
     "nearest array<struct<doc_id:long,label:int,similarity:double>>"
 )
 
 
-def spaced(text: bytes) -> str:
-    """The text in lower case with single spaces for all that are not letters, and one at both ends."""
-    return " " + _NO_LETTERS.sub(" ", text.decode("utf-8", "replace").lower()).strip() + " "
-
-
-def terms_of(text: bytes) -> set[str]:
-    """Whole words, with the spaces around them, and runs of four letters inside words."""
-    words = set(spaced(text).split())
-    return {f" {w} " for w in words} | {w[i : i + 4] for w in words for i in range(len(w) - 3)}
+def words_of(text: bytes) -> list[str]:
+    """The words of a text: runs of letters in lower case."""
+    return _WORD.findall(text.decode("utf-8", "replace").lower())
+
+
+def runs_of(word: str) -> set[str]:
+    """The runs of four letters of a word, its ends included as spaces, and its first two letters."""
+    marked = f" {word} "
+    return {marked[i : i + 4] for i in range(len(marked) - 3)} | {marked[:3]}
+
+
+class Terms:
+    """Numbers the terms of texts."""
+
+    def __init__(self, words: list[str], runs: list[str]):
+        self.names = [*words, *runs]
+        self.words = {w: i for i, w in enumerate(words)}
+        self.runs = {r: len(words) + i for i, r in enumerate(runs)}
+        self.inside: dict[str, list[int]] = {}
+
+    def of(self, word: str) -> list[int]:
+        """The numbers of a word and of the runs in it that are terms."""
+        found = self.inside.get(word)
+        if found is None:
+            number = self.words.get(word)
+            found = [] if number is None else [number]
+            if self.runs:
+                found += sorted(self.runs[r] for r in runs_of(word) if r in self.runs)
+            if len(self.inside) > 200_000:
+                self.inside.clear()
+            self.inside[word] = found
+        return found
+
+    def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (numbers in order, how often each occurs). A run counts each time a word holds it."""
+        words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) for w in words])
+        coded = pa.array([w for held in words for w in held], pa.string()).dictionary_encode()
+        own = [self.of(w) for w in coded.dictionary.to_pylist()]
+        many = np.array([len(o) for o in own], np.int64)
+        numbers = np.array([n for o in own for n in o], np.int64)
+        begins = np.cumsum(many) - many
+        codes, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+        known = many[codes] > 0
+        codes, text = codes[known], text[known]
+        terms = numbers[_spread(begins[codes], many[codes])]
+        cells, often = np.unique(np.repeat(text, many[codes]) * len(self.names) + terms, return_counts=True)
+        cuts = np.searchsorted(cells, np.arange(1, len(texts)) * len(self.names))
+        return list(zip(np.split(cells % max(1, len(self.names)), cuts), np.split(often, cuts)))
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
 @dataclass
 class Index:
-    """Examples in blocks: per term its postings, where each block of them begins, and its largest weight there."""
+    """Examples in blocks of ``BLOCK`` places. The postings of a term follow one another by place; those of one block are a
+    segment with a largest weight. Terms of many examples are rows of a matrix instead."""
 
     ids: np.ndarray
     labels: np.ndarray
     importance: np.ndarray
-    idf: np.ndarray
-    places: list[np.ndarray]
-    weights: list[np.ndarray]
-    begins: np.ndarray
+    weight: np.ndarray
+    row: np.ndarray
+    matrix: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    segments: np.ndarray
+    block: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
     highest: np.ndarray
     calibration: tuple[float, float] = (1.0, 0.0)
     base: float = 0.0
-    seen: dict = field(default_factory=dict)
 
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(terms, np.int64)
-        weights = (1 + np.log(np.array(counts, float))) * self.idf[terms]
+    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.asarray(terms, np.int64)
+        weights = (1 + np.log(np.asarray(counts, float))) * self.weight[terms]
         return terms, weights / (np.linalg.norm(weights) or 1.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the ``k`` nearest with a cosine above 0, exact; equal ones by place. ``leave`` is left out."""
-        if not len(terms) or not len(self.ids):
-            return []
-        bounds = weights @ self.highest[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.begins[t, block], self.begins[t, block + 1]
-                scores[self.places[t][a:b] - block * BLOCK] += w * self.weights[t][a:b]
-            found = [(float(scores[i]), int(block * BLOCK + i)) for i in np.flatnonzero(scores > 0)]
-            best = sorted((x for x in best + found if x[1] != leave), key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return best
+        return self.nearest_of([(terms, weights)], k, [leave])[0]
+
+    def nearest_of(self, vectors: list, k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector (cosine, place) of the ``k`` nearest with a cosine above 0, exact; equal ones by place. The place
+        ``leave`` is left out."""
+        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        if not n:
+            return [[] for _ in vectors]
+        dense = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, weights) in enumerate(vectors):
+            rows = self.row[terms]
+            dense[i, rows[rows >= 0]] = weights[rows >= 0]
+        scores = dense @ self.matrix
+        padded = np.zeros((len(vectors), blocks * BLOCK))
+        padded[:, :n] = scores
+        tops = padded.reshape(len(vectors), blocks, BLOCK).max(axis=2)
+        return [
+            self._nearest(*vector, k, -1 if leave is None else leave[i], scores[i], tops[i]) for i, vector in enumerate(vectors)
+        ]
+
+    def _nearest(self, terms, weights, k: int, leave: int, scores: np.ndarray, tops: np.ndarray) -> list[tuple[float, int]]:
+        rare = self.row[terms] < 0
+        first, last = self.segments[terms[rare]], self.segments[terms[rare] + 1]
+        own = _spread(first, last - first)
+        heavy = np.repeat(weights[rare], last - first)
+        bounds = tops + np.bincount(self.block[own], heavy * self.highest[own], len(tops))
+
+        def read(wanted: np.ndarray) -> np.ndarray:
+            here = wanted[self.block[own]]
+            at = _spread(self.begin[own[here]], self.size[own[here]])
+            return np.bincount(self.place[at], np.repeat(heavy[here], self.size[own[here]]) * self.value[at], len(scores))
+
+        def best(done: np.ndarray) -> np.ndarray:
+            known = np.flatnonzero(np.repeat(done, BLOCK)[: len(total)] & (total > 0))
+            known = known[known != leave]
+            if len(known) > k:
+                known = known[total[known] >= np.partition(total[known], -k)[-k] - 1e-9]
+            return known[np.lexsort((known, -np.round(total[known], 9)))[:k]]
+
+        done = np.zeros(len(tops), bool)
+        done[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        total = scores + read(done)
+        found = best(done)
+        least = total[found[-1]] if len(found) == k else 0.0
+        more = ~done & (bounds > 0) & (bounds >= least - 1e-9)
+        if more.any():
+            total = total + read(more)
+            found = best(done | more)
+        return [(float(total[i]), int(i)) for i in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of toxic votes. A vote weighs cosine by distance, times how many labelled rows it stands for, so that
@@ -95,15 +192,9 @@ class Index:
         toxic = sum(v for v, (_, i) in zip(votes, near) if self.labels[i])
         return (toxic + BASE * self.base) / (sum(votes) + BASE)
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[float, int]]]:
-        key = (tuple(terms), tuple(counts))
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            near = self.nearest(*self.vector(terms, counts), NEAREST)
-            slope, shift = self.calibration
-            self.seen[key] = 1 / (1 + math.exp(-(slope * _logit(self.vote(near)) + shift))), near[:3]
-        return self.seen[key]
+    def score(self, near: list[tuple[float, int]]) -> float:
+        slope, shift = self.calibration
+        return 1 / (1 + math.exp(-(slope * _logit(self.vote(near)) + shift)))
 
 
 def _logit(p: float) -> float:
@@ -111,35 +202,45 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def make_index(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, importance: dict[int, float]) -> Index:
+def make_index(examples: list[tuple], weight: np.ndarray, importance: dict[int, float]) -> Index:
     """The index of (doc_id, label, terms, counts). Examples with the same heaviest term share blocks, which keeps
     the bounds of the other blocks low."""
-    bare = Index(np.zeros(0), np.zeros(0), np.zeros(0), idf, [], [], np.zeros((0, 0)), np.zeros((0, 0)))
+    none = np.zeros(0, np.int64)
+    bare = Index(none, none, none, weight, none, none, none, none, none, none, none, none, none)
     vectors = [bare.vector(e[2], e[3]) for e in examples]
     order = sorted(
         range(len(examples)),
         key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, examples[i][:2]),
     )
-    blocks = -(-len(order) // BLOCK)
-    places: list[list[int]] = [[] for _ in idf]
-    weights: list[list[float]] = [[] for _ in idf]
-    highest = np.zeros((len(idf), blocks))
-    for place, i in enumerate(order):
-        for t, w in zip(*vectors[i]):
-            places[t].append(place)
-            weights[t].append(w)
-            highest[t, place // BLOCK] = max(highest[t, place // BLOCK], w)
-    at = [np.array(p, np.int64) for p in places]
-    begins = np.array([np.searchsorted(p, np.arange(blocks + 1) * BLOCK) for p in at]).reshape(len(idf), blocks + 1)
+    sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+    term = np.concatenate([vectors[i][0] for i in order]) if len(order) else none
+    value = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
+    place = np.repeat(np.arange(len(order)), sizes)
+    often = np.bincount(term, minlength=len(weight))
+    common = np.flatnonzero(often * COMMON > len(order))
+    row = np.full(len(weight), -1, np.int64)
+    row[common] = np.arange(len(common))
+    matrix = np.zeros((len(common), len(order)))
+    dense = row[term] >= 0
+    matrix[row[term[dense]], place[dense]] = value[dense]
+    term, place, value = term[~dense], place[~dense], value[~dense]
+    by = np.lexsort((place, term))
+    term, place, value = term[by], place[by], value[by]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)
+    begin = np.flatnonzero(new)
     labels = np.array([examples[i][1] for i in order], np.int64)
     index = Index(
-        np.array([examples[i][0] for i in order], np.int64), labels,
-        np.array([importance[int(y)] for y in labels], float), idf, at, [np.array(w) for w in weights], begins, highest,
+        np.array([examples[i][0] for i in order], np.int64), labels, np.array([importance[int(y)] for y in labels], float),
+        weight, row, matrix, place, value, np.searchsorted(term[begin], np.arange(len(weight) + 1)), place[begin] // BLOCK,
+        begin, np.diff(np.append(begin, len(term))), np.maximum.reduceat(value, begin) if len(begin) else np.zeros(0),
     )
-    silent = [p for p, i in enumerate(order) if not len(vectors[i][0])]
-    weight = index.importance[silent].sum()
-    index.base = float((index.importance[silent] * labels[silent]).sum() / (weight + 1)) if len(order) else 0.0
-    votes = [index.vote(index.nearest(*vectors[i], NEAREST, leave=p)) for p, i in enumerate(order)]
+    # A text far from all examples gets about the share of toxic ones among all labelled.
+    index.base = float((index.importance * labels).sum() / (index.importance.sum() + 1)) if len(order) else 0.0
+    votes = []
+    for at in range(0, len(order), TOGETHER):
+        some = range(at, min(at + TOGETHER, len(order)))
+        votes += [index.vote(near) for near in index.nearest_of([vectors[order[p]] for p in some], NEAREST, list(some))]
     index.calibration = _calibrate(np.array([_logit(v) for v in votes]), labels, index.importance)
     return index
 
@@ -169,26 +270,62 @@ def _sample(labels: DataFrame) -> DataFrame:
     return stage(parts[0].union(parts[1]), "examples")
 
 
-def choose_terms(texts: DataFrame) -> list[str]:
-    """The terms of the sample (label, text) that depend on the label most, ``TERMS`` at most."""
+def choose_terms(texts: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+    """(all words of the sample (label, text), the ``RUNS`` runs that speak for label 1 most, the bearing of each)."""
 
     def rows(part):
         for row in part:
-            yield {"label": row["label"], "terms": list(terms_of(row["text"]))}
+            words = set(words_of(row["text"]))
+            yield {"label": row["label"], "run": False, "terms": list(words)}
+            yield {"label": row["label"], "run": True, "terms": list(set().union(*map(runs_of, words)))}
 
-    held = stage(map_rows(texts, rows, "label int, terms array<string>"), "terms")
-    sizes = {r[0]: r[1] for r in held.groupBy("label").count().collect()}
+    held = stage(map_rows(texts, rows, "label int, run boolean, terms array<string>"), "terms")
+    sizes = {r[0]: r[1] for r in held.filter("NOT run").groupBy("label").count().collect()}
     up, down = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not up or not down:
-        return []
-    found = held.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+        return [], [], np.zeros(0)
+    found = held.select("label", "run", F.explode("terms").alias("term")).groupBy("run", "term").agg(
         F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")
     )
     a, b = F.col("a"), F.col("b")
     chi = F.pow(a * (down - b) - b * (up - a), 2) * (up + down) / (up * down * (a + b) * (up + down - a - b + 0.5))
-    ratio = F.greatest((a + 0.5) / up / ((b + 0.5) / down), (b + 0.5) / down / ((a + 0.5) / up))
-    chosen = found.withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & (ratio >= RATIO))
-    return sorted(r["term"] for r in chosen.orderBy(F.desc("chi"), "term").limit(TERMS).collect())
+    ratio = (a + 0.5) / up / ((b + 0.5) / down)
+    rated = found.withColumn("chi", chi)
+    words = rated.filter("NOT run").select("term", "chi").toArrow().sort_by("term")
+    runs = rated.filter(F.col("run") & (F.col("chi") >= CHI_SQUARE) & (ratio >= RATIO)).orderBy(F.desc("chi"), "term").limit(RUNS)
+    bearing = np.clip(words.column("chi").to_numpy() / CHI_SQUARE, LEAST_BEARING, 1.0)
+    telling = sorted(r["term"] for r in runs.collect())
+    return words.column("term").to_pylist(), telling, np.append(bearing, np.ones(len(telling)))
+
+
+def _vectors(plain: DataFrame, terms: Terms) -> DataFrame:
+    """The staged rows with the numbers and occurrences of their terms instead of their text."""
+
+    def rows(part):
+        for at in range(0, len(part), TOGETHER):
+            some = part[at : at + TOGETHER]
+            for row, (numbers, often) in zip(some, terms.counts([row.pop("text") for row in some])):
+                yield row | {"held": squeezed(numbers.astype("<i4")), "often": squeezed(often.astype("<i4"))}
+
+    kept = "".join(f"{c} {kind(plain, c)}, " for c in plain.columns if c != "text")
+    return stage(map_rows(plain, rows, kept + "held binary, often binary"), "vectors")
+
+
+def _frequencies(vectors: DataFrame, size: int) -> np.ndarray:
+    """How many documents hold each term. Each task sends one number for each term it has met."""
+
+    def run(batches):
+        often = np.zeros(size, np.int64)
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                often[unsqueezed(held)] += 1
+        met = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(often[met])], names=["term", "n"])
+
+    often = np.zeros(size, np.int64)
+    sums = vectors.select("held").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    often[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    return often
 
 
 def toxicity(
@@ -199,9 +336,10 @@ def toxicity(
     occur, and the three nearest examples with their labels and cosines.
 
     ``learn`` chooses the rows of ``labels`` to learn from. Nothing but texts enters a score. Null and empty texts, and
-    texts without any chosen term, get the calibrated base rate of such examples; without labelled examples of both
+    texts without any word of an example, get the calibrated base rate; without labelled examples of both
     labels there are no terms and all scores are one base rate. A document labelled twice has the larger label, labels
-    other than 0 and 1 are left out, and rows with equal or null ids are scored each. Other columns are not read.
+    other than 0 and 1 are left out, and rows with equal or null ids are scored each. Ids are whole numbers. Other columns
+    are not read.
     """
     known = labels if learn is None else labels.filter(learn)
     known = known.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -209,54 +347,33 @@ def toxicity(
     sample = _sample(known)
     plain = docs.select(F.col(id_column).alias("doc_id"), *keep, text_bytes(text).alias("text"))
     kept = "".join(f"{c} {kind(plain, c)}, " for c in ("doc_id", *keep))
-    terms = choose_terms(plain.join(F.broadcast(sample), "doc_id").select("label", "text"))
-
-    def counted(part):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for number, term in enumerate(terms):
-            found.add_word(term, number)
-        found.make_automaton()
-        for row in part:
-            tally: dict[int, int] = {}
-            if terms:
-                for _, number in found.iter(spaced(row["text"])):
-                    tally[number] = tally.get(number, 0) + 1
-            del row["text"]
-            yield row | {"held": sorted(tally), "counts": [tally[t] for t in sorted(tally)]}
-
-    vectors = stage(map_rows(plain, counted, f"{kept}held array<int>, counts array<int>"), "vectors")
-    total = vectors.count()
-
-    def tallied(part):
-        often: dict[int, int] = {}
-        for row in part:
-            for t in row["held"]:
-                often[t] = often.get(t, 0) + 1
-        yield from ({"term": t, "n": n} for t, n in often.items())
-
-    sums = map_rows(vectors.select("held"), tallied, "term int, n long").groupBy("term").agg(F.sum("n"))
-    often = {r[0]: r[1] for r in sums.collect()}
-    idf = np.array([math.log((1 + total) / (1 + often.get(t, 0))) + 1 for t in range(len(terms))])
-    chosen = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
-        F.min(F.struct("label", "held", "counts")).alias("e")
-    )
-    examples = sorted(
-        (r["doc_id"], r["label"], list(r["held"]), list(r["counts"])) for r in chosen.select("doc_id", "e.*").collect()
-    )
+    # Of rows with one id, one is the example.
+    shown = plain.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("e"))
+    shown = stage(shown.select("doc_id", "e.*"), "shown")
+    words, runs, bearing = choose_terms(shown.select("label", "text"))
+    terms = Terms(words, runs)
+    held = _vectors(plain, terms)
+    total = held.count()
+    weight = (np.log((1 + total) / (1 + _frequencies(held, len(terms.names)))) + 0.1) * bearing
+    examples = sorted((r["doc_id"], r["label"], r["text"]) for r in shown.collect())
     taken = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
-    index = make_index(examples, idf, {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)})
+    vectors = [(e[0], e[1], *held) for e, held in zip(examples, terms.counts([e[2] for e in examples]))]
+    index = make_index(vectors, weight, {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)})
+    telling = np.flatnonzero(bearing >= 1)
 
     def scored(part):
-        for row in part:
-            held, counts = row.pop("held"), row.pop("counts")
-            score, near = index.score(held, counts)
-            yield row | {
-                "score": score, "terms": [terms[t].strip() for t in held],
-                "nearest": [
-                    {"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "similarity": s} for s, i in near
-                ],
-            }
-
-    return map_rows(vectors, scored, kept + _SCORED)
+        for at in range(0, len(part), TOGETHER):
+            some = part[at : at + TOGETHER]
+            own = [index.vector(unsqueezed(row.pop("held")), unsqueezed(row.pop("often"))) for row in some]
+            for row, (numbers, _), near in zip(some, own, index.nearest_of(own, NEAREST)):
+                said = numbers[np.isin(numbers, telling, assume_unique=True)]
+                yield row | {
+                    "score": index.score(near), "terms": [terms.names[t] for t in said],
+                    "nearest": [
+                        {"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "similarity": s} for s, i in near[:3]
+                    ],
+                }
+
+    # Staged rows are few megabytes for many documents; dealt anew, no task grows with the table.
+    spread = held.repartition(size_partitions(plain, 16 << 20))
+    return map_rows(spread, scored, kept + _SCORED)

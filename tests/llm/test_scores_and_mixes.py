@@ -46,6 +46,69 @@ def test_nearest_is_exact():
         assert [i for _, i in got] == [i for _, i in wanted]
 
 
+def test_scores_against_dense_vectors(spark):
+    """Scores from plain dense vectors of all words, with votes over all examples sorted by their cosine."""
+    rng = random.Random(6)
+    plain = [f"{a}{b}" for a in ("ka", "mu", "ro", "li", "té") for b in ("ta", "li", "no", "se", "x")]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(plain) for _ in range(rng.randint(0, 30))] + [f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"]
+        if i % 4 == 0:
+            words += [rng.choice(("vile", "crude"))] * rng.randint(1, 3)
+        rows.append((i, " ".join(words).upper() if i % 5 == 0 else ", ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 240, 2)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+
+    words = {i: Counter(t.lower().replace(",", "").split()) for i, t in rows}
+    examples = {i: int(i % 4 == 0) for i in range(0, 240, 2)}
+    up, down = sum(examples.values()), len(examples) - sum(examples.values())
+
+    def marks(word):
+        held = f" {word} "
+        return {held[i : i + 4] for i in range(len(held) - 3)} | {held[:3]}
+
+    def tests(sets):
+        found = {}
+        for t in set().union(*(sets[i] for i in examples)):
+            a = sum(y for i, y in examples.items() if t in sets[i])
+            b = sum(1 - y for i, y in examples.items() if t in sets[i])
+            chi = (a * (down - b) - b * (up - a)) ** 2 * (up + down) / (up * down * (a + b) * (up + down - a - b + 0.5))
+            found[t] = chi, (a + 0.5) / up / ((b + 0.5) / down)
+        return found
+
+    bearing = {t: min(1.0, max(toxicity.LEAST_BEARING, chi / toxicity.CHI_SQUARE)) for t, (chi, _) in tests(words).items()}
+    runs = tests({i: set().union(*map(marks, w)) for i, w in words.items()})
+    telling = {("run", t) for t, (chi, ratio) in runs.items() if chi >= toxicity.CHI_SQUARE and ratio >= toxicity.RATIO}
+    bearing |= dict.fromkeys(telling, 1.0)
+    counts = {
+        i: Counter({t: n for t, n in w.items() if t in bearing})
+        + Counter({("run", m): sum(n for x, n in w.items() if m in marks(x)) for _, m in telling if any(m in marks(x) for x in w)})
+        for i, w in words.items()
+    }
+    df = Counter(t for c in counts.values() for t in c)
+    order = list(bearing)
+    weight = np.array([(np.log(241 / (1 + df[t])) + 0.1) * bearing[t] for t in order])
+    dense = {i: np.array([1 + np.log(c[t]) if c[t] else 0.0 for t in order]) * weight for i, c in counts.items()}
+    dense = {i: v / (np.linalg.norm(v) or 1) for i, v in dense.items()}
+    assert all(dense[i].any() for i in examples)
+    bare = toxicity.Index(*[np.array([*examples.values()])] * 2, np.ones(len(examples)), *[np.zeros(0)] * 10)
+    bare.base = up / (len(examples) + 1)
+    near = {
+        i: sorted(((float(v @ dense[e]), k) for k, e in enumerate(examples) if e != i), key=lambda x: -x[0])[: toxicity.NEAREST]
+        for i, v in dense.items()
+    }
+    near = {i: [x for x in held if x[0] > 1e-12] for i, held in near.items()}
+    votes = np.array([toxicity._logit(bare.vote(near[e])) for e in examples])
+    bare.calibration = toxicity._calibrate(votes, bare.labels, bare.importance)
+    others = [i for i in dense if i not in examples]
+    # Ties at the end of the nearest may fall to another example of the same cosine.
+    same = [abs(got[i]["score"] - bare.score(near[i])) < 1e-6 for i in others]
+    assert sum(same) >= 0.95 * len(others)
+    assert all(len(got[i]["nearest"]) == min(3, len(near[i])) for i in others)
+    assert all(abs(got[i]["nearest"][0]["similarity"] - near[i][0][0]) < 1e-9 for i in others if near[i])
+
+
 def test_toxicity_held_out(spark):
     """Trained on two thirds of made-up labels, it finds the rest, whatever languages and ids."""
     rng = random.Random(4)

@@ -87,8 +87,10 @@ class Terms:
     def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (numbers in order, how often each occurs). A run counts each time a word holds it."""
         words = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in words])
+        sizes = np.array([len(w) for w in words], np.int64)
         coded = pa.array([w for held in words for w in held], pa.string()).dictionary_encode()
+        if not len(texts):
+            return []
         own = [self.of(w) for w in coded.dictionary.to_pylist()]
         many = np.array([len(o) for o in own], np.int64)
         numbers = np.array([n for o in own for n in o], np.int64)

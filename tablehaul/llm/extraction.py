@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,15 +26,14 @@ from tablehaul.llm.labelled_pages import labelled_page
 # Labelled pages that the model is fitted to.
 TRAINING_PAGES = 390
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-# The text of scripts, styles, fields and titles goes on to the end of the page if they are not closed, that of the others
-# only counts as theirs if they are closed; an svg that ends in "/>" is empty. What stands in noscript is text.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    rf"|<(?:(template|iframe)\b{_ATTRIBUTES}|(svg)\b{_ATTRIBUTES}(?<!/))>.*?</(?:\2|\3)\s*>"
-    rf"|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+# A quote counts after "=" if it is closed; otherwise a tag ends at its first ">".
+_ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
+_COMMENT_END = re.compile(r"--!?>")
+# The text of these goes on to the end of the page if they are not closed; that of the others only counts as theirs if
+# they are closed. What stands in noscript is text.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>?", re.I) for n in ("script", "style", "textarea", "title")}
+_SKIPPED = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.I) for n in ("template", "iframe", "svg")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -95,11 +96,60 @@ class Page:
     offsets: list[int]
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, is it an end tag, attributes) of what is no text, in order: tags, and without a name comments and
+    elements whose content does not count. Each character is looked at a few times at most, however broken the page is."""
+    last_end, at = source.rfind(">"), 0
+    unclosed = False
+    lower = source.lower() if len(source.lower()) == len(source) else source
+    last_close = {n: lower.rfind(f"</{n}") for n in _SKIPPED}
+    while (at := source.find("<", at)) >= 0:
+        found = _TAG.match(source, at)
+        if not found:
+            following = source[at + 1 : at + 2]
+            if source.startswith("<!--", at):
+                if source.startswith((">", "->"), at + 4):
+                    end = source.index(">", at) + 1
+                else:
+                    closed = _COMMENT_END.search(source, at + 4)
+                    end = closed.end() if closed else len(source)
+            elif following in ("!", "?") and at < last_end:
+                end = source.index(">", at) + 1
+            else:
+                at += 1
+                continue
+            yield at, end, "", False, ""
+            at = end
+            continue
+        if at > last_end:
+            return
+        end = len(source) if unclosed else _ATTRIBUTES.match(source, found.end()).end()
+        if end == len(source):
+            # No ">" ends this tag outside of quotes; nor does one end the tags after it.
+            unclosed, end = True, source.index(">", found.end())
+        name, attributes = found[2].lower(), source[found.end() : end]
+        end += 1
+        if found[1]:
+            yield at, end, name, True, ""
+        elif name in _RAW:
+            closed = _RAW[name].search(source, end)
+            end = closed.end() if closed else len(source)
+            yield at, end, "", False, ""
+        elif name in _SKIPPED and last_close[name] >= end and not (name == "svg" and attributes.endswith("/")):
+            closed = _SKIPPED[name].search(source, end)
+            end = closed.end() if closed else end
+            yield at, end, "", False, ""
+        else:
+            yield at, end, name, False, attributes
+        at = end
+
+
 def parse(source: str) -> Page:
     """The tree of block elements and text blocks. Scripts, styles, titles and markup are left out, references are
     decoded, white space in a block becomes one space. Broken markup closes where its container does."""
     page = Page([-1], ["html"], [()], [None], [0], [0])
     open_nodes: list[tuple[str, int]] = [("html", 0)]
+    standing: Counter[str] = Counter()
     run: list[str] = []
     state = {"link": 0, "linked": 0, "from": 0}
 
@@ -124,30 +174,31 @@ def parse(source: str) -> Page:
                 state["linked"] += len(text)
 
     def close(names: set[str], stop: set[str]) -> None:
+        if not any(standing[n] for n in names):
+            return
         for i in range(len(open_nodes) - 1, 0, -1):
             if open_nodes[i][0] in names:
+                standing.subtract(n for n, _ in open_nodes[i:])
                 del open_nodes[i:]
                 return
             if open_nodes[i][0] in stop:
                 return
 
     last = 0
-    for found in _TOKEN.finditer(source):
-        add(source[last : found.start()], last)
-        last = found.end()
-        name = (found["name"] or "").lower()
+    for begin, end, name, is_end, attributes in tags(source):
+        add(source[last:begin], last)
+        last = end
         if not name:
             continue
         if name == "a":
-            state["link"] = 0 if found["end"] else 1
+            state["link"] = 0 if is_end else 1
         elif name == "br":
             run.append(" ")
         if name not in _BLOCKS:
             continue
         flush()
-        if found["end"]:
-            if name != "html" and any(n == name for n, _ in open_nodes[1:]):
-                close({name}, set())
+        if is_end:
+            close({name}, set())
             continue
         if name == "html":
             continue
@@ -156,11 +207,12 @@ def parse(source: str) -> Page:
         if name not in _VOID:
             page.parents.append(open_nodes[-1][1])
             page.kinds.append(name)
-            page.hints.append(_hints(found["attributes"]) if found["attributes"] else ())
+            page.hints.append(_hints(attributes) if attributes else ())
             page.texts.append(None)
             page.linked.append(0)
-            page.offsets.append(found.start())
+            page.offsets.append(begin)
             open_nodes.append((name, len(page.parents) - 1))
+            standing[name] += 1
     add(source[last:], last)
     flush()
     return page

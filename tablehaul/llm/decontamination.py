@@ -1,13 +1,16 @@
 """Benchmark passages inside training texts, found through a positional inverted index of the training words.
 
 The index is partitioned by document: every shard of some megabytes of text stores, for each of its words, the sorted
-positions where it occurs. A search sends bounded blocks of test phrases to all shards; each phrase starts with the
-positions of its rarest word in the shard, shifted back by the word's offset, and is intersected with the shifted lists
-of the other words until nothing or a match is left. No posting is shuffled, and a lost executor repeats one shard.
+positions where it occurs. The test items become blocks of bounded size, on the executors too. A few shards at a time are
+opened and meet all blocks, one after the other; each phrase starts with the positions of its rarest word in the shard,
+shifted back by the word's offset, and is intersected with the shifted lists of the other words until nothing or a match
+is left. So the index is read once, neither the documents nor the items pass through the driver, and a lost executor
+repeats a few shards.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -17,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import kind, map_rows, stage, text_bytes
+from tablehaul.llm.common import kind, map_rows, slices, stage, text_bytes, unpacked
+from tablehaul.llm.dictionaries import slice_numbers
 
 # Keeps 0-9, a-z and every byte above 0x7F, turns A-Z into lower case and all else into a space.
 _FOLD = bytes(
@@ -26,8 +30,10 @@ _FOLD = bytes(
 )
 # Empty positions between two documents of a shard, so that no phrase matches across them.
 _GAP = 64
-# Bytes of test text that one search sends to the shards.
+# Bytes of test text in a block.
 BLOCK_BYTES = 2 << 20
+# Shards that are open at a time, on average.
+TOGETHER = 4
 
 _INDEX = "shard long, doc_ids array<{}>, lengths array<long>, terms binary, counts binary, positions binary"
 _HITS = "shard long, ordinal int, spans array<struct<start:long,end:long>>, items array<string>"
@@ -111,18 +117,33 @@ def _near(starts: np.ndarray, offset: int, places: np.ndarray, slop: int) -> np.
     return starts[np.searchsorted(places, starts + (offset + slop), "right") > low]
 
 
-def search_shard(row: dict, phrases: Phrases, slop: int = 0) -> list[dict]:
-    """The documents of a shard that hold phrases, with the word spans these cover and the items they come from."""
+@dataclass
+class Shard:
+    """An opened shard: the number of each of its words, and the places of all words one after the other."""
+
+    number: int
+    lengths: np.ndarray
+    terms: dict[bytes, int]
+    counts: np.ndarray
+    ends: np.ndarray
+    places: np.ndarray
+
+
+def open_shard(row: dict) -> Shard:
     size = int.from_bytes(row["terms"][:8], "little")
     terms = pa.decompress(row["terms"][8:], size, codec="zstd", asbytes=True).split() if size else []
     counts = _unpack(row["counts"], np.int32, len(terms))
     ends = np.cumsum(counts, dtype=np.int64)
     places = np.cumsum(_unpack(row["positions"], np.int64, int(ends[-1]) if len(ends) else 0))
+    return Shard(row["shard"], np.array(row["lengths"], np.int64), {t: i for i, t in enumerate(terms)}, counts, ends, places)
+
+
+def search_shard(shard: Shard, phrases: Phrases, slop: int = 0) -> list[dict]:
+    """The documents of a shard that hold phrases, with the word spans these cover and the items they come from."""
+    counts, ends, places, lengths = shard.counts, shard.ends, shard.places, shard.lengths
     here = np.full(len(phrases.vocabulary) + 1, -1, np.int64)
-    for code, term in enumerate(terms):
-        if (number := phrases.vocabulary.get(term)) is not None:
-            here[number] = code
-    lengths = np.array(row["lengths"], np.int64)
+    for term, number in phrases.vocabulary.items():
+        here[number] = shard.terms.get(term, -1)
     bases = np.cumsum(lengths + _GAP) - (lengths + _GAP)
     codes = here[phrases.words]
     whole = ((codes >= 0) | (phrases.words < 0)).all(1)
@@ -146,7 +167,7 @@ def search_shard(row: dict, phrases: Phrases, slop: int = 0) -> list[dict]:
             spans[doc].append((first, min(int(lengths[doc]), int(start - bases[doc]) + length)))
             items[doc].update(phrases.items[i])
     return [
-        {"shard": row["shard"], "ordinal": doc, "spans": [{"start": a, "end": b} for a, b in _merged(spans[doc])],
+        {"shard": shard.number, "ordinal": doc, "spans": [{"start": a, "end": b} for a, b in _merged(spans[doc])],
          "items": sorted(items[doc])}
         for doc in sorted(spans)
     ]
@@ -162,16 +183,60 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_column: str, text: str):
-    """The test items in blocks of about ``BLOCK_BYTES``, dealt by a hash of their ids."""
+def _blocks(benchmark: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
+    """(block, items): the distinct test items as staged blocks of about ``size`` bytes, an item at least."""
     items = benchmark.select(
         F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), text_bytes(text).alias("text")
-    )
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        yield sorted((r["item"], bytes(r["text"])) for r in rows)
+    ).distinct()
+
+    def run(batches):
+        names, held, much = slice_numbers(), [], 0
+
+        def block():
+            raw = pickle.dumps(sorted(held))
+            packed = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array([next(names)]), pa.array([packed], pa.binary())], names=["block", "items"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for item, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    held.append((item, words))
+                    much += len(words)
+                    if much >= size:
+                        yield block()
+                        held, much = [], 0
+        if held:
+            yield block()
+
+    return stage(items.mapInArrow(run, "block long, items binary"), "blocks")
+
+
+_HIT_NAMES = ["shard", "ordinal", "spans", "items"]
+
+
+def _search(window: int, slop: int):
+    """From the shards of a group (side 0) and after them all blocks (side 1) the hits."""
+
+    def run(batches):
+        group, shards = None, []
+        arrow = pa.schema([
+            ("shard", pa.int64()), ("ordinal", pa.int32()), ("items", pa.list_(pa.string())),
+            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ])
+        arrow = pa.schema([arrow.field(n) for n in _HIT_NAMES])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["salt"] != group:
+                    group, shards = row["salt"], []
+                if row["side"] == 0:
+                    shards.append(open_shard(row))
+                    continue
+                phrases = phrases_of(pickle.loads(unpacked(row["items"])), window)
+                for shard in shards:
+                    yield pa.RecordBatch.from_pylist(search_shard(shard, phrases, slop), schema=arrow)
+
+    return run
 
 
 def contamination(
@@ -189,17 +254,17 @@ def contamination(
     """
     if not 0 <= slop < _GAP // 2:
         raise ValueError(f"the slop is 0 to {_GAP // 2 - 1} words")
-    spark = docs.sparkSession
     index = build_index(docs, id_column, text)
-    found = spark.createDataFrame([], _HITS)
-    for items in _blocks(benchmark, item_column, item_text):
-        phrases = phrases_of(items, window)
-
-        def rows(part, phrases=phrases):
-            for row in part:
-                yield from search_shard(row, phrases, slop)
-
-        found = found.union(map_rows(index, rows, _HITS))
+    blocks = _blocks(benchmark, item_column, item_text, BLOCK_BYTES)
+    salts = max(1, index.count() // TOGETHER)
+    opened = ["shard", "lengths", "terms", "counts", "positions"]
+    shards = index.select(F.pmod(F.xxhash64("shard"), F.lit(salts)).alias("salt"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("block"), *opened, F.lit(None).cast("binary").alias("items"))
+    salted = blocks.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(1).alias("side"), "block",
+        *[F.lit(None).cast(kind(index, c)).alias(c) for c in opened], "items",
+    )
+    met = shards.union(salted).repartition("salt").sortWithinPartitions("salt", "side", "block")
+    found = met.mapInArrow(_search(window, slop), _HITS)
     length = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),

@@ -18,8 +18,6 @@ from tablehaul.llm.common import keyed, stage
 # mean / LEAST_SHARE terms are that frequent, however many rows there are: that bounds what is broadcast.
 LEAST_SHARE = 0.002
 MOST_SHARE = 0.01
-# A band never ends below this many rows: in a small table a share of it would be a handful.
-LEAST_MOST = 50
 # Subsets as (shift, mask, cell): they hold the terms of which these bits of the hash are the cell's number.
 SUBSETS = tuple(
     [(0, 0xFF, c) for c in range(12)] + [(8, 0x3F, c) for c in range(12)] + [(14, 0xF, c) for c in range(12)]
@@ -36,11 +34,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term): the hashed terms whose document frequency is in the band, counted over all rows, staged. The least
-    frequency is two rows, the largest ``LEAST_MOST`` or more."""
+    """(term): the hashed terms whose document frequency is in the band of shares, counted over all rows, staged; one band
+    at every size, but that a term of one row tells nothing and is left out."""
     rows = docs.count()
     often = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return stage(often.filter((F.col("df") >= max(2, least * rows)) & (F.col("df") <= max(LEAST_MOST, most * rows))).select("term"), "lexicon")
+    return stage(often.filter((F.col("df") >= max(2, least * rows)) & (F.col("df") <= most * rows)).select("term"), "lexicon")
 
 
 def _digits(value: Column) -> Column:
@@ -101,11 +99,13 @@ def print_sides(texts: DataFrame, words: DataFrame, sides: dict[str, str], key:
     return rows.select(F.col("key").alias(key), *[F.col(f"info.{c}").alias(c) for c in carried], *sides)
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE
+) -> DataFrame:
     """(doc_id, fingerprint) for each row of ``docs``. Null texts are empty; all texts without words share a
     fingerprint; equal texts have equal ones; null and repeated ids keep a row each."""
     rows = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
-    return print_sides(rows, lexicon(rows), {"fingerprint": "text"}, "__row", ["doc_id"]).drop("__row")
+    return print_sides(rows, lexicon(rows, "text", least, most), {"fingerprint": "text"}, "__row", ["doc_id"]).drop("__row")
 
 
 def with_next(rows: DataFrame, key: str, id_column: str, text: str) -> DataFrame:

@@ -99,12 +99,16 @@ def draw_slots(sources: DataFrame, block: int, shard_slots: int, seed: int, turn
     reach = parts.filter("part > 0").select("number", "low", "high", F.explode(F.array_distinct(F.array(low, high))).alias("at"))
     won = draws.withColumn("at", F.floor("point")).join(reach, "at").filter("point >= low and point < high")
     extra = won.groupBy("number", "shard").agg(F.count("*").alias("extra"))
-    every = drawn.select("number", "blocks", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    # A row for each source and shard, made in many tasks; a source's shards are summed up in cells of some thousands.
+    last = sources.agg(F.max("number")).first()[0]
+    every = drawn.sparkSession.range(shards * ((-1 if last is None else last) + 1)).select(
+        F.call_function("div", F.col("id"), F.lit(shards)).alias("number"), (F.col("id") % shards).alias("shard")
+    ).join(drawn.select("number", "blocks", "whole"), "number")
     counts = every.join(extra, ["number", "shard"], "left").withColumn("count", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    begin = F.sum("count").over(Window.partitionBy("number").orderBy("shard")) - F.col("count")
+    counts = counts.withColumn("cell", F.call_function("div", F.col("shard"), F.lit(4096)))
     # Lots are rows that become thousands of slots each, so they are dealt out by their slots, not by their own size.
     parts = max(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / block / 100_000) + 1)
-    lot = counts.withColumn("begin", begin).filter("count > 0").repartition(parts, "number", "shard")
+    lot = ranked(counts, ["number"], "cell", ["shard"], "begin", value="count").filter("count > 0").repartition(parts, "number", "shard")
     slots = lot.select(
         "number", "blocks", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("n")
     ).filter(F.col("n") < F.col("blocks") * turns)

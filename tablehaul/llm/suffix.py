@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import keyed, packed_texts, ranked, remove_staged, slices, stage, text_bytes, unpacked
+from tablehaul.llm.common import keyed, packed_texts, remove_staged, slices, stage, text_bytes, unpacked
+from tablehaul.operators.positions import number_rows
 
 _GRAM = 24
 # Bytes of text that are hashed at once, and of units that share one suffix array.
@@ -363,11 +364,9 @@ def _numbered(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     if repeated.isEmpty():
         return plain.select(F.col("doc_id").alias("doc"), "doc_id", "text")
     rows = keyed(docs).select(F.col(id_column).alias("doc_id"), text_bytes(text).alias("text"), "__row")
-    spread = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, ((spread[1] or 0) - (spread[0] or 0)) // 4096 + 1)
-    cell = F.coalesce(F.call_function("div", F.col("doc_id") - F.lit(spread[0] or 0), F.lit(width)), F.lit(1 << 40))
-    placed = ranked(rows.select("doc_id", "__row").withColumn("cell", cell), [], "cell", ["doc_id", "__row"], "doc")
-    return stage(rows.drop("doc_id").join(placed.drop("cell"), "__row").select("doc", "doc_id", "text"), "numbered")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("place")]
+    placed = number_rows(rows.select("doc_id", F.col("__row").alias("place")), order, "doc").rows.select("doc", "doc_id", F.col("place").alias("__row"))
+    return stage(rows.drop("doc_id").join(placed, "__row").select("doc", "doc_id", "text"), "numbered")
 
 
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -248,8 +248,8 @@ def test_imatch_prints(plain):
     made, df = plain
     texts = {r[0]: {w for w in re.split(imatch._APART, (r[1] or "").lower()) if w} for r in made}
     often = Counter(w for t in texts.values() for w in t)
-    band = {w for w, n in often.items() if 2 <= n <= imatch.LEAST_MOST}
-    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(df).collect()}
+    band = {w for w, n in often.items() if 2 <= n <= 0.6 * len(made)}
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(df, most=0.6).collect()}
 
     def signed(h):
         return h - (1 << 64) if h >> 63 else h

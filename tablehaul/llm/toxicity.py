@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from tablehaul.llm.common import kind, map_rows, stage, text_bytes
 from tablehaul.llm.dictionaries import squeezed, unsqueezed
-from tablehaul.session import size_partitions
 
 # Bounds of what is fitted: examples of each label, and runs of letters beside the words.
 EXAMPLES = 2000
@@ -35,9 +34,11 @@ LEAST_BEARING = 0.1
 NEAREST = 15
 BLOCK = 64
 # Terms of more than one in so many examples are laid out as a matrix.
-COMMON = 6
+COMMON = 20
+# Terms of so few examples are read at once: their blocks would be as many as their postings.
+FEW = 4
 # Blocks that are read before there is a worst of the nearest.
-FIRST = 4
+FIRST = 8
 # Texts that are scored together.
 TOGETHER = 128
 # Added to a distance before it is inverted, and the weight of the base rate beside the votes.
@@ -113,7 +114,7 @@ def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     """Examples in blocks of ``BLOCK`` places. The postings of a term follow one another by place; those of one block are a
-    segment with a largest weight. Terms of many examples are rows of a matrix instead."""
+    segment with a largest weight. Terms of many examples are rows of a matrix instead, and those of a few are read whole."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -123,6 +124,7 @@ class Index:
     matrix: np.ndarray
     place: np.ndarray
     value: np.ndarray
+    start: np.ndarray
     segments: np.ndarray
     block: np.ndarray
     begin: np.ndarray
@@ -142,23 +144,24 @@ class Index:
     def nearest_of(self, vectors: list, k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each vector (cosine, place) of the ``k`` nearest with a cosine above 0, exact; equal ones by place. The place
         ``leave`` is left out."""
-        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
-        if not n:
+        if not len(self.ids):
             return [[] for _ in vectors]
         dense = np.zeros((len(vectors), len(self.matrix)))
         for i, (terms, weights) in enumerate(vectors):
             rows = self.row[terms]
             dense[i, rows[rows >= 0]] = weights[rows >= 0]
         scores = dense @ self.matrix
-        padded = np.zeros((len(vectors), blocks * BLOCK))
-        padded[:, :n] = scores
-        tops = padded.reshape(len(vectors), blocks, BLOCK).max(axis=2)
-        return [
-            self._nearest(*vector, k, -1 if leave is None else leave[i], scores[i], tops[i]) for i, vector in enumerate(vectors)
-        ]
-
-    def _nearest(self, terms, weights, k: int, leave: int, scores: np.ndarray, tops: np.ndarray) -> list[tuple[float, int]]:
-        rare = self.row[terms] < 0
+        return [self._nearest(*vector, k, -1 if leave is None else leave[i], scores[i]) for i, vector in enumerate(vectors)]
+
+    def _nearest(self, terms, weights, k: int, leave: int, scores: np.ndarray) -> list[tuple[float, int]]:
+        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        few = (size > 0) & (size <= FEW)
+        at = _spread(begin[few], size[few])
+        scores = scores + np.bincount(self.place[at], np.repeat(weights[few], size[few]) * self.value[at], len(scores))
+        padded = np.zeros(-(-len(scores) // BLOCK) * BLOCK)
+        padded[: len(scores)] = scores
+        tops = padded.reshape(-1, BLOCK).max(axis=1)
+        rare = size > FEW
         first, last = self.segments[terms[rare]], self.segments[terms[rare] + 1]
         own = _spread(first, last - first)
         heavy = np.repeat(weights[rare], last - first)
@@ -208,7 +211,7 @@ def make_index(examples: list[tuple], weight: np.ndarray, importance: dict[int,
     """The index of (doc_id, label, terms, counts). Examples with the same heaviest term share blocks, which keeps
     the bounds of the other blocks low."""
     none = np.zeros(0, np.int64)
-    bare = Index(none, none, none, weight, none, none, none, none, none, none, none, none, none)
+    bare = Index(none, none, none, weight, *[none] * 10)
     vectors = [bare.vector(e[2], e[3]) for e in examples]
     order = sorted(
         range(len(examples)),
@@ -234,7 +237,7 @@ def make_index(examples: list[tuple], weight: np.ndarray, importance: dict[int,
     labels = np.array([examples[i][1] for i in order], np.int64)
     index = Index(
         np.array([examples[i][0] for i in order], np.int64), labels, np.array([importance[int(y)] for y in labels], float),
-        weight, row, matrix, place, value, np.searchsorted(term[begin], np.arange(len(weight) + 1)), place[begin] // BLOCK,
+        weight, row, matrix, place, value, np.searchsorted(term, np.arange(len(weight) + 1)), np.searchsorted(term[begin], np.arange(len(weight) + 1)), place[begin] // BLOCK,
         begin, np.diff(np.append(begin, len(term))), np.maximum.reduceat(value, begin) if len(begin) else np.zeros(0),
     )
     # A text far from all examples gets about the share of toxic ones among all labelled.
@@ -376,6 +379,4 @@ def toxicity(
                     ],
                 }
 
-    # Staged rows are few megabytes for many documents; dealt anew, no task grows with the table.
-    spread = held.repartition(size_partitions(plain, 16 << 20))
-    return map_rows(spread, scored, kept + _SCORED)
+    return map_rows(held, scored, kept + _SCORED)

@@ -92,7 +92,7 @@ def test_scores_against_dense_vectors(spark):
     dense = {i: np.array([1 + np.log(c[t]) if c[t] else 0.0 for t in order]) * weight for i, c in counts.items()}
     dense = {i: v / (np.linalg.norm(v) or 1) for i, v in dense.items()}
     assert all(dense[i].any() for i in examples)
-    bare = toxicity.Index(*[np.array([*examples.values()])] * 2, np.ones(len(examples)), *[np.zeros(0)] * 10)
+    bare = toxicity.Index(*[np.array([*examples.values()])] * 2, np.ones(len(examples)), *[np.zeros(0)] * 11)
     bare.base = up / (len(examples) + 1)
     near = {
         i: sorted(((float(v @ dense[e]), k) for k, e in enumerate(examples) if e != i), key=lambda x: -x[0])[: toxicity.NEAREST]

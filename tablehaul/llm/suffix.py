@@ -356,7 +356,7 @@ def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
     return made
 
 
-def _numbered(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def numbered(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(doc, doc_id, text): ``docs`` with a distinct long per row in the order of ids: the id itself, or, where ids repeat or are null, the
     row's place by (id, place in its file), null last."""
     plain = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text).alias("text"))
@@ -409,7 +409,7 @@ def remove_repeats(
     the same one; strings are those of the input, not of what is left. Null texts are empty; texts shorter than
     ``length`` keep all. Other columns are not read.
     """
-    numbered = _numbered(docs, id_column, text)
-    runs = repeated_runs(numbered.select("doc", "text"), length)
+    rows = numbered(docs, id_column, text)
+    runs = repeated_runs(rows.select("doc", "text"), length)
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    return packed_texts(numbered).join(lists, "doc", "left").mapInArrow(_remove(length, keep_text), _KEPT)
+    return packed_texts(rows).join(lists, "doc", "left").mapInArrow(_remove(length, keep_text), _KEPT)

@@ -4,7 +4,8 @@ A document's tokens are its five-word shingles. Under one hash function, all str
 token form a compact window (first, smallest, last): every stretch that begins from ``first`` on, ends up to ``last`` and
 holds the smallest token has that token as its min-hash. The windows are the nodes of the Cartesian tree over the
 hashes; only those as wide as the shortest passage are kept, and these are the positions that are smallest in some
-stretch of that width, so the tree is built over them alone, about 2 in 46 of all.
+stretch of that width, so the tree is built over them alone, about 2 in 46 of all. A token that repeats has one window for
+all its places that no smaller one parts, so a text of one line over and over has as many windows as the line has tokens.
 
 Windows of different documents with equal min-hashes are linked. Those with the same tokens throughout are one text, which
 its first window stands for, and the others are linked to that one; what differs is linked all to all, and a value with
@@ -23,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablehaul.llm.common import packed_texts, slices, stage, text_bytes, unpacked
+from tablehaul.llm.common import packed_texts, slices, stage, unpacked
+from tablehaul.llm.suffix import numbered
 
 SHINGLE = 5
 # Words of the shortest passage, hash functions, and how many of them have to agree before tokens are compared.
@@ -124,7 +126,9 @@ def _scan(width: int):
                     values[walls] = 0
                     at, first, last = compact_windows(values, width)
                     own = np.searchsorted(begins, at, "right") - 1
-                    inside = at != walls[own]
+                    # Of equal tokens that follow one another without a smaller one between, the first has the window of
+                    # all: a min-hash is a token's value, wherever in the stretch it stands.
+                    inside = (at != walls[own]) & (tokens[np.maximum(first - 1, 0)] != tokens[at])
                     at, first, last, own = at[inside], first[inside], last[inside], own[inside]
                     marked = tokens[at] & ~np.uint64(7) | np.uint64(f)
                     content = (sums[last + 1] - sums[first]) * back[first] ^ (last - first).astype(np.uint64) * _MIX[6]
@@ -513,13 +517,13 @@ def near_passages(
     words of different documents whose sets of five-word shingles have a Jaccard similarity of at least ``similarity``.
 
     Of many documents with the very same passage each is named with the first and with the one before, not all with all;
-    passages that differ are set against each other all to all. Null, empty and short texts and rows without an id have no passages; rows of one id are one document,
-    that of the smallest text; other columns are not read. No rows give none.
+    passages that differ are set against each other all to all. Null, empty and short texts have no passages. Each row is a
+    document: of rows with one id, or without one, each is set against the others under that id. Ids are whole numbers;
+    other columns are not read. No rows give none.
     """
     width = words - SHINGLE + 1
-    plain = docs.select(F.col(id_column).cast("long").alias("doc"), text_bytes(text).alias("text")).filter("doc is not null")
-    if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
-        plain = stage(plain.groupBy("doc").agg(F.min("text").alias("text")), "documents")
+    rows = numbered(docs, id_column, text)
+    plain = rows.select("doc", "text")
     windows = plain.mapInArrow(_scan(width), _WINDOWS)
     dealt = windows.repartition("value").sortWithinPartitions("value")
     links = stage(dealt.mapInArrow(_link, _LINKS), "links")
@@ -538,4 +542,13 @@ def near_passages(
     wanted = wanted.join(lots, "doc").withColumn("lot", F.pmod(F.xxhash64("w.pair"), "lots")).groupBy("doc", "lot").agg(F.collect_list("w").alias("wanted"))
     fetched = packed_texts(plain).join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_fetch, _SIDES)
     ordered = fetched.repartition("pair").sortWithinPartitions("pair", "side")
-    return _copies_as_stars(stage(ordered.mapInArrow(_verify(width, similarity), _VERIFIED), "verified"))
+    found = _copies_as_stars(stage(ordered.mapInArrow(_verify(width, similarity), _VERIFIED), "verified"))
+    return _with_ids(found, rows.select("doc", "doc_id"))
+
+
+def _with_ids(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with the documents' ids instead of their numbers."""
+    for column in ("doc_id", "other_id"):
+        named = ids.select(F.col("doc").alias("__doc"), F.col("doc_id").alias("__id"))
+        found = found.join(named, F.col(column) == F.col("__doc")).withColumn(column, F.col("__id")).drop("__doc", "__id")
+    return found.select(*_FOUND_NAMES)

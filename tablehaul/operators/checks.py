@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablehaul.dialects import SQLSERVER
 from tablehaul.operators.positions import rank_within
+from tablehaul.session import stage
 
 
 def _finite(value: Column, data_type: T.DataType) -> Column:
@@ -82,17 +84,35 @@ def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*counts).alias("columns")).select(F.inline("columns"))
 
 
-def unique_violations(df: DataFrame, keys: list[str], dialect: str = "", primary: bool = False) -> DataFrame:
+def unique_violations(
+    df: DataFrame, keys: list[str], dialect: str = "", primary: bool = False, digest: Callable[..., Column] = F.xxhash64
+) -> DataFrame:
     """The keys that occur more than once, with their row counts; for a primary key also those with a null.
 
-    SQL Server takes nulls of a unique key for equal; the others do not compare keys that have one.
+    SQL Server takes nulls of a unique key for equal; the others do not compare keys that have one. Keys with a text are
+    counted by their 64-bit ``digest`` first, and only those whose digest repeats are moved and compared whole.
     """
     has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    counted = df.groupBy(*keys).agg(F.count("*").alias("row_count"))
     repeated = F.col("row_count") > 1
+
+    def counted(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*keys).agg(F.count("*").alias("row_count"))
+        if primary:
+            return found.filter(repeated | has_null)
+        return found.filter(repeated) if dialect == SQLSERVER else found.filter(repeated & ~has_null)
+
+    wide = any(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in df.select(*keys).schema)
+    if not wide:
+        return counted(df)
+    held = df.select(*keys, digest(*keys).alias("__digest"))
+    often = held.groupBy("__digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("__digest").alias("__often"))
+    same = F.col("__digest") == F.col("__often")
+    suspects = stage(often, "repeated")
+    found = held.join(suspects, same, "left_semi")
     if primary:
-        return counted.filter(repeated | has_null)
-    return counted.filter(repeated) if dialect == SQLSERVER else counted.filter(repeated & ~has_null)
+        # A key with a null breaks the rule also where its digest occurs once.
+        found = found.union(held.filter(has_null).join(suspects, same, "left_anti"))
+    return counted(found)
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataFrame:

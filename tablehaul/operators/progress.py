@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehaul.dialects import LIVE_BATCH, SCRIPT_BATCH, SCRIPT_BATCH_MAX
@@ -40,13 +40,28 @@ def overall_percent(mode: str, table_index: Column, table_count: Column, percent
     return (started + F.floor(percent * per_table / 100)).cast("int")
 
 
-def running_progress(loaded: DataFrame, size: int) -> DataFrame:
-    """After each batch of a load: ``batch_id``, ``rows_done``, ``percent``, from the rows as they are written.
+def batch_metrics(written: DataFrame, size: int) -> DataFrame:
+    """(batch_id, rows): how many rows each batch of a load has put into its target, in the order in which they lie there.
 
-    Rows are numbered in the order in which the load writes them, and the last number of a batch is how far it has come.
+    ``written`` is read straight from the target's files. Their own row counts say which rows of which batch they hold, so
+    there is one row per file to add up and no value is read.
     """
-    rows, total = number_rows(loaded.select(F.lit(True).alias("row")))
+    files = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    name = F.substring_index("file", "/", -1)
+    order = Window.orderBy(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), name)
+    placed = files.select("n", (F.sum("n").over(order) - F.col("n")).alias("begin"))
+    first, last = (batch_number(x + 1, size) for x in (F.col("begin"), F.col("begin") + F.col("n") - 1))
+    parts = placed.select("begin", (F.col("begin") + F.col("n")).alias("end"), F.explode(F.sequence(first, last)).alias("batch_id"))
+    here = F.least("end", (F.col("batch_id") + 1) * size) - F.greatest("begin", F.col("batch_id") * size)
+    return parts.groupBy("batch_id").agg(F.sum(here).alias("rows"))
+
+
+def running_progress(written: DataFrame, size: int) -> DataFrame:
+    """After each batch of a load: ``batch_id``, ``rows_done``, ``percent``, from what has been written (``batch_metrics``)."""
+    batches = batch_metrics(written, size)
+    total = batches.agg(F.sum("rows")).first()[0]
     if not total:
-        return loaded.sparkSession.sql("SELECT 0L AS batch_id, 0L AS rows_done, 100 AS percent")
-    batches = rows.groupBy(batch_number(F.col("position"), size).alias("batch_id")).agg(F.max("position").alias("rows_done"))
-    return batches.withColumn("percent", percent_done(F.col("rows_done"), F.lit(total)))
+        return written.sparkSession.sql("SELECT 0L AS batch_id, 0L AS rows_done, 100 AS percent")
+    # Only the last batch may have fewer rows than ``size``.
+    done = F.col("batch_id") * size + F.col("rows")
+    return batches.select("batch_id", done.alias("rows_done"), percent_done(done, F.lit(total)).alias("percent"))

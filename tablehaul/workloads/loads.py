@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from tablehaul.plans import jobs as J
 from tablehaul.operators.positions import number_rows
 from tablehaul.session import fresh_path, stage
 from tablehaul.sources import load as S
+from tablehaul.sources.retention import append_events, retain
 from tablehaul.sources.scan import read_files
 from tablehaul.sources.script import SECTION_RULE, ScriptTable, insert_script, multi_table_script, write_script
 from tablehaul.sources.versions import Store, StoredTable
@@ -51,14 +53,31 @@ def _progress_sql() -> str:
 
 @register("running_progress", _progress_sql())
 def running_progress(spark, folder):
+    """How far the loads of three tables have come after each of their batches, from the files that they have written."""
     parts = []
     for i, name in enumerate(_PROGRESS_TABLES):
-        done = P.running_progress(table(spark, folder, name), BATCH).withColumn("table_name", F.lit(name))
+        target = fresh_path(spark, name)
+        S.replace_load(table(spark, folder, name), target)
+        done = P.running_progress(spark.read.parquet(target), BATCH).withColumn("table_name", F.lit(name))
         overall = P.overall_percent(J.DATA_ONLY, F.lit(i), F.lit(len(_PROGRESS_TABLES)), F.col("percent"))
         parts.append(done.withColumn("overall", overall))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register(
+    "batch_metrics",
+    """SELECT batch_id, least(5000, n - batch_id * 5000) AS rows, n AS loaded FROM (SELECT n, unnest(generate_series(0, (n - 1) // 5000))
+       AS batch_id FROM (SELECT count(*) AS n FROM orders) c) t""",
+)
+def batch_metrics(spark, folder):
+    """Rows that each batch of a checked copy has put into the target, which add up to what the copy has counted."""
+    specs = (ColumnSpec("o_orderkey", "bigint", nullable=False), ColumnSpec("o_comment", "varchar", length=200))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").cast("long"), F.col("o_orderstatus").alias("o_comment"))
+    job = J.TableJob("orders", orders.repartitionByRange(7, "o_orderkey"), fresh_path(spark, "orders"), specs, ("o_orderkey",))
+    loaded = J.copy_table(job, POSTGRES, POSTGRES).rows
+    return P.batch_metrics(spark.read.parquet(job.target), 5000).withColumn("loaded", F.lit(loaded).cast("long"))
+
+
 def _names(dialect: str, schema: str, name: str, columns: list[str]) -> tuple[str, str]:
     if dialect == SQLSERVER:
         return f"[{schema}].[{name}]", ", ".join(f"[{c}]" for c in columns)
@@ -444,3 +463,15 @@ def versioned_load(spark, folder):
         for version in store.versions(spark) for name in store.manifest(spark, version).tables
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+@register(
+    "retain_log",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:30:00'""",
+)
+def retain_log(spark, folder):
+    """The log after events before a moment have been taken out of its folders."""
+    path = fresh_path(spark, "daily")
+    append_events(table(spark, folder, "events").select("event_id", "ts", "event_type"), path, "ts")
+    retain(spark, path, "ts", datetime.datetime(2024, 1, 10, 6, 30))
+    return spark.read.parquet(path).select("event_id", F.col("day").cast("string").alias("day"))

@@ -86,6 +86,6 @@ def test_unique_text_keys(spark):
     """Only keys whose digest repeats are looked at whole."""
     df = spark.range(1000).select(F.repeat(F.col("id").cast("string"), 50).alias("k"))
     assert unique_violations(df, ["k"], POSTGRES).collect() == []
-    twice = df.union(df.filter("k LIKE '77%'"))
-    found = unique_violations(twice, ["k"], POSTGRES)
-    assert found.count() == 11 and "__often" in found._jdf.queryExecution().toString()
+    again = df.filter("k LIKE '77%'")
+    found = unique_violations(df.union(again), ["k"], POSTGRES)
+    assert found.count() == again.count() > 0 and "__often" in found._jdf.queryExecution().toString()

@@ -35,71 +35,78 @@ def stream_errors(events: DataFrame, level: str, state: str = "") -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{state}/out")
 
 
-def _versioned(state: str):
-    """Where the output of each micro-batch lies; one that runs again writes the same place again."""
-    return lambda batch: f"{state}/out/batch={batch}"
+def _put(df: DataFrame, state: str, batch: int) -> None:
+    """Write a micro-batch's rows to a folder of its own; one that runs again writes the same folder again."""
+    df.write.mode("overwrite").parquet(f"{state}/out/batch={batch}")
 
 
-def _drop_old(spark: SparkSession, state: str, batch: int, kept: int = 2) -> None:
-    """Remove the outputs before the last ``kept``: the newest is read, the one before it is needed if a batch reruns."""
+def _batches(spark: SparkSession, state: str):
+    """The output folders by micro-batch, and their file system."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/out")
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in files.listStatus(root):
-        if int(found.getPath().getName().split("=")[1]) <= batch - kept:
-            files.delete(found.getPath(), True)
+    found = files.listStatus(root) if files.exists(root) else []
+    return {int(f.getPath().getName().split("=")[1]): f.getPath() for f in found}, files
+
+
+def _keep_only(spark: SparkSession, state: str, wanted: set[int], before: int) -> None:
+    """Remove the outputs before the micro-batch ``before`` that are not wanted."""
+    held, files = _batches(spark, state)
+    for batch, path in held.items():
+        if batch < before and batch not in wanted:
+            files.delete(path, True)
+
+
+def _read_all(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
+    """The outputs that are held, with their ``batch``."""
+    if not _batches(spark, state)[0]:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{state}/out")
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by("events", "batch").alias("events"), F.max("batch").alias("batch"))
 
 
 def stream_error_count(events: DataFrame, level: str, state: str = "") -> DataFrame:
-    """The number of events per level so far; each micro-batch writes the whole, small, result."""
+    """The number of events per level so far. The counts are Spark's state; a micro-batch writes only the levels that have
+    changed in it, and readers take each level's newest count. Outputs that hold no level's newest count go."""
     spark = events.sparkSession
     state = state or fresh_path(spark, "stream-count")
-    place = _versioned(state)
     counts = events.groupBy(level).agg(F.count("*").alias("events"))
 
-    def replace(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(place(batch))
-        _drop_old(spark, state, batch)
+    def put(df: DataFrame, batch: int) -> None:
+        _put(df, state, batch)
+        # This batch may run again, so what counts is what the ones before it hold.
+        earlier = _read_all(spark, state, counts.schema).filter(F.col("batch") < batch)
+        _keep_only(spark, state, {r[0] for r in _newest(earlier, level).select("batch").distinct().collect()}, batch)
 
     query = (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", f"{state}/checkpoint")
-        .foreachBatch(replace)
+        .foreachBatch(put)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _read_newest(spark, state, counts.schema)
+    return _newest(_read_all(spark, state, counts.schema), level).drop("batch")
 
 
 def stream_tail(events: DataFrame, order_by: list[str], keep: int = 5000, state: str = "") -> DataFrame:
-    """The last ``keep`` events so far: each micro-batch merges its own last ones into those before."""
+    """The last ``keep`` events so far: each micro-batch writes its own last ones, and nothing is written again. Outputs
+    that hold none of the last events any more go; ``keep`` is also the most that can stay."""
     spark = events.sparkSession
     state = state or fresh_path(spark, "stream-tail")
-    place = _versioned(state)
 
-    def merge(df: DataFrame, batch: int) -> None:
-        tail = top_rows(df, order_by, keep)
-        if batch > 0:
-            earlier = df.sparkSession.read.schema(events.schema).parquet(place(batch - 1))
-            tail = top_rows(tail.unionByName(earlier), order_by, keep)
-        tail.write.mode("overwrite").parquet(place(batch))
-        _drop_old(spark, state, batch)
+    def put(df: DataFrame, batch: int) -> None:
+        _put(top_rows(df, order_by, keep), state, batch)
+        tail = top_rows(_read_all(spark, state, events.schema), order_by, keep)
+        _keep_only(spark, state, {r[0] for r in tail.select("batch").distinct().collect()}, batch)
 
     query = (
         events.writeStream.option("checkpointLocation", f"{state}/checkpoint")
-        .foreachBatch(merge)
+        .foreachBatch(put)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _read_newest(spark, state, events.schema)
-
-
-def _read_newest(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
-    """The output of the last micro-batch; no rows if there was none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/out")
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return spark.createDataFrame([], schema)
-    newest = max(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root))
-    return spark.read.schema(schema).parquet(f"{state}/out/batch={newest}")
+    return top_rows(_read_all(spark, state, events.schema), order_by, keep).drop("batch")

@@ -3,6 +3,7 @@
 import dataclasses
 import datetime
 import glob
+import os
 import re
 
 import duckdb
@@ -474,6 +475,41 @@ def test_old_stream_outputs_go(spark, tmp_path):
     assert len(glob.glob(f"{state}/out/batch=*")) == 2
 
 
+def test_streams_write_what_changes(spark, tmp_path):
+    """A micro-batch writes the levels that it has changed, and its own last events; nothing is written twice."""
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "id long, level string"
+
+    def add(level, ids):
+        spark.createDataFrame([(i, level) for i in ids], schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def events():
+        return stream.read_events(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+
+    def counted():
+        return rows(stream.stream_error_count(events(), "level", state + "-c"), "level")
+
+    def last():
+        return [r.id for r in stream.stream_tail(events(), ["id"], 6, state + "-t").orderBy("id").collect()]
+
+    add("a", range(10))
+    add("b", range(10, 13))
+    assert counted() == [("a", 10), ("b", 3)] and last() == [7, 8, 9, 10, 11, 12]
+    add("b", range(13, 15))
+    assert counted() == [("a", 10), ("b", 5)] and last() == [9, 10, 11, 12, 13, 14]
+    sizes = {f.rsplit("=", 1)[1]: spark.read.parquet(f).count() for f in glob.glob(f"{state}-c/out/batch=*")}
+    assert sizes == {"0": 1, "1": 1, "2": 1}
+    sizes = {f.rsplit("=", 1)[1]: spark.read.parquet(f).count() for f in glob.glob(f"{state}-t/out/batch=*")}
+    assert sizes == {"0": 6, "1": 3, "2": 2}
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{state}-?/out/*/*.parquet")}
+    assert counted() == [("a", 10), ("b", 5)] and last() == [9, 10, 11, 12, 13, 14]
+    assert {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{state}-?/out/*/*.parquet")} == before
+    add("b", range(15, 25))
+    assert counted() == [("a", 10), ("b", 15)] and last() == list(range(19, 25))
+    assert {f.rsplit("=", 1)[1] for f in glob.glob(f"{state}-c/out/batch=*")} == {"0", "2", "3"}
+    assert {f.rsplit("=", 1)[1] for f in glob.glob(f"{state}-t/out/batch=*")} == {"3"}
+
+
 def test_scratch_scope(spark):
     with scratch_scope(spark):
         staged = stage(spark.range(3))

@@ -12,11 +12,11 @@ votes of the sample are calibrated to probabilities by a logistic curve.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +45,18 @@ TOGETHER = 128
 SOFT = 0.05
 BASE = 8.0
 
-_WORD = re.compile(r"[^\W\d_]+")
+# A word is a run of letters a-z and characters beyond ASCII; all else is a space.
+_FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SCORED = (
     "score double, terms array<string>, "
     "nearest array<struct<doc_id:long,label:int,similarity:double>>"
 )
 
 
-def words_of(text: bytes) -> list[str]:
-    """The words of a text: runs of letters in lower case."""
-    return _WORD.findall(text.decode("utf-8", "replace").lower())
+def split_words(texts: list[bytes]) -> pa.ListArray:
+    """The words of each text in lower case; an empty one stands where a text begins or ends with no letter."""
+    folded = [t.decode("utf-8", "replace").lower().encode().translate(_FOLD) for t in texts]
+    return pc.ascii_split_whitespace(pa.array(folded, pa.binary()).cast(pa.string()))
 
 
 def runs_of(word: str) -> set[str]:
@@ -87,11 +89,11 @@ class Terms:
 
     def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (numbers in order, how often each occurs). A run counts each time a word holds it."""
-        words = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        coded = pa.array([w for held in words for w in held], pa.string()).dictionary_encode()
         if not len(texts):
             return []
+        words = split_words(texts)
+        sizes = words.value_lengths().to_numpy()
+        coded = words.flatten().dictionary_encode()
         own = [self.of(w) for w in coded.dictionary.to_pylist()]
         many = np.array([len(o) for o in own], np.int64)
         numbers = np.array([n for o in own for n in o], np.int64)
@@ -280,7 +282,7 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
 
     def rows(part):
         for row in part:
-            words = set(words_of(row["text"]))
+            words = set(split_words([row["text"]])[0].as_py()) - {""}
             yield {"label": row["label"], "run": False, "terms": list(words)}
             yield {"label": row["label"], "run": True, "terms": list(set().union(*map(runs_of, words)))}
 

@@ -16,12 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.common import kind, map_rows, stage, text_bytes
-from tablehaul.llm.dictionaries import squeezed, unsqueezed
+from tablehaul.llm.dictionaries import Numbers, squeezed, unsqueezed
 
 # Bounds of what is fitted: examples of each label, and runs of letters beside the words.
 EXAMPLES = 2000
@@ -53,10 +52,9 @@ _SCORED = (
 )
 
 
-def split_words(texts: list[bytes]) -> pa.ListArray:
-    """The words of each text in lower case; an empty one stands where a text begins or ends with no letter."""
-    folded = [t.decode("utf-8", "replace").lower().encode().translate(_FOLD) for t in texts]
-    return pc.ascii_split_whitespace(pa.array(folded, pa.binary()).cast(pa.string()))
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text in lower case."""
+    return text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split()
 
 
 def runs_of(word: str) -> set[str]:
@@ -82,7 +80,7 @@ class Terms:
             found = [] if number is None else [number]
             if self.runs:
                 found += sorted(self.runs[r] for r in runs_of(word) if r in self.runs)
-            if len(self.inside) > 200_000:
+            if len(self.inside) > 50_000:
                 self.inside.clear()
             self.inside[word] = found
         return found
@@ -91,14 +89,14 @@ class Terms:
         """For each text (numbers in order, how often each occurs). A run counts each time a word holds it."""
         if not len(texts):
             return []
-        words = split_words(texts)
-        sizes = words.value_lengths().to_numpy()
-        coded = words.flatten().dictionary_encode()
-        own = [self.of(w) for w in coded.dictionary.to_pylist()]
+        met = Numbers()
+        coded = [met.of(words_of(t)) for t in texts]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        own = [self.of(w.decode()) for w in met]
         many = np.array([len(o) for o in own], np.int64)
         numbers = np.array([n for o in own for n in o], np.int64)
         begins = np.cumsum(many) - many
-        codes, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+        codes, text = np.concatenate(coded), np.repeat(np.arange(len(texts)), sizes)
         known = many[codes] > 0
         codes, text = codes[known], text[known]
         terms = numbers[_spread(begins[codes], many[codes])]
@@ -282,7 +280,7 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
 
     def rows(part):
         for row in part:
-            words = set(split_words([row["text"]])[0].as_py()) - {""}
+            words = {w.decode() for w in words_of(row["text"])}
             yield {"label": row["label"], "run": False, "terms": list(words)}
             yield {"label": row["label"], "run": True, "terms": list(set().union(*map(runs_of, words)))}
 
@@ -367,6 +365,8 @@ def toxicity(
     vectors = [(e[0], e[1], *held) for e, held in zip(examples, terms.counts([e[2] for e in examples]))]
     index = make_index(vectors, weight, {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)})
     telling = np.flatnonzero(bearing >= 1)
+    # What scores needs no more of the terms than the names of these.
+    names = {int(t): terms.names[t] for t in telling}
 
     def scored(part):
         for at in range(0, len(part), TOGETHER):
@@ -375,7 +375,7 @@ def toxicity(
             for row, (numbers, _), near in zip(some, own, index.nearest_of(own, NEAREST)):
                 said = numbers[np.isin(numbers, telling, assume_unique=True)]
                 yield row | {
-                    "score": index.score(near), "terms": [terms.names[t] for t in said],
+                    "score": index.score(near), "terms": [names[int(t)] for t in said],
                     "nearest": [
                         {"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "similarity": s} for s, i in near[:3]
                     ],

@@ -128,7 +128,7 @@ def _scan(width: int):
                     own = np.searchsorted(begins, at, "right") - 1
                     # Of equal tokens that follow one another without a smaller one between, the first has the window of
                     # all: a min-hash is a token's value, wherever in the stretch it stands.
-                    inside = (at != walls[own]) & (tokens[np.maximum(first - 1, 0)] != tokens[at])
+                    inside = (at != walls[own]) & ((first == 0) | (tokens[first - 1] != tokens[at]))
                     at, first, last, own = at[inside], first[inside], last[inside], own[inside]
                     marked = tokens[at] & ~np.uint64(7) | np.uint64(f)
                     content = (sums[last + 1] - sums[first]) * back[first] ^ (last - first).astype(np.uint64) * _MIX[6]
@@ -299,9 +299,25 @@ def _grouped(batches, keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]
         yield key, held
 
 
+def _agreeing(batches, enough: int) -> Iterator[pa.RecordBatch]:
+    """The links (a, b, f, ...) without those of pairs that too few functions link. Pairs that a batch may share with the
+    one before or after it stay."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, f = (batch.column(i).to_numpy() for i in range(3))
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        begins = np.flatnonzero(new)
+        seen = np.bitwise_or.reduceat(np.int64(1) << f.astype(np.int64), begins)
+        # Links of equal tokens, whose functions count from EXACT on, are enough alone.
+        kept = (np.bitwise_count(seen & ((1 << EXACT) - 1)) >= enough) | (seen >= 1 << EXACT)
+        kept[[0, -1]] = True
+        yield batch.filter(pa.array(kept[np.cumsum(new) - 1]))
+
+
 def _join_intervals(batches) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for (a, b), held in _grouped(batches, 2):
+    for (a, b), held in _grouped(_agreeing(batches, ENOUGH), 2):
         links = np.concatenate([np.column_stack([h.column(i).to_numpy() for i in range(2, 7)]) for h in held])
         if links[:, 0].max() >= EXACT or len(np.unique(links[:, 0])) >= ENOUGH:
             out += [(a, b, *o) for o in overlapping(links, ENOUGH)]

@@ -189,6 +189,21 @@ def test_blocks_link_all_pairs(monkeypatch):
     assert sorted((r["a"], r["b"]) for r in links if r["f"] >= 8) == [(3, 50), (3, 51)]
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_pairs_with_too_few_functions_go(size):
+    """Whatever the batches, what is left holds all links of the pairs that are looked at further."""
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(6), rng.randrange(6), rng.choice([0, 1, 2, 3, 8])) for _ in range(120))
+    batches = [windows.pa.RecordBatch.from_arrays([windows.pa.array(c) for c in zip(*rows[i : i + size])], names=list("abf")) for i in range(0, 120, size)]
+    left = [tuple(r.values()) for b in windows._agreeing(batches, windows.ENOUGH) for r in b.to_pylist()]
+    by = {}
+    for a, b, f in rows:
+        by.setdefault((a, b), set()).add(f)
+    wanted = {p for p, found in by.items() if len(found) >= windows.ENOUGH or 8 in found}
+    assert [r for r in left if r[:2] in wanted] == [r for r in rows if r[:2] in wanted]
+    assert len(left) < 120 or size < 1000
+
+
 def spans(a, b, **by):
     return [p[:4] for p in windows.passages(np.array(a, np.uint32), np.array(b, np.uint32), by.get("width", 46), 0.8)]
 

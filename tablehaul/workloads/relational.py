@@ -386,8 +386,10 @@ def equal_lists_null_group(spark, folder):
 )
 def even_splits(spark, folder):
     """Parts of a key with wide gaps, and of one that a third of all rows have: no part is larger than twice the mean."""
+    # As doubles: the cube of a key over 2,097,151 does not fit a long.
+    wide = F.col("l_orderkey").cast("double")
     lines = table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_orderkey")).cast("double").alias("gaps"),
+        (wide * wide * wide).alias("gaps"),
         F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_partkey")).cast("double").alias("hot"), "l_orderkey", "l_linenumber",
     ).withColumn("tie", F.struct("l_orderkey", "l_linenumber"))
     found = []

@@ -183,3 +183,10 @@ def test_even_parts_of_hot_keys_and_nothing(spark):
     assert max(r[1] for r in even_parts(df, "k", 16).groupBy("part").count().collect()) >= 2000
     assert even_parts(spark.range(0).withColumnRenamed("id", "k"), "k", 4).collect() == []
     assert {r["part"] for r in even_parts(spark.sql("SELECT CAST(NULL AS INT) AS k"), "k", 4).collect()} == {0}
+
+
+def test_even_splits_of_keys_whose_cubes_pass_64_bits(spark, tmp_path):
+    lines = spark.range(3200).select((F.col("id") * 9000 + 1).alias("l_orderkey"), (F.col("id") % 1000 + 1).alias("l_partkey"), F.lit(1).alias("l_linenumber"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = driver.queries()["even_splits"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [("gaps", 3200, True), ("hot", 3200, True)]

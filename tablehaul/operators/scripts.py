@@ -35,8 +35,12 @@ _ENDED = (
     r"(?s)\G((?:--[^\r\n]*+|/\*(?:/\*|[^*]|\*(?!/))*+(?:\*/|\z)|'(?:[^']++|'')*+(?:'|\z)"
     r"""|"(?:[^"]++|"")*+(?:"|\z)|[^;'"/-]++|[/-])*+);"""
 )
+# Characters that no state tells apart, with single ones between of what may begin or end a comment: a run of them does
+# what one of them does, and that leads from each state to one of these.
+_ALIKE = r"""[^'"/*\r\n-]++(?:[-/*][^'"/*\r\n-]++)*+"""
+_AFTER_ALIKE = dict.fromkeys(STATES, "p") | {"q": "q", "n": "n", "l": "l", "b": "b", "t": "b", "u": "b"}
 BLOCK = 256
-_BLANK = r"\s"
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def _state_of(rest: Column) -> Column:
@@ -51,9 +55,15 @@ def _state_of(rest: Column) -> Column:
 
 
 def transition(text: Column, openers: list[str]) -> Column:
-    """The states in which a text ends, one for each of the texts that may come before it."""
-    rests = F.transform(F.array(*[F.lit(o) for o in openers]), lambda o: F.regexp_replace(F.concat(o, text), _LEADING, ""))
-    return F.array_join(F.transform(rests, _state_of), "")
+    """The states in which a text ends, one for each of the texts that may come before it. The text is read once; what is
+    left of it, without all that makes no difference, is read for each of them."""
+
+    def after(short: Column) -> Column:
+        rests = F.transform(F.array(*[F.lit(o) for o in openers]), lambda o: F.regexp_replace(F.concat(o, short), _LEADING, ""))
+        plain = "".join(_AFTER_ALIKE[state] for state, opener in _OPENERS.items() if opener in openers)
+        return F.when(short == "x", plain).otherwise(F.array_join(F.transform(rests, _state_of), ""))
+
+    return F.transform(F.array(F.regexp_replace(text, _ALIKE, "x")), after)[0]
 
 
 def _after(state: Column, function: Column) -> Column:
@@ -73,13 +83,13 @@ def _begin_states(functions: DataFrame, total: int, block: int) -> DataFrame:
         whole = lists.select(F.col("block").alias("at"), F.aggregate("functions", F.lit(STATES), _after).alias("function"))
         above = _begin_states(whole, -(-total // block), block)
         begun = lists.join(above.select(F.col("at").alias("block"), "state"), "block")
-    first = F.struct("state", F.array().cast("array<string>").alias("begun"))
+    first = F.struct("state", F.lit("").alias("begun"))
     states = F.aggregate(
         "functions", first,
-        lambda a, f: F.struct(_after(a["state"], f).alias("state"), F.concat(a["begun"], F.array(a["state"])).alias("begun")),
+        lambda a, f: F.struct(_after(a["state"], f).alias("state"), F.concat(a["begun"], a["state"]).alias("begun")),
         lambda a: a["begun"],
     )
-    return begun.select("block", F.posexplode(states).alias("place", "state")).select(
+    return begun.select("block", F.posexplode(F.split(states, "")).alias("place", "state")).select(
         (F.col("block") * block + F.col("place")).alias("at"), "state"
     )
 
@@ -132,7 +142,8 @@ def split_chunks(
     lookup = F.create_map(*[F.lit(x) for pair in _OPENERS.items() for x in pair])
     opener = F.element_at(lookup, F.col("state"))
     whole = F.concat(opener, F.col("text"))
-    ended = F.regexp_extract_all(whole, F.lit(_ENDED), F.lit(1))
+    none = F.array().cast("array<string>")
+    ended = F.when(F.contains("text", F.lit(";")), F.regexp_extract_all(whole, F.lit(_ENDED), F.lit(1))).otherwise(none)
     length = F.aggregate("ended", F.lit(0), lambda n, s: n + F.length(s) + 1)
     pieces = begun.select("script", "at", "is_first", opener.alias("opener"), whole.alias("whole"), ended.alias("ended"))
     pieces = pieces.withColumn("rest", F.substring("whole", length + 1, F.length("whole"))).withColumn(
@@ -159,20 +170,20 @@ def split_chunks(
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_BLANK}++|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _joined(cut: DataFrame, most: int) -> DataFrame:
     """(script, raw, part, piece): what borders have cut, joined; longer statements in parts from 1 on."""
-    is_text = F.regexp_replace("piece", rf"{_BLANK}++", "") != ""
+    is_text = F.col("piece").rlike(r"\S")
     sizes = cut.groupBy("raw").agg(
         F.sum(F.length("piece")).alias("size"), F.min(F.when(is_text, F.col("at"))).alias("first"), F.max(F.when(is_text, F.col("at"))).alias("last")
     )
     known = cut.join(sizes, "raw").filter("at BETWEEN first AND last")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
     short = known.filter(F.col("size") <= most).groupBy("raw").agg(F.first("script").alias("script"), F.array_join(pieces, "").alias("piece"))
-    left = F.when(F.col("at") == F.col("first"), F.regexp_replace("piece", rf"\A{_BLANK}++", "")).otherwise(F.col("piece"))
-    both = F.when(F.col("at") == F.col("last"), F.regexp_replace(left, rf"{_BLANK}+\z", "")).otherwise(left)
+    left = F.when(F.col("at") == F.col("first"), F.ltrim("piece", F.lit(_BLANKS))).otherwise(F.col("piece"))
+    both = F.when(F.col("at") == F.col("last"), F.rtrim(left, F.lit(_BLANKS))).otherwise(left)
     long = known.filter(F.col("size") > most).select("script", "raw", (F.col("at") - F.col("first") + 1).alias("part"), both.alias("piece"))
     return short.select("script", "raw", F.lit(0).cast("long").alias("part"), "piece").union(long)
 

@@ -180,9 +180,9 @@ def split_chunked_script(spark, folder):
     script = F.expr(f"concat({_INSERT}, ';', chr(10), {_UPDATE}, ' ;; ', chr(10))")
     scripts = table(spark, folder, "documents").select("lang", "doc_id", script.alias("script"))
     size = 61 + F.col("doc_id") % 400
-    begins = F.sequence(F.lit(1).cast("long"), F.length("script").cast("long"), size)
-    chunks = scripts.select("lang", "doc_id", "script", size.alias("size"), F.posexplode(begins).alias("at", "begin"))
-    cut = chunks.select("lang", "doc_id", "at", F.col("script").substr(F.col("begin").cast("int"), F.col("size").cast("int")).alias("text"))
+    # One pass over a script, whose chunks would else be sought from its beginning each.
+    chunks = F.regexp_extract_all("script", F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
+    cut = scripts.select("lang", "doc_id", F.posexplode(chunks).alias("at", "text"))
     return split_chunks(cut, ("doc_id", "at"), script="lang")
 
 

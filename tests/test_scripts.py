@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from tablehaul.functions.text import statements
 from tablehaul.operators import scripts
 
@@ -80,3 +82,26 @@ def test_files(spark, tmp_path):
 
 def test_nothing(spark):
     assert scripts.split_chunks(spark.createDataFrame([], "script string, chunk_no int, text string")).collect() == []
+
+
+def test_cutting_a_long_script_takes_one_pass(spark, tmp_path):
+    """Each chunk sought from the script's beginning takes time with the square of its length: minutes for this one."""
+    text = "ab ä " * 700_000
+    docs = spark.createDataFrame([(0, "en", text, 7), (401, "en", None, 1)], "doc_id long, lang string, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    found = joined(driver.queries()["split_chunked_script"](spark, str(tmp_path)).collect())
+    assert time.monotonic() - began < 40
+    insert = "INSERT INTO t VALUES ('" + text + "; it''s')"
+    assert found == {"en": [insert, '-- a ; comment\nUPDATE "t;" SET n = 7 /* ; */']}
+
+
+def test_states_after_what_no_state_tells_apart(spark):
+    """A text leads from each state to where it leads with its plain runs as they are."""
+    texts = ["x", "-x", "x-", "a-b", "a/b*c", "a--b", "a/*b", "b*/c", "a\nb", "a'b-c", "a**/b", " - / ", "ab*", "", "//", "a-/b", "'a-b'"]
+    openers = list(scripts._OPENERS.values())
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rests = [F.regexp_replace(F.concat(F.lit(o), F.col("t")), scripts._LEADING, "") for o in openers]
+    slow = F.concat(*map(scripts._state_of, rests))
+    for row in df.select("t", slow.alias("slow"), scripts.transition(F.col("t"), openers).alias("quick")).collect():
+        assert row["slow"] == row["quick"], row["t"]

@@ -375,7 +375,8 @@ def _counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
     ready = coded.join(flags, ["slice", "part"]).join(_answers(numbered, "ids"), ["slice", "part"]).join(langs, "part").join(bits, "part")
     rows = stage(ready.select(
         "slice", "part", "bits", "cuts", "hash_bits", "hash_cuts", "tokens", "words", "flags", "answers").mapInArrow(_pairs, _ROUND), "round")
-    remove_staged(sent)
+    for read in (sent, coded, likely):
+        remove_staged(read)
     tokens = rows.filter("tokens is not null").select("slice", "part", "bits", "cuts", "tokens")
     for length in range(2, longest + 1):
         merged = _merged(rows, length, least)

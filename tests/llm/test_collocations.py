@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import small
 from tablehaul.llm import collocations
 from tablehaul.llm.collocations import words_and_ends
 from tablehaul.llm.quotients import Layout, counted, decoded, encoded
+from tablehaul.session import scratch_dir
 
 
 def lower(text):
@@ -103,3 +105,12 @@ def test_filters(length, bits):
     if bits == 17:
         plain = len(counts) * (8 * len(keys) + 1)
         assert len(encoded(keys, np.ones(len(counts), np.int64), layout.width, layout.tails)) < plain
+
+
+def test_texts_are_removed_once_their_ids_are_written(spark, plain):
+    def held():
+        return {p.name for p in Path(scratch_dir(spark).removeprefix("file:")).glob("coded-*")}
+
+    before = held()
+    assert collocations.collocations(plain[1], least=3).count() > 0
+    assert held() == before

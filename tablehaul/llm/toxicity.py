@@ -54,6 +54,8 @@ _SCORED = (
 
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text in lower case."""
+    if text.isascii():
+        return text.lower().translate(_FOLD).split()
     return text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split()
 
 

@@ -319,3 +319,13 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none):
         for name, step in corpus_pipeline.STAGES:
             docs = stage(step(spark, docs, SMALL), name)
         assert set(odd[1].columns) <= set(docs.columns) | {"shard"}
+
+
+def test_words_of_plain_and_other_texts():
+    """A text of ASCII alone has the words that it has beside other characters."""
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choices([chr(c) for c in range(128)], k=80)).encode()
+        assert toxicity.words_of(text) == toxicity.words_of(text + " ÄÉ".encode())[:-1]
+    assert toxicity.words_of("Ärger\x00İx K9z".encode()) == ["ärger".encode(), "i̇x".encode(), b"k", b"z"]
+    assert toxicity.words_of(b"") == [] and toxicity.words_of(b"a\xffB")[0].startswith(b"a")

@@ -12,15 +12,18 @@ votes of the sample are calibrated to probabilities by a logistic curve.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.common import kind, map_rows, stage, text_bytes
-from tablehaul.llm.dictionaries import Numbers, squeezed, unsqueezed
+from tablehaul.llm.dictionaries import squeezed, unsqueezed
 
 # Bounds of what is fitted: examples of each label, and runs of letters beside the words.
 EXAMPLES = 2000
@@ -33,13 +36,14 @@ LEAST_BEARING = 0.1
 NEAREST = 15
 BLOCK = 64
 # Terms of more than one in so many examples are laid out as a matrix.
-COMMON = 20
-# Terms of so few examples are read at once: their blocks would be as many as their postings.
-FEW = 4
+COMMON = 10
+# Terms of so few examples are read at once: their blocks would be almost as many as their postings.
+FEW = 64
 # Blocks that are read before there is a worst of the nearest.
 FIRST = 8
-# Texts that are scored together.
+# Texts that are scored together, and bytes of text whose terms are numbered together.
 TOGETHER = 128
+NUMBERED = 2 << 20
 # Added to a distance before it is inverted, and the weight of the base rate beside the votes.
 SOFT = 0.05
 BASE = 8.0
@@ -52,11 +56,29 @@ _SCORED = (
 )
 
 
+def _folded(text: bytes) -> bytes:
+    """A text in lower case with spaces for what is in no word."""
+    if text.isascii():
+        return text.lower().translate(_FOLD)
+    return text.decode("utf-8", "replace").lower().encode().translate(_FOLD)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text in lower case."""
-    if text.isascii():
-        return text.lower().translate(_FOLD).split()
-    return text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split()
+    return _folded(text).split()
+
+
+def _words_of_all(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(the words of all texts one after the other, which text each is of)."""
+    folded = [_folded(t) for t in texts]
+    held = np.frombuffer(b" ".join([b"", *folded, b""]), np.uint8)
+    inside = held != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    offsets = np.append(0, np.cumsum(ends - begins)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(held[inside])])
+    after = np.cumsum([len(f) + 1 for f in folded])
+    return words, np.searchsorted(after, begins, "right")
 
 
 def runs_of(word: str) -> set[str]:
@@ -69,47 +91,72 @@ class Terms:
     """Numbers the terms of texts."""
 
     def __init__(self, words: list[str], runs: list[str]):
-        self.names = [*words, *runs]
-        self.words = {w: i for i, w in enumerate(words)}
-        self.runs = {r: len(words) + i for i, r in enumerate(runs)}
-        self.inside: dict[str, list[int]] = {}
-
-    def of(self, word: str) -> list[int]:
-        """The numbers of a word and of the runs in it that are terms."""
-        found = self.inside.get(word)
-        if found is None:
-            number = self.words.get(word)
-            found = [] if number is None else [number]
-            if self.runs:
-                found += sorted(self.runs[r] for r in runs_of(word) if r in self.runs)
-            if len(self.inside) > 50_000:
-                self.inside.clear()
-            self.inside[word] = found
-        return found
+        self.words = pa.array([w.encode() for w in words], pa.binary())
+        self.runs = runs
+        self.size = len(words) + len(runs)
+
+    @cached_property
+    def _codes(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(a number for each character, 0 for those in no run; for runs of three and of four characters their codes in
+        order and which terms they are)."""
+        letters = sorted({ord(c) for r in self.runs for c in r})
+        known = np.zeros(letters[-1] + 2, np.int64)
+        known[letters] = np.arange(1, len(letters) + 1)
+        tables = []
+        for length in (3, 4):
+            # Runs have 4 * ``RUNS`` characters at most, so the numbers of four fit into 60 bits.
+            held = [(sum(int(known[ord(c)]) << 15 * j for j, c in enumerate(r)), i) for i, r in enumerate(self.runs) if len(r) == length]
+            codes, which = np.array(sorted(held), np.int64).reshape(-1, 2).T
+            tables.append((codes, which + len(self.words)))
+        return known, tables
+
+    def of(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many terms each word has, word by word the numbers of the word and of the runs in it that are terms)."""
+        number = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        owner = [np.flatnonzero(number >= 0)]
+        term = [number[owner[0]]]
+        if self.runs and len(words):
+            known, (short, long) = self._codes
+            offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+            sizes, inside = np.diff(offsets), np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            # The words with a space before each. No run has a space inside, so what reaches into the next word is none.
+            spaced = np.full(len(inside) + len(words) + 3, 0x20, np.uint8)
+            spaced[np.arange(len(inside)) + np.repeat(np.arange(1, len(words) + 1), sizes)] = inside
+            letters = np.frombuffer(spaced.tobytes().decode().encode("utf-32-le"), "<u4")
+            code = known[np.minimum(letters, len(known) - 1)]
+            begins = np.flatnonzero(letters == 0x20)[: len(words)]
+            three = code[:-2] | code[1:-1] << 15 | code[2:] << 30
+            four = three[:-1] | code[3:] << 45
+            for (codes, terms), at, held in ((short, begins, three[begins]), (long, np.arange(len(four)), four)):
+                if len(codes):
+                    place = np.minimum(np.searchsorted(codes, held), len(codes) - 1)
+                    met = np.flatnonzero(codes[place] == held)
+                    owner.append(np.searchsorted(begins, at[met], "right") - 1)
+                    term.append(terms[place[met]])
+        cells = np.unique(np.concatenate(owner) * self.size + np.concatenate(term))
+        return np.bincount(cells // max(1, self.size), minlength=len(words)), cells % max(1, self.size)
 
     def counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (numbers in order, how often each occurs). A run counts each time a word holds it."""
         if not len(texts):
             return []
-        met = Numbers()
-        coded = [met.of(words_of(t)) for t in texts]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        own = [self.of(w.decode()) for w in met]
-        many = np.array([len(o) for o in own], np.int64)
-        numbers = np.array([n for o in own for n in o], np.int64)
+        words, text = _words_of_all(texts)
+        met = words.dictionary_encode()
+        many, numbers = self.of(met.dictionary)
         begins = np.cumsum(many) - many
-        codes, text = np.concatenate(coded), np.repeat(np.arange(len(texts)), sizes)
-        known = many[codes] > 0
-        codes, text = codes[known], text[known]
-        terms = numbers[_spread(begins[codes], many[codes])]
-        cells, often = np.unique(np.repeat(text, many[codes]) * len(self.names) + terms, return_counts=True)
-        cuts = np.searchsorted(cells, np.arange(1, len(texts)) * len(self.names))
-        return list(zip(np.split(cells % max(1, len(self.names)), cuts), np.split(often, cuts)))
+        # Each word of a text once, with its occurrences.
+        pairs, often = np.unique(text * max(1, len(many)) + met.indices.to_numpy(), return_counts=True)
+        text, codes = np.divmod(pairs, max(1, len(many)))
+        cells = np.repeat(text, many[codes]) * self.size + numbers[_spread(begins[codes], many[codes])]
+        cells, place = np.unique(cells, return_inverse=True)
+        often = np.bincount(place, np.repeat(often, many[codes]), len(cells)).astype(np.int64)
+        cuts = np.searchsorted(cells, np.arange(1, len(texts)) * self.size)
+        return list(zip(np.split(cells % max(1, self.size), cuts), np.split(often, cuts)))
 
 
 def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each begin on, as many as its size."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
@@ -145,52 +192,63 @@ class Index:
 
     def nearest_of(self, vectors: list, k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each vector (cosine, place) of the ``k`` nearest with a cosine above 0, exact; equal ones by place. The place
-        ``leave`` is left out."""
-        if not len(self.ids):
+        ``leave`` is left out. The vectors go through each step together."""
+        n, m = len(self.ids), len(vectors)
+        if not n or not m:
             return [[] for _ in vectors]
-        dense = np.zeros((len(vectors), len(self.matrix)))
-        for i, (terms, weights) in enumerate(vectors):
-            rows = self.row[terms]
-            dense[i, rows[rows >= 0]] = weights[rows >= 0]
-        scores = dense @ self.matrix
-        return [self._nearest(*vector, k, -1 if leave is None else leave[i], scores[i]) for i, vector in enumerate(vectors)]
-
-    def _nearest(self, terms, weights, k: int, leave: int, scores: np.ndarray) -> list[tuple[float, int]]:
-        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
-        few = (size > 0) & (size <= FEW)
-        at = _spread(begin[few], size[few])
-        scores = scores + np.bincount(self.place[at], np.repeat(weights[few], size[few]) * self.value[at], len(scores))
-        padded = np.zeros(-(-len(scores) // BLOCK) * BLOCK)
-        padded[: len(scores)] = scores
-        tops = padded.reshape(-1, BLOCK).max(axis=1)
+        blocks = -(-n // BLOCK)
+        terms = np.concatenate([t for t, _ in vectors])
+        weights = np.concatenate([w for _, w in vectors])
+        owner = np.repeat(np.arange(m), [len(t) for t, _ in vectors])
+        dense, rows = np.zeros((m, len(self.matrix))), self.row[terms]
+        dense[owner[rows >= 0], rows[rows >= 0]] = weights[rows >= 0]
+        scores = np.zeros((m, blocks * BLOCK))
+        scores[:, :n] = dense @ self.matrix
+        size = self.start[terms + 1] - self.start[terms]
+        whole = (size > 0) & (size <= FEW)
+        scores += self._read(owner[whole], weights[whole], self.start[terms[whole]], size[whole], scores.shape)
         rare = size > FEW
         first, last = self.segments[terms[rare]], self.segments[terms[rare] + 1]
         own = _spread(first, last - first)
-        heavy = np.repeat(weights[rare], last - first)
-        bounds = tops + np.bincount(self.block[own], heavy * self.highest[own], len(tops))
+        heavy, owner = np.repeat(weights[rare], last - first), np.repeat(owner[rare], last - first)
+        cell = owner * blocks + self.block[own]
+        bounds = scores.reshape(m, blocks, BLOCK).max(axis=2)
+        bounds = bounds + np.bincount(cell, heavy * self.highest[own], m * blocks).reshape(m, blocks)
 
         def read(wanted: np.ndarray) -> np.ndarray:
-            here = wanted[self.block[own]]
-            at = _spread(self.begin[own[here]], self.size[own[here]])
-            return np.bincount(self.place[at], np.repeat(heavy[here], self.size[own[here]]) * self.value[at], len(scores))
-
-        def best(done: np.ndarray) -> np.ndarray:
-            known = np.flatnonzero(np.repeat(done, BLOCK)[: len(total)] & (total > 0))
-            known = known[known != leave]
-            if len(known) > k:
-                known = known[total[known] >= np.partition(total[known], -k)[-k] - 1e-9]
-            return known[np.lexsort((known, -np.round(total[known], 9)))[:k]]
-
-        done = np.zeros(len(tops), bool)
-        done[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+            here = wanted.ravel()[cell]
+            return self._read(owner[here], heavy[here], self.begin[own[here]], self.size[own[here]], scores.shape)
+
+        def known(done: np.ndarray) -> np.ndarray:
+            """The totals of the examples in blocks that are read, 0 for all others."""
+            held = total.reshape(m, blocks, BLOCK) * done[:, :, None]
+            held = np.maximum(held, 0.0).reshape(scores.shape)
+            if leave is not None:
+                held[np.arange(m), leave] = 0.0
+            return held
+
+        done = np.zeros((m, blocks), bool)
+        np.put_along_axis(done, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST], True, axis=1)
         total = scores + read(done)
-        found = best(done)
-        least = total[found[-1]] if len(found) == k else 0.0
-        more = ~done & (bounds > 0) & (bounds >= least - 1e-9)
+        held = known(done)
+        # The worst of the nearest so far is in one of the best blocks.
+        best = held.reshape(m, blocks, BLOCK)[done].reshape(m, -1)
+        least = np.partition(best, -k, axis=1)[:, -k] if k < best.shape[1] else np.zeros(m)
+        more = ~done & (bounds > 0) & (bounds >= least[:, None] - 2e-9)
         if more.any():
             total = total + read(more)
-            found = best(done | more)
-        return [(float(total[i]), int(i)) for i in found]
+            held = known(done | more)
+        row, place = np.nonzero(held >= np.maximum(least - 2e-9, 1e-300)[:, None])
+        value = held[row, place]
+        order = np.lexsort((place, -np.round(value, 9), row))
+        cuts = np.searchsorted(row, np.arange(m + 1))
+        return [[(float(value[j]), int(place[j])) for j in order[a : min(a + k, b)]] for a, b in zip(cuts, cuts[1:])]
+
+    def _read(self, owner: np.ndarray, weights: np.ndarray, begin: np.ndarray, size: np.ndarray, shape: tuple) -> np.ndarray:
+        """What stretches of postings add to the owners' cosines with all examples."""
+        at = _spread(begin, size)
+        cells = np.repeat(owner.astype(np.int64) * shape[1], size) + self.place[at]
+        return np.bincount(cells, np.repeat(weights, size) * self.value[at], shape[0] * shape[1]).reshape(shape)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of toxic votes. A vote weighs cosine by distance, times how many labelled rows it stands for, so that
@@ -214,13 +272,13 @@ def make_index(examples: list[tuple], weight: np.ndarray, importance: dict[int,
     the bounds of the other blocks low."""
     none = np.zeros(0, np.int64)
     bare = Index(none, none, none, weight, *[none] * 10)
-    vectors = [bare.vector(e[2], e[3]) for e in examples]
+    vectors = [(np.asarray(e[2], np.int32), bare.vector(e[2], e[3])[1]) for e in examples]
     order = sorted(
         range(len(examples)),
         key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, examples[i][:2]),
     )
     sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-    term = np.concatenate([vectors[i][0] for i in order]) if len(order) else none
+    term = np.concatenate([vectors[i][0] for i in order]).astype(np.int64) if len(order) else none
     value = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
     place = np.repeat(np.arange(len(order)), sizes)
     often = np.bincount(term, minlength=len(weight))
@@ -233,14 +291,23 @@ def make_index(examples: list[tuple], weight: np.ndarray, importance: dict[int,
     term, place, value = term[~dense], place[~dense], value[~dense]
     by = np.lexsort((place, term))
     term, place, value = term[by], place[by], value[by]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)
-    begin = np.flatnonzero(new)
+    starts = np.searchsorted(term, np.arange(len(weight) + 1))
+    # Only terms that are not read whole have segments.
+    begin = np.flatnonzero(often[term] > FEW)
+    if len(begin):
+        block = place[begin] // BLOCK
+        new = np.append(True, (term[begin][1:] != term[begin][:-1]) | (block[1:] != block[:-1]))
+        highest = np.maximum.reduceat(value[begin], np.flatnonzero(new))
+        held = np.diff(np.append(np.flatnonzero(new), len(begin)))
+        begin, block = begin[new], block[new]
+    else:
+        block, held, highest = none, none, np.zeros(0)
     labels = np.array([examples[i][1] for i in order], np.int64)
+    small = [x.astype(np.int32) for x in (row, place, starts, np.searchsorted(term[begin], np.arange(len(weight) + 1)), block, begin, held)]
+    row, place, starts, segments, block, begin, held = small
     index = Index(
         np.array([examples[i][0] for i in order], np.int64), labels, np.array([importance[int(y)] for y in labels], float),
-        weight, row, matrix, place, value, np.searchsorted(term, np.arange(len(weight) + 1)), np.searchsorted(term[begin], np.arange(len(weight) + 1)), place[begin] // BLOCK,
-        begin, np.diff(np.append(begin, len(term))), np.maximum.reduceat(value, begin) if len(begin) else np.zeros(0),
+        weight, row, matrix, place, value, starts, segments, block, begin, held, highest,
     )
     # A text far from all examples gets about the share of toxic ones among all labelled.
     index.base = float((index.importance * labels).sum() / (index.importance.sum() + 1)) if len(order) else 0.0
@@ -305,12 +372,24 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     return words.column("term").to_pylist(), telling, np.append(bearing, np.ones(len(telling)))
 
 
+def _lots(part: list[dict]) -> Iterator[list[dict]]:
+    """The rows in lots of some megabytes of text."""
+    held, size = [], 0
+    for row in part:
+        held.append(row)
+        size += len(row["text"]) + 64
+        if size > NUMBERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _vectors(plain: DataFrame, terms: Terms) -> DataFrame:
     """The staged rows with the numbers and occurrences of their terms instead of their text."""
 
     def rows(part):
-        for at in range(0, len(part), TOGETHER):
-            some = part[at : at + TOGETHER]
+        for some in _lots(part):
             for row, (numbers, often) in zip(some, terms.counts([row.pop("text") for row in some])):
                 yield row | {"held": squeezed(numbers.astype("<i4")), "often": squeezed(often.astype("<i4"))}
 
@@ -318,6 +397,14 @@ def _vectors(plain: DataFrame, terms: Terms) -> DataFrame:
     return stage(map_rows(plain, rows, kept + "held binary, often binary"), "vectors")
 
 
+def _vectors_of_examples(shown: DataFrame, terms: Terms) -> list[tuple]:
+    """(doc_id, label, numbers, occurrences) of each example in the order of its id. Only these reach the driver, not the
+    texts."""
+    rows = _vectors(shown, terms).toArrow()
+    held = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "label", "held", "often")))
+    return sorted(((i, y, unsqueezed(a), unsqueezed(b)) for i, y, a, b in held), key=lambda e: e[:2])
+
+
 def _frequencies(vectors: DataFrame, size: int) -> np.ndarray:
     """How many documents hold each term. Each task sends one number for each term it has met."""
 
@@ -361,14 +448,13 @@ def toxicity(
     terms = Terms(words, runs)
     held = _vectors(plain, terms)
     total = held.count()
-    weight = (np.log((1 + total) / (1 + _frequencies(held, len(terms.names)))) + 0.1) * bearing
-    examples = sorted((r["doc_id"], r["label"], r["text"]) for r in shown.collect())
-    taken = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
-    vectors = [(e[0], e[1], *held) for e, held in zip(examples, terms.counts([e[2] for e in examples]))]
+    weight = (np.log((1 + total) / (1 + _frequencies(held, terms.size))) + 0.1) * bearing
+    vectors = _vectors_of_examples(shown, terms)
+    taken = {y: sum(v[1] == y for v in vectors) for y in (0, 1)}
     index = make_index(vectors, weight, {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)})
     telling = np.flatnonzero(bearing >= 1)
     # What scores needs no more of the terms than the names of these.
-    names = {int(t): terms.names[t] for t in telling}
+    names = {int(t): words[t] if t < len(words) else runs[t - len(words)] for t in telling}
 
     def scored(part):
         for at in range(0, len(part), TOGETHER):

@@ -329,3 +329,41 @@ def test_words_of_plain_and_other_texts():
         assert toxicity.words_of(text) == toxicity.words_of(text + " ÄÉ".encode())[:-1]
     assert toxicity.words_of("Ärger\x00İx K9z".encode()) == ["ärger".encode(), "i̇x".encode(), b"k", b"z"]
     assert toxicity.words_of(b"") == [] and toxicity.words_of(b"a\xffB")[0].startswith(b"a")
+
+
+def test_terms_of_many_texts_at_once(monkeypatch):
+    """Counts as word by word, without asking for the runs of each word."""
+    rng = random.Random(3)
+
+    def word():
+        return "".join(rng.choice("abcdäößß語İı ") for _ in range(rng.randrange(1, 7)))
+
+    texts = [" ".join(word() for _ in range(rng.randrange(30))).encode() for _ in range(300)]
+    texts += [b"", b"   ", b"a\xff b", b"a", b"a b c"]
+    words = sorted({w.decode() for t in texts for w in toxicity.words_of(t)})
+    runs_of = toxicity.runs_of
+    runs = sorted(set().union(*map(runs_of, words)))
+    for some, telling in ((words[::3], runs[::2][:1024]), (words, []), ([], runs[:1000]), ([], []), (words, [r for r in runs if len(r) == 3])):
+        number = {w: i for i, w in enumerate(some)}
+        run = {r: len(some) + i for i, r in enumerate(telling)}
+        wanted = []
+        for t in texts:
+            met = [w.decode() for w in toxicity.words_of(t)]
+            wanted.append(Counter([number[w] for w in met if w in number] + [run[r] for w in met for r in runs_of(w) if r in run]))
+        with monkeypatch.context() as patch:
+            patch.setattr(toxicity, "runs_of", None)
+            got = toxicity.Terms(some, telling).counts(texts)
+        assert [dict(zip(n.tolist(), o.tolist())) for n, o in got] == wanted
+
+
+def test_mixing_writes_its_steps(spark, plain):
+    """The plan of what is taken starts from written steps, so it has few exchanges."""
+    taken = mixing.mix(keyed(plain[1])).taken
+    assert taken._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+
+
+def test_an_index_has_segments_of_frequent_terms_only():
+    examples = [(i, i % 2, np.array([0, 1 + i % 50, 51 + i % 7]), np.ones(3)) for i in range(700)]
+    index = toxicity.make_index(examples, np.ones(58), {0: 1.0, 1: 1.0})
+    held = np.diff(index.segments)
+    assert (held[51:] > 0).sum() + (index.row[51:] >= 0).sum() == 7 and not held[:51].any()

@@ -105,11 +105,12 @@ def draw_slots(sources: DataFrame, block: int, shard_slots: int, seed: int, turn
         F.call_function("div", F.col("id"), F.lit(shards)).alias("number"), (F.col("id") % shards).alias("shard")
     ).join(drawn.select("number", "blocks", "whole"), "number")
     counts = every.join(extra, ["number", "shard"], "left").withColumn("count", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    counts = counts.withColumn("cell", F.call_function("div", F.col("shard"), F.lit(4096)))
+    # Written before it is ranked, as are the lots: the plan of all steps in one would be too large for a small driver.
+    counts = stage(counts.withColumn("cell", F.call_function("div", F.col("shard"), F.lit(4096))), "counts")
     # Lots are rows that become thousands of slots each, so they are dealt out by their slots, not by their own size.
     parts = max(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / block / 100_000) + 1)
-    lot = ranked(counts, ["number"], "cell", ["shard"], "begin", value="count").filter("count > 0").repartition(parts, "number", "shard")
-    slots = lot.select(
+    lots = stage(ranked(counts, ["number"], "cell", ["shard"], "begin", value="count").filter("count > 0"), "lots")
+    slots = lots.repartition(parts, "number", "shard").select(
         "number", "blocks", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("n")
     ).filter(F.col("n") < F.col("blocks") * turns)
     turn, index = F.call_function("div", F.col("n"), F.col("blocks")), F.col("n") % F.col("blocks")
@@ -142,14 +143,14 @@ def mix(
     named = sources.select(F.col("source").alias("of"), "number", F.col("size").alias("source_size"), "target")
     rows = plain.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     rows = rows.withColumn("cell", F.shiftright("h", 62 - (cells.bit_length() - 1)))
-    laid = ranked(rows.filter("size > 0"), ["number"], "cell", ["h", "key"], "start", value="size")
+    laid = stage(ranked(rows.filter("size > 0"), ["number"], "cell", ["h", "key"], "start", value="size").select("key", "number", "size", "start"), "laid")
     end = F.col("start") + F.col("size")
     first, last = F.call_function("div", F.col("start"), F.lit(block)), F.call_function("div", end - 1, F.lit(block))
     pieces = laid.select("key", "number", "start", end.alias("end"), F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
     pieces = pieces.select("number", "block", "key", (low - F.col("start")).alias("from"), (high - low).alias("words"))
     slots = draw_slots(sources, block, shard_slots, seed, turns)
-    often = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
+    often = stage(slots.groupBy("number", "block").agg(F.count("*").alias("times")), "often")
     sums = pieces.join(often, ["number", "block"]).groupBy("key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     taken = rows.select("key", "size", "source_size", "target", "h").join(sums, "key", "left").select(
         F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "h"

@@ -27,7 +27,7 @@ from tablehaul.llm.dictionaries import Numbers, slice_numbers, squeezed, unsquee
 from tablehaul.llm.quotients import Hashes, Layout, counted, decoded, encoded
 
 # Bytes of text in a slice, and of filters in a range.
-SLICE = 12 << 20
+SLICE = 6 << 20
 RANGE = 4 << 20
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 NO_LANG = "und"

@@ -114,3 +114,8 @@ def test_texts_are_removed_once_their_ids_are_written(spark, plain):
     before = held()
     assert collocations.collocations(plain[1], least=3).count() > 0
     assert held() == before
+
+
+def test_a_slice_is_full_after_a_million_words():
+    assert list(collocations._Slice().add("en", b"ab " * 1_100_000)) == [True]
+    assert list(collocations._Slice().add("en", b"ab " * 900_000)) == [False]

@@ -47,12 +47,13 @@ def words_and_ends(text: bytes, most: int = 4 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-_TEXTS = "slice long, part string, tokens binary, words binary, total long, entries long"
+_TEXTS = "slice long, part string, tokens binary, words binary, counts binary, total long, entries long"
 _TEXT_NAMES = [c.split()[0] for c in _TEXTS.split(", ")]
 
 
 class _Slice:
-    """Texts by language as numbers of words, 0 for what ends a piece, and the words in the order of their numbers."""
+    """Texts by language as numbers of words, 0 for what ends a piece, and the words in the order of their numbers with
+    their counts, so that what only counts words needs no tokens."""
 
     def __init__(self):
         self.numbers, self.tokens, self.size = {}, {}, 0
@@ -70,7 +71,8 @@ class _Slice:
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         for part, numbers in self.numbers.items():
             tokens = np.concatenate(self.tokens[part])
-            row = (number, part, squeezed(tokens), packed_words(list(numbers)), int((tokens > 0).sum()), len(numbers) - 1)
+            counts = np.bincount(tokens, minlength=len(numbers)).astype(np.int32)
+            row = (number, part, squeezed(tokens), packed_words(list(numbers)), squeezed(counts), int(counts[1:].sum(dtype=np.int64)), len(numbers) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=_TEXT_NAMES)
         self.__init__()
 
@@ -99,18 +101,18 @@ def _hashes(words: list[bytes], layout: Hashes) -> np.ndarray:
 
 
 def _word_filters(batches) -> Iterator[pa.RecordBatch]:
-    """From (slice, part, bits, cuts, tokens, words) the filters of the words' hashes."""
+    """From (slice, part, bits, cuts, words, counts) the filters of the words' hashes."""
     for batch in batches:
         for part in slices(batch, 1):
             row = part.to_pylist()[0]
             words, layout = unpacked_words(row["words"]), Hashes(row["bits"])
-            counts = np.bincount(unsqueezed(row["tokens"]), minlength=len(words))[1:]
+            counts = unsqueezed(row["counts"]).astype(np.int64)[1:]
             keys, sums, _ = counted([_hashes(words[1:], layout)], counts)
             name = (row["slice"], row["part"], row["bits"], row["cuts"])
             yield from _in_batches(_filter_rows(name, keys, sums, layout))
 
 
-_WORDS = "slice long, part string, range long, words binary, counts binary, flags binary"
+_WORDS = "slice long, part string, range long, words binary, counts binary, numbers binary"
 _WORD_NAMES = [c.split()[0] for c in _WORDS.split(", ")]
 _WORD_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -125,17 +127,17 @@ def _dealt(words: list[bytes], flags: np.ndarray, layout: Hashes, cuts: int) ->
 
 
 def _likely_words(batches) -> Iterator[pa.RecordBatch]:
-    """From (slice, part, bits, cuts, tokens, words, answers) the words whose hash is frequent, with their counts, by
-    ranges, and a bit for each word."""
+    """From (slice, part, bits, cuts, words, counts, answers) the words whose hash is frequent, with their counts, by
+    ranges, and the numbers of these words in the same order."""
     for batch in batches:
         for part in slices(batch, 1):
             row = part.to_pylist()[0]
             words, layout = unpacked_words(row["words"]), Hashes(row["bits"])
-            counts = np.bincount(unsqueezed(row["tokens"]), minlength=len(words))
+            counts = unsqueezed(row["counts"]).astype(np.int64)
             keys, _, place = counted([_hashes(words[1:], layout)])
             flags = np.append(False, _answered(row["answers"], keys, layout, row["cuts"])[place].astype(bool))
             numbers, ranges, begin = _dealt(words, flags, layout, row["cuts"])
-            rows = [(row["slice"], row["part"], None, None, None, squeezed(np.packbits(flags)))]
+            rows = [(row["slice"], row["part"], None, None, None, squeezed(numbers.astype(np.int32)))]
             for r, own in zip(ranges.tolist(), np.split(numbers, begin[1:])):
                 rows.append((row["slice"], row["part"], r, packed_words([words[i] for i in own]), squeezed(counts[own]), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _WORD_KINDS)], names=_WORD_NAMES)
@@ -218,16 +220,13 @@ def _answered(answers: list[dict], keys: list[np.ndarray], layout: Layout | Hash
 
 
 def _pairs(batches) -> Iterator[pa.RecordBatch]:
-    """From (slice, part, bits, cuts, hash_bits, hash_cuts, tokens, words, flags, answers: range and ids): the ids of the
-    slice's words one after the other, and the filters of two words."""
+    """From (slice, part, bits, cuts, tokens, entries, numbers, answers: range and ids): the ids of the slice's words one
+    after the other, and the filters of two words."""
     for batch in batches:
         for part in slices(batch, 1):
             row = part.to_pylist()[0]
-            words = unpacked_words(row["words"])
-            flags = np.unpackbits(unsqueezed(row["flags"]), count=len(words))
-            numbers, _, _ = _dealt(words, flags, Hashes(row["hash_bits"]), row["hash_cuts"])
-            ids = np.zeros(len(words), "<u4" if row["bits"] <= 32 else "<u8")
-            ids[numbers] = np.concatenate([unsqueezed(a["ids"]) for a in sorted(row["answers"], key=lambda a: a["range"])])
+            ids = np.zeros(row["entries"] + 1, "<u4" if row["bits"] <= 32 else "<u8")
+            ids[unsqueezed(row["numbers"])] = np.concatenate([unsqueezed(a["ids"]) for a in sorted(row["answers"], key=lambda a: a["range"])])
             tokens = ids[unsqueezed(row["tokens"])]
             name = (row["slice"], row["part"], row["bits"], row["cuts"])
             yield _round_rows([(*name, None, None, squeezed(tokens), None)])
@@ -250,9 +249,10 @@ def _in_batches(rows: Iterator[tuple], size: int = 256) -> Iterator[pa.RecordBat
         yield _round_rows(held)
 
 
-def _longer(length: int):
+def _longer(length: int, last: bool):
     """From (slice, part, bits, cuts, tokens, held, answers: range and frequent) of phrases of one word less the filters of
-    ``length`` words. ``held`` has a bit for each place where a phrase of two words less is frequent."""
+    ``length`` words, and unless these are the last ones the tokens that they need. ``held`` has a bit for each place where
+    a phrase begins that is counted; of two words, all are."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,14 +263,17 @@ def _longer(length: int):
                 if row["held"] is None:
                     at = _starts(tokens)
                 else:
-                    at = _both(np.unpackbits(unsqueezed(row["held"]), count=len(tokens)))
+                    at = np.flatnonzero(np.unpackbits(unsqueezed(row["held"]), count=len(tokens)))
                 layout = Layout(length - 1, row["bits"])
                 keys, _, place = counted(_phrase_keys(tokens, at, layout, length - 1))
                 flags = np.zeros(len(tokens), np.uint8)
                 flags[at] = _answered(row["answers"], keys, layout, row["cuts"])[place]
-                if flags.any():
-                    yield _round_rows([(*name, None, None, None, squeezed(np.packbits(flags)))])
-                    yield from _in_batches(_filters(name, tokens, _both(flags), length))
+                at = _both(flags)
+                if len(at):
+                    tokens, held = _thinned(tokens, at, length)
+                    if not last:
+                        yield _round_rows([(*name, None, None, squeezed(tokens), squeezed(np.packbits(held)))])
+                    yield from _in_batches(_filters(name, tokens, np.flatnonzero(held), length))
 
     return run
 
@@ -280,6 +283,18 @@ def _both(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags[:-1] & flags[1:])
 
 
+def _thinned(tokens: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the phrases of ``length`` words that begin at ``at``, with one 0 for all that is between two stretches
+    of them, and for each whether a phrase begins there."""
+    inside, begins = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+    for j in range(length):
+        inside[at + j] = True
+    begins[at] = True
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    return np.where(inside, tokens, tokens.dtype.type(0))[kept], begins[kept]
+
+
 _MERGED = "part string, words array<long>, f long, slice long, range long, frequent binary"
 _MERGED_NAMES = [c.split()[0] for c in _MERGED.split(", ")]
 _MERGED_KINDS = [pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -360,24 +375,25 @@ def _counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
         "part", "n", F.least(F.length(F.bin("n")) + 8, F.lit(62)).cast("int").alias("hash_bits"), _cuts(F.col("entries"), 4).alias("hash_cuts"),
         _cuts(F.col("n"), 4).alias("cuts"),
     ), "languages")
-    hashed = coded.join(langs, "part").select("slice", "part", F.col("hash_bits").alias("bits"), F.col("hash_cuts").alias("cuts"), "tokens", "words")
+    hashed = coded.join(langs, "part").select("slice", "part", F.col("hash_bits").alias("bits"), F.col("hash_cuts").alias("cuts"), "words", "counts")
     likely = _merged(hashed.mapInArrow(_word_filters, _ROUND), 0, least)
-    asked = hashed.join(_answers(likely, "frequent"), ["slice", "part"]).select("slice", "part", "bits", "cuts", "tokens", "words", "answers")
+    asked = hashed.join(_answers(likely, "frequent"), ["slice", "part"]).select("slice", "part", "bits", "cuts", "words", "counts", "answers")
     sent = stage(asked.mapInArrow(_likely_words, _WORDS), "words")
     dealt = sent.filter("words is not null").join(langs.select("part", "hash_cuts"), "part").select("part", "range", "slice", "hash_cuts", "words", "counts")
     dealt = dealt.repartition("part", "range").sortWithinPartitions("part", "range", "slice")
     numbered = stage(dealt.mapInArrow(_number_words(least), _KNOWN), "known")
     known = numbered.filter("word is not null").select("part", "word", "id", "f")
     bits = known.groupBy("part").agg(F.length(F.bin(F.max("id"))).cast("int").alias("bits"))
+    # Written, so that its size is known before slices are joined to it: else all of a language would go to one task.
+    parts = stage(langs.select("part", "cuts").join(bits, "part"), "parts")
     found = [known.select("part", F.array("id").alias("words"), "f")]
 
-    flags = sent.filter("flags is not null").select("slice", "part", "flags")
-    ready = coded.join(flags, ["slice", "part"]).join(_answers(numbered, "ids"), ["slice", "part"]).join(langs, "part").join(bits, "part")
-    rows = stage(ready.select(
-        "slice", "part", "bits", "cuts", "hash_bits", "hash_cuts", "tokens", "words", "flags", "answers").mapInArrow(_pairs, _ROUND), "round")
+    numbers = sent.filter("numbers is not null").select("slice", "part", "numbers")
+    texts = coded.select("slice", "part", "tokens", "entries")
+    ready = texts.join(numbers, ["slice", "part"]).join(_answers(numbered, "ids"), ["slice", "part"]).join(parts, "part")
+    rows = stage(ready.select("slice", "part", "bits", "cuts", "tokens", "entries", "numbers", "answers").mapInArrow(_pairs, _ROUND), "round")
     for read in (sent, coded, likely):
         remove_staged(read)
-    tokens = rows.filter("tokens is not null").select("slice", "part", "bits", "cuts", "tokens")
     for length in range(2, longest + 1):
         merged = _merged(rows, length, least)
         phrases = merged.filter("words is not null").select("part", "words", "f")
@@ -385,12 +401,10 @@ def _counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
             break
         found.append(phrases)
         if length < longest:
-            held = rows.filter("held is not null").select("slice", "part", "held")
-            state = tokens.join(held, ["slice", "part"]) if length > 2 else tokens.withColumn("held", F.lit(None).cast("binary"))
-            state = state.join(_answers(merged, "frequent"), ["slice", "part"]).select("slice", "part", "bits", "cuts", "tokens", "held", "answers")
-            made = stage(state.mapInArrow(_longer(length + 1), _ROUND), "round")
-            if length > 2:
-                remove_staged(rows)
+            state = rows.filter("tokens is not null").select("slice", "part", "bits", "cuts", "tokens", "held")
+            state = state.join(_answers(merged, "frequent"), ["slice", "part"])
+            made = stage(state.mapInArrow(_longer(length + 1, length + 1 == longest), _ROUND), "round")
+            remove_staged(rows)
             rows = made
     phrases = found[0]
     for more in found[1:]:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import small
 from tablehaul.llm import collocations
@@ -119,3 +120,24 @@ def test_texts_are_removed_once_their_ids_are_written(spark, plain):
 def test_a_slice_is_full_after_a_million_words():
     assert list(collocations._Slice().add("en", b"ab " * 1_100_000)) == [True]
     assert list(collocations._Slice().add("en", b"ab " * 900_000)) == [False]
+
+
+def test_rounds_carry_only_what_they_count(spark, monkeypatch):
+    """Slices meet the answers of a round by a shuffle, so texts go along no further than phrases may still be frequent,
+    and what is known of a language is a written table, small enough to be sent to the slices."""
+    staged, kept = [], collocations.stage
+
+    def stage(df, label="stage"):
+        staged.append((label, kept(df, label)))
+        return staged[-1][1]
+
+    monkeypatch.setattr(collocations, "stage", stage)
+    monkeypatch.setattr(collocations, "remove_staged", lambda df: None)
+    lines = [f"red blue green gold {'. '.join(f'w{(i * 37 + j * j) % 90}' for j in range(60))}" for i in range(200)]
+    docs = spark.createDataFrame([("en", line) for line in lines], "lang string, text string")
+    rows = collocations.collocations(docs).collect()
+    assert ("red blue green gold", 200) in {(r.phrase, r.a) for r in rows}
+    rounds = [df for label, df in staged if label == "round"]
+    carried = [df.agg(F.sum(F.length("tokens"))).first()[0] for df in rounds]
+    assert len(rounds) == 4 and carried[1] * 2 < carried[0] and carried[2] <= carried[1] and carried[3] is None
+    assert [df.count() for label, df in staged if label == "parts"] == [1]

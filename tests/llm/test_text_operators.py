@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablehaul.llm import decontamination, imatch, packing, simhash
+from tablehaul.llm import common, decontamination, imatch, packing, simhash
 from tablehaul.llm.common import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -170,6 +170,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(101)} | {200: 200, 300: 200, 250: 200}
 
 
+def test_a_round_of_components_has_three_shuffles(spark, monkeypatch):
+    """Its tasks, each of which the driver keeps a record of, are as many as the shuffles take."""
+    plans, kept = [], common.stage
+
+    def stage(df, label="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(common, "stage", stage)
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(10)], "a long, b long"))
+    assert {r["root"] for r in got.collect()} == {0}
+    assert len(plans) > 2 and all(p.count("Exchange ") <= 3 for p in plans)
+
+
 # Packing
 
 

@@ -257,3 +257,126 @@ def test_functions_that_agree():
             lows.append(values[:46].min() == np.append(values[:41], values[46:]).min())
         met += sum(lows) >= windows.ENOUGH
     assert met >= 0.98 * 3000
+
+
+@pytest.fixture
+def links_of(spark, tmp_path, monkeypatch):
+    """Near-duplicate passages of texts, and how many links of windows of different content were made for them."""
+    seen, stage = {}, windows.stage
+
+    def counted(df, label):
+        made = stage(df, label)
+        if label == "links":
+            seen["n"] = made.filter(f"cell = 0 and f < {windows.EXACT}").count()
+            seen["cells"] = made.filter("cell != 0").count()
+        return made
+
+    monkeypatch.setattr(windows, "stage", counted)
+
+    def run(texts):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+        rows = windows.near_passages(spark.read.parquet(f"{tmp_path}/d")).collect()
+        return {(r["other_id"], r["doc_id"]) for r in rows}, seen["n"], seen["cells"]
+
+    return run
+
+
+def own_words(rng, n):
+    return [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+
+
+def test_a_line_of_many_documents_links_none(links_of):
+    """What stands around a line of many documents is not set against each other: neither where it is of one document alone,
+    nor where it has a copy elsewhere."""
+    rng = random.Random(21)
+    line = [f"l{i}" for i in range(31)]
+    alone = [" ".join(own_words(rng, 60) + line + own_words(rng, 60)) for _ in range(150)]
+    copied = [" ".join(own_words(rng, 60) + line + own_words(rng, 60)) for _ in range(80)]
+    near = [f"{t[: t.rindex(' ')]} other{i}" for i, t in enumerate(copied)]
+    pairs, n, cells = links_of(alone + copied + near)
+    assert pairs == {(150 + i, 230 + i) for i in range(80)}
+    # Before: some tens of thousands, the square of the documents with the line.
+    assert n < 80 * 60 and cells == 0
+
+
+def test_a_passage_of_many_documents_has_few_links(links_of):
+    """Documents that share a passage are linked with the first of them, though what stands around it differs."""
+    rng = random.Random(22)
+    passage = [f"p{i}" for i in range(70)]
+    pairs, n, cells = links_of([" ".join(own_words(rng, 40) + passage + own_words(rng, 40)) for _ in range(150)])
+    assert {i for p in pairs for i in p} == set(range(150)) and len(pairs) < 300
+    assert n == 0 and cells == 0
+
+
+def test_passages_with_hot_and_other_tokens(links_of):
+    """Near copies are found where a line of many documents is most of the passage, and where it is all of it."""
+    rng = random.Random(23)
+    line, text = [f"l{i}" for i in range(35)], [f"t{i}" for i in range(60)]
+    texts = [" ".join(own_words(rng, 60) + line + own_words(rng, 60)) for _ in range(90)]
+    wanted = set()
+    for i in range(20):
+        tail, around = own_words(rng, 20), [own_words(rng, 60) for _ in range(4)]
+        wanted.add((len(texts), len(texts) + 1))
+        texts += [" ".join(around[j] + line + tail + around[j + 2]) for j in range(2)]
+    first = len(texts)
+    for i in range(90):
+        edited = list(text)
+        edited[i % 60] = f"e{i}"
+        texts.append(" ".join(own_words(rng, 30) + (edited if i % 9 == 0 else text) + own_words(rng, 30)))
+    pairs, _, _ = links_of(texts)
+    assert wanted <= pairs
+    assert {i for p in pairs for i in p if i >= first} == set(range(first, first + 90))
+
+
+def test_own_tokens_that_repeat(links_of):
+    """A stretch that repeats one word of its own is one token more, however long it is."""
+    rng = random.Random(24)
+    head, tail = own_words(rng, 32), own_words(rng, 32)
+    pairs, _, _ = links_of([" ".join(head + tail), " ".join(head + ["again"] * 12 + tail)] + [" ".join(own_words(rng, 90)) for _ in range(5)])
+    assert pairs == {(0, 1)}
+
+
+def test_marks(spark, tmp_path, monkeypatch):
+    """Tokens of one document, of some, and of many, whatever the slices and parts."""
+    monkeypatch.setattr(windows, "CROWD", 5)
+    rng = random.Random(25)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "one two"]
+    tokens = [windows.tokens_of(t.encode()) for t in texts]
+    values, n = np.unique(np.concatenate([np.unique(t) for t in tokens]), return_counts=True)
+    pa, tables = windows.pa, []
+    for number, at in enumerate(np.array_split(np.arange(len(texts)), 7)):
+        held = [texts[i].encode() for i in at]
+        packed = len(b"".join(held)).to_bytes(8, "little") + pa.compress(b"".join(held), codec="zstd", asbytes=True)
+        row = {"slice": number, "part": -1, "docs": at.astype(np.int64).tobytes(), "sizes": np.array([len(t) for t in held], np.int64).tobytes(), "packed": packed, "marks": None}
+        tables.append(row)
+    cut = pa.RecordBatch.from_pylist(tables)
+    parts = pa.Table.from_batches(windows._held([cut])).sort_by("part").to_batches(max_chunksize=50)
+    marks = pa.Table.from_batches(windows._mark(parts)).to_pylist()
+    rows = sorted([*tables, *({**r, "docs": None, "sizes": None, "packed": None} for r in marks)], key=lambda r: (r["slice"], r["part"]))
+    schema = pa.schema([("slice", pa.int64()), ("part", pa.int32())] + [(c, pa.binary()) for c in ("docs", "sizes", "packed", "marks")])
+    got = pa.Table.from_batches(windows._marked_texts(1, 0.0)([pa.RecordBatch.from_pylist(rows, schema=schema)])).to_pylist()
+    assert [r["doc"] for r in got] == list(range(len(texts)))
+    for r in got:
+        often = n[np.searchsorted(values, tokens[r["doc"]])]
+        assert list(r["marks"]) == [0 if x == 1 else 1 if x <= 5 else 2 for x in often.tolist()]
+
+
+def test_strange_windows_are_not_linked():
+    """Windows with too many tokens of their own are linked with others, but not with each other unless they are equal."""
+    content = np.array([1, 2, -5, -6, -6])
+    out = windows.pa.Table.from_batches(windows._linked(np.full(5, 16), np.arange(5), np.zeros(5, np.int64), np.full(5, 60), content)).to_pylist()
+    assert sorted((r["a"], r["b"], r["f"]) for r in out) == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 2, 0), (1, 3, 0), (3, 4, 8)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_covered(seed):
+    """A token is covered if it stands in any stretch that is long enough and has few tokens of its own."""
+    rng = np.random.default_rng(seed)
+    own, walls = rng.random(120) < rng.choice([0.1, 0.25, 0.4]), np.array([0, 50, 119])
+    own[walls] = True
+    wanted = np.zeros(120, bool)
+    for i in range(120):
+        for j in range(i + 20, 121):
+            if own[i:j].sum() <= 0.2 * (j - i) + 1e-9 and not any(i <= w < j for w in walls):
+                wanted[i:j] = True
+    assert windows._covered(own, walls, 20, 0.2).tolist() == wanted.tolist()

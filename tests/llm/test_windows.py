@@ -525,3 +525,11 @@ def test_a_family_of_edits_grows_with_its_documents(spark, tmp_path, monkeypatch
     assert len({(r["other_id"], r["doc_id"]) for r in found}) >= 0.95 * 200 * 199 / 2
     # Before: 236,227 links and 19,117 pairs, and the same rows.
     assert rows["links"] < 200 * 100 and rows["pairs"] < 200
+
+
+def test_the_last_strange_windows_of_many(monkeypatch):
+    """Of a value with many windows, the strange ones that do not fill a number of their own are linked with all."""
+    monkeypatch.setattr(windows, "MANY", 4)
+    content = np.array([-9, -8, -7, -6, -5, -4, 3, 4])
+    out = windows.pa.Table.from_batches(windows._linked(np.full(8, 16), np.arange(8), np.zeros(8, np.int64), np.full(8, 60), content)).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in out) == [(i, j) for i in range(8) for j in range(i + 1, 8) if j > 3]
